@@ -67,18 +67,17 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # each select is a step of its own: a column used again is computed once
     a = docs.select(
         F.col(id_col), common.words(F.col(text_col)).alias("_w"), lines.alias("_l"),
-        common.count_of(text, "#*$%&|<>").alias("n_symbols"),
+        F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.length(F.regexp_replace(text, common.SPACE, "")).cast("long").alias("word_chars"),
     )
-    hashes = F.when(
-        F.size("_w") >= WINDOW + 1,
-        F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW))),
-    )
     b = a.select(
-        id_col, "n_symbols", "n_capitals", "word_chars", F.size("_w").cast("long").alias("n_words"),
-        F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), hashes.alias("_h"),
+        id_col, "n_symbols", "n_capitals", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_w").cast("long").alias("n_words"),
+        F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"),
     )
+    for span in (1, 2, 4):  # hashes of 2, 4, then 8 words from each position on
+        b = b.withColumn("_h", F.zip_with("_h", F.slice("_h", span + 1, F.size("_h")), lambda x, y: F.xxhash64(x, y)))
+    b = b.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_h") - (WINDOW - 1), F.lit(0))))
     kept = [c for c in b.columns if c != "_h"]
     has = F.size(F.array_distinct("_h")) < F.size("_h")
     c = b.select(*kept, F.when(has, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"))
