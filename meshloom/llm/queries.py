@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from meshloom.llm import quality_rules
+from meshloom.llm import mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op8_mix_sources": mixing.SQL,
 }
