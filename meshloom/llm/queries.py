@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from meshloom.llm import mixing, quality_rules
+from meshloom.llm import license_scan, mixing, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
