@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from meshloom.llm import license_scan, mixing, quality_rules, secret_scan
+from meshloom.llm import license_scan, mixing, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_warc": warc.op5_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op5_warc": warc.SQL,
     "op8_mix_sources": mixing.SQL,
 }
