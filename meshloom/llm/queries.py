@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from meshloom.llm import license_scan, mixing, quality_rules, secret_scan, warc
+from meshloom.llm import license_scan, mixing, quality_rules, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_warc": warc.op5_warc,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
     "op5_warc": warc.SQL,
+    "op6_url_filter": url_filter.SQL,
     "op8_mix_sources": mixing.SQL,
 }
