@@ -187,7 +187,8 @@ class Model:
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content for each node, by one upward and one downward pass."""
         n = len(nodes)
-        b0, b1 = [0.7] * n, [0.3] * n
+        b0, b1 = [1.0] * n, [1.0] * n
+        b0[0], b1[0] = 0.7, 0.3
         labelled = any(node.inside for node in nodes)
         for i, node in enumerate(nodes):
             for f in features(node, labelled):
