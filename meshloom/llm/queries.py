@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import html_extract, license_scan, mixing, quality_rules, secret_scan, url_filter, warc
+from meshloom.llm import html_extract, license_scan, lm_scoring, mixing, quality_rules, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_warc": warc.op5_warc,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_html_extract": html_extract.op10_html_extract,
 }
