@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from meshloom.llm import html_extract, license_scan, lm_scoring, mixing, quality_rules, secret_scan, url_filter, warc
+from meshloom.llm import html_extract, license_scan, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_warc": warc.op5_warc,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_ngram_join": ngram_join.SQL,
     "op5_warc": warc.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_mix_sources": mixing.SQL,
