@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space between words: the blank and U+0009 to U+000D.
 SPACE = r"[ \t\n\x0B\f\r]+"
 
+#: Rows of narrow tables up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +35,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``most`` rows; else joined by key."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

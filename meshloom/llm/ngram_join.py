@@ -249,6 +249,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         "doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NULL_ID)).alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those that another row stands for: of each component, one row of the least id stays."""
+    classes = common.written(join(docs, n, num, den))
+    gone = common.if_small(classes.filter("doc_id <> component_id").select("doc_id").distinct(), 1_000_000)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # rows with an id that occurs again: one of those of each class stays
+    again = common.if_small(classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"), n=4, num=85)
 

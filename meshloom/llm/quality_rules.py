@@ -56,22 +56,23 @@ def _repeat_positions(pairs: Column) -> Column:
     return F.sort_array(F.transform(same, lambda e: e.i))
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of counts for each document.
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row of counts for each document, with its id, or with the whole row as the struct ``_doc``.
 
     Windows are compared by 64-bit hashes within one document; two different windows of a
     document of a million words share a hash with a probability under 1e-7.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    name, value = ("_doc", F.struct("*")) if whole else (id_col, F.col(id_col))
     # each select is a step of its own: a column used again is computed once
     a = docs.select(
-        F.col(id_col), common.words(F.col(text_col)).alias("_w"), lines.alias("_l"),
+        value.alias(name), common.words(F.col(text_col)).alias("_w"), lines.alias("_l"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
     )
     b = a.select(
-        id_col, "n_symbols", "n_capitals", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_w").cast("long").alias("n_words"),
+        name, "n_symbols", "n_capitals", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_w").cast("long").alias("n_words"),
         F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).alias("_h"),
     )
@@ -87,12 +88,12 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.select(*kept, F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Measurements and ``fail_bits``: bit i is set where RULES[i] fails."""
     bits = F.lit(0).cast("long")
     for i, (_, rule) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i)).otherwise(0).cast("long"))
-    return measurements(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measurements(docs, id_col, text_col, whole).withColumn("fail_bits", bits)
 
 
 def passes(policy: Policy, bits: Column | None = None) -> Column:
@@ -101,6 +102,13 @@ def passes(policy: Policy, bits: Column | None = None) -> Column:
     return F.bit_count(bits.bitwiseAND(F.lit(policy.mask).cast("long"))) <= policy.allowed
 
 
+def accepted(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass ``policy``, unchanged."""
+    # the row number keeps the optimizer from moving the filter into the steps, which would compute them again for each rule
+    rows = ledger(docs, text_col=text_col, whole=True).withColumn("_row", F.monotonically_increasing_id())
+    return rows.filter(passes(policy) & (F.col("_row") >= 0)).select("_doc.*")
+
+
 def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     """For each rule: documents failing it, failing nothing else of the policy, and kept if the rule were dropped.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import html_extract, license_scan, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, url_filter, warc
+from meshloom.llm import decontaminate, html_extract, license_scan, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_lm_scoring": lm_scoring.op7_lm_scoring,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLES = {

@@ -95,7 +95,8 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[secre
     """
     new = common.written(scan_unseen(docs, ledger))
     hits = (new if ledger is None else ledger.unionByName(new)).filter((F.col("version") == VERSION) & (F.col("spans") != "")).select("blob", F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_blob", blob_id(F.col("text"))).join(hits.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    hits = common.if_small(hits.withColumnRenamed("blob", "_blob"))
+    rows = docs.withColumn("_blob", blob_id(F.col("text"))).join(hits, "_blob", "left")
     ends = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 

@@ -23,18 +23,11 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Payloads shorter than this are always stored.
 LEAST_BYTES = 100
-#: Rows up to which the table of revisits is broadcast.
-BROADCAST_ROWS = 100_000
 #: Bytes at a candidate's start in which its header must end.
 HEADER_BYTES = 8192
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has no more than ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def revisits(pages: DataFrame) -> DataFrame:
     """(page_id, refers_to) of the pages that repeat the payload of a page of smaller id; payloads never leave their task."""
     html = F.coalesce("html", F.lit(""))
@@ -45,7 +38,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Writes a response or revisit record for each of ``pages`` (page_id, url, html)."""
-    again = _if_small(revisits(pages))
+    again = common.if_small(revisits(pages))
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html").join(again, "page_id", "left")
     stored = F.col("refers_to").isNull()
@@ -133,7 +126,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if broken.limit(1).count() == 0:
         return whole.select(*columns)
     # payloads that hold version lines: their chunks, of those files only, are put together again
-    files = _if_small(broken.select("file").distinct())
+    files = common.if_small(broken.select("file").distinct())
     pieces = _placed(chunks(spark, path).join(files, "file"))
     starts = broken.select("file", F.col("at").alias("start"), "next", "skip", *[c for c in columns if c != "sha"])
     owner = F.last(F.when(F.col("start").isNotNull(), F.struct("start", "next", "skip", *columns[:-1])), True).over(W.partitionBy("file").orderBy("at"))
