@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -18,3 +19,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/meshloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table with one row for each mesh up to which it is broadcast.
+MOST_MESHES = 100_000
+
+
+def with_mesh(rows: DataFrame, per_mesh: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a table that has one row for each mesh; stored first, broadcast if it is small, else joined by key."""
+    table = stored(per_mesh)
+    return rows.join(F.broadcast(table) if table.count() <= MOST_MESHES else table, "mesh_id")
