@@ -149,8 +149,10 @@ def _partial_qr(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ellipsoid_of(r: np.ndarray) -> tuple:
-    """Centre, semi-axes ascending, axes' directions in that order, sphericity, class, definite; from the R factor of [terms, 1]."""
+    """Centre, semi-axes ascending, axes' directions in that order, sphericity, class, definite, algebraic rms; from the R factor of [terms, 1]."""
     q, _, _, _ = np.linalg.lstsq(r[:, :9], r[:, 9], rcond=None)
+    left = r[:, :9] @ q - r[:, 9]
+    rms = float(np.sqrt(left @ left / max(r[:, 9] @ r[:, 9], 1.0)))  # the last column is all ones: its square sum is n
     m = np.array([[q[0], q[3], q[4]], [q[3], q[1], q[5]], [q[4], q[5], q[2]]])
     v = q[6:9]
     c = -np.linalg.pinv(m) @ v
@@ -159,8 +161,8 @@ def ellipsoid_of(r: np.ndarray) -> tuple:
     axes = 1 / np.sqrt(np.maximum(np.abs(values), 1e-300))
     order = np.argsort(axes)
     ratio = 100 * axes.min() / axes.max()
-    kind = "sphere" if ratio >= 98 else "near-sphere" if ratio >= 90 else "ellipsoid"
-    return c.tolist(), axes[order].tolist(), vectors[:, order].T.tolist(), float(ratio), kind, bool((values > 0).all())
+    kind = "sphere" if ratio >= 98 else "slight-ellipsoid" if ratio >= 90 else "significant-ellipsoid"
+    return c.tolist(), axes[order].tolist(), vectors[:, order].T.tolist(), float(ratio), kind, bool((values > 0).all()), rms
 
 
 def fit_ellipsoid(points: DataFrame) -> DataFrame:
@@ -171,11 +173,11 @@ def fit_ellipsoid(points: DataFrame) -> DataFrame:
     """
 
     def solve(key, rows: pd.DataFrame) -> pd.DataFrame:
-        c, axes, directions, ratio, kind, definite = ellipsoid_of(np.linalg.qr(np.stack(rows["r"].to_numpy()), mode="r"))
-        return pd.DataFrame({"mesh_id": [key[0]], "cx": [c[0]], "cy": [c[1]], "cz": [c[2]], "semi_axes": [axes], "directions": [directions], "sphericity": [ratio], "shape": [kind], "definite": [definite]})
+        c, axes, directions, ratio, kind, definite, rms = ellipsoid_of(np.linalg.qr(np.stack(rows["r"].to_numpy()), mode="r"))
+        return pd.DataFrame({"mesh_id": [key[0]], "cx": [c[0]], "cy": [c[1]], "cz": [c[2]], "semi_axes": [axes], "directions": [directions], "sphericity": [ratio], "shape": [kind], "definite": [definite], "rms": [rms]})
 
     factors = points.select("mesh_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).mapInArrow(_partial_qr, "mesh_id string, r array<double>")
-    return factors.groupBy("mesh_id").applyInPandas(solve, "mesh_id string, cx double, cy double, cz double, semi_axes array<double>, directions array<array<double>>, sphericity double, shape string, definite boolean")
+    return factors.groupBy("mesh_id").applyInPandas(solve, "mesh_id string, cx double, cy double, cz double, semi_axes array<double>, directions array<array<double>>, sphericity double, shape string, definite boolean, rms double")
 
 
 def snap_radius(radius: Column, manual: int = 0) -> Column:
