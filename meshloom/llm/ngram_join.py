@@ -18,7 +18,6 @@ than all others; an empty table gives no rows; other columns are ignored. Sets a
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -171,65 +170,77 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("row", "n", F.explode(F.when(F.col("low") >= p, some).otherwise(F.col("g"))).alias("e")).select("e.gram", "row", "n")
 
 
-def _fits(a: str, b: str, num: int, den: int):
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+def _reaches(a: str, b: str, num: int, den: int):
+    """Whether sets with n and pos (n-grams before the shared one) in columns of these endings can still overlap enough."""
+    least = num * (F.col(f"n{a}") + F.col(f"n{b}"))
+    return ((den + num) * (F.col(f"n{a}") - F.col(f"pos{a}")) >= least) & ((den + num) * (F.col(f"n{b}") - F.col(f"pos{b}")) >= least)
 
 
-def _verifier(n: int, num: int, den: int):
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(row, n, grams): the whole sets of ``wanted`` (row, doc_id, sig), made from the texts again; only these texts move."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict = OrderedDict()
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                sets = sets_of([_lower(t) for t in batch.column("text")], n)
+                # another text under the same id is another set
+                own = [i for i, (s, sig) in enumerate(zip(sets, batch.column("sig").to_pylist(), strict=True)) if signature(s) == sig]
+                offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in own])]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*(sets[i] for i in own), np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()), grams], names=["row", "n", "grams"])
 
-        def grams(text: str, sig: bytes):
-            if sig not in kept:
-                found = sets_of([(text or "").encode("utf-8", "surrogatepass").lower()], n)[0]
-                kept[sig] = found if signature(found) == sig else None
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            return kept[sig]
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    sets = common.written(texts.join(common.if_small(wanted, 1_000_000), "doc_id").select("text", "row", "sig").mapInArrow(run, "row long, n long, grams array<bigint>"))
+    if sets.groupBy("row").count().filter("count > 1").limit(1).count():
+        sets = common.written(sets.dropDuplicates(["row"]))  # rows that repeat id and text
+    return sets
 
-        for batch in batches:
-            a, b = [], []
-            for ra, rb, ta, tb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "sig_a", "sig_b")), strict=True):
-                x, y = grams(ta, sa), grams(tb, sb)
-                if x is None or y is None:  # another text under the same id
-                    continue
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if den * same >= num * (len(x) + len(y) - same):
-                    a.append(ra)
-                    b.append(rb)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+def exact_prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(row, n, alone, gram, pos): prefixes of whole sets in the order of document frequency among them; ``alone`` n-grams are in no other set and come first."""
+    posts = sets.select("row", "n", F.explode("grams").alias("gram"))
+    shared = posts.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = posts.join(shared, "gram").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    rows = rows.select("row", "n", (F.col("n") - F.size("g")).alias("alone"), "g", F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1").alias("p")).filter("p > alone")
+    rows = rows.select("row", "n", "alone", F.posexplode(F.slice("g", 1, (F.col("p") - F.col("alone")).cast("int"))).alias("pos", "e"))
+    return rows.select("row", "n", "alone", "e.gram", (F.col("pos") + F.col("alone")).alias("pos"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows of sets) that reach the threshold on their whole texts."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    where = classes.select("row", "doc_id", "sig")
-    for side in ("a", "b"):
-        named = where.select(F.col("row").alias(side), F.col("doc_id").alias(f"id_{side}"), F.col("sig").alias(f"sig_{side}"))
-        pairs = pairs.join(named, side).join(texts.select(F.col("doc_id").alias(f"id_{side}"), F.col("text").alias(f"text_{side}")), f"id_{side}")
-    return pairs.select("a", "b", "text_a", "text_b", "sig_a", "sig_b").mapInArrow(_verifier(n, num, den), "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: rows of sets) that reach the threshold on the whole sets."""
+    rows = pairs
+    for side in ("b", "a"):
+        rows = rows.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("grams").alias(f"g_{side}")), side)
+    rows = rows.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("same"))
+    return rows.filter(den * F.col("same") >= num * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
 
 
 def heavy_links(sets: DataFrame, docs: DataFrame, classes: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links that, with ``known``, connect all sets that a chain of links connects."""
+    # sets that share something in a prefix of their counted n-grams; most texts of a corpus end here
     lists = common.written(prefixes(sets, num, den))
-    hubs = lists.groupBy("gram").agg(F.min(F.struct("row", "n")).alias("h")).select("gram", F.col("h.row").alias("a"), F.col("h.n").alias("na"))
-    # first, each set with the hub that it meets most often
-    met = lists.join(hubs, "gram").filter("row <> a").filter(_fits("n", "na", num, den)).groupBy("row", "a").agg(F.count("*").alias("c"))
-    first = common.written(met.groupBy("row").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), F.col("row").alias("b")))
-    links = common.written(verified(first, docs, classes, n, num, den).distinct().unionByName(known))
+    met = lists.join(lists.groupBy("gram").count().filter("count > 1"), "gram", "left_semi").select("row").distinct()
+    whole = whole_sets(docs, common.written(classes.join(met, "row").select("row", "doc_id", "sig")), n)
+    lists = common.written(exact_prefixes(whole, num, den))
+    # first, each set with the hub that it meets most often: of a list, the set with the smallest share of n-grams of its own
+    hubs = lists.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("x"), "row", "n", "pos")).alias("h")).select("gram", F.col("h.row").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("posa"))
+    seen = lists.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"))
+    seen = seen.join(hubs, "gram").filter("a <> b").filter(_reaches("a", "b", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    first = common.written(seen.groupBy("b").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
+    links = common.written(verified(first, whole, num, den).unionByName(known))
     # then pairs of the lists that still span several components
     labels = connected_components(links)
     placed = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
     placed = common.written(placed.join(open_, "gram"))
-    other = placed.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = placed.withColumnRenamed("row", "a").join(other, "gram").filter("a < b AND component <> cb").filter(_fits("n", "nb", num, den)).select("a", "b").distinct()
+    left, right = (placed.select("gram", F.col("row").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"pos{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    pairs = left.join(right, "gram").filter("a < b AND ca <> cb").filter(_reaches("a", "b", num, den))
+    # no more can be shared than the n-grams met in the prefixes and what follows the last of them
+    best = F.count("*") + F.least(F.max(F.col("na") - F.lit(1)) - F.max("posa"), F.max(F.col("nb") - F.lit(1)) - F.max("posb"))
+    pairs = pairs.groupBy("a", "b").agg(best.alias("most"), (F.max("na") + F.max("nb")).alias("both")).filter(f"({den} + {num}) * most >= {num} * both").select("a", "b")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = common.written(pairs.join(tested, ["a", "b"], "left_anti"))
-    return common.written(verified(pairs, docs, classes, n, num, den).distinct().unionByName(links))
+    return common.written(verified(pairs, whole, num, den).unionByName(links))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
