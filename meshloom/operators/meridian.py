@@ -49,7 +49,7 @@ def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame,
     every = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
     near = F.greatest("lat0", "lat1", "lat2") > F.col("near_pole")
     ids = F.when(near | (hi - lo >= count - 1), every).when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.pmod(k, F.lit(count).cast("long")))).otherwise(F.array().cast("array<bigint>"))
-    return rows.drop("near_pole").select("*", F.explode(ids).alias("geo_id"))
+    return rows.select("*", F.explode(ids).alias("geo_id")).drop("near_pole")
 
 
 def _crossings(points: list[g.Vec], sides: list[Column], lats: list[Column]) -> Column:

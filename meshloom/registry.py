@@ -1,7 +1,610 @@
-"""All queries over the given tables and the DuckDB SQL that gives the same rows."""
+"""All queries over the given tables and the DuckDB SQL that gives the same rows.
+
+Mesh queries run on the cup that Spark derives from ``part``; the others on ``lineitem``, ``events`` and
+``embeddings``. Doubles are rounded to six decimals in both.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshloom.functions import geometry as g
+from meshloom.operators import cluster, fit, meridian, select, smooth, topology, volume
+from meshloom.operators.storage import stored
+from meshloom.plans import analysis, cup, report
+from meshloom.sources import stl
+
+FLAGSHIP = "sphere_fit_deviation_by_ring"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLES[key] = oracle
+        return f
+
+    return add
+
+
+def _on_cup(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([cup.ORACLE, *ctes]) + "\n" + body
+
+
+def _r(c: Column | str, name: str | None = None) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    return (F.round(col, 6) + F.lit(0.0)).alias(name or str(c))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[_r(c) if t == "double" else F.round(F.col(c).cast("double"), 6).alias(c) if t == "float" else F.col(c) for c, t in df.dtypes if c != "mesh_id"])
+
+
+def _cup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, faces, faces of the inner shell)."""
+    v, f = cup.cup(spark, sf_dir)
+    v = stored(v)
+    shell = v.groupBy("mesh_id").agg(((F.count("*") - 2) / 2 * 4).alias("_end"))
+    return v, f, f.join(F.broadcast(shell), "mesh_id").filter("fid < _end").drop("_end")
+
+
+def _sphere(v: DataFrame, radius: float = 16.0) -> DataFrame:
+    return v.select("mesh_id").distinct().select("mesh_id", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("cz"), F.lit(radius).alias("radius"))
+
+
+def _frame(v: DataFrame) -> DataFrame:
+    """The cup's own frame: rim centre at the origin, pole below, rim plane a millimetre under it."""
+    values = {"rx": 0, "ry": 0, "rz": 0, "px": 0, "py": 0, "pz": -16.05, "ax": 0, "ay": 0, "az": -1, "qx": 0, "qy": 0, "qz": -1, "nx": 0, "ny": 0, "nz": -1}
+    return v.select("mesh_id").distinct().select("mesh_id", *[F.lit(float(x)).alias(k) for k, x in values.items()])
+
+
+SHELL = "fs AS MATERIALIZED (SELECT f.* FROM f, n WHERE fid < 4 * np), vs AS MATERIALIZED (SELECT * FROM v, n WHERE vid <= np)"
+G = "t AS MATERIALIZED (SELECT fid, i0, i1, i2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM {f} JOIN v a ON a.vid = i0 JOIN v b ON b.vid = i1 JOIN v c ON c.vid = i2)"
+GALL, GSHELL = G.format(f="f"), G.format(f="fs")
+#: Cross product of two sides, for tables with x0 .. z2.
+CROSS = """((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0)) AS kx, ((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0)) AS ky, ((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0)) AS kz"""
+R6 = "ROUND({0}, 6) + 0.0 AS {1}"
+
+
+def r6(e: str, name: str) -> str:
+    return R6.format(e, name)
+
+
+@_query(_on_cup("SELECT vid, x, y, z FROM v"))
+def cup_vertices(spark, sf_dir):
+    return cup.cup(spark, sf_dir)[0].select("vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@_query(_on_cup("SELECT * FROM f"))
+def cup_faces(spark, sf_dir):
+    return cup.cup(spark, sf_dir)[1].select("fid", "i0", "i1", "i2")
+
+
+FIT = """
+fc AS (SELECT COUNT(*) AS c, AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM vs),
+fu AS (SELECT x-mx AS u, y-my AS w, z-mz AS s, (x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz) AS q FROM vs, fc),
+fm AS (SELECT SUM(u*u) AS a, SUM(u*w) AS b, SUM(u*s) AS e, SUM(w*w) AS d, SUM(w*s) AS h, SUM(s*s) AS k, SUM(u*q) AS p, SUM(w*q) AS r, SUM(s*q) AS o, AVG(q) AS m FROM fu),
+fd AS (SELECT *, a*(d*k-h*h)-b*(b*k-h*e)+e*(b*h-d*e) AS det FROM fm),
+fx AS (SELECT m, (p*(d*k-h*h)-b*(r*k-h*o)+e*(r*h-d*o))/det AS a1, (a*(r*k-o*h)-p*(b*k-h*e)+e*(b*o-r*e))/det AS a2, (a*(d*o-h*r)-b*(b*o-r*e)+p*(b*h-d*e))/det AS a3 FROM fd),
+sp AS (SELECT mx+a1/2 AS cx, my+a2/2 AS cy, mz+a3/2 AS cz, SQRT(m+(a1*a1+a2*a2+a3*a3)/4) AS radius FROM fx, fc),
+rs AS (SELECT vid, SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))-radius AS e FROM vs, sp)"""
+
+
+@_query(_on_cup(f"SELECT {r6('cx', 'cx')}, {r6('cy', 'cy')}, {r6('cz', 'cz')}, {r6('radius', 'radius')}, {r6('(SELECT SQRT(AVG(e*e)) FROM rs)', 'rms')}, {r6('(SELECT MAX(ABS(e)) FROM rs)', 'max_residual')} FROM sp", SHELL, FIT))
+def sphere_fit(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(fit.fit_sphere(topology.used_vertices(v, shell)))
+
+
+@_query(_on_cup(f"""SELECT CASE WHEN vid = 0 THEN -1 ELSE (vid-1)//40 END AS ring, COUNT(*) AS n, {r6('AVG(e*1000)', 'mean_dev')}, {r6('MAX(e*1000)', 'max_dev')}, COUNT(*) FILTER (e > 0.02*radius) AS worn FROM rs, sp GROUP BY 1""", SHELL, FIT))
+def sphere_fit_deviation_by_ring(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    points = stored(topology.used_vertices(v, shell))
+    rows = fit.with_mesh(points, fit.fit_sphere(points)).withColumn("e", fit.residual())
+    ring = F.when(F.col("vid") == 0, F.lit(-1).cast("long")).otherwise(F.floor((F.col("vid") - 1) / 40))
+    return rows.groupBy(ring.alias("ring")).agg(F.count("*").alias("n"), _r(F.avg(F.col("e") * 1000), "mean_dev"), _r(F.max(F.col("e") * 1000), "max_dev"), F.count_if(F.col("e") > 0.02 * F.col("radius")).alias("worn"))
+
+
+@_query(_on_cup(f"""SELECT fid, {r6('SQRT(kx*kx+ky*ky+kz*kz)/2', 'area')}, {r6('kx/SQRT(kx*kx+ky*ky+kz*kz)', 'nx')}, {r6('ky/SQRT(kx*kx+ky*ky+kz*kz)', 'ny')}, {r6('kz/SQRT(kx*kx+ky*ky+kz*kz)', 'nz')},
+  {r6('(x0*(y1*z2-z1*y2)+y0*(z1*x2-x1*z2)+z0*(x1*y2-y1*x2))/6', 'volume')} FROM (SELECT *, {CROSS} FROM t)""", GALL))
+def face_geometry(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    a, b, c = topology.corner_points()
+    n = g.face_normal(a, b, c)
+    return topology.gather(f, v).select("fid", _r(g.triangle_area(a, b, c), "area"), _r(n[0], "nx"), _r(n[1], "ny"), _r(n[2], "nz"), _r(g.origin_tetra_volume(a, b, c), "volume"))
+
+
+RGB = """32768 | (CASE WHEN e < -1 THEN CAST(FLOOR(5*(1-t)+0.5) AS BIGINT) WHEN e > 1 THEN CAST(FLOOR(20+11*t+0.5) AS BIGINT) ELSE 8 END << 10)
+  | (CASE WHEN e < -1 THEN CAST(FLOOR(2*(1-t)+0.5) AS BIGINT) WHEN e > 1 THEN CAST(FLOOR(10*(1-t)+0.5) AS BIGINT) ELSE 20 END << 5)
+  | CASE WHEN e < -1 THEN CAST(FLOOR(15+16*t+0.5) AS BIGINT) WHEN e > 1 THEN CAST(FLOOR(3*(1-t)+0.5) AS BIGINT) ELSE 8 END"""
+
+
+@_query(_on_cup(f"""SELECT vid, {r6('ACOS(GREATEST(-1, LEAST(1, z/r)))', 'lat')}, {r6('CASE WHEN ATAN2(0.0, x) < 0 THEN ATAN2(0.0, x)+2*PI() ELSE ATAN2(0.0, x) END', 'lon')}, {r6('r', 'r')},
+  {r6('x*16/r', 'sx')}, {r6('y*16/r', 'sy')}, {r6('z*16/r', 'sz')}, {r6('-(z+1)', 'plane')}, CAST(LEAST(511, FLOOR((GREATEST(-100, LEAST(500, e))+100)/600*512+0.5)) AS INTEGER) AS bucket,
+  CAST({RGB} AS INTEGER) AS rgb, {r6('CASE WHEN e/500 < -0.01 THEN 0.15+0.05*LEAST(1, ABS(e/500)) WHEN e/500 > 0.01 THEN 0.8+0.2*LEAST(1, ABS(e/500)) ELSE 0.3 END', 'red')},
+  {r6("POWER(10.0, FLOOR(LOG10(r*7))) * CASE WHEN r*7/POWER(10.0, FLOOR(LOG10(r*7))) <= 1 THEN 1 WHEN r*7/POWER(10.0, FLOOR(LOG10(r*7))) <= 2 THEN 2 WHEN r*7/POWER(10.0, FLOOR(LOG10(r*7))) <= 5 THEN 5 ELSE 10 END", 'axis_step')},
+  {r6('CASE WHEN 16 - (z+1) <= 0 THEN 0 WHEN 16-(z+1) >= 32 THEN 4.0/3*PI()*4096 ELSE PI()/3*(16-(z+1))*(16-(z+1))*(48-(16-(z+1))) END', 'cap')}
+  FROM (SELECT *, LEAST(1.0, ABS(e)/50) AS t FROM (SELECT *, SQRT(x*x+y*y+z*z) AS r, (SQRT(x*x+y*y+z*z)-16)*1000 AS e FROM v))"""))
+def vertex_scalars(spark, sf_dir):
+    v, _, _ = _cup(spark, sf_dir)
+    p, zero, axis = g.point(), g.literal((0, 0, 0)), g.literal((0, 0, 1))
+    lat, _, r = g.spherical(p, zero, axis)
+    # the longitude about z has no component along y in the projection's x, z plane
+    lon = g.spherical((p[0], p[1], F.lit(0.0)), zero, axis)[1]
+    e = (r - 16) * 1000
+    s = g.project_onto_sphere(p, zero, F.lit(16.0))
+    return v.select(
+        "vid", _r(lat, "lat"), _r(lon, "lon"), _r(r, "r"), _r(s[0], "sx"), _r(s[1], "sy"), _r(s[2], "sz"), _r(g.plane_distance(p, g.literal((0, 0, -1)), g.literal((0, 0, -1))), "plane"),
+        g.colour_bucket(e, F.lit(-100.0), F.lit(500.0)).alias("bucket"), g.rgb555(e).alias("rgb"), _r(g.diverging_colour(e, F.lit(-100.0), F.lit(500.0))[0], "red"), _r(g.nice_interval(r * 7), "axis_step"),
+        _r(g.cap_volume((F.lit(0.0), F.lit(0.0), -(p[2] + 1)), F.lit(16.0), zero, axis), "cap"),
+    )
+
+
+EDGES = "e AS MATERIALIZED (SELECT LEAST(a, b) AS a, GREATEST(a, b) AS b, COUNT(*) AS uses FROM (SELECT i0 AS a, i1 AS b FROM {0} UNION ALL SELECT i1, i2 FROM {0} UNION ALL SELECT i2, i0 FROM {0}) GROUP BY 1, 2)"
+
+
+@_query(_on_cup(f"SELECT src, dst, {r6('SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))', 'w')} FROM (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e) JOIN v p ON p.vid = src JOIN v q ON q.vid = dst", EDGES.format("f")))
+def adjacency(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return _rounded(topology.adjacency(f, v))
+
+
+@_query(_on_cup("SELECT a, b FROM e WHERE uses = 1", SHELL, EDGES.format("fs")))
+def boundary_edges(spark, sf_dir):
+    return topology.boundary_edges(_cup(spark, sf_dir)[2]).drop("mesh_id")
+
+
+INNER = f"""
+mean AS (SELECT AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM v),
+ff AS (SELECT *, SQRT(kx*kx+ky*ky+kz*kz) AS kl, mx-(x0+x1+x2)/3 AS tx, my-(y0+y1+y2)/3 AS ty, mz-(z0+z1+z2)/3 AS tz FROM (SELECT *, {CROSS} FROM t), mean),
+fd AS MATERIALIZED (SELECT fid, i0, i1, i2, SQRT(tx*tx+ty*ty+tz*tz) AS distance, (kx*tx+ky*ty+kz*tz)/kl/SQRT(tx*tx+ty*ty+tz*tz) AS facing FROM ff),
+q3 AS (SELECT distance AS q FROM (SELECT distance, row_number() OVER (ORDER BY distance) - 1 AS k, COUNT(*) OVER () AS c FROM fd) WHERE k = FLOOR(c*0.75)),
+ic AS MATERIALIZED (SELECT fid, i0, i1, i2 FROM fd, q3 WHERE facing > 0.5 AND distance <= q)"""
+
+
+@_query(_on_cup("SELECT * FROM ic", GALL, INNER))
+def inner_candidates(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return select.inner_candidates(f, v).drop("mesh_id")
+
+
+@_query(_on_cup("""SELECT loop, vid, n_vertices, loop = (SELECT loop FROM s ORDER BY n_vertices DESC, loop LIMIT 1) AS is_rim FROM lp JOIN s USING (loop)""", GALL, INNER, EDGES.format("ic"),
+                """bd AS (SELECT a, b FROM e WHERE uses = 1 UNION ALL SELECT b, a FROM e WHERE uses = 1), wk(a, b) AS (SELECT a, b FROM bd UNION SELECT wk.a, bd.b FROM wk JOIN bd ON wk.b = bd.a),
+lp AS (SELECT a AS vid, MIN(b) AS loop FROM wk GROUP BY a), s AS (SELECT loop, COUNT(*) AS n_vertices FROM lp GROUP BY loop)"""))
+def boundary_loops(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.boundary_loops(stored(select.inner_candidates(f, v))).drop("mesh_id")
+
+
+@_query(_on_cup("SELECT f.fid, f.i0, f.i1, f.i2, CASE WHEN ic.fid IS NULL THEN 'outer' ELSE 'inner' END AS surface FROM f LEFT JOIN ic ON ic.fid = f.fid", GALL, INNER))
+def separated_faces(spark, sf_dir):
+    """The candidates of this cup are one component (a test holds that), so the SQL needs no components."""
+    v, f, _ = _cup(spark, sf_dir)
+    return select.separate(f, v).drop("mesh_id")
+
+
+@_query(_on_cup("SELECT v.vid, x, y, z FROM v WHERE vid IN (SELECT UNNEST([i0, i1, i2]) FROM ic)", GALL, INNER))
+def used_vertices(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.used_vertices(v, select.inner_candidates(f, v)).select("vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@_query(_on_cup("SELECT nf.fid, m0.new AS i0, m1.new AS i1, m2.new AS i2 FROM fs nf JOIN m m0 ON m0.vid = i0 JOIN m m1 ON m1.vid = i1 JOIN m m2 ON m2.vid = i2", SHELL,
+                "m AS MATERIALIZED (SELECT vid, row_number() OVER (ORDER BY s) - 1 AS new FROM (SELECT vid, MIN(s) AS s FROM (SELECT i0 AS vid, fid*3 AS s FROM fs UNION ALL SELECT i1, fid*3+1 FROM fs UNION ALL SELECT i2, fid*3+2 FROM fs) GROUP BY vid))"))
+def compacted_faces(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return topology.compacted(v, shell)[1].drop("mesh_id")
+
+
+CELLS = """
+bx AS (SELECT MIN(x) AS lx, MIN(y) AS ly, MIN(z) AS lz, MAX(x)-MIN(x) AS sx, MAX(y)-MIN(y) AS sy, MAX(z)-MIN(z) AS sz FROM v),
+vc AS MATERIALIZED (SELECT vid, x, y, z, CAST(LEAST(9, FLOOR((x-lx)/(sx/10))) + LEAST(9, FLOOR((y-ly)/(sy/10)))*11 + LEAST(9, FLOOR((z-lz)/(sz/10)))*121 AS BIGINT) AS cell FROM v, bx)"""
+
+
+@_query(_on_cup(f"SELECT cell AS vid, {r6('AVG(x)', 'x')}, {r6('AVG(y)', 'y')}, {r6('AVG(z)', 'z')}, COUNT(*) AS n FROM vc GROUP BY cell", CELLS))
+def decimated_vertices(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return _rounded(topology.decimate(v, f, 1000)[0])
+
+
+@_query(_on_cup("SELECT fid, a.cell AS i0, b.cell AS i1, c.cell AS i2 FROM f JOIN vc a ON a.vid = i0 JOIN vc b ON b.vid = i1 JOIN vc c ON c.vid = i2 WHERE a.cell <> b.cell AND b.cell <> c.cell AND c.cell <> a.cell", CELLS))
+def decimated_faces(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.decimate(v, f, 1000)[1].drop("mesh_id")
+
+
+@_query(_on_cup(f"SELECT cell, {r6('AVG(SQRT(x*x+y*y+z*z))', 'r')} FROM vc GROUP BY cell", CELLS))
+def cluster_means(spark, sf_dir):
+    v, _, _ = _cup(spark, sf_dir)
+    return _rounded(topology.cluster_means(v.withColumn("r", g.length(g.point())), "r", 1000))
+
+
+@_query(_on_cup(f"SELECT {r6('SUM(SQRT(kx*kx+ky*ky+kz*kz)/2)', 'area')}, COUNT(*) AS triangles FROM (SELECT fid, {CROSS} FROM tri)", GALL, """
+cd AS (SELECT *, -(z0+1) AS d0, -(z1+1) AS d1, -(z2+1) AS d2 FROM t),
+cs AS (SELECT fid, [{'x': x0, 'y': y0, 'z': z0, 'd': d0}, {'x': x1, 'y': y1, 'z': z1, 'd': d1}, {'x': x2, 'y': y2, 'z': z2, 'd': d2}] AS p FROM cd),
+ce AS (SELECT fid, k, p[k+1] AS a, p[(k+1)%3+1] AS b FROM cs, range(3) r(k)),
+cp AS (SELECT fid, k, 0 AS s, a.x+(b.x-a.x)*a.d/(a.d-b.d) AS x, a.y+(b.y-a.y)*a.d/(a.d-b.d) AS y, a.z+(b.z-a.z)*a.d/(a.d-b.d) AS z FROM ce WHERE (a.d >= -1e-6) <> (b.d >= -1e-6)
+  UNION ALL SELECT fid, k, 1, b.x, b.y, b.z FROM ce WHERE b.d >= -1e-6),
+co AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY k, s) AS i, COUNT(*) OVER (PARTITION BY fid) AS c FROM cp),
+tri AS (SELECT a.fid, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, e.x AS x2, e.y AS y2, e.z AS z2 FROM co a JOIN co b ON a.fid = b.fid AND a.i = 1 AND b.i >= 2 JOIN co e ON e.fid = a.fid AND e.i = b.i+1 WHERE a.c >= 3)"""))
+def clipped(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    a, b, c = (tuple(F.col(f"{s}{k}") for k in "xyz") for s in "abc")
+    return topology.clip(f, v, g.literal((0, 0, -1)), g.literal((0, 0, -1))).agg(_r(F.sum(g.triangle_area(a, b, c)), "area"), F.count("*").alias("triangles"))
+
+
+def _soup(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.corners(f).join(v, ["mesh_id", "vid"]).drop("vid")
+
+
+SOUP = "so AS (SELECT fid*3+k AS s, v.* FROM (SELECT fid, 0 AS k, i0 AS vid FROM f UNION ALL SELECT fid, 1, i1 FROM f UNION ALL SELECT fid, 2, i2 FROM f) c JOIN v USING (vid))"
+
+
+@_query(_on_cup("""SELECT row_number() OVER (ORDER BY s) - 1 AS vid, x, y, z FROM (SELECT MIN(s) AS s, arg_min(x, s) AS x, arg_min(y, s) AS y, arg_min(z, s) AS z FROM so GROUP BY FLOOR(x/1e-6+0.5), FLOOR(y/1e-6+0.5), FLOOR(z/1e-6+0.5))""", SOUP))
+def welded_vertices(spark, sf_dir):
+    return topology.weld(_soup(spark, sf_dir))[0].select("vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@_query(_on_cup("""SELECT fid, MAX(w.vid) FILTER (k = 0) AS i0, MAX(w.vid) FILTER (k = 1) AS i1, MAX(w.vid) FILTER (k = 2) AS i2 FROM (SELECT *, s//3 AS fid, s%3 AS k FROM so) c
+  JOIN (SELECT row_number() OVER (ORDER BY s) - 1 AS vid, x, y, z FROM (SELECT MIN(s) AS s, x, y, z FROM so GROUP BY x, y, z)) w ON w.x = c.x AND w.y = c.y AND w.z = c.z GROUP BY fid""", SOUP))
+def welded_faces(spark, sf_dir):
+    return topology.weld(_soup(spark, sf_dir))[1].drop("mesh_id")
+
+
+@_query(_on_cup("SELECT 1.0::DOUBLE AS scale_mm, 0.001::DOUBLE AS scale_um, 1000.0::DOUBLE AS scale_m FROM n"))
+def detected_units(spark, sf_dir):
+    v, _, _ = _cup(spark, sf_dir)
+    p = v.select("mesh_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    at = lambda k, name: topology.unit_scale(p.select("mesh_id", *[(F.col(c) * k).alias(c) for c in "xyz"])).withColumnRenamed("scale", name)
+    return at(1.0, "scale_mm").join(at(1000.0, "scale_um"), "mesh_id").join(at(0.001, "scale_m"), "mesh_id").drop("mesh_id")
+
+
+@_query(_on_cup(f"""SELECT vid, {r6('sx/SQRT(sx*sx+sy*sy+sz*sz)', 'nx')}, {r6('sy/SQRT(sx*sx+sy*sy+sz*sz)', 'ny')}, {r6('sz/SQRT(sx*sx+sy*sy+sz*sz)', 'nz')} FROM (SELECT vid, SUM(kx) AS sx, SUM(ky) AS sy, SUM(kz) AS sz FROM (SELECT UNNEST([i0, i1, i2]) AS vid, {CROSS} FROM t) GROUP BY vid)""".replace("6) +", "4) +"), GALL))
+def vertex_normals(spark, sf_dir):
+    """Stored as floats, so compared to four decimals."""
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.vertex_normals(v, f).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@_query(_on_cup(f"SELECT COUNT(*) AS n, {r6('AVG(x)', 'cx')}, {r6('MIN(x)', 'min_x')}, {r6('MAX(x)', 'max_x')}, {r6('AVG(y)', 'cy')}, {r6('MIN(y)', 'min_y')}, {r6('MAX(y)', 'max_y')}, {r6('AVG(z)', 'cz')}, {r6('MIN(z)', 'min_z')}, {r6('MAX(z)', 'max_z')} FROM v"))
+def mesh_bounds(spark, sf_dir):
+    return _rounded(topology.bounds(_cup(spark, sf_dir)[0]))
+
+
+CLASS = "cl AS (SELECT vid, x, y, z, -(z+1) >= 0 AS active, SQRT(x*x+y*y+z*z) AS d FROM vs)"
+
+
+@_query(_on_cup(f"SELECT vid, active, {r6('CASE WHEN active THEN d ELSE 16 END', 'distance')}, {r6('CASE WHEN active THEN (d-16)*1000 ELSE 0 END', 'deviation')}, active AND d > 16*1.02 AS worn FROM cl", SHELL, CLASS))
+def wear_classification(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(select.classify(topology.used_vertices(v, shell), _sphere(v), _frame(v)).drop("x", "y", "z"))
+
+
+@_query(_on_cup(f"SELECT COUNT(*) FILTER (active AND d > 16*1.02) AS worn, COUNT(*) FILTER (active AND NOT d > 16*1.02) AS unworn, {r6('CAST(COUNT(*) FILTER (active AND d > 16*1.02) AS DOUBLE)/GREATEST(1, COUNT(*) FILTER (active))*100', 'worn_percent')} FROM cl", SHELL, CLASS))
+def wear_summary(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(select.wear_summary(select.classify(topology.used_vertices(v, shell), _sphere(v), _frame(v))))
+
+
+@_query(_on_cup(f"SELECT {r6('GREATEST(MAX(e), 0)', 'max_bump')}, {r6('LEAST(MIN(e), 0)', 'max_dip')}, {r6('AVG(e)', 'mean')}, {r6('STDDEV_POP(e)', 'std')}, {r6('CAST(COUNT(*) FILTER (ABS(e) <= 55) AS DOUBLE)/COUNT(*)*100', 'within_percent')} FROM (SELECT (SQRT(x*x+y*y+z*z)-16.0)*1000 AS e FROM vs)", SHELL))
+def deviation_statistics(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    p = topology.used_vertices(v, shell).withColumn("deviation", (g.length(g.point()) - 16.0) * 1000)
+    return _rounded(cluster.deviation_statistics(p, threshold=55))
+
+
+def _tet(a, b, c, d):
+    s = lambda p, q, k: f"({q.format(k)}-{p.format(k)})"
+    x = [[s(a, p, k) for k in "xyz"] for p in (b, c, d)]
+    (bx, by, bz), (cx, cy, cz), (dx, dy, dz) = x
+    return f"({bx}*({cy}*{dz}-{cz}*{dy})+{by}*({cz}*{dx}-{cx}*{dz})+{bz}*({cx}*{dy}-{cy}*{dx}))/6"
+
+
+_V, _S = ["{0}0", "{0}1", "{0}2"], ["({0}0*16/r0)", "({0}1*16/r1)", "({0}2*16/r2)"]
+PRISM = "+".join([_tet(_V[0], _V[1], _V[2], _S[0]), _tet(_S[0], _V[1], _V[2], _S[1]), _tet(_S[0], _S[1], _V[2], _S[2])])
+RAD = "tr AS (SELECT *, SQRT(x0*x0+y0*y0+z0*z0) AS r0, SQRT(x1*x1+y1*y1+z1*z1) AS r1, SQRT(x2*x2+y2*y2+z2*z2) AS r2 FROM t)"
+
+
+@_query(_on_cup(f"SELECT {r6('b', 'bump_volume')}, {r6('d', 'dip_volume')}, {r6('b+d', 'total_volume')}, {r6('b*0.935', 'bump_mass')}, {r6('d*0.935', 'dip_mass')} FROM (SELECT COALESCE(SUM(ABS(w)) FILTER (e > 1), 0) AS b, COALESCE(SUM(ABS(w)) FILTER (e < -1), 0) AS d FROM (SELECT {PRISM} AS w, ((r0+r1+r2)/3-16)*1000 AS e FROM tr))", SHELL, GSHELL, RAD))
+def defect_volumes(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    d = topology.used_vertices(v, shell).withColumn("deviation", (g.length(g.point()) - 16.0) * 1000)
+    return _rounded(volume.defect_volumes(shell, d, _sphere(v)))
+
+
+ENCLOSED = f"(SELECT ABS(SUM((-(z0+1)-(z1+1)-(z2+1))/3*0.5*-kz)) AS e FROM (SELECT *, {CROSS} FROM t) WHERE z0 <= -1 AND z1 <= -1 AND z2 <= -1)"
+
+
+@_query(_on_cup(f"SELECT {r6('e', 'enclosed_volume')}, {r6('c', 'cap_volume')}, {r6('GREATEST(0, e-c)', 'wear_volume')} FROM (SELECT e, PI()/3*15*15*33 AS c FROM {ENCLOSED})", SHELL, GSHELL))
+def wear_volume(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    frame = _frame(v)
+    return _rounded(volume.wear_volume(volume.enclosed_volume(shell, v, frame), _sphere(v), frame))
+
+
+@_query(_on_cup(f"SELECT fid, {r6('th', 'thickness')}, {r6('(th-MIN(th) OVER ())/(MAX(th) OVER ()-MIN(th) OVER ())', 'share')} FROM (SELECT fid, (r0+r1+r2)/3-16 AS th FROM tr) WHERE th > 0", SHELL, GSHELL, RAD))
+def wear_solid(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(volume.wear_solid(shell, v, _sphere(v)))
+
+
+@_query(_on_cup(f"""SELECT vid, {r6('e', 'max_depth')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('-y/l', 'wx')}, {r6('x/l', 'wy')}, 0.0 AS wz, 0.0 AS anchor_x, 0.0 AS anchor_y, {r6('(-16.05-1)/2', 'anchor_z')}
+  FROM (SELECT *, (SQRT(x*x+y*y+z*z)-16)*1000 AS e, SQRT(x*x+y*y) AS l FROM vs WHERE z <= -1) ORDER BY e DESC, vid LIMIT 1""", SHELL))
+def wear_plane(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    frame = _frame(v)
+    return _rounded(volume.wear_plane(select.classify(topology.used_vertices(v, shell), _sphere(v), frame), frame))
+
+
+@_query(_on_cup(f"""SELECT {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('e', 'max_depth')}, {r6('d', 'distance')}, {r6('DEGREES(ACOS(GREATEST(-1, LEAST(1, -(z+16.05)/d))))', 'angle')}
+  FROM (SELECT *, row_number() OVER (ORDER BY d, vid) AS k, COUNT(*) OVER () AS c FROM (SELECT vid, x, y, z, (SQRT(x*x+y*y+z*z)-16)*1000 AS e, SQRT(x*x+y*y+(z+16.05)*(z+16.05)) AS d FROM vs WHERE vid > 0 AND (SQRT(x*x+y*y+z*z)-16)*1000 > 60))
+  WHERE k <= GREATEST(1, CEIL(c*0.7)) ORDER BY e DESC, k LIMIT 1""", SHELL))
+def wear_vector(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    p = topology.used_vertices(v, shell).select("mesh_id", F.col("vid").alias("seq"), "x", "y", "z", ((g.length(g.point()) - 16) * 1000).alias("dev")).filter("dev > 60 AND seq > 0")
+    return _rounded(volume.wear_vector(p, _frame(v)))
+
+
+@_query(_on_cup(f"""SELECT ring, segment, {r6('16*SIN(th)*SIN(ph)', 'x')}, {r6('16*SIN(th)*COS(ph)', 'y')}, {r6('-16*COS(th)', 'z')} FROM (SELECT CAST(i AS INTEGER) AS ring, CAST(j AS INTEGER) AS segment, ACOS(1.0/16)*i/32 AS th, 2*PI()*j/64 AS ph FROM range(33) a(i), range(65) b(j), n)"""))
+def cap_tessellation(spark, sf_dir):
+    """Frame of the downward axis: U is y, V is x. The plane is a millimetre below the centre, so the cap ends where cos = 1/16."""
+    v, _, _ = _cup(spark, sf_dir)
+    rows = _sphere(v).join(_frame(v).select("mesh_id", "qx", "qy", "qz", "nx", "ny", "nz"), "mesh_id").withColumn("cz", F.lit(0.0))
+    return _rounded(volume.cap_tessellation(spark, rows))
+
+
+@_query(_on_cup(f"SELECT {r6('MIN(-(z-m))', 'min_height')}, {r6('MAX(-(z-m))', 'max_height')} FROM vs, (SELECT AVG(z) AS m FROM vs)", SHELL))
+def height_range(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    p = stored(topology.used_vertices(v, shell))
+    return _rounded(select.height_range(p, _frame(v).select("mesh_id", "ax", "ay", "az")))
+
+
+def _average(old: str, factor: str) -> str:
+    part = lambda c: f"CAST(CAST(CAST(p.{c} AS DOUBLE) + {factor}*(m.{c}-CAST(p.{c} AS DOUBLE)) AS FLOAT) AS DOUBLE) AS {c}"
+    return f"SELECT p.vid, {part('x')}, {part('y')}, {part('z')} FROM {old} p JOIN (SELECT src, AVG(x) AS x, AVG(y) AS y, AVG(z) AS z FROM ad JOIN {old} ON vid = dst GROUP BY src) m ON m.src = p.vid"
+
+
+ADJ = EDGES.format("f") + ", ad AS MATERIALIZED (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)"
+
+
+@_query(_on_cup(f"SELECT vid, {', '.join(f'ROUND({c}, 4) + 0.0 AS {c}' for c in 'xyz')} FROM h2", ADJ, f"h1 AS MATERIALIZED ({_average('v', '0.5')}), h2 AS MATERIALIZED ({_average('h1', '(-0.53)')})"))
+def taubin_once(spark, sf_dir):
+    """Floats between half steps, so compared to four decimals."""
+    v, f, _ = _cup(spark, sf_dir)
+    return smooth.taubin(v, f, 1).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in "xyz"])
+
+
+@_query(_on_cup(f"SELECT vid, {', '.join(f'ROUND({c}, 4) + 0.0 AS {c}' for c in 'xyz')} FROM h2", ADJ, f"h1 AS MATERIALIZED ({_average('v', '0.25')}), h2 AS MATERIALIZED ({_average('h1', '0.25')})"))
+def laplacian_preview(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return smooth.laplacian(v, f).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in "xyz"])
+
+
+MERIDIANS = 37
+CUTS = """
+mt AS (SELECT k, 2*PI()/37*k AS theta, COS(2*PI()/37*k) AS ct, SIN(2*PI()/37*k) AS st FROM range(37) r(k)),
+md AS (SELECT t.*, k, theta, -ct*x0+st*y0 AS s0, -ct*x1+st*y1 AS s1, -ct*x2+st*y2 AS s2 FROM t, mt),
+mc AS (SELECT fid, k, theta, i, CASE WHEN s*u < 0 THEN a.x+s/(s-u)*(b.x-a.x) ELSE a.x END AS x, CASE WHEN s*u < 0 THEN a.y+s/(s-u)*(b.y-a.y) ELSE a.y END AS y, CASE WHEN s*u < 0 THEN a.z+s/(s-u)*(b.z-a.z) ELSE a.z END AS z
+  FROM (SELECT fid, k, theta, i, [{'x': x0, 'y': y0, 'z': z0}, {'x': x1, 'y': y1, 'z': z1}, {'x': x2, 'y': y2, 'z': z2}][i+1] AS a, [{'x': x0, 'y': y0, 'z': z0}, {'x': x1, 'y': y1, 'z': z1}, {'x': x2, 'y': y2, 'z': z2}][(i+1)%3+1] AS b, [s0, s1, s2][i+1] AS s, [s0, s1, s2][(i+1)%3+1] AS u FROM md, range(3) r(i)) WHERE s*u < 0 OR ABS(s) < 1e-10),
+mo AS (SELECT *, row_number() OVER (PARTITION BY fid, k ORDER BY i) AS o FROM mc),
+ms AS (SELECT a.fid, a.k, a.theta, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, ATAN2((a.x+b.x)/2, (a.y+b.y)/2) AS l FROM mo a JOIN mo b ON a.fid = b.fid AND a.k = b.k AND a.o = 1 AND b.o = 2),
+mk AS MATERIALIZED (SELECT * FROM (SELECT *, ABS(CASE WHEN l < 0 THEN l+2*PI() ELSE l END - theta) AS w FROM ms) WHERE LEAST(w, 2*PI()-w) < PI()/2)"""
+
+
+@_query(_on_cup(f"SELECT k AS geo_id, COUNT(*) AS n, {r6('SUM(SQRT((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)+(z0-z1)*(z0-z1)))', 'total')}, {r6('MIN(-z0)', 'lowest')}, {r6('MAX(-z0)', 'highest')} FROM mk GROUP BY k", SHELL, GSHELL, CUTS))
+def meridian_segments(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    cuts = meridian.segments(shell, v, _frame(v), MERIDIANS)
+    a, b = (tuple(F.col(f"{c}{k}") for c in "xyz") for k in (0, 1))
+    return cuts.groupBy("geo_id").agg(F.count("*").alias("n"), _r(F.sum(g.distance(a, b)), "total"), _r(F.min("lat0"), "lowest"), _r(F.max("lat0"), "highest"))
+
+
+def _lines(spark, sf_dir, count=MERIDIANS):
+    v, _, shell = _cup(spark, sf_dir)
+    frame, used = _frame(v), stored(topology.used_vertices(v, shell))
+    lines = meridian.polylines(stored(meridian.segments(shell, used, frame, count)), frame)
+    return used, frame, stored(meridian.profiles(stored(lines), frame, used))
+
+
+@_query()
+def meridian_profiles(spark, sf_dir):
+    return _rounded(_lines(spark, sf_dir)[2])
+
+
+@_query()
+def meridian_summaries(spark, sf_dir):
+    used, _, points = _lines(spark, sf_dir)
+    return _rounded(meridian.summaries(points, used, MERIDIANS))
+
+
+@_query()
+def meridian_common_pole(spark, sf_dir):
+    return _rounded(meridian.common_pole(_lines(spark, sf_dir)[2], consistent=True))
+
+
+@_query()
+def double_profiles(spark, sf_dir):
+    _, _, points = _lines(spark, sf_dir, 36)
+    pairs = meridian.opposite(points.select("mesh_id", "geo_id").distinct(), 36)
+    both = stored(meridian.double_profiles(points, pairs))
+    return _rounded(meridian.projected(both, ["mesh_id", "geo_a", "geo_b"]).select("mesh_id", "geo_a", "geo_b", "seq", "arc", "dev", "u", "v", "irregular"))
+
+
+@_query()
+def profile_anomalies(spark, sf_dir):
+    return _rounded(cluster.anomalies(_lines(spark, sf_dir)[2], 60.0))
+
+
+EVENTS = """
+ev AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CAST(epoch_us(ts) AS DOUBLE)/1e6 AS tm FROM events WHERE value IS NOT NULL),
+ea AS (SELECT *, tm - FIRST_VALUE(tm) OVER (PARTITION BY user_id ORDER BY seq) AS arc FROM ev),
+e1 AS (SELECT *, CASE WHEN COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc) > 1e-12 THEN (COALESCE(LEAD(value) OVER w, value)-COALESCE(LAG(value) OVER w, value))/(COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc)) ELSE 0 END AS d1 FROM ea WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+e2 AS MATERIALIZED (SELECT *, CASE WHEN LEAD(arc) OVER w-LAG(arc) OVER w > 1e-12 THEN (LEAD(d1) OVER w-LAG(d1) OVER w)/(LEAD(arc) OVER w-LAG(arc) OVER w) ELSE 0 END AS d2 FROM e1 WINDOW w AS (PARTITION BY user_id ORDER BY seq))"""
+
+
+def _event_series(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL")
+    rows = rows.selectExpr("user_id", "value", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6D AS at")
+    rows = rows.selectExpr("*", "at - first_value(at) OVER (PARTITION BY user_id ORDER BY seq) AS arc")
+    return meridian.series(rows, ["user_id"], ["seq"], "arc", "value")
+
+
+@_query("WITH " + EVENTS + f" SELECT user_id, CAST(seq AS BIGINT) AS seq, {r6('arc', 'arc')}, {r6('d1*1000', 'd1')}, {r6('d2*1000000', 'd2')} FROM e2")
+def event_derivatives(spark, sf_dir):
+    return _event_series(spark, sf_dir).select("user_id", F.col("seq").cast("long").alias("seq"), _r("arc"), _r(F.col("d1") * 1000, "d1"), _r(F.col("d2") * 1000000, "d2"))
+
+
+@_query("WITH " + EVENTS + """, er AS (SELECT *, ABS(d2) > 1e-9 AS hit, CASE WHEN ABS(d2) > 1e-9 AND NOT COALESCE(LAG(ABS(d2) > 1e-9) OVER w, FALSE) THEN 1 ELSE 0 END AS start FROM e2 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+es AS (SELECT *, SUM(start) OVER (PARTITION BY user_id ORDER BY seq) AS run FROM er)
+SELECT user_id, CAST(run AS BIGINT) AS run, CAST(MIN(seq) AS BIGINT) AS first, CAST(MAX(seq) AS BIGINT) AS last, COUNT(*) AS n FROM es WHERE hit GROUP BY user_id, run""")
+def irregular_runs(spark, sf_dir):
+    rows = meridian.irregular_runs(_event_series(spark, sf_dir), ["user_id"], 1e-9)
+    return rows.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("run", "first", "last", "n")])
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN r >= 20 OR 20-r <= 0.2 THEN 20.0 WHEN r >= 18 OR 18-r <= 0.2 THEN 18.0 WHEN r >= 16 OR 16-r <= 0.2 THEN 16.0 ELSE 14.0 END::DOUBLE AS radius FROM (SELECT l_orderkey, l_linenumber, 12.1+l_quantity/5 AS r FROM lineitem)")
+def snapped_radii(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", fit.snap_radius(F.lit(12.1) + F.col("l_quantity") / 5).alias("radius"))
+
+
+def _item_points(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("mesh_id"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"), "l_extendedprice")
+
+
+_P = {"n": "1.0", "x": "x", "y": "y", "z": "z", "xx": "x*x", "xy": "x*y", "xz": "x*z", "yy": "y*y", "yz": "y*z", "zz": "z*z", "q": "q", "xq": "x*q", "yq": "y*q", "zq": "z*q"}
+
+
+@_query(f"WITH p AS (SELECT *, x*x+y*y+z*z AS q FROM (SELECT l_returnflag AS f, l_quantity AS x, l_discount*100 AS y, l_tax*100 AS z FROM lineitem)) SELECT f AS mesh, {', '.join(f'ROUND(SUM({e}), 2) AS s_{k}' for k, e in _P.items())} FROM p GROUP BY f")
+def lineitem_moments(spark, sf_dir):
+    rows = fit.sphere_moments(_item_points(spark, sf_dir), ["mesh_id"])
+    return rows.select(F.col("mesh_id").alias("mesh"), *[F.round(c, 2).alias(c) for c in rows.columns if c != "mesh_id"])
+
+
+@_query("SELECT f AS mesh, MAX(p) FILTER (k = FLOOR(c*0.25)) AS q1, MAX(p) FILTER (k = FLOOR(c*0.5)) AS q2, MAX(p) FILTER (k = FLOOR(c*0.75)) AS q3 FROM (SELECT l_returnflag AS f, l_extendedprice AS p, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, COUNT(*) OVER (PARTITION BY l_returnflag) AS c FROM lineitem) GROUP BY f")
+def order_statistics(spark, sf_dir):
+    return select.order_statistics(_item_points(spark, sf_dir), "l_extendedprice", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumnRenamed("mesh_id", "mesh")
+
+
+def _cloud(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.lit("cloud").alias("mesh_id"), F.when(F.col("embedding")[3] > 0, "bump").otherwise("dip").alias("type"), F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")], (F.col("embedding")[3].cast("double") * 30).alias("dev"))
+
+
+EPS = 0.05
+CLOUD = "c AS MATERIALIZED (SELECT vec_id AS id, CASE WHEN embedding[4] > 0 THEN 'bump' ELSE 'dip' END AS type, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE)*30 AS dev FROM embeddings), pr AS MATERIALIZED (SELECT a.type, a.id AS a, b.id AS b FROM c a JOIN c b ON a.type = b.type AND SQRT((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.05)"
+
+
+@_query("WITH " + CLOUD + " SELECT type, a, b FROM pr")
+def near_pairs(spark, sf_dir):
+    return cluster.near_pairs(_cloud(spark, sf_dir), ["mesh_id", "type"], EPS).drop("mesh_id")
+
+
+@_query("WITH RECURSIVE " + CLOUD + """, co AS (SELECT type, a AS id FROM pr GROUP BY type, a HAVING COUNT(*) >= 3), cl AS (SELECT pr.type, a, b FROM pr JOIN co p ON p.id = a JOIN co q ON q.id = b),
+wk(a, b) AS (SELECT a, b FROM cl UNION SELECT wk.a, cl.b FROM wk JOIN cl ON wk.b = cl.a), lb AS (SELECT a AS id, MIN(b) AS seed FROM wk GROUP BY a),
+bo AS (SELECT b AS id, MIN(seed) AS seed FROM pr JOIN lb ON lb.id = a GROUP BY b),
+al AS (SELECT c.id, c.type, COALESCE(lb.seed, bo.seed, c.id) AS seed, CASE WHEN COALESCE(lb.seed, bo.seed) IS NULL THEN 1 ELSE 0 END AS late FROM c LEFT JOIN lb ON lb.id = c.id LEFT JOIN bo ON bo.id = c.id WHERE COALESCE(lb.seed, bo.seed) IS NOT NULL OR ABS(dev) > 5)
+SELECT id, type, CAST(dense_rank() OVER (ORDER BY type, late, seed) - 1 AS INTEGER) AS cluster_id FROM al""")
+def point_clusters(spark, sf_dir):
+    return cluster.dbscan(_cloud(spark, sf_dir), EPS).select("id", "type", "cluster_id")
+
+
+@_query()
+def cluster_summaries(spark, sf_dir):
+    rows = cluster.cluster_summaries(stored(cluster.dbscan(_cloud(spark, sf_dir), EPS)))
+    return _rounded(rows.select("mesh_id", "cluster_id", "type", "n_points", "cx", "cy", "cz", "area", "avg_dev", "max_dev", "min_dev"))
+
+
+@_query(_on_cup("SELECT arg_max(vid, e) AS max_vid, MAX(e) AS max_value, arg_min(vid, e) AS min_vid, MIN(e) AS min_value FROM (SELECT vid, ROUND((SQRT(x*x+y*y+z*z)-16)*1000, 6) + vid*1e-6 AS e FROM vs WHERE vid % GREATEST(1, FLOOR((np+1)/100)) = 0)", SHELL))
+def label_extremes(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    p = topology.used_vertices(v, shell).withColumn("e", F.round((g.length(g.point()) - 16) * 1000, 6) + F.col("vid") * 1e-6)
+    return select.strided_extremes(p, "e", 100).drop("mesh_id")
+
+
+@_query(_on_cup("SELECT fid, CAST(0 AS INTEGER) AS corner, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i0 UNION ALL SELECT fid, 1, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i1 UNION ALL SELECT fid, 2, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i2"))
+def stl_round_trip(spark, sf_dir):
+    """Faces packed as STL records, each chunk with a header of its own, and read back as corners."""
+    v, f, _ = _cup(spark, sf_dir)
+    dense = f.selectExpr("mesh_id", "row_number() OVER (PARTITION BY mesh_id ORDER BY fid) - 1 AS place", "fid", "i0", "i1", "i2")
+    chunks = stored(stl.encode(dense.select("mesh_id", F.col("place").alias("fid"), "i0", "i1", "i2"), v))
+    size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+    files = chunks.select(F.col("chunk").cast("string").alias("path"), F.concat(F.lit(" " * 80).cast("binary"), size, F.col("data")).alias("content"))
+    rows = stl.decode(files).withColumn("place", F.col("fid") + F.col("mesh_id").cast("long")).drop("fid", "mesh_id")
+    return rows.join(dense.select("place", "fid"), "place").select("fid", "corner", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@_query()
+def rim_and_pole(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    inner = stored(select.inner_candidates(f, v))
+    used = stored(topology.used_vertices(v, inner))
+    return _rounded(select.rim_plane(select.pole(used, select.rim_frame(inner, used))))
+
+
+@_query()
+def rim_distances(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(select.rim_distances(shell, v))
+
+
+@_query()
+def trimmed_faces(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return select.trim(shell, v).drop("mesh_id")
+
+
+@_query()
+def filled_holes(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    inner = stored(select.inner_candidates(f, v))
+    return smooth.fill_holes(stored(topology.used_vertices(v, inner)), inner)[1].drop("mesh_id")
+
+
+@_query()
+def robust_sphere(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(fit.fit_sphere_robust(stored(topology.used_vertices(v, shell))))
+
+
+@_query()
+def zone_spheres(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    c = select.classify(topology.used_vertices(v, shell), _sphere(v), _frame(v)).filter("active")
+    return _rounded(fit.fit_fixed_radius(stored(c.select("mesh_id", F.when(F.col("worn"), "worn").otherwise("unworn").alias("zone"), "x", "y", "z", F.lit(16.0).alias("radius")))))
+
+
+@_query()
+def ellipsoid(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    rows = fit.fit_ellipsoid(topology.used_vertices(v, shell))
+    return rows.select(_r("cx"), _r("cy"), _r("cz"), *[_r(F.col("semi_axes")[k], f"axis_{k}") for k in range(3)], _r("sphericity"), "shape", "definite", _r("rms"))
+
+
+@_query()
+def cup_axis(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    used = stored(topology.used_vertices(v, shell))
+    origin = v.groupBy("mesh_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"o{c}") for c in "xyz"])
+    return _rounded(fit.cup_axis(used, origin))
+
+
+@_query()
+def analysis_best_fit(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return report.metrics(stored(analysis.best_fit(v, f, analysis.Params(meridians=MERIDIANS)))).select("metric", _r("value"), "unit", "severity")
+
+
+@_query()
+def analysis_pure(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    rows = analysis.pure(v, f, analysis.Params(meridians=MERIDIANS, threshold=100.0))[0]
+    return _rounded(rows.drop("semi_axes"))
+
+
