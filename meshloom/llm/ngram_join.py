@@ -33,8 +33,6 @@ from meshloom.llm.components import connected_components
 
 #: Whole sets up to this size are kept in the table of sets; the light-heavy boundary is at most this.
 SMALL = 24
-#: Share of the hash range whose n-grams are counted: enough to hold a set's prefix, which is 1 - threshold of it.
-LOW = int(-(2**63) + 0.2 * 2**64)
 CHUNK = 4 << 20
 NULL_ID = (1 << 63) - 1
 #: Cost of a counted n-gram against one enumerated subset: it is shuffled to be counted, to its list and to its set.
@@ -50,6 +48,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n + (num * n) // -den + 1
 
 
+def low_end(num: int, den: int) -> int:
+    """End of the part of the hash range whose n-grams are counted: a third more than a prefix's share, 1 - num / den, so that prefixes lie in it."""
+    return min(int(-(2**63) + 4 / 3 * (1 - num / den) * 2**64), 2**63 - 1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -96,11 +99,13 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def _setter(n: int, num: int, den: int):
+    end = low_end(num, den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 sets = sets_of([_lower(t) for t in batch.column("text")], n)
-                low = [int(np.searchsorted(s, LOW)) for s in sets]
+                low = [int(np.searchsorted(s, end)) for s in sets]
                 k = [max(prefix_size(len(s), num, den), x) if len(s) else 0 for s, x in zip(sets, low, strict=True)]
                 kept = [s if len(s) <= SMALL else s[:e] for s, e in zip(sets, k, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
@@ -127,7 +132,7 @@ def boundary(sizes: dict[int, int], num: int, den: int) -> int:
         return sum(comb(s, needed(s, t, num, den)) for t in range(1, x + 1) if min(s, t) >= needed(s, t, num, den) and not s == t == needed(s, t, num, den))
 
     def cost(x: int) -> float:
-        scan = sum(c * SCAN_COST * max(prefix_size(s, num, den), s // 5) for s, c in sizes.items() if num * (x + 1) <= den * s)
+        scan = sum(c * SCAN_COST * max(prefix_size(s, num, den), 4 * s * (den - num) // (3 * den)) for s, c in sizes.items() if num * (x + 1) <= den * s)
         return scan + sum(c * subsets(s, x) for s, c in sizes.items() if s <= x)
 
     return min(range(SMALL + 1), key=lambda x: (cost(x), -x))
