@@ -69,7 +69,7 @@ def dbscan(points: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, no
     border = from_core.join(labels.select(*keys, F.col("id").alias("a"), "seed"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("id")).agg(F.min("seed").alias("reach"))
     rows = points.join(labels, [*keys, "id"], "left").join(border, [*keys, "id"], "left").withColumn("seed", F.coalesce("seed", "reach")).drop("reach")
     alone = F.col("seed").isNull()
-    rows = stored(rows.withColumn("late", alone.cast("int")).withColumn("seed", F.coalesce("seed", "id")).filter(~alone | (F.abs("dev") > noise)))
+    rows = stored(rows.withColumn("late", alone.cast("int")).withColumn("seed", F.coalesce("seed", "id")).filter((F.col("late") == 0) | (F.abs("dev") > noise)))
     order = rows.select(*keys, "late", "seed").distinct()
     ids = order.withColumn("cluster_id", F.row_number().over(W.partitionBy("mesh_id").orderBy("type", "late", "seed")) - 1)  # one row for each cluster
     return rows.join(ids, [*keys, "late", "seed"]).select(*points.columns, "cluster_id")

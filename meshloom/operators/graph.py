@@ -49,7 +49,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, block: int = BLOCK) ->
 
     def settle(key, links: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if known.empty:
-            return pd.DataFrame({"mesh_id": [], "vid": [], "dist": []})
+            return pd.DataFrame({"mesh_id": pd.Series([], dtype=object), "vid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
         out: dict[int, list[tuple[int, float]]] = {}
         for s, t, w in zip(links["src"].tolist(), links["dst"].tolist(), links["w"].tolist(), strict=True):
             out.setdefault(s, []).append((t, w))
@@ -64,7 +64,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, block: int = BLOCK) ->
                 if d + w < best.get(t, float("inf")):
                     best[t] = d + w
                     heapq.heappush(heap, (d + w, t))
-        return pd.DataFrame({"mesh_id": key[0], "vid": list(best), "dist": list(best.values())})
+        return pd.DataFrame({"mesh_id": pd.Series([key[0]] * len(best), dtype=object), "vid": list(best), "dist": list(best.values())})
 
     dist = sources.select("mesh_id", "vid").distinct().withColumn("dist", F.lit(0.0))
     last = None

@@ -111,7 +111,7 @@ def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS) -> Dat
         ends = np.stack([rows[[f"{c}{k}" for c in "xyz"]].to_numpy(float) for k in (0, 1)], 1).reshape(-1, 3)
         lats = rows[["lat0", "lat1"]].to_numpy(float).reshape(-1)
         p = polyline(ends, lats, np.arange(len(lats)), rows[["px", "py", "pz"]].iloc[0].to_numpy(float), most)
-        return pd.DataFrame({"mesh_id": key[0], "geo_id": key[1], "seq": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+        return pd.DataFrame({"mesh_id": pd.Series([key[0]] * len(p), dtype=object), "geo_id": key[1], "seq": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
     return with_mesh(cuts, frame.select("mesh_id", "px", "py", "pz")).groupBy("mesh_id", "geo_id").applyInPandas(chain, "mesh_id string, geo_id long, seq int, x double, y double, z double")
 

@@ -77,8 +77,10 @@ def fill_holes(vertices: DataFrame, faces: DataFrame, most: int = 300) -> tuple[
         turn = np.cross(xyz - middle, np.roll(xyz, -1, 0) - middle).sum(0)
         if turn @ normals.sum(0) < 0:
             walk = walk[::-1]
-        return pd.DataFrame([(*key, k, v, walk[(k + 1) % len(walk)], *middle) for k, v in enumerate(walk)], columns=columns)
+        out = pd.DataFrame([(*key, k, v, walk[(k + 1) % len(walk)], *middle) for k, v in enumerate(walk)], columns=columns)
+        return out.astype({"mesh_id": object})
 
+    points, sides = stored(points), stored(sides)  # a cogroup needs two lineages
     fans = points.groupBy("mesh_id", "loop").cogroup(sides.groupBy("mesh_id", "loop")).applyInPandas(fan, "mesh_id string, loop long, place int, i0 long, i1 long, x float, y float, z float")
     fans = stored(fans)
     base = vertices.groupBy("mesh_id").agg((F.max("vid") + 1).alias("next_v")).join(faces.groupBy("mesh_id").agg((F.max("fid") + 1).alias("next_f")), "mesh_id")
