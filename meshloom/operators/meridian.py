@@ -23,11 +23,16 @@ def _cols(prefix: str) -> g.Vec:
     return tuple(F.col(f"{prefix}{c}") for c in "xyz")  # type: ignore[return-value]
 
 
+def _framed(frame: DataFrame) -> DataFrame:
+    """frame with the local axes u and v as columns: one row for each mesh, so the rows of a mesh carry plain numbers."""
+    u, v, _ = g.local_frame(_cols("a"))
+    return frame.select("mesh_id", *[f"{k}{c}" for k in "ra" for c in "xyz"], *[x.alias(f"{k}{c}") for k, vec in (("u", u), ("v", v)) for x, c in zip(vec, "xyz", strict=True)])
+
+
 def angles(vertices: DataFrame, frame: DataFrame) -> DataFrame:
     """vertices with lon (about the axis through the rim's centroid) and lat (height along it). frame: mesh_id, rx .. rz, ax .. az, px .. pz."""
-    rows = with_mesh(vertices, frame.select("mesh_id", "rx", "ry", "rz", "ax", "ay", "az"))
-    u, v, w = g.local_frame(_cols("a"))
-    return rows.select(*vertices.columns, g.longitude(g.point(), _cols("r"), u, v).alias("lon"), g.plane_distance(g.point(), _cols("r"), w).alias("lat"))
+    rows = with_mesh(vertices, _framed(frame))
+    return rows.select(*vertices.columns, g.longitude(g.point(), _cols("r"), _cols("u"), _cols("v")).alias("lon"), g.plane_distance(g.point(), _cols("r"), _cols("a")).alias("lat"))
 
 
 def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
@@ -67,16 +72,19 @@ def _crossings(points: list[g.Vec], sides: list[Column], lats: list[Column]) ->
 
 def segments(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
     """(mesh_id, geo_id, fid, x0 .. lat0, x1 .. lat1): the two points where each face is cut on the meridian's own side of the axis."""
-    rows = with_mesh(faces_of_meridians(faces, vertices, frame, count), frame.select("mesh_id", "rx", "ry", "rz", "ax", "ay", "az"))
-    u, v, w = g.local_frame(_cols("a"))
+    rows = with_mesh(faces_of_meridians(faces, vertices, frame, count), _framed(frame))
+    u, v, w = _cols("u"), _cols("v"), _cols("a")
     theta = F.col("geo_id") * (2 * math.pi / count)
     normal = g.cross(g.add(g.scale(u, F.cos(theta)), g.scale(v, F.sin(theta))), w)
     points = list(topology.corner_points())
     # the frame and the plane of a row are computed in a step of their own
     rows = rows.select("*", *[n.alias(f"n{c}") for n, c in zip(normal, "xyz", strict=True)], theta.alias("theta"))
     rows = rows.select("*", *[g.plane_distance(p, _cols("r"), _cols("n")).alias(f"s{k}") for k, p in enumerate(points)])
-    cut = rows.select("*", _crossings(points, [F.col(f"s{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]).alias("cut")).filter(F.size("cut") >= 2)
-    a, b = F.col("cut")[0], F.col("cut")[1]
+    # stored step by step: a filter pushed into the steps would compute their long expressions many times over
+    rows = stored(rows)
+    cut = rows.select("mesh_id", "geo_id", "fid", "theta", *[f"{k}{c}" for k in "ruva" for c in "xyz"], _crossings(points, [F.col(f"s{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]).alias("cut"))
+    cut = stored(cut).filter(F.size("cut") >= 2)
+    a, b = F.get("cut", F.lit(0)), F.get("cut", F.lit(1))
     middle = tuple((a[c] + b[c]) / 2 for c in "xyz")
     off = F.abs(g.longitude(middle, _cols("r"), u, v) - F.col("theta"))
     own = F.when(off > F.pi(), 2 * F.pi() - off).otherwise(off) < math.pi / 2

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: metric, unit, and the values from which it is a warning and an alarm (None: neither).
+#: metric, unit, and the values beyond which it is a warning and a danger (None: it is neither).
 METRICS: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("fitted_radius", "mm", None, None), ("radius", "mm", None, None), ("rms", "mm", 0.05, 0.2), ("worn_percent", "%", 10, 30), ("enclosed_volume", "mm3", None, None),
-    ("cap_volume", "mm3", None, None), ("wear_volume", "mm3", 50, 200), ("wear_mass", "mg", None, None), ("linear_wear", "mm", 0.1, 0.5), ("max_wear_depth", "um", 100, 500),
+    ("fitted_radius", "mm", None, None), ("radius", "mm", None, None), ("rms", "mm", None, None), ("worn", "vertices", 0, 0), ("worn_percent", "%", 2, 10), ("enclosed_volume", "mm3", None, None),
+    ("cap_volume", "mm3", None, None), ("wear_volume", "mm3", 0.1, 0.1), ("wear_mass", "mg", None, None), ("linear_wear", "mm", 0.01, 0.01), ("max_wear_depth", "um", 5, 10),
 )
 
 
-def severity(value: Column, warn: float | None, alarm: float | None) -> Column:
-    if warn is None:
+def severity(value: Column, warning: float | None, danger: float | None) -> Column:
+    if warning is None:
         return F.lit(None).cast("string")
-    return F.when(value >= alarm, "high").when(value >= warn, "medium").when(value.isNotNull(), "low")
+    return F.when(value > danger, "danger").when(value > warning, "warning").when(value.isNotNull(), "success")
 
 
 def metrics(results: DataFrame) -> DataFrame:
