@@ -97,15 +97,20 @@ def compacted(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFra
     return vertices.join(ids, ["mesh_id", "vid"]).select("mesh_id", F.col("new").alias("vid"), *rest), out.select("mesh_id", "fid", *[F.col(f"_i{k}").alias(f"i{k}") for k in range(3)])
 
 
-def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """vertices with nx, ny, nz: normalised sums of the cross products of their faces, so large faces weigh more."""
+def unit_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """vertices with nx, ny, nz as doubles: normalised sums of the cross products of their faces, so large faces weigh more."""
     points = vertices.select("mesh_id", "vid", "x", "y", "z")
     a, b, c = corner_points()
     normal = g.cross(g.sub(b, a), g.sub(c, a))
     each = gather(faces, points).select("mesh_id", F.explode(F.array("i0", "i1", "i2")).alias("vid"), *[n.alias(f"n{k}") for n, k in zip(normal, "xyz", strict=True)])
     sums = each.groupBy("mesh_id", "vid").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in "xyz"])
     unit = g.normalized(tuple(F.coalesce(F.col(f"n{k}"), F.lit(0.0)) for k in "xyz"))
-    return points.join(sums, ["mesh_id", "vid"], "left").select("mesh_id", "vid", "x", "y", "z", *[n.cast("float").alias(f"n{k}") for n, k in zip(unit, "xyz", strict=True)])
+    return points.join(sums, ["mesh_id", "vid"], "left").select("mesh_id", "vid", "x", "y", "z", *[n.alias(f"n{k}") for n, k in zip(unit, "xyz", strict=True)])
+
+
+def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """``unit_normals`` stored as floats."""
+    return unit_normals(vertices, faces).select("mesh_id", "vid", "x", "y", "z", *[F.col(f"n{k}").cast("float").alias(f"n{k}") for k in "xyz"])
 
 
 def cells(vertices: DataFrame, target_faces: int) -> DataFrame:

@@ -267,9 +267,9 @@ def detected_units(spark, sf_dir):
 
 @_query(_on_cup(f"""SELECT vid, {r6('sx/SQRT(sx*sx+sy*sy+sz*sz)', 'nx')}, {r6('sy/SQRT(sx*sx+sy*sy+sz*sz)', 'ny')}, {r6('sz/SQRT(sx*sx+sy*sy+sz*sz)', 'nz')} FROM (SELECT vid, SUM(kx) AS sx, SUM(ky) AS sy, SUM(kz) AS sz FROM (SELECT UNNEST([i0, i1, i2]) AS vid, {CROSS} FROM t) GROUP BY vid)""".replace("6) +", "4) +"), GALL))
 def vertex_normals(spark, sf_dir):
-    """Stored as floats, so compared to four decimals."""
+    """Compared to four decimals, before the normals are stored as floats."""
     v, f, _ = _cup(spark, sf_dir)
-    return topology.vertex_normals(v, f).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
+    return topology.unit_normals(v, f).select("vid", *[(F.round(c, 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
 @_query(_on_cup(f"SELECT COUNT(*) AS n, {r6('AVG(x)', 'cx')}, {r6('MIN(x)', 'min_x')}, {r6('MAX(x)', 'max_x')}, {r6('AVG(y)', 'cy')}, {r6('MIN(y)', 'min_y')}, {r6('MAX(y)', 'max_y')}, {r6('AVG(z)', 'cz')}, {r6('MIN(z)', 'min_z')}, {r6('MAX(z)', 'max_z')} FROM v"))
