@@ -334,7 +334,7 @@ def wear_solid(spark, sf_dir):
     return _rounded(volume.wear_solid(shell, v, _sphere(v)))
 
 
-@_query(_on_cup(f"""SELECT vid, {r6('e', 'max_depth')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('-y/l', 'wx')}, {r6('x/l', 'wy')}, 0.0 AS wz, 0.0 AS anchor_x, 0.0 AS anchor_y, {r6('(-16.05-1)/2', 'anchor_z')}
+@_query(_on_cup(f"""SELECT vid, {r6('e', 'max_depth')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('-y/l', 'wx')}, {r6('x/l', 'wy')}, 0e0 AS wz, 0e0 AS anchor_x, 0e0 AS anchor_y, {r6('(-16.05-1)/2', 'anchor_z')}
   FROM (SELECT *, (SQRT(x*x+y*y+z*z)-16)*1000 AS e, SQRT(x*x+y*y) AS l FROM vs WHERE z <= -1) ORDER BY e DESC, vid LIMIT 1""", SHELL))
 def wear_plane(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
@@ -478,7 +478,7 @@ def _item_points(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("mesh_id"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"), "l_extendedprice")
 
 
-_P = {"n": "1.0", "x": "x", "y": "y", "z": "z", "xx": "x*x", "xy": "x*y", "xz": "x*z", "yy": "y*y", "yz": "y*z", "zz": "z*z", "q": "q", "xq": "x*q", "yq": "y*q", "zq": "z*q"}
+_P = {"n": "1e0", "x": "x", "y": "y", "z": "z", "xx": "x*x", "xy": "x*y", "xz": "x*z", "yy": "y*y", "yz": "y*z", "zz": "z*z", "q": "q", "xq": "x*q", "yq": "y*q", "zq": "z*q"}
 
 
 @_query(f"WITH p AS (SELECT *, x*x+y*y+z*z AS q FROM (SELECT l_returnflag AS f, l_quantity AS x, l_discount*100 AS y, l_tax*100 AS z FROM lineitem)) SELECT f AS mesh, {', '.join(f'ROUND(SUM({e}), 2) AS s_{k}' for k, e in _P.items())} FROM p GROUP BY f")
