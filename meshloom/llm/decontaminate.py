@@ -1,15 +1,13 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by unedited pieces and exact edit distance.
 
 Texts and items are words (runs of ASCII letters and digits and of other characters, A-Z lowered). A leak is a
 stretch of a text within ``MAX_SHARE`` of an item's words in edit distance over words.
 
-Search: from each word of a text a CGK random walk copies a symbol in each step and moves on by a random bit
-of (step, symbol); two windows at a small edit distance give walks at a small Hamming distance. Each of ``REPEATS``
-independent walks is sampled at ``SAMPLES`` steps, and a window whose samples equal those of a piece of an
-item is a candidate. Pieces are as long as the shortest item (16 words at most) and cover the item end to
-end, so a long item is found by any of them. Sampling goes in step order and drops a window at the
-first sample that no piece has. With one edit in a piece a walk pair agrees in over 80 % of steps, so 8 repeats
-find over 99 % of such pieces. Each candidate is verified by bit-parallel edit distance on its item-sized window.
+Search: an item that allows k edits is cut end to end into k + 1 pieces of about equal length, so k edits leave one
+of them unedited, and each leak holds a piece word by word (items of up to four words are their own only
+piece). Every window of a text is looked up by the hash of its words, one word after the other, and dropped at the
+first word with which no piece goes on. A window that equals a piece gives the stretch where its item would lie, with
+room for k edits on both sides, and each such stretch is verified by bit-parallel edit distance. No leak is missed.
 
 Defined results: a null or empty text or item has no words and no leaks; repeated rows and ids give their own rows;
 empty tables give no rows; other columns are ignored or, in ``without_leaks``, kept.
@@ -30,12 +28,11 @@ from meshloom.llm.license_scan import tokens
 
 #: A window is a leak up to this share of the item's words in edits.
 MAX_SHARE = 0.2
-PIECE = 16
-REPEATS, SAMPLES = 8, 4
 #: Items that are searched for in one pass over the texts, and so the bound of what is sent to the tasks.
 ITEMS_AT_ONCE = 20_000
 CHUNK = 4 << 20
-SEED = 20_240_501
+#: Pairs of a window and a piece that are held at once.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,99 +70,97 @@ def edit_search(item: list, text: list) -> tuple[int, int]:
 
 
 class Index:
-    """Sampled walks of the pieces of items [(item_id, words)]."""
+    """Pieces of items [(item_id, words)], one more for each item than the edits it allows, by the hash of their words."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]]):
         self.items = [(i, w) for i, w in items if w]
         self.words = [frozenset(w) for _, w in self.items]
-        self.allowed = [int(len(w) * MAX_SHARE) for _, w in self.items]
-        self.size = min([PIECE, *(len(w) for _, w in self.items)])
-        pieces: list[tuple[int, int]] = []
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.allowed = np.array([int(len(w) * MAX_SHARE) for _, w in self.items], np.int64)
+        owner, offset, length = [], [], []
         for k, (_, w) in enumerate(self.items):
-            starts = {*range(0, len(w) - self.size + 1, self.size), len(w) - self.size}
-            pieces += [(k, at) for at in sorted(starts)]
-        self.pieces = pieces
-        self.steps = min(3 * self.size, 60)
-        rng = np.random.default_rng(SEED)
-        self.samples = [np.sort(rng.choice(self.steps, min(SAMPLES, self.steps), replace=False)) for _ in range(REPEATS)]
-        self.seeds = [np.uint64(x) for x in rng.integers(1, 1 << 62, REPEATS)]
-        # each piece with what follows it in its item, as a text's window has what follows
-        flat = [w for _, ws in self.items for w in [*ws, *[b""] * self.steps]]
-        h = _hashes(flat)
-        first = np.cumsum([0, *(len(ws) + self.steps for _, ws in self.items)])
-        at = np.array([first[k] + a for k, a in pieces], dtype=np.int64)
-        self.tables: list[list[np.ndarray]] = []
+            n = int(self.allowed[k]) + 1
+            cuts = [len(w) * i // n for i in range(n + 1)]
+            owner += [k] * n
+            offset += cuts[:-1]
+            length += [b - a for a, b in zip(cuts, cuts[1:])]
+        self.owner, self.offset, length = (np.array(x, np.int64) for x in (owner, offset, length))
+        self.shift = np.uint64(64 - min(max(20, (8 * len(length)).bit_length()), 26))
+        h = _hashes([w for _, ws in self.items for w in ws])
+        at = np.concatenate([[0], np.cumsum(self.sizes)])[self.owner] + self.offset if len(length) else length
+        #: by the number of words: which keys begin a piece of so many or more, and the keys and numbers of pieces of just so many
+        self.begins: list[np.ndarray] = []
         self.keys: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in range(REPEATS if pieces else 0):
-            tables, key = [], None
-            for _, key in self._walk(h, at, r):
-                t = np.zeros(1 << 20, bool)
-                t[(key >> np.uint64(44)).astype(np.int64)] = True
-                tables.append(t)
-            order = np.argsort(key, kind="stable")
-            self.tables.append(tables)
-            self.keys.append((key[order], order))
-
-    def _walk(self, h: np.ndarray, at: np.ndarray, r: int, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """After each sample, the windows left (their starts) and the keys of their samples so far."""
-        mixed = _mix(h ^ self.seeds[r])
-        start, place, key, done = at, at.copy(), np.zeros(len(at), np.uint64), 0
-        for s, step in enumerate(self.samples[r]):
-            for j in range(done, step):
-                place += ((mixed[place] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-            done = step
-            key = _mix(key + mixed[place])
-            if keep is not None:
-                left = np.flatnonzero(keep[s][(key >> np.uint64(44)).astype(np.int64)])
-                start, place, key = start[left], place[left], key[left]
-            yield start, key
-
-    def candidates(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (start of window, piece) whose samples agree in some repeat."""
-        found = []
-        for r in range(len(self.keys)):
-            start, key = at, np.zeros(0, np.uint64)
-            for start, key in self._walk(h, at, r, self.tables[r]):
-                pass
-            keys, order = self.keys[r]
+        key, left = np.zeros(len(length), np.uint64), np.arange(len(length))
+        for n in range(int(length.max(initial=0))):
+            left = left[length[left] > n]
+            key[left] = _mix(key[left] + h[at[left] + n])
+            t = np.zeros(1 << (64 - int(self.shift)), bool)
+            t[(key[left] >> self.shift).astype(np.int64)] = True
+            self.begins.append(t)
+            ends = left[length[left] == n + 1]
+            ends = ends[np.argsort(key[ends], kind="stable")]
+            self.keys.append((key[ends], ends))
+
+    def _pairs(self, h: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start of window, piece) of equal hashes; ``room``: words from here to the end of the text."""
+        start, key = np.arange(len(h)), np.zeros(len(h), np.uint64)
+        for n, (begins, (keys, pieces)) in enumerate(zip(self.begins, self.keys, strict=True)):
+            fits = np.flatnonzero(room[start] > n)
+            start, key = start[fits], key[fits]
+            key = _mix(key + h[start + n])
+            goes_on = np.flatnonzero(begins[(key >> self.shift).astype(np.int64)])
+            start, key = start[goes_on], key[goes_on]
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            where = np.repeat(start, n)
-            which = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            found.append(where * len(self.pieces) + which)
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            hit = np.flatnonzero(hi > lo)
+            ends, a = np.cumsum(hi[hit] - lo[hit]), 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+                part = hit[a:b]
+                m = hi[part] - lo[part]
+                yield np.repeat(start[part], m), pieces[np.repeat(lo[part] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                a = b
 
     def leaks(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item_id, first word, end word, distance): the best stretch of each item in each text."""
-        if not self.pieces:
+        """(text, item_id, first word, end word, distance): of each item in each text the nearest stretch, of these the one that ends first, of these the shortest."""
+        if not self.items:
             return []
-        pad = [b""] * self.steps
         sizes = np.array([len(t) for t in texts], np.int64)
-        h = _hashes([w for t in texts for w in [*t, *pad]])
-        first = np.concatenate([[0], np.cumsum(sizes + self.steps)[:-1]])
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        ends = np.cumsum(sizes)
+        first = ends - sizes
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried = set()
-        found = self.candidates(h, at)
-        owner = np.searchsorted(first, found // len(self.pieces), "right") - 1
-        for t, code in zip(owner.tolist(), found.tolist(), strict=True):
-            start, (k, offset) = code // len(self.pieces), self.pieces[code % len(self.pieces)]
-            item_id, item = self.items[k]
-            at_word, spare = int(start - first[t]) - offset, self.allowed[k]
-            if (t, k, at_word) in tried:
-                continue
-            tried.add((t, k, at_word))
-            a, b = max(0, at_word - spare), min(len(texts[t]), at_word + len(item) + 2 * spare)
-            window = texts[t][a:b]
-            # every item word that is not edited stands in the window
-            if sum(map(self.words[k].__contains__, window)) < len(item) - spare:
-                continue
+
+        def verify(t: int, k: int, a: int, b: int) -> None:
+            item, window = self.items[k][1], texts[t][a:b]
             distance, end = edit_search(item, window)
-            if distance <= spare and (distance, a) < best.get((t, k), (spare + 1, 0))[:2]:
-                back, length = edit_search(item[::-1], window[:end][::-1])
-                best[t, k] = (distance, a, end - length if back == distance else 0)
-                best[t, k] = (distance, a + best[t, k][2], a + end)
-        return [(t, self.items[k][0], a, b, d) for (t, k), (d, a, b) in sorted(best.items())]
+            if distance <= self.allowed[k] and (distance, a + end) < best.get((t, k), (len(item), 0))[:2]:
+                best[t, k] = (distance, a + end, a + end - edit_search(item[::-1], window[:end][::-1])[1])
+
+        for start, piece in self._pairs(_hashes([w for t in texts for w in t]), np.repeat(ends, sizes) - np.arange(sizes.sum())):
+            t, k = np.searchsorted(first, start, "right") - 1, self.owner[piece]
+            at = start - first[t] - self.offset[piece]
+            order = np.lexsort((at, k, t))
+            t, k, at = t[order], k[order], at[order]
+            # the same place but once, and of an item without edits the first place alone
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | ((at[1:] != at[:-1]) & (self.allowed[k[1:]] > 0))
+            t, k, at = t[new], k[new], at[new]
+            spare = self.allowed[k]
+            a, b = np.maximum(0, at - spare), np.minimum(sizes[t], at + self.sizes[k] + 2 * spare)
+            last = None
+            for t_, k_, a_, b_, need in zip(*(x.tolist() for x in (t, k, a, b, self.sizes[k] - spare)), strict=True):
+                # every item word that is not edited stands in the window
+                if sum(map(self.words[k_].__contains__, texts[t_][a_:b_])) < need:
+                    continue
+                if last and last[:2] == (t_, k_) and a_ <= last[3]:
+                    last = (t_, k_, last[2], max(b_, last[3]))
+                    continue
+                if last:
+                    verify(*last)
+                last = (t_, k_, a_, b_)
+            if last:
+                verify(*last)
+        return [(t, self.items[k][0], a, b, d) for (t, k), (d, b, a) in sorted(best.items())]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:

@@ -69,3 +69,30 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert d.find_leaks(some, items).count() == 0 and d.without_leaks(some, items).count() == 1
     assert d.find_leaks(none, some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def edited(rng, item, n, words):
+    """``item`` with ``n`` words replaced, dropped or put in."""
+    out = list(item)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = rng.choice([[], [rng.choice(words)]])
+    return out
+
+
+def test_planted_leaks_at_the_full_share():
+    words = [b"w%d" % i for i in range(90)]
+    for shortest in (1, 4, 5, 10, 16):
+        rng = random.Random(shortest)
+        items = [(i, [rng.choice(words) for _ in range(shortest + i % 8 * (i % 4))]) for i in range(24)]
+        texts = [[]]
+        for _, item in items * 3:
+            part = edited(rng, item, int(len(item) * d.MAX_SHARE), words)
+            texts.append([rng.choice(words) for _ in range(rng.randrange(30))] + part + [rng.choice(words) for _ in range(rng.randrange(30))])
+        want = {(t, k): n for t, text in enumerate(texts) for k, item in items if (n := slow(item, text)) <= int(len(item) * d.MAX_SHARE)}
+        got = d.Index(items).leaks(texts)
+        assert {r[:2]: r[4] for r in got} == want and len(got) == len(want)
+        for t, k, a, b, n in got:
+            assert slow(items[k][1], texts[t][a:b]) == n
+            # no stretch as near ends before
+            assert slow(items[k][1], texts[t][: b - 1]) > n
