@@ -23,8 +23,6 @@ MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 #: Payloads shorter than this are always stored.
 LEAST_BYTES = 100
-#: Bytes at a candidate's start in which its header must end.
-HEADER_BYTES = 8192
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,11 +54,11 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What follows each version line, in file order: file, block, row, size, and the bytes (binary)."""
+    """What follows each version line, in file order: file, block, row, size, the bytes (binary) and those before the first blank line."""
     rows = spark.read.option("lineSep", MAGIC).text(path)
     return rows.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
-        F.octet_length("value").cast("long").alias("size"), F.col("value").cast("binary").alias("data"),
+        F.octet_length("value").cast("long").alias("size"), F.col("value").cast("binary").alias("data"), F.substring_index("value", END, 1).cast("binary").alias("head"),
     )
 
 
@@ -77,10 +75,11 @@ def _header(name: str):
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One row for each version line in the files: offset, successor by its own header, header fields, digest if whole."""
     rows = chunks(spark, path)
-    head = F.decode(F.substring("data", 1, HEADER_BYTES), "ISO-8859-1")
-    rows = rows.withColumn("head", F.substring_index(head, END, 1)).withColumn("_n", F.length("head").cast("long"))
+    rows = rows.withColumn("_n", F.octet_length("head").cast("long")).withColumn("_ends", F.col("_n") + len(END) <= F.col("size"))
+    # a chunk without a blank line has no header
+    rows = rows.withColumn("head", F.when(F.col("_ends"), F.decode("head", "ISO-8859-1")).otherwise(F.lit("")))
     length = F.try_to_number(F.substring(_header("Content-Length"), 1, 18), F.lit("9" * 18)).cast("long")
-    rows = rows.withColumn("length", F.when(F.col("_n") + len(END) <= F.col("size"), length)).withColumn("skip", F.col("_n") + len(END))
+    rows = rows.withColumn("length", F.when(F.col("_ends"), length)).withColumn("skip", F.col("_n") + len(END))
     whole = F.col("size") == F.col("skip") + F.col("length") + len(END)
     body = F.expr("substring(data, CAST(skip AS INT) + 1, CAST(length AS INT))")
     rows = rows.select(

@@ -57,3 +57,14 @@ def test_empty(spark):
     path = common.shared_dir(spark)
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.digests(warc.read(spark, path)).count() == 0
+
+
+def test_long_url_in_mid_file(spark):
+    again = "payload of two pages " * 9
+    urls = ["http://h/0", "data:text/html," + "é%20" * 30_000, "http://h/2", "http://h/3?" + "x" * 8_100, "http://h/4"]
+    texts = [again, "a " * 99, again, again, "last"]
+    path = common.shared_dir(spark)
+    warc.write(spark.createDataFrame(list(zip(range(5), urls, texts, strict=True)), "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in warc.digests(warc.read(spark, path)).collect()}
+    kinds = [("response", None), ("response", None), ("revisit", 0), ("revisit", 0), ("response", None)]
+    assert got == {i: (*kinds[i], hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
