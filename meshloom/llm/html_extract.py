@@ -10,7 +10,9 @@ whose blocks inside it and outside marked parts are content. A page is also coun
 names hidden, so pages without them are judged by the rest. At most ``TRAIN_PAGES`` labelled pages are used.
 
 Defined results: a null or empty html gives an empty text; repeated rows are separate rows; an empty table gives
-no rows; unclosed and stray tags are repaired as browsers do for blocks; other columns are ignored.
+no rows; unclosed and stray tags are repaired as browsers do for blocks; other columns are ignored. Scripts and the
+like end at their literal end tag, or with the page without one; other elements that are no text and lack their end tag end
+at the first block that starts in them or at their parent's end. A head needs no end tag.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template textarea select svg math iframe object head title button canvas audio video".split())
+SKIPPED = frozenset("script style noscript template textarea select svg iframe object title button canvas audio video annotation annotation-xml".split())
+#: Those of them whose content has no tags, by the pattern of their end tag.
+RAW_END = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in "script style noscript textarea title iframe".split()}
 KIND = {
     **dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split(), "text"),
     **dict.fromkeys("ul ol dl menu".split(), "list"), **dict.fromkeys("li dt dd".split(), "item"),
@@ -67,17 +71,69 @@ class Node:
         self.own = self.linked = self.all = self.all_linked = 0
 
 
+def _after(page: str, at: int, tag: str, around: set[str]) -> int:
+    """Where the page goes on after a skipped element whose start tag ends at ``at``; ``around``: the blocks that it lies in."""
+    if tag in RAW_END:
+        end = RAW_END[tag].search(page, at)
+        return end.start() if end else at if tag == "noscript" else len(page)
+    depth, block, inside = 1, -1, Counter()
+    while True:
+        for m in TOKEN.finditer(page, at):
+            if m[2] is None:
+                continue
+            name, closing = m[2].lower(), bool(m[1])
+            if name == tag:
+                if closing:
+                    depth -= 1
+                    if not depth:
+                        return m.end()
+                elif tag in ("button", "select"):  # these do not nest
+                    return block if block >= 0 else m.start()
+                elif not m[3].endswith("/"):
+                    depth += 1
+            elif name in RAW_END:
+                end = None if closing or m[3].endswith("/") else RAW_END[name].search(page, m.end())
+                if end:
+                    at = end.start()
+                    break
+            elif name in KIND:
+                if not closing:
+                    inside[name] += 1
+                    block = m.start() if block < 0 else block
+                elif inside[name]:
+                    inside[name] -= 1
+                elif name in around:
+                    return block if block >= 0 else m.start()
+        else:
+            return block if block >= 0 else len(page)
+
+
+def _tokens(page: str, around: Callable[[], set[str]]) -> Iterator[re.Match]:
+    """The tokens of a page outside skipped elements."""
+    at = 0
+    while at < len(page):
+        for m in TOKEN.finditer(page, at):
+            if m[2] is None or (tag := m[2].lower()) not in SKIPPED:
+                yield m
+            elif not m[1] and not m[3].endswith("/"):
+                at = _after(page, m.end(), tag, around())
+                break
+        else:
+            return
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order, and (node, raw text) runs; a run starts a new block where its node or a break says so."""
     nodes = [Node(-1, "html", False, False, False)]
     runs: list[tuple[int, str]] = []
-    stack, links, skip, depth = [0], 0, "", 0
-    for m in TOKEN.finditer(page):
+    stack, links, head = [0], 0, False
+    for m in _tokens(page, lambda: {nodes[s].tag for s in stack}):
         tag = m[2]
         if tag is None:
             raw = m[0]
-            if skip or raw.startswith(("<!", "<?")):
+            if raw.startswith(("<!", "<?")) or (head and not raw.strip()):
                 continue
+            head = False
             runs.append((stack[-1], raw))
             node = nodes[stack[-1]]
             n = len(raw) - raw.count(" ") - raw.count("\n")
@@ -86,15 +142,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.linked += n
             continue
         tag, closing = tag.lower(), bool(m[1])
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-            continue
-        if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                skip, depth = tag, 1
+        if tag == "head":
+            head = not closing and len(nodes) == 1
             continue
         if tag == "a":
             links = 0 if closing else 1

@@ -61,3 +61,17 @@ def test_held_out_accuracy(spark):
         assert by[i, f"http://h/{i}"].text.startswith("T & U One two") and by[i, f"http://h/{i}"].n_chars == len(by[i, f"http://h/{i}"].text)
     assert by[100, None].text == "" and by[101, ""].n_chars == 0 and by[102, "u"].text == "deep" and by[1, "u"].text == "again"
     assert h.extract(df.filter("false"), h.train(df.filter("false"))).count() == 0
+
+
+def test_text_after_skipped_elements():
+    m = model(pages())
+    text = PROSE.strip()
+    for before in (
+        "<script>for(i=0;i<n;i++){a(\"x\")}</script>", "<script>s='<script';t=a<b</SCRIPT >", "<style>a>b{content:'<style'}</style>", "<textarea><textarea> a<b </textarea>", "<noscript><img alt='></noscript>",
+        "<div><button>Menu</div>", "<button>Menu", "<button>One<button>Two</button>", "<div><select><option>1</div>", "<select><option>1", "<div><svg><path></div>", "<svg><title>a<b</title>", "<p><object data=x></p>", "<object>", "<canvas>", "<div><template><script>'</template>'+(a<b)</script></template></div>",
+    ):
+        assert m.text(f"<html><head><title>a <b> c</title></head><body><article>{before}<p>{text}</p></article></body></html>") == text, before
+    for start in ("<html><head><title>t</title><meta charset=x>\n<body>", "<head><link rel=x>\n", "<head><script>a<b</script>"):
+        assert m.text(f"{start}<article><p>{text}</p></article>") == text, start
+    assert m.text(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>") == text + " x=1"
+    assert m.text(f"<article><button><p>{text}</p></button><p>{text}</p></article>") == text
