@@ -24,7 +24,10 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("allow", "org", "/fr/"),
 )
 DAMPING = 0.85
+#: Rounds of the SQL, which are enough for host graphs whose longest chain has five links, and no cycle.
 ROUNDS = 6
+#: Most that all ranks together may still be off when the rounds end, and the same as a share of the threshold of a block.
+PRECISION, PART = 1e-9, 1e-3
 #: A host is blocked from here on: this share of an even spread of distrust over all hosts.
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,10 +71,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.unionByName(own).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING, precision: float | None = None) -> DataFrame:
     """(host, trusted, blocked) seed weights, (src, dst, n) -> host, trust, distrust.
 
-    Each round is two joins and one aggregation over host edges; its result is written, so lineage stays short.
+    Each round is two joins and one aggregation over host edges; its result is written, so lineage stays short. Without a
+    number of ``rounds`` they go on until all ranks together are off by less than ``precision``.
     """
     total = seeds.agg(F.coalesce(F.sum("trusted"), F.lit(0)).cast("double").alias("t"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("double").alias("b")).first()
     start = seeds.select("host", (F.col("trusted") / max(total.t, 1.0)).alias("t0"), (F.col("blocked") / max(total.b, 1.0)).alias("b0"))
@@ -81,12 +85,24 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     edges = common.written(edges.join(out_n, "src").join(in_n, "dst").select("src", "dst", (F.col("n") / F.col("_o")).alias("fwd"), (F.col("n") / F.col("_i")).alias("back")))
     start = common.written(start)
     rank = start.select("host", F.col("t0").alias("trust"), F.col("b0").alias("distrust"))
-    for _ in range(rounds):
+    if precision is None:
+        precision = min(PRECISION, PART * THRESHOLD / max(start.count(), 1))
+    # a round shrinks the change of all ranks by the damping at least, so this much of the last change is left in all later ones
+    least, done = precision * (1 - damping) / damping, 0
+    while rounds is None or done < rounds:
         ahead = edges.join(rank.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("fwd")).alias("t"), F.lit(0.0).alias("b"))
         back = edges.join(rank.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("b"))
         base = start.select("host", (F.col("t0") * (1 - damping)).alias("t"), (F.col("b0") * (1 - damping)).alias("b"))
         flow = ahead.select("host", (F.col("t") * damping).alias("t"), "b").union(back.select("host", "t", (F.col("b") * damping).alias("b")))
-        rank = common.written(base.union(flow).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("b").alias("distrust")))
+        old = rank.select("host", F.lit(0.0).alias("t"), F.lit(0.0).alias("b"), F.col("trust").alias("ot"), F.col("distrust").alias("ob"))
+        parts = base.union(flow).select("*", F.lit(0.0).alias("ot"), F.lit(0.0).alias("ob")).union(old)
+        sums = parts.groupBy("host").agg(F.sum("t").alias("trust"), F.sum("b").alias("distrust"), F.sum("ot").alias("ot"), F.sum("ob").alias("ob"))
+        rank = common.written(sums.select("host", "trust", "distrust", (F.abs(F.col("trust") - F.col("ot")) + F.abs(F.col("distrust") - F.col("ob"))).alias("change")))
+        done += 1
+        if rounds is None and (rank.agg(F.sum("change")).first()[0] or 0.0) <= least:
+            break
+        rank = rank.drop("change")
+    rank = rank.select("host", "trust", "distrust")
     return rank
 
 

@@ -41,3 +41,16 @@ def test_links_carry_distrust(spark):
 
 def test_empty(spark):
     assert u.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_ranks_beyond_six_links(spark):
+    # a chain of ten links on which trust walks forth and distrust back, and a cycle off it
+    chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(10)]
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h10", 0.0, 1.0)], "host string, trusted double, blocked double")
+    got = {r.host: r for r in u.propagate(seeds, spark.createDataFrame(chain, "src string, dst string, n long")).collect()}
+    for i in range(11):
+        assert abs(got[f"h{i}"].trust - (1 - u.DAMPING) * u.DAMPING**i) < 1e-9 and abs(got[f"h{10 - i}"].distrust - got[f"h{i}"].trust) < 1e-9
+    cycle = spark.createDataFrame([("h0", "a", 1), ("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r.host: r for r in u.propagate(seeds, cycle, precision=1e-2).collect()}
+    a = (1 - u.DAMPING) * u.DAMPING / (1 - u.DAMPING**2)
+    assert abs(got["a"].trust - a) < 1e-2 and abs(got["b"].trust - a * u.DAMPING) < 1e-2 and got["h10"].trust == 0
