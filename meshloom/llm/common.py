@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="meshloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/meshloom-{uuid.uuid4().hex}"
@@ -32,7 +34,26 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.meshloom_path = path
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` gave, once all that was made of them is written too."""
+    for table in tables:
+        delete(table.sparkSession, table.meshloom_path)
 
 
 def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,11 +1,15 @@
 """Secret scan over an incremental ledger of content-addressed blobs.
 
-A text's address is its SHA-256. The ledger has one row for each (blob, rule version) that was
-scanned, with the spans found. A run hashes the texts, drops pairs that the ledger has, scans each
-remaining blob once, appends to the ledger, and joins spans back to every row with that content.
+A text's address is its SHA-256. The ledger is a stored table with one row for each (blob, rule version) that was
+scanned, with the spans found. A run writes the addresses of all rows, reads the ledger, chooses one row (the least
+id) of each blob that the ledger has not under the rules' version, scans these texts where they lie, appends what it
+found to the ledger, and joins the ledger back to every row with that content. Only ids and addresses are shuffled:
+the rows not to be scanned, or if they are fewer those to be scanned, are sent to the tasks up to
+``common.BROADCAST_ROWS`` rows; beyond that on both sides, the texts are joined by key.
 
 Defined results: a null text is the empty text; repeated rows and ids are separate rows that share
-a blob; an empty table gives no rows; other columns are ignored or, in ``redact``, kept.
+a blob; an empty table gives no rows; other columns are ignored or, in ``redact``, kept. A web token (kind jwt)
+starts where no letter, digit, hyphen or underscore stands before it, so each run of such characters is entered once.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ RULES: tuple[tuple[str, str, int, int], ...] = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # runs of hexadecimal digits; shorter runs would fail the length
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})", 0, 0),
 )
 BASE = 3
@@ -66,38 +70,57 @@ def blob_id(text):
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION) -> DataFrame:
-    """Ledger rows (blob, version, counts, spans) of the contents of ``docs`` that ``ledger`` has not under ``version``.
-
-    One row stands for each content: the row of least id of those with an equal blob.
-    """
-    rows = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is not None:
-        rows = rows.join(ledger.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
-    # partial aggregation keeps one text for each blob and task, so a hot content is shuffled once for each task
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    return blobs.mapInArrow(_scan, FOUND).withColumn("version", F.lit(version))
-
-
-def findings(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
-    """(ids with their findings, the ledger with the new rows)."""
-    new = common.written(scan_unseen(docs, ledger, version))
-    full = new if ledger is None else ledger.unionByName(new)
-    hits = full.filter(F.col("version") == version).drop("version")
-    paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
-    return paths.join(hits, "blob"), full
-
-
-def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[secret]") -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """The rows of the ledger at ``path`` under ``version``; none where nothing is stored yet."""
+    rows = spark.read.schema(FOUND + ", version string").parquet(path) if common.exists(spark, path) else spark.createDataFrame([], FOUND + ", version string")
+    return rows.filter(F.col("version") == version).drop("version")
+
+
+def _keyed(docs: DataFrame, *others) -> DataFrame:
+    return docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), *others)
+
+
+def scan_unseen(docs: DataFrame, path: str, version: str = VERSION) -> DataFrame:
+    """Scans the contents of ``docs`` that the ledger at ``path`` has not under ``version`` and appends them; gives (blob, id, doc_id) of all rows."""
+    spark = docs.sparkSession
+    rows = common.written(_keyed(docs, "doc_id"))
+    chosen = rows.select("blob", "id").join(read_ledger(spark, path, version).select("blob"), "blob", "left_anti").groupBy("blob").agg(F.min("id").alias("id"))
+    chosen = common.written(chosen)
+    wanted = chosen.count()
+    if wanted:
+        # a repeated (blob, id) is one of both sides as a whole
+        others = rows.select("blob", "id").join(chosen, ["blob", "id"], "left_anti").distinct().limit(common.BROADCAST_ROWS + 1)
+        others = common.written(others)
+        texts = _keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
+        if others.count() <= common.BROADCAST_ROWS:
+            texts = texts.join(F.broadcast(others), ["blob", "id"], "left_anti")
+        else:
+            texts = texts.join(F.broadcast(chosen) if wanted <= common.BROADCAST_ROWS else chosen, ["blob", "id"], "left_semi")
+        found = common.written(texts.select("blob", "text").mapInArrow(_scan, FOUND))
+        # rows that repeat id and content were scanned each
+        once = found if found.count() == wanted else found.dropDuplicates(["blob"])
+        once.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
+        common.dropped(found, others)
+    common.dropped(chosen)
+    return rows
+
+
+def findings(docs: DataFrame, path: str, version: str = VERSION) -> DataFrame:
+    """doc_id, blob and findings of each of ``docs``, by the ledger at ``path`` (a folder that need not exist yet)."""
+    rows = scan_unseen(docs, path, version)
+    return rows.drop("id").join(read_ledger(docs.sparkSession, path, version), "blob")
+
+
+def redact(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each found span (overlapping ones merged) replaced by ``mark``, and n_chars made to fit.
 
-    Findings are few and narrow: contents with a finding are joined to the rows by blob.
+    Findings are few and narrow: contents with a finding are joined to the rows by blob. ``path``: the ledger, a new one by default.
     """
-    new = common.written(scan_unseen(docs, ledger))
-    hits = (new if ledger is None else ledger.unionByName(new)).filter((F.col("version") == VERSION) & (F.col("spans") != "")).select("blob", F.col("spans").alias("_spans"))
-    hits = common.if_small(hits.withColumnRenamed("blob", "_blob"))
-    rows = docs.withColumn("_blob", blob_id(F.col("text"))).join(hits, "_blob", "left")
-    ends = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
+    path = path or common.shared_dir(docs.sparkSession)
+    common.dropped(scan_unseen(docs, path))
+    hits = common.if_small(read_ledger(docs.sparkSession, path).filter("spans <> ''").select("blob", "spans"))
+    rows = docs.select(F.struct("*").alias("d"), F.col("text"), blob_id(F.col("text")).alias("blob")).join(hits, "blob", "left")
+    ends = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -105,12 +128,15 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mark: str = "[secre
         return F.struct(before.alias("text"), F.greatest(acc.at, s.b).alias("at"))
 
     clean = F.aggregate(ends, start, step, lambda acc: F.concat(acc.text, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), clean))
+    new = {"text": F.coalesce("clean", "text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("d.n_chars"))
+    return rows.select(*(new.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = findings(common.table(spark, sf_dir, "documents"))
+    """Findings by the ledger that ``spark.meshloom.secrets.ledger`` names; where that is unset, by a new one in the shared folder."""
+    path = spark.conf.get("spark.meshloom.secrets.ledger", None) or common.shared_dir(spark)
+    rows = findings(common.table(spark, sf_dir, "documents"), path)
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
