@@ -1,19 +1,25 @@
 """License scan with a positional index of rare words.
 
-1. Document frequencies of the licence vocabulary are counted over all texts (the vocabulary, and so the
-   counts that come back, is bounded by the templates).
-2. Each text is looked up by the places of its rarest licence words (highest IDF). Postings give the
-   template and the position there; equal differences of the two positions are votes for a place.
-3. A place counts if every mandatory key phrase of the template stands there word for word.
-
-Defined results: a null text is the empty text, without words, labels or places, score 0; repeated rows
-and ids are separate rows; an empty table gives no rows; other columns are ignored.
+1. One pass over the texts notes each file's licence words: which there are and, where all words of a mandatory key
+   phrase of some template are there, the places of all of them (a positional index; other files have no licence).
+2. Document frequencies of the licence words are counted over all files from these notes.
+3. Each file is looked up by its licence words of highest IDF: for each template that is possible, the ``RAREST`` rarest
+   of its words that the file has. A place of such a word less its places in the template (its postings) is where
+   the template would start; starts on which at least ``AGREE`` words agree (all of them, if there are fewer) are
+   candidates. Words put in or left out of a notice move the later words alone, so a part of it still agrees.
+4. A candidate counts if every key phrase of the template stands within its stretch, word for word. Its score is
+   the share of the template's weight in IDF that stands in place.
+
+Passes 2 to 4 read the notes alone, never the texts. No file, place or template is capped.
+
+Defined results: a null text is the empty text, without words, labels or places, score 0; a file with base places, but no
+template scores 1; repeated rows and ids are separate rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm import common
+from meshloom.llm.licence_texts import TEMPLATES
 
 #: Base phrases: label and words.
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -28,29 +35,14 @@ PHRASES: tuple[tuple[str, str], ...] = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Templates of the method: label, words of the notice, and the key phrases that must stand in it.
-TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("bsd", "licensed under the bsd license", ("the bsd license",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc0", "released under cc0 1 0 universal", ("cc0 1 0",)),
-    ("proprietary", "all rights reserved", ("all rights reserved",)),
-)
+#: Words by which a file is looked up for one template, and how many of them must agree on where it starts.
+RAREST, AGREE = 8, 3
+#: Words by which a notice may be longer than its template, as a share of the template and at least.
+ROOM, LEAST_ROOM = 0.2, 4
 BATCH = 512
 
 _KEEP = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEEP else 32 for c in range(256))
-VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for _, p in PHRASES for w in p.split()})
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,95 +50,113 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary, seen, n = {w.encode() for w in VOCABULARY}, Counter(), 0
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update(vocabulary.intersection(tokens(text.as_py())))
-            n += 1
-    seen[b""] = n
-    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-
-def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
-    """IDF of the licence vocabulary over all texts of ``docs``: a dictionary no larger than the vocabulary."""
-    counts = docs.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = {r.word: r.n for r in counts.collect()}
-    return {w: math.log((found.get("", 0) + 1) / (found.get(w, 0) + 0.5)) for w in VOCABULARY}
-
-
-class Index:
-    """Postings of the templates' words, and what a look-up needs."""
-
-    def __init__(self, idf: dict[str, float]):
-        self.idf = {w.encode(): v for w, v in idf.items()}
-        self.phrases = [(label, p.encode().split()) for label, p in PHRASES]
-        self.templates = [(label, t.encode().split(), [k.encode().split() for k in keys]) for label, t, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, t, _) in enumerate(self.templates):
-            for at in range(len(t)):
-                self.postings[t[at]].append((i, at))
-        self.weight = [sum(max(self.idf[w], 0.1) for w in t) for _, t, _ in self.templates]
-        # a mandatory phrase has the template's rarest word of those phrases: looking it up misses no place
-        self.anchor = [max({w for k in keys for w in k}, key=lambda w: (self.idf[w], w)) for _, _, keys in self.templates]
-        self.rare = set(self.anchor)
-
-    def places(self, words: list[bytes]) -> list[tuple[int, str]]:
-        """(start, label) of each base phrase, overlapping ones included."""
-        out = []
-        for label, p in self.phrases:
-            last, at = len(words) - len(p), -1
-            while True:
-                try:
-                    at = words.index(p[0], at + 1, last + 1)
-                except ValueError:
-                    break
-                if words[at : at + len(p)] == p:
-                    out.append((at, label))
-        return out
-
-    def match(self, words: list[bytes]) -> tuple[set[str], float]:
-        """Labels of the templates that the text has, and the best share of a template's weight in place."""
-        where: dict[bytes, list[int]] = defaultdict(list)
-        have = self.rare.intersection(words)
-        if not have:
-            return set(), 0.0
-        for at, w in enumerate(words):
-            if w in have:
-                where[w].append(at)
-        votes: Counter = Counter()
-        # highest IDF first; a template is looked up by its own anchor, so the order only decides what is seen first
-        for w in sorted(where, key=lambda x: -self.idf[x]):
-            for i, at in self.postings[w]:
-                if self.anchor[i] == w:
-                    votes.update((i, place - at) for place in where[w])
-        labels, score = set(), 0.0
-        for i, start in votes:
-            label, t, keys = self.templates[i]
-            inside = words[max(start, 0) : start + len(t)]
-            if all(any(inside[j : j + len(k)] == k for j in range(len(inside) - len(k) + 1)) for k in keys):
+VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in tokens(text)})
+NUMBER = {w: i for i, w in enumerate(VOCABULARY)}
+#: Templates and their key phrases as numbers of words.
+WORDS = [[NUMBER[w] for w in tokens(text)] for _, text, _ in TEMPLATES]
+KEYS = [[[NUMBER[w] for w in tokens(k)] for k in keys] for _, _, keys in TEMPLATES]
+#: Words that a file must have for each template.
+NEEDED = [frozenset(w for k in keys for w in k) for keys in KEYS]
+PLACES = [(label, tokens(p)) for label, p in PHRASES]
+
+
+def base_places(words: list[bytes]) -> list[tuple[int, str]]:
+    """(start, label) of each base phrase, overlapping ones included."""
+    out = []
+    for label, p in PLACES:
+        last, at = len(words) - len(p), -1
+        while True:
+            try:
+                at = words.index(p[0], at + 1, last + 1)
+            except ValueError:
+                break
+            if words[at : at + len(p)] == p:
+                out.append((at, label))
+    return out
+
+
+def noted(words: list[bytes]) -> tuple[list[int], list[int] | None]:
+    """The numbers of the licence words in a file, and their places (word, place, word, place, ...) if a template is possible."""
+    have = {NUMBER[w] for w in NUMBER.keys() & set(words)}
+    if not any(need <= have for need in NEEDED):
+        return sorted(have), None
+    where = []
+    for at, w in enumerate(words):
+        n = NUMBER.get(w)
+        if n is not None:
+            where += (n, at)
+    return sorted(have), where
+
+
+NOTES = "n_words long, n_base long, first_word long, last_word long, base_labels string, present array<int>, places array<int>"
+
+
+def _note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int32())] * 2
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch, rows = whole.slice(at, BATCH), []
+            for text in batch.column("text"):
+                words = tokens(text.as_py())
+                base = base_places(words)
+                starts = [s for s, _ in base]
+                rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({k for _, k in base})), *noted(words)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *(f.split()[0] for f in NOTES.split(", "))])
+
+
+def inverse_frequencies(notes: DataFrame) -> list[float]:
+    """IDF of the licence words over all files: no more numbers than there are licence words."""
+    n = notes.count()
+    found = dict(notes.select(F.explode("present").alias("w")).groupBy("w").count().collect())
+    return [math.log((n + 1) / (found.get(i, 0) + 0.5)) for i in range(len(VOCABULARY))]
+
+
+def starts_of(i: int, where: dict[int, list[int]], idf: list[float]) -> list[int]:
+    """Where template ``i`` may start: starts on which enough of its rarest words in the file agree."""
+    rarest = sorted((w for w in set(WORDS[i]) if w in where), key=lambda w: (-idf[w], w))[:RAREST]
+    postings = [(w, at) for at, w in enumerate(WORDS[i]) if w in rarest]
+    votes: dict[int, set[int]] = defaultdict(set)
+    for w, at in postings:
+        for place in where[w]:
+            votes[place - at].add(w)
+    enough = min(AGREE, len(rarest))
+    return sorted(s for s, agreeing in votes.items() if len(agreeing) >= enough)
+
+
+def match(places: list[int], idf: list[float]) -> tuple[set[str], float]:
+    """Labels of the templates that a file has, and the best share of a template's weight in place; ``places`` as in ``noted``."""
+    at_place = dict(zip(places[1::2], places[0::2], strict=True))
+    where: dict[int, list[int]] = defaultdict(list)
+    for at, w in at_place.items():
+        where[w].append(at)
+    labels, score = set(), 0.0
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        if not NEEDED[i] <= where.keys():
+            continue
+        # a template whose key phrases stand nowhere is not looked up
+        stands = [[s for s in where[k[0]] if all(at_place.get(s + j) == w for j, w in enumerate(k))] for k in KEYS[i]]
+        if not all(stands):
+            continue
+        size = len(WORDS[i])
+        room = max(LEAST_ROOM, int(ROOM * size))
+        weight = sum(max(idf[w], 0.1) for w in WORDS[i])
+        for start in starts_of(i, where, idf):
+            if all(any(start - room <= s and s + len(k) <= start + size + room for s in found) for k, found in zip(KEYS[i], stands, strict=True)):
                 labels.add(label)
-                same = sum(max(self.idf[w], 0.1) for at, w in enumerate(t) if 0 <= start + at < len(words) and words[start + at] == w)
-                score = max(score, same / self.weight[i])
-        return labels, score
+                score = max(score, sum(max(idf[w], 0.1) for j, w in enumerate(WORDS[i]) if at_place.get(start + j) == w) / weight)
+    return labels, score
 
 
-def _scanner(idf: dict[str, float]):
+def _matcher(idf: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(idf)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch, rows = whole.slice(at, BATCH), []
-                for text in batch.column("text"):
-                    words = tokens(text.as_py())
-                    base = index.places(words)
-                    labels, score = index.match(words)
-                    kinds = {label for _, label in base}
-                    starts = [s for s, _ in base]
-                    rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(kinds)), ",".join(sorted(kinds | labels)), float(max(score, 1.0 if base and not labels else 0.0))))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+        for batch in batches:
+            labels, scores = [], []
+            for base, places in zip(batch.column("base_labels").to_pylist(), batch.column("places"), strict=True):
+                found, score = match(places.as_py(), idf) if places.is_valid else (set(), 0.0)
+                labels.append(",".join(sorted(found | (set(base.split(",")) if base else set()))))
+                scores.append(float(1.0 if base and not found else min(score, 1.0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "labels", "score"])
 
     return run
 
@@ -154,8 +164,9 @@ def _scanner(idf: dict[str, float]):
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    notes = common.written(docs.select("doc_id", "text").mapInArrow(_note, f"doc_id {kind}, {NOTES}"))
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(_scanner(inverse_frequencies(docs)), schema)
+    return notes.drop("present").mapInArrow(_matcher(inverse_frequencies(notes)), schema)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -122,10 +123,57 @@ def test_license_scan(spark):
     assert lic.scan(docs.filter("false")).count() == 0
 
 
-def test_license_index_misses_no_template(spark):
-    words = " ".join(t for _, t, _ in lic.TEMPLATES).split()
-    index = lic.Index(dict.fromkeys(lic.VOCABULARY, 1.0))
-    for label, t, _ in lic.TEMPLATES:
-        assert label in index.match(("x y " + t + " z").encode().split())[0]
-    every = {label for label, _, keys in lic.TEMPLATES}
-    assert index.match(" ".join(words).encode().split())[0] == every
+def slow_match(words, idf):
+    """Labels and score by trying each template at each place of the file."""
+    labels, score = set(), 0.0
+    have = set(words)
+    for label, text, keys in lic.TEMPLATES:
+        t, keys = lic.tokens(text), [lic.tokens(k) for k in keys]
+        rarest = sorted((w for w in set(t) & have), key=lambda w: (-idf[w], w))[: lic.RAREST]
+        room = max(lic.LEAST_ROOM, int(lic.ROOM * len(t)))
+        for start in range(-len(t), len(words)):
+            same = [w for j, w in enumerate(t) if 0 <= start + j < len(words) and words[start + j] == w]
+            if not same or len(set(same) & set(rarest)) < min(lic.AGREE, len(rarest)):
+                continue
+            inside = words[max(0, start - room) : max(0, start + len(t) + room)]
+            if all(any(inside[j : j + len(k)] == k for j in range(len(inside))) for k in keys):
+                labels.add(label)
+                score = max(score, sum(max(idf[w], 0.1) for w in same) / sum(max(idf[w], 0.1) for w in t))
+    return labels, score
+
+
+def test_licenses_match_brute_force(spark):
+    rng = random.Random(5)
+    common_words = ["the", "of", "license", "software", "w1", "w2", "w3", "public", "version", "and", "by", "all"]
+    texts = []
+    for i in range(150):
+        part = lic.tokens(rng.choice(lic.TEMPLATES)[1])
+        part = [w.decode() for w in part]
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randrange(3)] = rng.choice([[], ["copyright", "w1"], [rng.choice(common_words)]])
+        if rng.random() < 0.3:
+            part = part[: rng.randrange(len(part) + 1)]
+        filler = lambda: [rng.choice(common_words) for _ in range(rng.randrange(25))]
+        texts.append(" ".join(filler() + part + filler()))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = {i: lic.tokens(t) for i, t in enumerate(texts)}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in set(x) for x in words.values()) + 0.5)) for w in lic.VOCABULARY}
+    got = {r.doc_id: r for r in lic.scan(docs).collect()}
+    kinds = set()
+    for i, x in words.items():
+        labels, score = slow_match(x, idf)
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == labels | base, texts[i]
+        assert abs(got[i].score - (1.0 if base and not labels else score)) < 1e-9
+        kinds |= labels
+    assert len(kinds) > 12
+
+
+def test_every_template_is_found():
+    idf = [1.0] * len(lic.VOCABULARY)
+    for label, text, _ in lic.TEMPLATES:
+        labels, score = lic.match(lic.noted(lic.tokens("x the y " + text + " z"))[1], idf)
+        assert label in labels and score == 1.0
+    every = " x ".join(text for _, text, _ in lic.TEMPLATES)
+    assert lic.match(lic.noted(lic.tokens(every))[1], idf)[0] == {label for label, _, _ in lic.TEMPLATES}
