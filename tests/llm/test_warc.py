@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from meshloom.llm import common, warc
 
@@ -49,7 +50,7 @@ def test_pointer_jumping(spark):
         true.append(at)
         rows.append(("f", at + 50, [at + n, at + 60, None, at + n + 100 + i + 1][i % 4]))
         at += n
-    found = spark.createDataFrame(rows, "file string, at long, next long")
+    found = spark.createDataFrame([(f, at // 700, at, n) for f, at, n in rows], "file string, block long, at long, next long")
     assert sorted(r.at for r in warc.reachable(found).collect()) == true
 
 
@@ -68,3 +69,18 @@ def test_long_url_in_mid_file(spark):
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_digest) for r in warc.digests(warc.read(spark, path)).collect()}
     kinds = [("response", None), ("response", None), ("revisit", 0), ("revisit", 0), ("response", None)]
     assert got == {i: (*kinds[i], hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = "A" * 200, "B" * 200, "short"
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, a), (None, b), (None, a), (1, a), (7, c), (7, None)]
+    path = common.shared_dir(spark)
+    warc.write(spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string"), path)
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    assert text.count("WARC-Date: 2") == len(rows) and text.count("WARC-Record-ID: <urn:page::") == 3
+    ids = set(re.findall("WARC-Record-ID: (<.*?>)", text))
+    assert set(re.findall("WARC-Refers-To: (<.*?>)", text)) <= ids and len(ids) == 8
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.digests(warc.read(spark, path)).collect()), key=repr)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = {(5, a): ("revisit", 1), (7, b): ("revisit", 5)}
+    assert got == sorted(((i, sha(t), *want.get((i, t), ("response", None))) for i, t in rows), key=repr)
