@@ -25,10 +25,14 @@ def test_base_scores_match_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["the", "A", "é", "zz", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(60)))) for i in range(150)] + [(None, "X y"), (7, None), (8, ""), (9, "\x00 nul \x85x")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
-    for most in (1 << 17, 20):  # all words sent to the tasks, or most joined
+    scores = []
+    for most in (1 << 17, 20):  # all words and contexts sent to the tasks, or most joined
         monkeypatch.setattr(lm, "MOST_WORDS", most)
+        monkeypatch.setattr(lm, "MOST_KEYS", most)
+        scores.append(sorted((str(r.doc_id), round(r.score, 6)) for r in lm.score(docs).collect()))
         got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.score(docs).collect())
         assert got == sorted((i if i is not None else -1, *x[:4], round(x[4], 6)) for (i, _), x in zip(rows, brute(rows), strict=True))
+    assert scores[0] == scores[1]
 
 
 def test_empty(spark):
@@ -46,10 +50,9 @@ def _rows(texts):
     return [(*k, n) for k, n in seen.items()]
 
 
-def test_tree_matches_recursive_weighting():
+def test_tree_matches_recursive_weighting(spark):
     texts = [b"abracadabra", b"abra", b"cadabra abra"]
     rows = _rows(texts)
-    tree = lm.Tree(rows)
     counts = defaultdict(lambda: np.zeros(256))
     for d, c, b, n in rows:
         counts[d, c][b] += n
@@ -98,8 +101,15 @@ def test_tree_matches_recursive_weighting():
         for level in range(8):
             p = p_one(path, (level, data[i] >> (8 - level)))
             total += math.log10(p if data[i] >> (7 - level) & 1 else 1 - p)
-    assert abs(tree.score([text])[0] - total) < 1e-4
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(1), 1, atol=1e-4)
+    # the text is held out, so its own contexts have counts of 0
+    ids = [i for i in range(40) if not lm.is_held_out(i)][: len(texts)] + [next(i for i in range(100) if lm.is_held_out(i))]
+    docs = spark.createDataFrame(list(zip(ids, [t.decode() for t in [*texts, text]], strict=True)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs).collect()}
+    assert got[ids[-1]].held_out and abs(got[ids[-1]].score - total) < 1e-6
+    # after one context, the probabilities of all bytes add up to 1
+    grams = [(int.from_bytes(b"abra" + bytes([b]), "big"), 3 if b == 0 else 1 if b == 32 else 0) for b in range(256)]
+    logs = lm.byte_logs(spark.createDataFrame(grams, "key long, n long")).collect()
+    assert len(logs) == 256 and abs(sum(10**r.value for r in logs) - 1) < 1e-9
 
 
 def test_held_out_text_is_predicted(spark):
