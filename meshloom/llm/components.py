@@ -24,7 +24,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.written(large)
+        large, old = common.written(large), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).filter("u <> v").distinct()
         edges = common.written(small)
+        common.dropped(large, old)

@@ -7,8 +7,11 @@ hold a prefix of each set in the order of document frequency, rarest first: sets
 nothing there cannot reach the threshold. Candidates are verified on the whole sets.
 
 Hot lists do not become all their pairs: equal sets are one class, each set is first verified against the
-hub of its lists, and only sets of lists that then still span several components are compared pair by pair. The components
-are the same as with all pairs, since a pair inside a component cannot change them.
+hub of its lists, and only sets of lists that then still span several components are compared pair by pair: those
+outside a list's largest component with all of it, of sizes that can reach the threshold, hot lists cut into parts. The
+components are the same as with all pairs, since a pair inside a component cannot change them.
+
+Tables between the steps are removed as soon as what is made of them is written.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text with fewer words than n has one
 n-gram, all its words; repeated rows and ids are members of their classes; an id that is null counts as greater
@@ -35,6 +38,8 @@ from meshloom.llm.components import connected_components
 SMALL = 24
 CHUNK = 4 << 20
 NULL_ID = (1 << 63) - 1
+#: Sets of one list that are joined pair by pair in one group at most.
+PART = 2048
 #: Cost of a counted n-gram against one enumerated subset: it is shuffled to be counted, to its list and to its set.
 SCAN_COST = 3.0
 
@@ -110,15 +115,19 @@ def _setter(n: int, num: int, den: int):
                 kept = [s if len(s) <= SMALL else s[:e] for s, e in zip(sets, k, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.int32()), grams], names=["doc_id", "n", "sig", "low", "k", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.int32()), grams], names=["doc_id", "t", "n", "sig", "low", "k", "grams"])
 
     return run
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def class_tables(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(one row for each document: row, doc_id, n, sig, grams), (one for each different set: sig, row, doc_id, n)."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = ids.mapInArrow(_setter(n, num, den), "doc_id long, n long, sig binary, low int, k int, grams array<bigint>")
+    """(one row for each document: row, doc_id, t, n, sig, low, k, grams), (one for each different set: sig, row, doc_id, n)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"), "text")
+    rows = ids.mapInArrow(_setter(n, num, den), "doc_id long, t long, n long, sig binary, low int, k int, grams array<bigint>")
     base = common.written(rows.withColumn("row", F.monotonically_increasing_id()))
     key = F.coalesce("doc_id", F.lit(NULL_ID))
     first = base.filter("n > 0").groupBy("sig").agg(F.min(F.struct(key.alias("doc_id"), F.col("row"), F.col("n"))).alias("f"))
@@ -161,18 +170,27 @@ def light_links(sets: DataFrame, x: int, num: int, den: int) -> DataFrame:
     keys = sets.filter(F.col("n") <= x).select("row", "grams").mapInArrow(_subsets(x, num, den), "subset binary, row long, hub boolean")
     keys = common.written(keys)
     hubs = keys.filter("hub").groupBy("subset").agg(F.min("row").alias("a"))
-    return keys.join(hubs, "subset").filter("row <> a").select("a", F.col("row").alias("b")).distinct()
+    links = common.written(keys.join(hubs, "subset").filter("row <> a").select("a", F.col("row").alias("b")).distinct())
+    common.dropped(keys)
+    return links
+
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """(gram, row) -> row, g: the n-grams of each row that another row has too, as (df, gram), rarest first."""
+    # counts and rows come from one exchange by n-gram, of the same two columns; n-grams of one row end there
+    posts = posts.repartition("gram")
+    many = posts.groupBy("gram").agg(F.count("*").alias("df"), F.min("row").alias("x"), F.max("row").alias("y")).filter("x < y").select("gram", "df")
+    return posts.join(many, "gram").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
 
 
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, row, n): each set's prefix in the order of document frequency, without n-grams that no other set has."""
-    posts = sets.select(F.explode(F.transform(F.slice("grams", 1, F.col("k")), lambda g: F.struct(g.alias("gram"), F.col("row"), F.col("n"), F.col("k"), F.col("low")))).alias("e")).select("e.*")
-    shared = posts.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = posts.join(shared, "gram").groupBy("row").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("low").alias("low"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    """(gram, row): each set's prefix in the order of document frequency, without n-grams that no other set has."""
+    posts = sets.select(F.col("row"), F.explode(F.slice("grams", 1, F.col("k"))).alias("gram"))
+    rows = _shared(posts.select("gram", "row")).join(sets.select("row", "n", "k", "low"), "row")
     p = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
     # the others of the k counted n-grams are in no other set and come first
     some = F.slice("g", 1, F.greatest(F.lit(0).cast("long"), p - (F.col("k") - F.size("g"))).cast("int"))
-    return rows.select("row", "n", F.explode(F.when(F.col("low") >= p, some).otherwise(F.col("g"))).alias("e")).select("e.gram", "row", "n")
+    return rows.select("row", F.explode(F.when(F.col("low") >= p, some).otherwise(F.col("g"))).alias("e")).select("e.gram", "row")
 
 
 def _reaches(a: str, b: str, num: int, den: int):
@@ -197,15 +215,15 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     sets = common.written(texts.join(common.if_small(wanted, 1_000_000), "doc_id").select("text", "row", "sig").mapInArrow(run, "row long, n long, grams array<bigint>"))
     if sets.groupBy("row").count().filter("count > 1").limit(1).count():
-        sets = common.written(sets.dropDuplicates(["row"]))  # rows that repeat id and text
+        once = common.written(sets.dropDuplicates(["row"]))  # rows that repeat id and text
+        common.dropped(sets)
+        return once
     return sets
 
 
 def exact_prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(row, n, alone, gram, pos): prefixes of whole sets in the order of document frequency among them; ``alone`` n-grams are in no other set and come first."""
-    posts = sets.select("row", "n", F.explode("grams").alias("gram"))
-    shared = posts.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = posts.join(shared, "gram").groupBy("row").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    rows = _shared(sets.select(F.explode("grams").alias("gram"), "row")).join(sets.select("row", "n"), "row")
     rows = rows.select("row", "n", (F.col("n") - F.size("g")).alias("alone"), "g", F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1").alias("p")).filter("p > alone")
     rows = rows.select("row", "n", "alone", F.posexplode(F.slice("g", 1, (F.col("p") - F.col("alone")).cast("int"))).alias("pos", "e"))
     return rows.select("row", "n", "alone", "e.gram", (F.col("pos") + F.col("alone")).alias("pos"))
@@ -220,13 +238,38 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.filter(den * F.col("same") >= num * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
 
 
+def open_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components that may reach the threshold, of lists (gram, row, n, pos, component) that span several.
+
+    Sets outside a list's largest component meet all others of it. A list is joined in parts: by size, so that only
+    sizes whose ratio can reach the threshold meet, and, where more than PART sets are left in a part, by hash.
+    """
+    sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("c"))
+    large = sizes.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
+    large = large.select("gram", F.col("m.component").alias("large"), (F.col("all") - F.col("m.c")).alias("others"))
+    placed = placed.join(large, "gram")
+    # sizes s <= t with num * t <= den * s lie in the same step of the logarithm or in neighbouring ones
+    step = F.floor(F.log("n") / float(np.log(den / num)) + 1e-9).cast("int")
+    cuts = F.ceil(F.col("others") / PART).cast("int")
+    left = placed.filter("component <> large").select("gram", F.explode(F.array(step - 1, step, step + 1)).alias("step"), F.pmod(F.hash("row"), cuts).alias("cut"), F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("posa"), F.col("component").alias("ca"))
+    right = placed.select("gram", step.alias("step"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("component").alias("cb"), "large")
+    pairs = left.join(right, ["gram", "step", "cut"]).filter("ca <> cb AND (cb = large OR a < b)").filter(_reaches("a", "b", num, den))
+    # no more can be shared than the n-grams met in the prefixes and what follows the last of them
+    best = F.count("*") + F.least(F.max(F.col("na") - F.lit(1)) - F.max("posa"), F.max(F.col("nb") - F.lit(1)) - F.max("posb"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(best.alias("most"), (F.max("na") + F.max("nb")).alias("both"))
+    return pairs.filter(f"({den} + {num}) * most >= {num} * both").select("a", "b")
+
+
 def heavy_links(sets: DataFrame, docs: DataFrame, classes: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links that, with ``known``, connect all sets that a chain of links connects."""
     # sets that share something in a prefix of their counted n-grams; most texts of a corpus end here
     lists = common.written(prefixes(sets, num, den))
     met = lists.join(lists.groupBy("gram").count().filter("count > 1"), "gram", "left_semi").select("row").distinct()
-    whole = whole_sets(docs, common.written(classes.join(met, "row").select("row", "doc_id", "sig")), n)
+    wanted = common.written(classes.join(met, "row").select("row", "doc_id", "sig"))
+    common.dropped(lists)
+    whole = whole_sets(docs, wanted, n)
     lists = common.written(exact_prefixes(whole, num, den))
+    common.dropped(wanted)
     # first, each set with the hub that it meets most often: of a list, the set with the smallest share of n-grams of its own
     hubs = lists.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("x"), "row", "n", "pos")).alias("h")).select("gram", F.col("h.row").alias("a"), F.col("h.n").alias("na"), F.col("h.pos").alias("posa"))
     seen = lists.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"))
@@ -237,42 +280,62 @@ def heavy_links(sets: DataFrame, docs: DataFrame, classes: DataFrame, known: Dat
     labels = connected_components(links)
     placed = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
-    placed = common.written(placed.join(open_, "gram"))
-    left, right = (placed.select("gram", F.col("row").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"pos{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    pairs = left.join(right, "gram").filter("a < b AND ca <> cb").filter(_reaches("a", "b", num, den))
-    # no more can be shared than the n-grams met in the prefixes and what follows the last of them
-    best = F.count("*") + F.least(F.max(F.col("na") - F.lit(1)) - F.max("posa"), F.max(F.col("nb") - F.lit(1)) - F.max("posb"))
-    pairs = pairs.groupBy("a", "b").agg(best.alias("most"), (F.max("na") + F.max("nb")).alias("both")).filter(f"({den} + {num}) * most >= {num} * both").select("a", "b")
+    placed = common.written(placed.join(open_, "gram").select("gram", "row", "n", "pos", "component"))
+    common.dropped(lists)
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = common.written(pairs.join(tested, ["a", "b"], "left_anti"))
-    return common.written(verified(pairs, whole, num, den).unionByName(links))
+    pairs = common.written(open_pairs(placed, num, den).join(tested, ["a", "b"], "left_anti"))
+    common.dropped(placed, first)
+    more = common.written(verified(pairs, whole, num, den).unionByName(links))
+    common.dropped(pairs, links, whole)
+    return more
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each of ``docs`` (doc_id, text): components of links with den * overlap >= num * union."""
+def labelled(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, t, n, sig) of each of ``docs``, and (sig, row, doc_id, node) of each different set; node: the row that stands for its component."""
     base, classes = class_tables(docs, n, num, den)
     sizes = {r.n: r["count"] for r in classes.filter(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}
     x = boundary(sizes, num, den)
-    sets = base.select("row", "n", "grams", "k", "low").join(classes.select("row"), "row")
-    light = common.written(light_links(sets, x, num, den))
+    # rows whose set another row stands for
+    others = common.written(base.select("row").join(classes.select("row"), "row", "left_anti"))
+    sets = base.select("row", "n", "grams", "k", "low").join(common.if_small(others, 1_000_000), "row", "left_anti").filter("n > 0")
+    light = light_links(sets, x, num, den)
     scanned = sets.filter(F.col("n") * den >= num * (x + 1))
     links = heavy_links(scanned, docs, classes, light, n, num, den)
-    named = connected_components(links).join(classes.select(F.col("row").alias("node"), "doc_id"), "node")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "component").select(F.col("node").alias("row"), "component_id")
-    class_of = classes.select("sig", "row", F.col("doc_id").alias("own")).join(labels, "row", "left").select("sig", F.coalesce("component_id", "own").alias("component_id"))
-    return base.select("doc_id", "n", "sig").join(class_of, "sig", "left").select(
+    rows = common.written(base.select("row", "doc_id", "t", "n", "sig"))
+    common.dropped(base, others, light)
+    named = connected_components(links).withColumnRenamed("node", "row")
+    named = common.written(classes.join(named, "row", "left").select("sig", "row", "doc_id", F.coalesce("component", "row").alias("node")))
+    common.dropped(classes, links)
+    return rows, named
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of each of ``docs`` (doc_id, text): components of links with den * overlap >= num * union."""
+    rows, named = labelled(docs, n, num, den)
+    least = named.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    class_of = named.select("sig", "node").join(least, "node").select("sig", "component_id")
+    return rows.select("doc_id", "n", "sig").join(class_of, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NULL_ID)).alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without those that another row stands for: of each component, one row of the least id stays."""
-    classes = common.written(join(docs, n, num, den))
-    gone = common.if_small(classes.filter("doc_id <> component_id").select("doc_id").distinct(), 1_000_000)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows with an id that occurs again: one of those of each class stays
-    again = common.if_small(classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """The rows of ``docs`` without those that another row stands for.
+
+    Of each component one row stays: that of the least id, null ids last; of rows that share this id, one. Rows without words stay all.
+    """
+    rows, named = labelled(docs, n, num, den)
+    stays = common.written(named.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.row"))
+    # a row of docs is told from others by its id and the hash of its text; rows that agree in both are repeats
+    keys = rows.filter("n > 0").select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), "t")
+    gone = common.written(keys.join(stays, "row", "left_anti").select("i", "t").distinct())
+    again = common.written(gone.join(keys.join(stays, "row").select("i", "t"), ["i", "t"], "left_semi"))
+    none = common.written(gone.join(again, ["i", "t"], "left_anti"))
+    common.dropped(rows, named, stays, gone)
+    at = docs.select(F.struct("*").alias("d"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("i"), _text_hash().alias("t"))
+    left = at.join(common.if_small(none, 1_000_000), ["i", "t"], "left_anti")
+    again = common.if_small(again)
+    once = left.join(again, ["i", "t"], "left_semi").dropDuplicates(["i", "t"])
+    return left.join(again, ["i", "t"], "left_anti").select("d.*").unionByName(once.select("d.*"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,29 @@ def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (501, 500), (7, 7), (900, 500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 900: 500}
+
+
+def test_representatives_keep_one_row_of_each_component(spark):
+    a, near = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s t u"
+    unique = "quite another text of so many words that no one else has"
+    rows = [(1, a, "x"), (5, a, "x"), (5, unique, "x"), (5, unique, "y"), (None, a, "x"), (7, near, "x"), (None, "no id here but words", "x"), (9, None, "x"), (9, None, "x"), (10, "", "x"), (1, a, "x"), (3, "A B", "x"), (3, "a b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, i string")
+    got = sorted(((r.doc_id, (r.text or "").lower(), r.text is None) for r in j.representatives(docs).collect()), key=repr)
+    assert got == sorted([(1, a, False), (5, unique, False), (None, "no id here but words", False), (9, "", True), (9, "", True), (10, "", False), (3, "a b", False)], key=repr)
+    assert j.representatives(docs).columns == docs.columns and j.representatives(docs.filter("false")).count() == 0
+
+
+def test_open_pairs_are_all_pairs_that_can_reach(spark, monkeypatch):
+    monkeypatch.setattr(j, "PART", 3)
+    rng = random.Random(2)
+    lists = [(g, r, 20 + r * 3, rng.randrange(4), r if rng.random() < 0.5 else 1) for g in range(4) for r in range(40) if rng.random() < 0.8]
+    comp = {r: c for _, r, _, _, c in lists}
+    lists = [(g, r, n, p, comp[r]) for g, r, n, p, _ in lists]
+    got = {(r.a, r.b) for r in j.open_pairs(spark.createDataFrame(lists, "gram long, row long, n long, pos int, component long"), 80, 100).collect()}
+    met = {}
+    for g, r, n, p, c in lists:
+        for h, r2, n2, p2, c2 in lists:
+            if g == h and r < r2 and c != c2 and 180 * (n - p) >= 80 * (n + n2) and 180 * (n2 - p2) >= 80 * (n + n2):
+                x = met.setdefault((r, r2), [0, 0, 0, n, n2])
+                x[0], x[1], x[2] = x[0] + 1, max(x[1], p), max(x[2], p2)
+    assert got == {k for k, (c, p, p2, n, n2) in met.items() if 180 * (c + min(n - 1 - p, n2 - 1 - p2)) >= 80 * (n + n2)}
