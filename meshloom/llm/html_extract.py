@@ -1,13 +1,15 @@
 """Main text of HTML pages by a tree-structured graphical model over the DOM.
 
 Each block element of a page is a node with a hidden state, content or not. Node potentials come from what is
-seen of it (kind of tag, length of its own text, share of linked text below it, names that mark page parts),
-parent-child potentials from the kind of the child. Sum-product messages pass once from the leaves to the root
-and once back, which gives the exact marginal of each node; texts of nodes above one half are the page's text.
+seen of it (kind of tag, length of its own text, share of linked text below it, whether it lies in an article and in a
+marked part, and the words of its names, hashed), parent-child potentials from the kind of the child. Sum-product
+messages pass once from the leaves to the root and once back, which gives the exact marginal of each node; texts of
+nodes above one half are the page's text.
 
 Potentials are smoothed relative frequencies from labelled pages: pages with an ``article`` or ``main`` element,
-whose blocks inside it and outside marked parts are content. A page is also counted with those elements'
-names hidden, so pages without them are judged by the rest. At most ``TRAIN_PAGES`` labelled pages are used.
+whose blocks inside it and outside marked parts are content. A page is counted three times: as it is, with those
+elements hidden, and with all names and marks hidden too, so that other pages are judged by the rest. Known marks
+have prior counts for what no labelled page shows. At most ``TRAIN_PAGES`` labelled pages are used.
 
 Defined results: a null or empty html gives an empty text; repeated rows are separate rows; an empty table gives
 no rows; unclosed and stray tags are repaired as browsers do for blocks; other columns are ignored. Scripts and the
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,8 @@ from meshloom.llm import common
 
 #: Labelled pages that are used for training at most.
 TRAIN_PAGES = 2000
+#: Kinds that words of names are hashed to.
+NAME_KINDS = 1 << 10
 BATCH = 128
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -49,14 +55,16 @@ KIND = {
 MARKED_TAGS = frozenset("nav header footer aside form dialog menu".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|footer|sidebar|side|aside|complementary|ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal"
-    r"|comments?|commentlist|respond|reply|replies|disqus|share|sharing|social|related|recommend\w*|subscribe|subscription|newsletter|signup|login|search|breadcrumbs?|pagination|pager|widget|contentinfo|copyright|toolbar|skip)(?:$|[\s_-])",
+    r"|comments?|commentlist|respond|reply|replies|disqus|share|sharing|social|related(?![_-](?:work|research|literature))|recommend\w*|subscribe|subscription|newsletter|signup|login|search|breadcrumbs?|pagination|pager|widget|contentinfo|copyright|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
 #: Names of an article that is none, names that tell of a page's layout, and tags whose names mark nothing.
-REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|related|promo\w*|sponsor\w*|ads?|advert\w*)(?:$|[\s_-])", re.I)
+REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|reply|related(?![_-](?:work|research|literature))|promo\w*|sponsor\w*|ads?|advert\w*)(?:$|[\s_-])", re.I)
 LAYOUT = re.compile(r"\b(?:has|with|without|no|js)-[\w-]+")
+#: An article's own header holds its title.
+OWN_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
 UNNAMED = frozenset("main body html h1 h2 h3 h4 h5 h6".split())
-GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])", re.I)
+WORD = re.compile(r"[a-z]+")
 #: An open element of the key's kind is closed by the start of the named ones.
 CLOSED_BY = {"p": frozenset(k for k, v in KIND.items() if v != "box" or k in ("div", "section", "article", "main", "center", "figure", "address", "details", "fieldset")), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 #: What a list item, cell or row does not close beyond.
@@ -64,10 +72,10 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}
 
 
 class Node:
-    __slots__ = ("parent", "tag", "marked", "inside", "good", "own", "linked", "all", "all_linked")
+    __slots__ = ("parent", "tag", "marked", "inside", "names", "own", "linked", "all", "all_linked")
 
-    def __init__(self, parent: int, tag: str, marked: bool, inside: bool, good: bool):
-        self.parent, self.tag, self.marked, self.inside, self.good = parent, tag, marked, inside, good
+    def __init__(self, parent: int, tag: str, marked: bool, inside: bool, names: tuple[str, ...]):
+        self.parent, self.tag, self.marked, self.inside, self.names = parent, tag, marked, inside, names
         self.own = self.linked = self.all = self.all_linked = 0
 
 
@@ -124,7 +132,7 @@ def _tokens(page: str, around: Callable[[], set[str]]) -> Iterator[re.Match]:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block nodes in page order, and (node, raw text) runs; a run starts a new block where its node or a break says so."""
-    nodes = [Node(-1, "html", False, False, False)]
+    nodes = [Node(-1, "html", False, False, ())]
     runs: list[tuple[int, str]] = []
     stack, links, head = [0], 0, False
     for m in _tokens(page, lambda: {nodes[s].tag for s in stack}):
@@ -175,9 +183,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         up = nodes[stack[-1]]
         names = " ".join(x for t in NAMES.findall(m[3]) for x in t if x)
         own = REMARK.search if tag == "article" else None if tag in UNNAMED else MARKED.search
-        marked = up.marked or tag in MARKED_TAGS or bool(names and own and own(LAYOUT.sub(" ", names))) or bool(HIDDEN.search(m[3]))
+        told = LAYOUT.sub(" ", names)
+        if up.inside:
+            told = OWN_HEADER.sub(" ", told)
+        part = tag in MARKED_TAGS and not (tag == "header" and up.inside)
+        marked = up.marked or part or bool(told and own and own(told)) or bool(HIDDEN.search(m[3]))
         article = tag in ("article", "main") and not marked
-        nodes.append(Node(stack[-1], tag, marked, up.inside or article, bool(names and GOOD.search(names))))
+        nodes.append(Node(stack[-1], tag, marked, up.inside or article, name_kinds(names) if names else ()))
         stack.append(len(nodes) - 1)
         runs.append((-1, ""))
     for node in nodes:
@@ -189,24 +201,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
-def features(node: Node, labelled: bool) -> tuple[str, ...]:
-    """What is seen of a node; ``labelled``: the page has an article, so blocks outside are seen to be outside."""
+@lru_cache(4096)
+def name_kinds(names: str) -> tuple[str, ...]:
+    """The words of an element's names as feature names, of NAME_KINDS kinds."""
+    return tuple(sorted({f"h{zlib.crc32(w.encode()) % NAME_KINDS}" for w in WORD.findall(names.lower())}))
+
+
+def features(node: Node, labelled: bool, named: bool = True) -> tuple[str, ...]:
+    """What is seen of a node; ``labelled``: the page has an article, so blocks outside are seen to be outside; ``named``: names and marks are seen."""
     share = "none" if not node.all else "0" if not node.all_linked else "low" if node.all_linked < 0.3 * node.all else "high"
     size = "0" if not node.own else "s" if node.own < 25 else "m" if node.own < 80 else "l" if node.own < 250 else "x"
     place = ("in" if node.inside else "out") if labelled else "any"
-    return (f"i{place}{node.marked:d}", f"l{share}", f"n{size}", f"k{KIND[node.tag]}{node.good:d}")
+    kind = KIND[node.tag] if named or KIND[node.tag] != "part" else "box"
+    return (f"i{place}{node.marked:d}" if named else "i", f"l{share}", f"n{size}", f"k{kind}", *(node.names if named else ()))
+
+
+def states_of(nodes: list[Node]) -> list[bool] | None:
+    """The labels of a page's nodes; None for a page that has none."""
+    return [n.inside and not n.marked for n in nodes] if any(n.inside for n in nodes) else None
 
 
 def counts_of(page: str) -> Counter:
     """Counts of (feature, state) and (kind, parent's state, state) of a labelled page; nothing for an unlabelled one."""
     nodes, _ = parse(page)
     out: Counter = Counter()
-    if not any(n.inside for n in nodes):
+    states = states_of(nodes)
+    if states is None:
         return out
-    states = [n.inside and not n.marked for n in nodes]
-    for labelled in (True, False):
+    for labelled, named in ((True, True), (False, True), (False, False)):
         for node, y in zip(nodes, states, strict=True):
-            out.update((f, y) for f in features(node, labelled))
+            out.update((f, y) for f in features(node, labelled, named))
             if node.parent >= 0:
                 out[KIND[node.tag], states[node.parent], y] += 1
     return out
@@ -215,35 +239,42 @@ def counts_of(page: str) -> Counter:
 class Model:
     """Potentials from counts: {"f:<feature>:<state>" or "t:<kind>:<parent>:<state>": n}."""
 
-    #: Smoothing; small for what names mark, so that one such name outweighs the rest.
-    ALPHA, ALPHA_MARK = 1.0, 1e-6
+    #: Added to each count, and to those of a name's word in the shares of the states.
+    ALPHA, ALPHA_NAME = 0.1, 2.0
+    #: Counts that are there before any page: marked nodes are no content, those inside an article are; links are none, long text is.
+    PRIOR = {"iin0": (0, 5), "iin1": (50, 0), "iout0": (5, 0), "iout1": (50, 0), "iany0": (3, 5), "iany1": (50, 0), "lhigh": (4, 0.2), "nl": (0.5, 3), "nx": (0.3, 6), "kpart": (2, 0.1)}
 
     def __init__(self, counts: dict[str, int]):
         self.node: dict[str, tuple[float, float]] = {}
         self.pair: dict[str, tuple[float, float, float, float]] = {}
-        groups = {"i": [f"i{p}{m}" for p in ("in", "out", "any") for m in (0, 1)], "l": ["lnone", "l0", "llow", "lhigh"], "n": ["n0", "ns", "nm", "nl", "nx"], "k": [f"k{k}{g}" for k in sorted(set(KIND.values())) for g in (0, 1)]}
-        # before any page is counted: marked nodes are no content, nodes inside an article are, links are none, long text is
-        prior = {"iin0": (5, 1e-6), "iin1": (1e-6, 5), "iout0": (1e-6, 5), "iout1": (1e-6, 5), "iany0": (5, 3), "iany1": (1e-6, 5), "lhigh": (0.2, 4), "nl": (3, 0.5), "nx": (6, 0.3), "kbox1": (2, 0.3), "kpart0": (0.1, 2), "kpart1": (0.1, 2)}
-        for kind, names in groups.items():
-            alpha = self.ALPHA_MARK if kind == "i" else self.ALPHA
-            n = {f: [counts.get(f"f:{f}:{y}", 0) + prior.get(f, (1, 1))[1 - y] + alpha for y in (0, 1)] for f in names}
+        groups = [[f"i{p}{m}" for p in ("in", "out") for m in (0, 1)], ["iany0", "iany1"], ["lnone", "l0", "llow", "lhigh"], ["n0", "ns", "nm", "nl", "nx"], [f"k{k}" for k in sorted(set(KIND.values()))]]
+        seen = lambda f: [counts.get(f"f:{f}:{y}", 0) for y in (0, 1)]
+        for names in groups:
+            n = {f: [k + p + self.ALPHA for k, p in zip(seen(f), self.PRIOR.get(f, (1, 1)), strict=True)] for f in names}
             total = [sum(v[y] for v in n.values()) for y in (0, 1)]
             self.node |= {f: (v[0] / total[0], v[1] / total[1]) for f, v in n.items()}
+        everything = [k + 1 for k in seen("i")]
+        share = [k / sum(everything) for k in everything]
+        for h in range(NAME_KINDS):
+            n = seen(f"h{h}")
+            if any(n):
+                self.node[f"h{h}"] = tuple((n[y] / share[y] + self.ALPHA_NAME) / (sum(n) + self.ALPHA_NAME) for y in (0, 1))
         for kind in set(KIND.values()):
-            n = {(a, b): counts.get(f"t:{kind}:{a}:{b}", 0) + self.ALPHA * (4 if a == b else 1) for a in (0, 1) for b in (0, 1)}
+            n = {(a, b): counts.get(f"t:{kind}:{a}:{b}", 0) + (4 if a == b else 1) for a in (0, 1) for b in (0, 1)}
             self.pair[kind] = tuple(n[a, b] / (n[a, 0] + n[a, 1]) for a in (0, 1) for b in (0, 1))
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """Probability of content for each node, by one upward and one downward pass."""
+    def marginals(self, nodes: list[Node], labelled: bool | None = None, named: bool = True) -> list[float]:
+        """Probability of content for each node, by one upward and one downward pass; ``labelled`` and ``named`` as for ``features``."""
         n = len(nodes)
         b0, b1 = [1.0] * n, [1.0] * n
         b0[0], b1[0] = 0.7, 0.3
-        labelled = any(node.inside for node in nodes)
+        labelled = any(node.inside for node in nodes) if labelled is None else labelled
         for i, node in enumerate(nodes):
-            for f in features(node, labelled):
-                p = self.node[f]
-                b0[i] *= p[0]
-                b1[i] *= p[1]
+            for f in features(node, labelled, named):
+                p = self.node.get(f)
+                if p:
+                    b0[i] *= p[0]
+                    b1[i] *= p[1]
         m0, m1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
             z = b0[i] + b1[i]
@@ -286,7 +317,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
-    """A model from at most ``most`` pages that label themselves; the counts that come back are fewer than 200."""
+    """A model from at most ``most`` pages that label themselves; the counts that come back are of no more than NAME_KINDS + 50 features and states."""
     labelled = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
     chosen = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
     rows = labelled.join(F.broadcast(chosen), "page_id").select("html")

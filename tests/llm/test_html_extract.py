@@ -1,4 +1,8 @@
 import itertools
+import os
+from html.parser import HTMLParser
+
+import pytest
 
 from meshloom.llm import html_extract as h
 
@@ -28,7 +32,7 @@ def test_marginals_match_enumeration():
         w = (0.7, 0.3)[y[0]]
         for i, n in enumerate(nodes):
             for f in h.features(n, labelled):
-                w *= m.node[f][y[i]]
+                w *= m.node.get(f, (1, 1))[y[i]]
             if i:
                 w *= m.pair[h.KIND[n.tag]][2 * y[n.parent] + y[i]]
         weight += w
@@ -75,3 +79,68 @@ def test_text_after_skipped_elements():
         assert m.text(f"{start}<article><p>{text}</p></article>") == text, start
     assert m.text(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>") == text + " x=1"
     assert m.text(f"<article><button><p>{text}</p></button><p>{text}</p></article>") == text
+
+
+def test_an_articles_own_header_and_sections_stay():
+    m, text = model(pages()), PROSE.strip()
+    assert m.text(f"<body><header>Site</header><article><header class=post-header><h1>Title</h1></header><p>{text}</p></article></body>") == "Title " + text
+    assert m.text(f"<body><article><section class='related-work'><p>{text}</p></section><div class='related-posts'><p>{text}</p></div></article></body>") == text
+
+
+def test_names_are_learnt():
+    # a name that no list has, on parts that look like the text
+    page = "<body><article><h1>T</h1>{0}</article><div class='zorp'>{0}</div></body>"
+    m = model([page.format(f"<p>{PROSE}{i}</p>" * 3) for i in range(40)])
+    body = f"<p>{PROSE}</p>" * 3
+    nodes, _ = h.parse(f"<body><div class=other>{body}</div><div class='zorp'>{body}</div></body>")
+    p = m.marginals(nodes)
+    other, zorp = ([p[i] for i, n in enumerate(nodes) if nodes[n.parent].names == h.name_kinds(name)] for name in ("other", "zorp"))
+    assert len(other) == len(zorp) == 3 and max(zorp) < 0.1 and min(other) > 3 * max(zorp)
+
+
+class Plain(HTMLParser):
+    """The text of the article of a simple page, by the standard parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.out = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style")
+        self.out.append(" " if tag in ("p", "h1", "br", "div", "article") else "")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        self.out.append(" " if tag in ("p", "h1", "div", "article") else "")
+
+    def handle_data(self, data):
+        self.out.append(data if self.inside and not self.skip else "")
+
+
+def test_sample_pages_match_a_plain_parser(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample pages here")
+    df = spark.read.parquet(path)
+    got = {(r.page_id, r.text) for r in h.extract(df, h.train(df)).collect()}
+    want = set()
+    for r in df.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        want.add((r.page_id, " ".join("".join(plain.out).split())))
+    assert got == want
+
+
+def test_held_out_marginals_without_article_and_names(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample pages here")
+    rows = sorted(r.html for r in spark.read.parquet(path).select("html").collect() if r.html)
+    m, right, said, true = model(rows[::2]), 0, 0, 0
+    for page in rows[1::2]:
+        nodes, _ = h.parse(page)
+        for p, y in zip(m.marginals(nodes, labelled=False, named=False), h.states_of(nodes), strict=True):
+            right, said, true = right + (p > 0.5 and y), said + (p > 0.5), true + y
+    assert 2 * right / (said + true) > 0.85, (right, said, true)
