@@ -1,6 +1,6 @@
 """Quality rules as a bitmask ledger, in DataFrame functions only.
 
-Every rule is evaluated once for each document. The ledger keeps the measurements and one
+Every rule is evaluated once for each document. The ledger, a stored table, keeps the measurements and one
 bit for each failed rule; policies are bit masks over it, so a new policy version or an
 ablation study reads the ledger and never the texts.
 
@@ -126,8 +126,13 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of ``documents``, written once; policies and ablations read it."""
+    return common.written(ledger(common.table(spark, sf_dir, "documents")))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(common.table(spark, sf_dir, "documents"))
+    rows = stored_ledger(spark, sf_dir)
     failed = ~passes(POLICIES["2024-base"])
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
@@ -135,6 +140,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to ``documents``: (version, rule, counts), all from one ledger."""
+    rows = stored_ledger(spark, sf_dir)
+    each = [ablation(rows, p).select(F.lit(p.version).alias("version"), "*") for p in POLICIES.values()]
+    return each[0].unionByName(each[1])
+
+
 #: A quality stage keeps what this SQL calls kept; ``{docs}`` is a relation with doc_id and text, ``{key}`` tells its rows apart.
 SQL_LEDGER = r"""
 _t AS (SELECT {key} AS k, doc_id, COALESCE(text, '') AS text FROM {docs}),
@@ -156,3 +168,13 @@ SQL = "WITH " + SQL_LEDGER.replace("{docs}", "documents").replace("{key}", "row_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & {BASE_MASK}) <> 0 AS base_failed,
   bits = 0 AS kept, n_lines, n_capitals, CAST(bits AS BIGINT) AS fail_bits FROM _ledger
 """
+
+_RULE_ROWS = " UNION ALL ".join(
+    f"SELECT '{p.version}' AS version, '{name}' AS rule, {1 << i} AS bit, {p.mask} AS mask, {p.allowed} AS allowed" for p in POLICIES.values() for i, (name, _) in enumerate(RULES) if p.mask >> i & 1
+)
+ABLATION_SQL = "WITH " + SQL_LEDGER.replace("{docs}", "documents").replace("{key}", "row_number() OVER ()") + f""", _r AS ({_RULE_ROWS})
+SELECT version, rule, COUNT(*) FILTER (bits & bit <> 0) AS n_failed,
+  COUNT(*) FILTER (bits & bit <> 0 AND bit_count(bits & mask) > allowed AND bit_count((bits & mask) & ~bit) <= allowed) AS n_only_this,
+  COUNT(*) FILTER (bit_count(bits & mask) <= allowed) AS n_kept, COUNT(*) FILTER (bit_count((bits & mask) & ~bit) <= allowed) AS n_kept_without
+FROM _ledger, _r GROUP BY version, rule
+"""

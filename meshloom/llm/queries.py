@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_extract": html_extract.op10_html_extract,
+    "quality_ablation": quality_rules.quality_ablation,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_warc": warc.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_mix_sources": mixing.SQL,
+    "quality_ablation": quality_rules.ABLATION_SQL,
 }
