@@ -3,7 +3,9 @@
 Rules decide first: the longest rule whose host is the url's host or a parent domain of it and whose path
 starts the url's path. Hosts under an allow rule are trusted seeds, hosts under a block rule blocked seeds.
 Trust walks along links (personalised PageRank from the trusted seeds), distrust walks against them (from the
-blocked seeds), and each host without a rule is blocked where its distrust is above the threshold and its trust.
+blocked seeds), and each host without a rule is blocked where its distrust is above the threshold and its trust. A walk
+that comes to a host without further links starts again at a seed: so the ranks are those of walks that end there,
+scaled to add up to 1.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 repeated rows each get a row; pages without links give hosts without edges; an empty table gives no rows.
@@ -88,7 +90,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
     if precision is None:
         precision = min(PRECISION, PART * THRESHOLD / max(start.count(), 1))
     # a round shrinks the change of all ranks by the damping at least, so this much of the last change is left in all later ones
-    least, done = precision * (1 - damping) / damping, 0
+    least, done, last = precision * (1 - damping) / damping, 0, None
     while rounds is None or done < rounds:
         ahead = edges.join(rank.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("fwd")).alias("t"), F.lit(0.0).alias("b"))
         back = edges.join(rank.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("b"))
@@ -101,9 +103,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
         done += 1
         if rounds is None and (rank.agg(F.sum("change")).first()[0] or 0.0) <= least:
             break
+        common.dropped(*([last] if last else []))
+        last = rank
         rank = rank.drop("change")
-    rank = rank.select("host", "trust", "distrust")
-    return rank
+    common.dropped(edges, start)
+    # walks that end start again at the seeds: the same ranks, scaled
+    sums = rank.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("b")).first()
+    return rank.select("host", (F.col("trust") / (sums.t or 1.0)).alias("trust"), (F.col("distrust") / (sums.b or 1.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -155,7 +161,8 @@ h AS (SELECT host FROM s UNION SELECT src FROM e UNION SELECT dst FROM e),
 st AS MATERIALIZED (SELECT h.host, COALESCE(t, 0) / GREATEST((SELECT SUM(t) FROM s), 1.0) AS t0, COALESCE(b, 0) / GREATEST((SELECT SUM(b) FROM s), 1.0) AS b0 FROM h LEFT JOIN s ON s.host = h.host),
 r0 AS (SELECT host, t0 AS trust, b0 AS distrust FROM st),
 {rounds},
-f AS (SELECT page_id, v.host, path, rule, by_rule, ROUND(COALESCE(trust, 0), 12) AS t, ROUND(COALESCE(distrust, 0), 12) AS d FROM v LEFT JOIN r{ROUNDS} r ON r.host = v.host)
+z AS (SELECT COALESCE(NULLIF(SUM(trust), 0), 1) AS t, COALESCE(NULLIF(SUM(distrust), 0), 1) AS d FROM r{ROUNDS}),
+f AS (SELECT page_id, v.host, path, rule, by_rule, ROUND(COALESCE(trust / z.t, 0), 12) AS t, ROUND(COALESCE(distrust / z.d, 0), 12) AS d FROM v CROSS JOIN z LEFT JOIN r{ROUNDS} r ON r.host = v.host)
 SELECT page_id, host, path, rule, COALESCE(by_rule, CASE WHEN d > t AND d > {THRESHOLD} / GREATEST((SELECT COUNT(*) FROM h), 1) THEN 'block' ELSE 'allow' END) AS verdict,
   ROUND(t, 9) AS trust, ROUND(d, 9) AS distrust FROM f
 """

@@ -28,6 +28,7 @@ def test_propagation_matches_brute_force(spark):
             nt[d] += 0.85 * t[s] * n / sum(e[2] for e in edges if e[0] == s)
             nb[s] += 0.85 * b[d] * n / sum(e[2] for e in edges if e[1] == d)
         t, b = nt, nb
+    t, b = ({h: x / sum(z.values()) for h, x in z.items()} for z in (t, b))
     for h in hosts:
         assert abs(got[h].trust - t[h]) < 1e-12 and abs(got[h].distrust - b[h]) < 1e-12
 
@@ -48,9 +49,28 @@ def test_ranks_beyond_six_links(spark):
     chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(10)]
     seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h10", 0.0, 1.0)], "host string, trusted double, blocked double")
     got = {r.host: r for r in u.propagate(seeds, spark.createDataFrame(chain, "src string, dst string, n long")).collect()}
+    total = sum(u.DAMPING**i for i in range(11))
     for i in range(11):
-        assert abs(got[f"h{i}"].trust - (1 - u.DAMPING) * u.DAMPING**i) < 1e-9 and abs(got[f"h{10 - i}"].distrust - got[f"h{i}"].trust) < 1e-9
+        assert abs(got[f"h{i}"].trust - u.DAMPING**i / total) < 1e-9 and abs(got[f"h{10 - i}"].distrust - got[f"h{i}"].trust) < 1e-9
     cycle = spark.createDataFrame([("h0", "a", 1), ("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
     got = {r.host: r for r in u.propagate(seeds, cycle, precision=1e-2).collect()}
-    a = (1 - u.DAMPING) * u.DAMPING / (1 - u.DAMPING**2)
+    a = (1 - u.DAMPING) * u.DAMPING / (1 - u.DAMPING**2)  # no walk from h0 ends, so nothing is scaled
     assert abs(got["a"].trust - a) < 1e-2 and abs(got["b"].trust - a * u.DAMPING) < 1e-2 and got["h10"].trust == 0
+
+
+def test_walks_that_end_start_again_at_the_seeds(spark):
+    edges, seeds = [("a", "b"), ("a", "c"), ("c", "a"), ("s", "a"), ("s", "b")], {"a": 0.25, "s": 0.75}
+    rows = spark.createDataFrame([(h, w * 4, 0.0) for h, w in seeds.items()], "host string, trusted double, blocked double")
+    got = {r.host: r.trust for r in u.propagate(rows, spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long")).collect()}
+    rank = dict.fromkeys("abcs", 0.25)
+    for _ in range(400):
+        new = {h: (1 - u.DAMPING) * seeds.get(h, 0) for h in rank}
+        for h, x in rank.items():
+            out = [d for s, d in edges if s == h]
+            for d in out:
+                new[d] += u.DAMPING * x / len(out)
+            if not out:
+                for s, w in seeds.items():
+                    new[s] += u.DAMPING * x * w
+        rank = new
+    assert all(abs(got[h] - x) < 1e-9 for h, x in rank.items())
