@@ -1,15 +1,13 @@
 import math
 
-from pyspark.sql import functions as F
-
 from meshloom.llm import mixing as m
 
 
 def test_hypergeometric_quantiles(spark):
     cases = [(20, 7, 9), (5, 5, 2), (10, 0, 4), (1000, 300, 500), (1, 1, 0)]
     rows = [(n, k, d, (j + 0.5) / 400) for n, k, d in cases for j in range(400)]
-    df = spark.createDataFrame(rows, "n long, k long, d long, u double")
-    got = df.select("n", "k", "d", m.hypergeometric(F.col("n"), F.col("k"), F.col("d"), F.col("u")).alias("x")).groupBy("n", "k", "d", "x").count().collect()
+    df = spark.createDataFrame([(j, *r) for j, r in enumerate(rows)], "id long, n long, k long, m long, u double")
+    got = m.hypergeometric(df, "id").withColumnRenamed("m", "d").groupBy("n", "k", "d", "x").count().collect()
     for n, k, d in cases:
         share = {r.x: r["count"] / 400 for r in got if (r.n, r.k, r.d) == (n, k, d)}
         for x in range(max(0, d + k - n), min(k, d) + 1):
@@ -20,10 +18,15 @@ def test_hypergeometric_quantiles(spark):
 
 def test_tree_parts_add_up(spark):
     q = [50, 120, 7, 0, 300]
-    parts = m.split_tree(spark.createDataFrame([(q,)], "quotas array<bigint>"), 4).collect()
-    assert sorted(r.shard for r in parts) == [0, 1, 2, 3]
-    assert [sum(c) for c in zip(*(r.quotas for r in parts), strict=True)] == q
-    assert max(sum(r.quotas) for r in parts) - min(sum(r.quotas) for r in parts) <= 2
+    quotas = spark.createDataFrame(list(enumerate(q)), "place long, quota long")
+    parts = m.split_tree(quotas, 4, len(q)).collect()
+    assert {r.shard for r in parts} == {0, 1, 2, 3}
+    assert [sum(r.quota for r in parts if r.place == i) for i in range(len(q))] == q
+    sizes = [sum(r.quota for r in parts if r.shard == i) for i in range(4)]
+    assert max(sizes) - min(sizes) <= 2
+    # one that has more rounds than the sources need, and other seeds
+    assert sorted(m.split_tree(quotas, 4, 30).collect()) == sorted(parts)
+    assert sorted(m.split_tree(quotas, 4, len(q), "b").collect()) != sorted(parts)
 
 
 def test_mix(spark):
