@@ -157,3 +157,25 @@ def rgb555(deviation: Column) -> Column:
     channel = lambda a, b, c: F.least(F.lit(31), F.greatest(F.lit(0), round_half_up(F.when(dip, a).when(bump, b).otherwise(F.lit(float(c)))))).cast("int")
     r, g, b = channel(5 * (1 - t), 20 + 11 * t, 8), channel(2 * (1 - t), 10 * (1 - t), 20), channel(15 + 16 * t, 3 * (1 - t), 8)
     return F.lit(1 << 15).bitwiseOR(F.shiftleft(r, 10)).bitwiseOR(F.shiftleft(g, 5)).bitwiseOR(b)
+
+
+#: Colour tables: shares of the range, and the colours (0 to 255) there, between which colours go straight. Fixed values.
+HEAT = {
+    "rainbow": ((0.0, (0, 0, 255)), (0.2, (0, 255, 255)), (0.5, (0, 255, 0)), (0.8, (255, 255, 0)), (1.0, (255, 0, 0))),
+    "cooltowarm": ((0.0, (60, 78, 194)), (0.2, (155, 188, 255)), (0.5, (220, 220, 220)), (0.8, (246, 163, 133)), (1.0, (180, 4, 38))),
+    "blackbody": ((0.0, (0, 0, 0)), (0.2, (120, 0, 0)), (0.5, (230, 50, 0)), (0.8, (255, 255, 0)), (1.0, (255, 255, 255))),
+}
+
+
+def heat_colour(value: Column, lo: Column, hi: Column, table: str = "rainbow", n: int = 512) -> Vec:
+    """Red, green and blue (0 to 1) of a value's entry in an n-entry colour table; grey for an empty range."""
+    at = colour_bucket(value, lo, hi, n) / n
+    stops = HEAT[table]
+
+    def channel(k: int) -> Column:
+        out = F.lit(stops[-1][1][k] / 255)
+        for (a, first), (b, last) in reversed(list(zip(stops, stops[1:]))):
+            out = F.when(at < b, (first[k] + (at - a) / (b - a) * (last[k] - first[k])) / 255).otherwise(out)
+        return F.when(at.isNull(), F.lit(0.5)).otherwise(out)
+
+    return channel(0), channel(1), channel(2)

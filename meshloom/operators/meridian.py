@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators import topology
-from meshloom.operators.storage import stored, with_mesh
+from meshloom.operators.storage import with_mesh
 
 COUNT = 360
 MARGIN = math.pi / 36
@@ -35,93 +35,92 @@ def angles(vertices: DataFrame, frame: DataFrame) -> DataFrame:
     return rows.select(*vertices.columns, g.longitude(g.point(), _cols("r"), _cols("u"), _cols("v")).alias("lon"), g.plane_distance(g.point(), _cols("r"), _cols("a")).alias("lat"))
 
 
+def _placed(vertices: DataFrame, frame: DataFrame) -> DataFrame:
+    """vertices with lon, lat, their parts pu and pv along u and v, and near: close to the pole."""
+    top = g.dot(g.sub(_cols("p"), _cols("r")), _cols("a")) * 0.85
+    rows = with_mesh(vertices.select("mesh_id", "vid", "x", "y", "z"), with_mesh(_framed(frame), frame.select("mesh_id", "px", "py", "pz")).withColumn("top", top).drop("px", "py", "pz"))
+    d, lat = g.sub(g.point(), _cols("r")), g.plane_distance(g.point(), _cols("r"), _cols("a"))
+    return rows.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"], g.longitude(g.point(), _cols("r"), _cols("u"), _cols("v")).alias("lon"), lat.alias("lat"), g.dot(d, _cols("u")).alias("pu"), g.dot(d, _cols("v")).alias("pv"), (lat > F.col("top")).alias("near"))
+
+
 def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
-    """A row for each face and meridian that may cut it: geo_id and the corners' x, y, z, lat.
+    """A row for each face and meridian whose plane meets it: geo_id and the corners' x, y, z, lat, pu, pv.
 
     A range join without a join: the longitudes that a face spans, and five degrees on both sides, become a sequence of
-    meridian numbers. Faces near the pole, whose longitudes tell little, meet every meridian.
+    meridian numbers. Faces near the pole, whose longitudes tell little, are tried on every meridian. Numbers whose plane
+    leaves all corners on one side are dropped before the rows are made.
     """
-    rows = topology.gather(faces, angles(vertices.select("mesh_id", "vid", "x", "y", "z"), frame), ("x", "y", "z", "lon", "lat"))
-    top = frame.select("mesh_id", (g.dot(g.sub(_cols("p"), _cols("r")), _cols("a")) * 0.85).alias("near_pole"))
-    rows = with_mesh(rows, top)
+    rows = topology.gather(faces, _placed(vertices, frame), ("x", "y", "z", "lon", "lat", "pu", "pv", "near"))
     lons = [F.col(f"lon{k}") for k in range(3)]
     middle = F.atan2(sum((F.sin(x) for x in lons), F.lit(0.0)), sum((F.cos(x) for x in lons), F.lit(0.0)))
-    middle = F.when(middle < 0, middle + 2 * F.pi()).otherwise(middle)
-    apart = lambda x: F.when(F.abs(x - middle) > F.pi(), 2 * F.pi() - F.abs(x - middle)).otherwise(F.abs(x - middle))
-    reach = F.greatest(*[apart(x) for x in lons]) + MARGIN
+    rows = rows.withColumn("_m", F.when(middle < 0, middle + 2 * F.pi()).otherwise(middle))
+    apart = lambda x: F.when(F.abs(x - F.col("_m")) > F.pi(), 2 * F.pi() - F.abs(x - F.col("_m"))).otherwise(F.abs(x - F.col("_m")))
+    rows = rows.withColumn("_reach", F.greatest(*[apart(x) for x in lons]) + MARGIN)
     step = 2 * math.pi / count
-    lo, hi = F.ceil((middle - reach) / step), F.floor((middle + reach) / step)
+    lo, hi = F.ceil((F.col("_m") - F.col("_reach")) / step), F.floor((F.col("_m") + F.col("_reach")) / step)
     every = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-    near = F.greatest("lat0", "lat1", "lat2") > F.col("near_pole")
-    ids = F.when(near | (hi - lo >= count - 1), every).when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.pmod(k, F.lit(count).cast("long")))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select("*", F.explode(ids).alias("geo_id")).drop("near_pole")
+    ids = F.when(F.col("near0") | F.col("near1") | F.col("near2") | (hi - lo >= count - 1), every).when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.pmod(k, F.lit(count).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+
+    def met(k):
+        sides = [_side(i, k, count) for i in range(3)]
+        return (F.least(*sides) <= 1e-10) & (F.greatest(*sides) >= -1e-10)
+
+    return rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in ("x", "y", "z", "lat", "pu", "pv")], F.explode(F.filter(ids, met)).alias("geo_id"))
+
 
+def _side(corner: int, k: Column, count: int) -> Column:
+    """Signed distance of a corner from the plane of meridian ``k``, from its parts along u and v."""
+    theta = k * (2 * math.pi / count)
+    return F.col(f"pu{corner}") * F.sin(theta) - F.col(f"pv{corner}") * F.cos(theta)
 
-def _crossings(points: list[g.Vec], sides: list[Column], lats: list[Column]) -> Column:
-    """Points (x, y, z, lat) where the sides of a triangle cross a plane, in the order of the sides; a corner on it counts once."""
+
+PARTS = ("x", "y", "z", "lat", "pu", "pv")
+
+
+def _crossings(sides: list[Column]) -> Column:
+    """Points (PARTS) where the sides of a triangle cross a plane, in the order of the sides; a corner on it counts once."""
     out = []
     for i in range(3):
         j = (i + 1) % 3
         t = sides[i] / (sides[i] - sides[j])
-        cut = [p + t * (q - p) for p, q in zip(points[i], points[j], strict=True)]
-        make = lambda xs, lat: F.struct(*[x.alias(c) for x, c in zip(xs, "xyz", strict=True)], lat.alias("lat"))
-        corner = make(points[i], lats[i])
-        out.append(F.when(sides[i] * sides[j] < 0, make(cut, lats[i] + t * (lats[j] - lats[i]))).when(F.abs(sides[i]) < 1e-10, corner))
+        cut = F.struct(*[(F.col(f"{c}{i}") + t * (F.col(f"{c}{j}") - F.col(f"{c}{i}"))).alias(c) for c in PARTS])
+        corner = F.struct(*[F.col(f"{c}{i}").alias(c) for c in PARTS])
+        out.append(F.when(sides[i] * sides[j] < 0, cut).when(F.abs(sides[i]) < 1e-10, corner))
     return F.filter(F.array(*out), lambda p: p.isNotNull())
 
 
 def segments(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
     """(mesh_id, geo_id, fid, x0 .. lat0, x1 .. lat1): the two points where each face is cut on the meridian's own side of the axis."""
-    rows = with_mesh(faces_of_meridians(faces, vertices, frame, count), _framed(frame))
-    u, v, w = _cols("u"), _cols("v"), _cols("a")
-    theta = F.col("geo_id") * (2 * math.pi / count)
-    normal = g.cross(g.add(g.scale(u, F.cos(theta)), g.scale(v, F.sin(theta))), w)
-    points = list(topology.corner_points())
-    # the frame and the plane of a row are computed in a step of their own
-    rows = rows.select("*", *[n.alias(f"n{c}") for n, c in zip(normal, "xyz", strict=True)], theta.alias("theta"))
-    rows = rows.select("*", *[g.plane_distance(p, _cols("r"), _cols("n")).alias(f"s{k}") for k, p in enumerate(points)])
-    # stored step by step: a filter pushed into the steps would compute their long expressions many times over
-    rows = stored(rows)
-    cut = rows.select("mesh_id", "geo_id", "fid", "theta", *[f"{k}{c}" for k in "ruva" for c in "xyz"], _crossings(points, [F.col(f"s{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]).alias("cut"))
-    cut = stored(cut).filter(F.size("cut") >= 2)
+    rows = faces_of_meridians(faces, vertices, frame, count)
+    rows = rows.select("*", *[_side(k, F.col("geo_id"), count).alias(f"s{k}") for k in range(3)])
+    cut = rows.select("mesh_id", "geo_id", "fid", _crossings([F.col(f"s{k}") for k in range(3)]).alias("cut"))
     a, b = F.get("cut", F.lit(0)), F.get("cut", F.lit(1))
-    middle = tuple((a[c] + b[c]) / 2 for c in "xyz")
-    off = F.abs(g.longitude(middle, _cols("r"), u, v) - F.col("theta"))
-    own = F.when(off > F.pi(), 2 * F.pi() - off).otherwise(off) < math.pi / 2
+    lon = F.atan2((a["pv"] + b["pv"]) / 2, (a["pu"] + b["pu"]) / 2)
+    cut = cut.filter(F.size("cut") >= 2).withColumn("off", F.abs(F.when(lon < 0, lon + 2 * F.pi()).otherwise(lon) - F.col("geo_id") * (2 * math.pi / count)))
+    own = F.when(F.col("off") > F.pi(), 2 * F.pi() - F.col("off")).otherwise(F.col("off")) < math.pi / 2
     return cut.filter(own).select("mesh_id", "geo_id", "fid", *[e[c].alias(f"{c}{k}") for k, e in ((0, a), (1, b)) for c in ("x", "y", "z", "lat")])
 
 
-def _kept(points: np.ndarray, eps: float = 1e-6) -> np.ndarray:
-    """Rows that lie farther than eps from the last row kept before them."""
-    out = [0]
-    for i in range(1, len(points)):
-        d = points[i] - points[out[-1]]
-        if d @ d > eps * eps:
-            out.append(i)
-    return points[out]
-
-
-def polyline(ends: np.ndarray, lats: np.ndarray, order: np.ndarray, pole: np.ndarray, most: int = MOST_POINTS) -> np.ndarray:
-    """End points from the pole down, without repeats, led by the pole, thinned to ``most``."""
-    points = _kept(ends[np.lexsort((order, -lats))])
-    if ((pole - points[0]) ** 2).sum() > 1e-12:
-        points = np.vstack([pole, points])
-    if len(points) > most:
-        points = points[np.floor(np.arange(most) * ((len(points) - 1) / (most - 1)) + 0.5).astype(int)]
-    return points
-
-
-def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS) -> DataFrame:
-    """(mesh_id, geo_id, seq, x, y, z). A task holds the cuts of one meridian; dropping repeats looks at the last point kept, so it is a fold."""
-
-    def chain(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("fid")
-        ends = np.stack([rows[[f"{c}{k}" for c in "xyz"]].to_numpy(float) for k in (0, 1)], 1).reshape(-1, 3)
-        lats = rows[["lat0", "lat1"]].to_numpy(float).reshape(-1)
-        p = polyline(ends, lats, np.arange(len(lats)), rows[["px", "py", "pz"]].iloc[0].to_numpy(float), most)
-        return pd.DataFrame({"mesh_id": pd.Series([key[0]] * len(p), dtype=object), "geo_id": key[1], "seq": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
-
-    return with_mesh(cuts, frame.select("mesh_id", "px", "py", "pz")).groupBy("mesh_id", "geo_id").applyInPandas(chain, "mesh_id string, geo_id long, seq int, x double, y double, z double")
+def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
+    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the one before, led by the pole, thinned to ``most``."""
+    w = W.partitionBy("mesh_id", "geo_id").orderBy(F.desc("lat"), "o")
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("lat", "x", "y", "z")]) for k in (0, 1)]))
+    rows = cuts.select("mesh_id", "geo_id", "fid", ends.alias("e")).select("mesh_id", "geo_id", (F.col("fid") * 2 + F.col("e.k")).alias("o"), "e.lat", "e.x", "e.y", "e.z")
+    gap = sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0))
+    rows = rows.withColumn("gap", gap).filter("gap IS NULL OR gap > %r" % (eps * eps))
+    rows = with_mesh(rows, frame.select("mesh_id", "px", "py", "pz"))
+    # the pole comes before the first point, unless that is the pole; a point is its own place and, if so, the pole's
+    off = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
+    own = F.struct(F.lit(1).alias("k"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    pole = F.struct(F.lit(0).alias("k"), *[F.col(f"p{c}").cast("double").alias(c) for c in "xyz"])
+    rows = rows.select("mesh_id", "geo_id", "lat", "o", F.explode(F.when(F.col("gap").isNull() & (off > 1e-12), F.array(pole, own)).otherwise(F.array(own))).alias("e"))
+    w = W.partitionBy("mesh_id", "geo_id")
+    rows = rows.select("mesh_id", "geo_id", (F.row_number().over(w.orderBy(F.desc("lat"), "o", "e.k")) - 1).alias("r"), F.count("*").over(w).alias("n"), "e.x", "e.y", "e.z")
+    # of more than ``most`` points those at the rounded multiples of (n - 1) / (most - 1)
+    step = (F.col("n") - 1) / (most - 1)
+    j = F.ceil((F.col("r") - 0.5) / step)
+    seq = F.when(F.col("n") <= most, F.col("r")).when(F.floor(j * step + 0.5) == F.col("r"), j)
+    return rows.select("mesh_id", "geo_id", seq.cast("int").alias("seq"), "x", "y", "z").filter("seq IS NOT NULL")
 
 
 def series(points: DataFrame, keys: list[str], order: list[str], arc: str, value: str) -> DataFrame:
@@ -164,11 +163,15 @@ def summaries(points: DataFrame, meshes: DataFrame, count: int = COUNT) -> DataF
     return rows.select("mesh_id", "geo_id", (F.col("geo_id") * 360.0 / count).alias("angle"), "total_length", "max_dev", "min_dev", "anomaly_count", "rms", (F.col("rms") <= 2 * median).alias("is_regular"))
 
 
-def common_pole(points: DataFrame, consistent: bool = False) -> DataFrame:
-    """First points moved to their mean. The second points' arc and the first points' dev (to the mean of theirs) follow; with ``consistent`` all arcs, d1 and d2 do."""
-    first = points.filter("seq = 0").groupBy("mesh_id").agg(*[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z", "dev")])
-    rows = with_mesh(points, first)
+def common_pole(points: DataFrame, frame: DataFrame, consistent: bool = False) -> DataFrame:
+    """First points moved to their mean, with the deviation there. The second points' arc follows; with ``consistent`` all arcs, d1 and d2 do."""
     head = F.col("seq") == 0
+    center = g.distance(g.point(), _cols("r"))
+    # the mean radius of which the deviations tell
+    radius = center - F.col("dev") / 1000
+    first = with_mesh(points.filter(head), frame.select("mesh_id", "rx", "ry", "rz")).groupBy("mesh_id", "rx", "ry", "rz").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], F.avg(radius).alias("radius"))
+    first = first.select("mesh_id", "mx", "my", "mz", ((g.distance(_cols("m"), _cols("r")) - F.col("radius")) * 1000).alias("mdev"))
+    rows = with_mesh(points, first)
     moved = rows.select("mesh_id", "geo_id", "seq", *[F.when(head, F.col(f"m{c}")).otherwise(F.col(c)).alias(c) for c in ("x", "y", "z", "dev")], "arc", "d1", "d2")
     w = W.partitionBy("mesh_id", "geo_id").orderBy("seq")
     gap = F.coalesce(F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0))), F.lit(0.0))
@@ -178,6 +181,19 @@ def common_pole(points: DataFrame, consistent: bool = False) -> DataFrame:
     return series(again, ["mesh_id", "geo_id"], ["seq"], "arc", "dev")
 
 
+def shown(meridians: DataFrame, mode: str = "all") -> DataFrame:
+    """The meridians that a display mode shows: all, regular, irregular or none."""
+    return meridians.filter({"regular": F.col("is_regular"), "irregular": ~F.col("is_regular"), "none": F.lit(False)}.get(mode, F.lit(True)))
+
+
+def farthest(vertices: DataFrame, frame: DataFrame) -> DataFrame:
+    """The vertex farthest along the axis from a centre (mesh_id, cx .. cz, ax .. az), the first of equal ones."""
+    rows = with_mesh(vertices, frame.select("mesh_id", "cx", "cy", "cz", "ax", "ay", "az"))
+    h = g.plane_distance(g.point(), _cols("c"), _cols("a"))
+    best = rows.groupBy("mesh_id").agg(F.max(F.struct(h.alias("h"), (-F.col("vid")).alias("v"))).alias("m"))
+    return best.select("mesh_id", (-F.col("m.v")).alias("vid"), F.col("m.h").alias("height"))
+
+
 def opposite(meridians: DataFrame, count: int = COUNT) -> DataFrame:
     """(mesh_id, geo_a, geo_b): pairs of meridians whose angles differ by 180 degrees to within half a degree, each meridian once."""
     a = meridians.select("mesh_id", F.col("geo_id").alias("geo_a"))
@@ -220,12 +236,12 @@ def severity(d2: Column, threshold: float) -> Column:
     return F.when(F.abs(d2) > threshold, F.least((F.abs(d2) - threshold) / threshold, F.lit(1.0)))
 
 
-def projected(points: DataFrame, keys: list[str], threshold: float = 0.01) -> DataFrame:
-    """A section's points in its own plane (through first, middle and last point): u along first to last, v across, about the centroid.
+def section_frames(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The plane of each section (through its first, middle and last point): centroid m, normal n, axes u along first to last and v across.
 
     Sections of fewer than three points, or straight ones, have no rows.
     """
-    n = points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.min("seq").alias("s0"), F.max("seq").alias("s2"))
+    n = points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.min("seq").alias("s0"))
     rows = points.join(n, keys)
     place = F.col("seq") - F.col("s0")
     pick = lambda c, at: F.max(F.when(place == at, F.col(c)))
@@ -234,9 +250,125 @@ def projected(points: DataFrame, keys: list[str], threshold: float = 0.01) -> Da
     size = g.length(normal)
     u = g.normalized(g.sub(_cols("e"), _cols("p")))
     ends = ends.filter("n >= 3").select(*keys, "mx", "my", "mz", size.alias("size"), *[(x / size).alias(f"n{c}") for x, c in zip(normal, "xyz", strict=True)], *[x.alias(f"u{c}") for x, c in zip(u, "xyz", strict=True)]).filter("size >= 1e-10")
-    v = g.cross(_cols("n"), _cols("u"))
+    return ends.select(*[c for c in ends.columns if c != "size"], *[x.alias(f"v{c}") for x, c in zip(g.cross(_cols("n"), _cols("u")), "xyz", strict=True)])
+
+
+def projected(points: DataFrame, keys: list[str], threshold: float = 0.01) -> DataFrame:
+    """A section's points in its own plane, as (u, v) about the centroid."""
     d = g.sub(g.point(), _cols("m"))
-    return points.join(ends, keys).select(*points.columns, g.dot(d, _cols("u")).alias("u"), g.dot(d, v).alias("v"), (F.abs("d2") > threshold).alias("irregular"))
+    return points.join(section_frames(points, keys), keys).select(*points.columns, g.dot(d, _cols("u")).alias("u"), g.dot(d, _cols("v")).alias("v"), (F.abs("d2") > threshold).alias("irregular"))
+
+
+def outer_segments(faces: DataFrame, vertices: DataFrame, points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fid, au, av, bu, bv): where the plane of each section, laid through the sphere's centre, cuts another surface.
+
+    points: the sections' own points; centers: mesh_id, cx, cy, cz. Only what lies about the section's axis (centre to centroid)
+    within 1.3 times its own angle and 0.15 more is kept, and only faces with two such points. The planes of a mesh, no
+    more than its meridians, go to each face as an array, and planes that leave a face on one side are dropped in it.
+    """
+    others = [k for k in keys if k != "mesh_id"]
+    frames = with_mesh(section_frames(points, keys), centers.select("mesh_id", "cx", "cy", "cz"))
+    axis = g.sub(_cols("m"), _cols("c"))
+
+    def angle(p: g.Vec) -> Column:
+        d = g.sub(p, _cols("c"))
+        far = (g.length(d) > 1e-3) & (g.length(axis) > 1e-3)
+        return F.when(far, F.acos(g.clamp(g.dot(d, axis) / (g.length(d) * g.length(axis)), -1.0, 1.0)))
+
+    limits = points.join(frames, keys).groupBy(*keys).agg((F.coalesce(F.max(angle(g.point())), F.lit(0.0)) * 1.3 + 0.15).alias("limit"))
+    names = [f"{k}{c}" for k in "mnuvc" for c in "xyz"]
+    planes = frames.join(limits, keys).groupBy("mesh_id").agg(F.collect_list(F.struct(*others, *names, "limit")).alias("planes"))
+    rows = topology.gather(faces, vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])).join(planes, "mesh_id")
+    corners = list(topology.corner_points())
+
+    def met(s: Column) -> Column:
+        d = [sum(((p[i] - s[f"c{c}"]) * s[f"n{c}"] for i, c in enumerate("xyz")), F.lit(0.0)) for p in corners]
+        return (F.least(*d) < 0) & (F.greatest(*d) > 0)
+
+    rows = rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in "xyz"], F.explode(F.filter("planes", met)).alias("s"))
+    rows = rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in "xyz"], "s.*")
+    rows = rows.select("*", *[g.plane_distance(p, _cols("c"), _cols("n")).alias(f"d{k}") for k, p in enumerate(corners)])
+    cuts = []
+    for i in range(3):
+        j = (i + 1) % 3
+        t = F.col(f"d{i}") / (F.col(f"d{i}") - F.col(f"d{j}"))
+        cuts.append(F.when(F.col(f"d{i}") * F.col(f"d{j}") < 0, F.struct(*[(p + t * (q - p)).alias(c) for p, q, c in zip(corners[i], corners[j], "xyz", strict=True)])))
+    rows = rows.select(*keys, "fid", *names, "limit", F.posexplode(F.array(*cuts)).alias("place", "p")).filter("p IS NOT NULL")
+    p = (F.col("p.x"), F.col("p.y"), F.col("p.z"))
+    rows = rows.filter(F.coalesce(angle(p), F.lit(0.0)) <= F.col("limit"))
+    d = g.sub(p, _cols("m"))
+    rows = rows.select(*keys, "fid", "place", g.dot(d, _cols("u")).alias("x"), g.dot(d, _cols("v")).alias("y"))
+    both = rows.groupBy(*keys, "fid").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("e")).filter(F.size("e") == 2)
+    return both.select(*keys, "fid", *[F.get("e", F.lit(k))[c].alias(f"{n}{m}") for k, n in ((0, "a"), (1, "b")) for c, m in (("x", "u"), ("y", "v"))])
+
+
+def _grown(ends: np.ndarray, free: np.ndarray, at: np.ndarray, eps: float) -> list[np.ndarray]:
+    """Points that follow ``at`` from segment to segment (ends: n, 2, 2), always to the nearest free end within eps; marks the segments used."""
+    out = []
+    while free.any():
+        d = ((ends - at) ** 2).sum(2)
+        d[~free] = np.inf
+        k = int(np.argmin(d))  # of equal ones the first segment, and its first end
+        if d.reshape(-1)[k] >= eps * eps:
+            break
+        free[k // 2] = False
+        at = ends[k // 2, 1 - k % 2]
+        out.append(at)
+    return out
+
+
+def chained(ends: np.ndarray, least: int = 5) -> list[np.ndarray]:
+    """Polylines of loose segments (n, 2, 2): grown from each free segment at both ends, joined where ends meet, cut at jumps; those of ``least`` points or more, longest first."""
+    if len(ends) < 2:
+        return []
+    eps = max(0.05, 0.6 * float(np.sqrt(((ends[:, 0] - ends[:, 1]) ** 2).sum(1)).mean()))
+    free, lines = np.ones(len(ends), bool), []
+    while free.any():
+        k = int(np.argmax(free))
+        free[k] = False
+        after = _grown(ends, free, ends[k, 1], eps)
+        before = _grown(ends, free, ends[k, 0], eps)
+        lines.append(np.array([*before[::-1], *ends[k], *after]))
+    near = lambda p, q: ((p - q) ** 2).sum() < 9 * eps * eps
+    ways = ((lambda p, q: near(p[-1], q[0]), lambda p, q: (p, q)), (lambda p, q: near(p[-1], q[-1]), lambda p, q: (p, q[::-1])),
+            (lambda p, q: near(p[0], q[0]), lambda p, q: (q[::-1], p)), (lambda p, q: near(p[0], q[-1]), lambda p, q: (q, p)))
+    i = 0
+    while i < len(lines):
+        hit = next(((j, join) for j in range(i + 1, len(lines)) for test, join in ways if test(lines[i], lines[j])), None)
+        if hit is None:
+            i += 1
+        else:
+            lines[i] = np.vstack(hit[1](lines[i], lines.pop(hit[0])))
+            i = 0
+    out = []
+    for line in (x for x in lines if len(x) >= least):
+        gaps = np.sqrt((np.diff(line, axis=0) ** 2).sum(1))
+        jump = 8 * (np.sort(gaps)[len(gaps) // 2] or 1.0)
+        start = 0
+        for at, gap in enumerate(gaps, 1):
+            if gap > jump and at - start >= least:
+                out.append(line[start:at])
+                start = at
+        if len(line) - start >= least:
+            out.append(line[start:])
+    return sorted(out, key=len, reverse=True)
+
+
+def outer_chains(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chain, seq, u, v) of ``outer_segments``; chain 0 is the longest. A task holds the segments of one section, whose order of faces decides."""
+    schema = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys) + ", chain int, seq int, u double, v double"
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fid")
+        lines = chained(rows[["au", "av", "bu", "bv"]].to_numpy(float).reshape(-1, 2, 2))
+        flat = np.vstack(lines) if lines else np.zeros((0, 2))
+        out = pd.DataFrame({k: [v] * len(flat) for k, v in zip(keys, key, strict=True)})
+        out["chain"] = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        out["seq"] = np.concatenate([np.arange(len(x)) for x in lines]) if lines else np.zeros(0, int)
+        out["u"], out["v"] = flat[:, 0], flat[:, 1]
+        return out
+
+    return segments.groupBy(*keys).applyInPandas(run, schema)
 
 
 def padded_bounds(rows: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:

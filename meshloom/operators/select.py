@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,19 +14,19 @@ from meshloom.operators.storage import stored, with_mesh
 BUCKETS = 4096
 
 
-def order_statistics(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+def order_statistics(rows: DataFrame, value: str, shares: dict[str, float | Column]) -> DataFrame:
     """(mesh_id, one column for each share q): the value at place floor(n * q) in ascending order, without interpolation.
 
-    Values are counted, then found through a histogram of 4,096 buckets of each mesh: no task sorts a whole mesh.
+    A place may also be given as a column of the mesh's ``total``. Values are counted, then found through a histogram of 4,096 buckets of each mesh: no task sorts a whole mesh.
     """
     counts = stored(rows.groupBy("mesh_id", F.col(value).alias("v")).agg(F.count("*").alias("n")))
     box = counts.groupBy("mesh_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     placed = with_mesh(counts, box)
     width = F.col("hi") - F.col("lo")
-    placed = stored(placed.withColumn("bucket", F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width * BUCKETS))).otherwise(0).cast("long")))
+    placed = placed.withColumn("bucket", F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width * BUCKETS))).otherwise(0).cast("long"))
     sums = placed.groupBy("mesh_id", "bucket", "total").agg(F.sum("n").alias("b"))
     by_bucket = W.partitionBy("mesh_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows of a mesh at most
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.floor(F.col("total") * q).alias("at")) for k, q in shares.items()])
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), (q if isinstance(q, Column) else F.floor(F.col("total") * q)).cast("long").alias("at")) for k, q in shares.items()])
     hit = sums.withColumn("before", F.coalesce(F.sum("b").over(by_bucket), F.lit(0))).select("mesh_id", "bucket", "b", "before", F.explode(wanted).alias("w"))
     hit = hit.filter((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("b"))).select("mesh_id", "bucket", "before", "w.name", "w.at")
     in_bucket = placed.join(hit, ["mesh_id", "bucket"]).withColumn("end", F.col("before") + F.sum("n").over(W.partitionBy("mesh_id", "bucket", "name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
@@ -78,7 +78,7 @@ def trim(faces: DataFrame, vertices: DataFrame, percent: float = 6.0) -> DataFra
     """Faces with kept: all corners farther from the rim than percent of the greatest distance; unreachable corners count as far."""
     dist = stored(rim_distances(faces, vertices))
     most = dist.groupBy("mesh_id").agg(F.max("dist").alias("most"))
-    each = topology.corners(faces).join(dist, ["mesh_id", "vid"], "left").join(F.broadcast(most), "mesh_id", "left")  # one row for each mesh
+    each = topology.corners(faces).join(dist, ["mesh_id", "vid"], "left").join(most, "mesh_id", "left")
     far = F.coalesce(F.col("dist") > percent / 100.0 * F.col("most"), F.lit(True))
     kept = each.groupBy("mesh_id", "fid").agg(F.min(far).alias("kept"))
     return faces.join(kept, ["mesh_id", "fid"])
@@ -95,9 +95,7 @@ def rim_frame(inner_faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Centroid and normal of the plane through all boundary vertices: rx, ry, rz, nx, ny, nz."""
     rim = vertices.select("mesh_id", "vid", "x", "y", "z").join(topology.boundary_vertices(inner_faces), ["mesh_id", "vid"], "left_semi")
     n = F.col("eigenvectors")[0]
-    return fit.principal(stored(rim)).select("mesh_id", F.col("mx").alias("rx"), F.col("my").alias("ry"), F.col("mz").alias("rz"), *[n[i].alias(f"n{c}") for i, c in enumerate("xyz")])
-
-
+    return stored(fit.principal(stored(rim)).select("mesh_id", F.col("mx").alias("rx"), F.col("my").alias("ry"), F.col("mz").alias("rz"), *[n[i].alias(f"n{c}") for i, c in enumerate("xyz")]))
 
 
 def _cols(prefix: str) -> g.Vec:

@@ -6,14 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir (a new folder where that is unset) and read again."""
+    """``df`` written as Parquet under spark.checkpoint.dir (where that is unset, in a temporary folder in local mode only) and read again."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="meshloom-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/meshloom-{uuid.uuid4().hex}"
@@ -21,11 +22,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a table with one row for each mesh up to which it is broadcast.
-MOST_MESHES = 100_000
-
-
 def with_mesh(rows: DataFrame, per_mesh: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a table that has one row for each mesh; stored first, broadcast if it is small, else joined by key."""
-    table = stored(per_mesh)
-    return rows.join(F.broadcast(table) if table.count() <= MOST_MESHES else table, "mesh_id")
+    """``rows`` with the columns of a table that has one row for each mesh; Spark broadcasts it where it is small."""
+    return rows.join(per_mesh, "mesh_id")

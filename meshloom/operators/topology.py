@@ -5,6 +5,10 @@ vertices: mesh_id, vid, x, y, z (and nx, ny, nz), floats. faces: mesh_id, fid, i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,10 +90,24 @@ def used_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return vertices.join(corners(faces).select("mesh_id", "vid").distinct(), ["mesh_id", "vid"], "left_semi").select(*vertices.columns)
 
 
+#: Places in the order of a mesh that are numbered in one group.
+SPAN = 1 << 17
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with dense numbers from 0 in the order of a column of each mesh (integers from 0, each once): numbers in spans of it, after the counts of the spans before."""
+    rows = rows.withColumn("_span", F.expr(f"{order} div {SPAN}"))
+    counts = rows.groupBy("mesh_id", "_span").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("mesh_id").orderBy("_span").rowsBetween(W.unboundedPreceding, -1))  # one row for each span
+    counts = counts.select("mesh_id", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("mesh_id", "_span").orderBy(order)) - 1 + F.col("_before")
+    return rows.join(counts, ["mesh_id", "_span"]).withColumn(name, place.cast("long")).drop("_span", "_before")
+
+
 def compacted(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Used vertices and faces with new ids from 0 in the order of first use. The window runs over each mesh's vertices: for writing files."""
+    """Used vertices and faces with new ids from 0 in the order of first use."""
     first = corners(faces).groupBy("mesh_id", "vid").agg(F.min(F.col("fid") * 3 + F.col("corner")).alias("first"))
-    ids = first.select("mesh_id", "vid", (F.row_number().over(W.partitionBy("mesh_id").orderBy("first")) - 1).cast("long").alias("new"))
+    ids = numbered(first, "first", "new").select("mesh_id", "vid", "new")
     out = faces
     for c in ("i0", "i1", "i2"):
         out = out.join(ids.select("mesh_id", F.col("vid").alias(c), F.col("new").alias(f"_{c}")), ["mesh_id", c])
@@ -117,7 +135,7 @@ def cells(vertices: DataFrame, target_faces: int) -> DataFrame:
     """vertices with the grid cell (bigint) that vertex clustering puts them in; about target_faces / 2 cells."""
     res = max(10, -(-round((target_faces / 2) ** (1 / 3) * 1e9) // 10**9))
     box = vertices.groupBy("mesh_id").agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = vertices.join(F.broadcast(box), "mesh_id")  # one row for each mesh
+    rows = vertices.join(box, "mesh_id")
     part = []
     for c in "xyz":
         extent = F.col(f"hi_{c}") - F.col(f"lo_{c}")
@@ -176,8 +194,7 @@ def weld(rows: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame
     group = ["mesh_id", "kx", "ky", "kz"]
     points = rows.groupBy(*group).agg(F.min(F.struct("seq", "x", "y", "z")).alias("p"), *[F.sum(F.col(c).cast("double")).alias(c) for c in ("nx", "ny", "nz")])
     unit = g.normalized(tuple(F.col(c) for c in ("nx", "ny", "nz")))
-    ids = (F.row_number().over(W.partitionBy("mesh_id").orderBy("p.seq")) - 1).cast("long")
-    points = points.select(*group, ids.alias("vid"), "p.x", "p.y", "p.z", *[u.cast("float").alias(c) for u, c in zip(unit, ("nx", "ny", "nz"), strict=True)])
+    points = numbered(points.withColumn("seq", F.col("p.seq")), "seq", "vid").select(*group, "vid", "p.x", "p.y", "p.z", *[u.cast("float").alias(c) for u, c in zip(unit, ("nx", "ny", "nz"), strict=True)])
     faces = rows.select(*group, "fid", "corner").join(points.select(*group, "vid"), group).groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(f"i{k}") for k in range(3)])
     return points.select("mesh_id", "vid", "x", "y", "z", "nx", "ny", "nz"), faces
 
@@ -191,7 +208,7 @@ def unit_scale(rows: DataFrame) -> DataFrame:
 
 def scaled(rows: DataFrame) -> DataFrame:
     """Coordinates in millimetres by the detected unit."""
-    out = rows.join(F.broadcast(unit_scale(rows)), "mesh_id")  # one row for each mesh
+    out = rows.join(unit_scale(rows), "mesh_id")
     return out.select(*[(F.col(c).cast("double") * F.col("scale")).cast("float").alias(c) if c in "xyz" else F.col(c) for c in rows.columns])
 
 
@@ -202,5 +219,60 @@ def bounds(vertices: DataFrame) -> DataFrame:
 
 def centred(vertices: DataFrame) -> DataFrame:
     """Coordinates less the middle of the bounding box, for display."""
-    rows = vertices.join(F.broadcast(bounds(vertices).select("mesh_id", *[((F.col(f"min_{c}").cast("double") + F.col(f"max_{c}")) / 2).alias(f"m{c}") for c in "xyz"])), "mesh_id")
+    rows = vertices.join(bounds(vertices).select("mesh_id", *[((F.col(f"min_{c}").cast("double") + F.col(f"max_{c}")) / 2).alias(f"m{c}") for c in "xyz"]), "mesh_id")
     return rows.select("mesh_id", "vid", *[(F.col(c).cast("double") - F.col(f"m{c}")).cast("float").alias(c) for c in "xyz"])
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull of plane points (n, 2), counter-clockwise from the least; points on its sides are none."""
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    if len(points) <= 3:
+        return order
+
+    def half(places) -> list[int]:
+        out: list[int] = []
+        for k in places:
+            while len(out) >= 2:
+                (ax, ay), (bx, by) = points[out[-1]] - points[out[-2]], points[k] - points[out[-2]]
+                if ax * by - ay * bx > 0:
+                    break
+                out.pop()
+            out.append(int(k))
+        return out[:-1]
+
+    return np.array(half(order) + half(order[::-1]), dtype=int)
+
+
+def boundary_cap(faces: DataFrame, vertices: DataFrame, planes: DataFrame) -> DataFrame:
+    """Triangles (mesh_id, part, ax .. cz) from a plane's point (qx .. qz, normal nx .. nz) to the convex hull of the boundary vertices projected on it.
+
+    Each task hands on the hull of its own points, so a mesh's last step holds corners of hulls only.
+    """
+    n = g.normalized((F.col("nx"), F.col("ny"), F.col("nz")))
+    rows = planes.select("mesh_id", "qx", "qy", "qz", *[x.alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)])
+    n = tuple(F.col(f"n{c}") for c in "xyz")
+    first = F.abs("nx") < 0.9
+    u = g.normalized(g.cross(n, (F.when(first, 1.0).otherwise(0.0), F.when(first, 0.0).otherwise(1.0), F.lit(0.0))))
+    rows = rows.select("*", *[x.alias(f"u{c}") for x, c in zip(u, "xyz", strict=True)])
+    rows = rows.select("*", *[x.alias(f"v{c}") for x, c in zip(g.cross(n, tuple(F.col(f"u{c}") for c in "xyz")), "xyz", strict=True)])
+    rim = boundary_vertices(faces).join(vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]), ["mesh_id", "vid"]).join(rows, "mesh_id")
+    d = g.sub(g.point(), tuple(F.col(f"q{c}") for c in "xyz"))
+    off = g.dot(d, n)
+    flat = rim.select("mesh_id", "qx", "qy", "qz", *[(F.col(c) - off * F.col(f"n{c}")).alias(c) for c in "xyz"], g.dot(d, tuple(F.col(f"u{c}") for c in "xyz")).alias("u"), g.dot(d, tuple(F.col(f"v{c}") for c in "xyz")).alias("v"))
+
+    def some(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, rows in part.groupby("mesh_id"):
+                yield rows.iloc[hull(rows[["u", "v"]].to_numpy())]
+
+    def fan(key, rows: pd.DataFrame) -> pd.DataFrame:
+        names = ["mesh_id", "part", *[f"{s}{c}" for s in "abc" for c in "xyz"]]
+        rows = rows.iloc[hull(rows[["u", "v"]].to_numpy())]
+        if len(rows) < 3:
+            return pd.DataFrame([], columns=names)
+        rows = rows.iloc[np.argsort(np.arctan2(rows["v"].to_numpy(), rows["u"].to_numpy()), kind="stable")]
+        p, q = rows[["x", "y", "z"]].to_numpy(), rows[["qx", "qy", "qz"]].to_numpy()
+        return pd.DataFrame([(key[0], k, *map(float, q[0]), *map(float, p[k]), *map(float, p[(k + 1) % len(p)])) for k in range(len(p))], columns=names)
+
+    corners_ = flat.mapInPandas(some, flat.schema)
+    return corners_.groupBy("mesh_id").applyInPandas(fan, "mesh_id string, part int, " + ", ".join(f"{s}{c} double" for s in "abc" for c in "xyz"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators import fit, topology
-from meshloom.operators.storage import with_mesh
+from meshloom.operators.select import order_statistics
+from meshloom.operators.storage import stored, with_mesh
 
 DENSITY = 0.935
 
@@ -64,13 +65,18 @@ def wear_volume(enclosed: DataFrame, sphere: DataFrame, plane: DataFrame) -> Dat
 def wear_vector(points: DataFrame, frame: DataFrame) -> DataFrame:
     """Deepest of the 70 % of bump points nearest the pole: its place, deviation, distance from the pole and angle to the axis.
 
-    points: mesh_id, seq, x, y, z, dev. The window runs over a mesh's anomaly points.
+    points: mesh_id, seq, x, y, z, dev. Of points as near as the last of the 70 %, those of least seq are among them.
     """
     rows = with_mesh(points, frame.select("mesh_id", "px", "py", "pz", "ax", "ay", "az"))
-    rows = rows.withColumn("d", g.distance(g.point(), _cols("p")))
-    near = rows.withColumn("place", F.row_number().over(W.partitionBy("mesh_id").orderBy("d", "seq"))).withColumn("n", F.count("*").over(W.partitionBy("mesh_id")))
-    near = near.filter(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.7)))
-    best = near.groupBy("mesh_id").agg(F.max(F.struct(F.col("dev"), (-F.col("place")).alias("o"), "d", *[F.col(c).cast("double").alias(c) for c in "xyz"], "px", "py", "pz", "ax", "ay", "az")).alias("m")).select("mesh_id", "m.*")
+    rows = stored(rows.withColumn("d", g.distance(g.point(), _cols("p"))))
+    most = F.greatest(F.lit(1), F.ceil(F.col("total") * 0.7))
+    limit = order_statistics(rows, "d", {"limit": most - 1})
+    counts = with_mesh(rows, limit).groupBy("mesh_id", "limit").agg(F.count("*").alias("total"), F.count_if(F.col("d") < F.col("limit")).alias("before"))
+    near = with_mesh(rows, counts.select("mesh_id", "limit", (most - F.col("before")).alias("ties"))).filter(F.col("d") <= F.col("limit"))
+    # the window runs over points of one distance
+    tie = F.row_number().over(W.partitionBy("mesh_id", "d").orderBy("seq"))
+    near = near.filter(F.col("d") < F.col("limit")).drop("limit", "ties").unionByName(near.filter(F.col("d") == F.col("limit")).withColumn("_tie", tie).filter(F.col("_tie") <= F.col("ties")).drop("limit", "ties", "_tie"))
+    best = near.groupBy("mesh_id").agg(F.max(F.struct(F.col("dev"), (-F.col("d")).alias("nd"), (-F.col("seq")).alias("o"), "d", *[F.col(c).cast("double").alias(c) for c in "xyz"], "px", "py", "pz", "ax", "ay", "az")).alias("m")).select("mesh_id", "m.*")
     direction = g.normalized(g.sub(g.point(), _cols("p")))
     return best.select("mesh_id", "x", "y", "z", F.col("dev").alias("max_depth"), F.col("d").alias("distance"), F.degrees(F.acos(g.clamp(g.dot(direction, _cols("a")), -1.0, 1.0))).alias("angle"))
 

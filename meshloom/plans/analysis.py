@@ -52,7 +52,7 @@ def prepare(vertices: DataFrame, faces: DataFrame, params: Params = Params()) ->
     lines = stored(meridian.polylines(meridian.segments(kept, smoothed, frame, params.meridians), frame))
     raw = stored(meridian.profiles(lines, frame, smoothed))
     rows = stored(meridian.summaries(raw, kept_vertices, params.meridians))
-    points = stored(meridian.common_pole(raw))
+    points = stored(meridian.common_pole(raw, frame))
     regular = points.join(rows.filter("is_regular").select("mesh_id", "geo_id"), ["mesh_id", "geo_id"], "left_semi").select("mesh_id", "x", "y", "z")
     enough = regular.groupBy("mesh_id").count().filter("count >= 20").select("mesh_id")
     chosen = regular.join(enough, "mesh_id", "left_semi").unionByName(smoothed.select("mesh_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(enough, "mesh_id", "left_anti"))

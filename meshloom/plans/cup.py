@@ -45,8 +45,8 @@ q AS (SELECT p_partkey AS k, np, p_partkey+1 AS a, p_partkey-(p_partkey%40)+((p_
 f AS MATERIALIZED ({_FACES})"""
 
 
-def cup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of the cup, with area-weighted vertex normals."""
+def cup(spark: SparkSession, sf_dir: str, normals: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of the cup; with ``normals``, also the area-weighted normals of its vertices."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     np = part.count()
     rows = f"""SELECT p_partkey AS k, CAST(FLOOR(p_partkey/40E0) AS DOUBLE) AS ring, CAST(p_partkey%40 AS DOUBLE) AS sec,
@@ -54,4 +54,4 @@ def cup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     points = spark.sql(f"WITH g AS ({rows}), {_SHAPE} SELECT '{MESH}' AS mesh_id, * FROM ({_POINTS.format(one='', np=f'CAST({np} AS BIGINT)')})", part=part)
     quads = f"SELECT p_partkey AS k, CAST({np} AS BIGINT) AS np, p_partkey+1 AS a, p_partkey-(p_partkey%40)+((p_partkey%40)+1)%40+1 AS b FROM {{part}}"
     faces = spark.sql(f"WITH q AS ({quads}) SELECT '{MESH}' AS mesh_id, * FROM ({_FACES})", part=part)
-    return vertex_normals(points, faces), faces
+    return (vertex_normals(points, faces) if normals else points), faces

@@ -48,9 +48,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _cup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, faces of the inner shell)."""
     v, f = cup.cup(spark, sf_dir)
-    v = stored(v)
     shell = v.groupBy("mesh_id").agg(((F.count("*") - 2) / 2 * 4).alias("_end"))
-    return v, f, f.join(F.broadcast(shell), "mesh_id").filter("fid < _end").drop("_end")
+    return v, f, f.join(shell, "mesh_id").filter("fid < _end").drop("_end")
 
 
 def _sphere(v: DataFrame, radius: float = 16.0) -> DataFrame:
@@ -181,9 +180,17 @@ def boundary_loops(spark, sf_dir):
     return topology.boundary_loops(stored(select.inner_candidates(f, v))).drop("mesh_id")
 
 
-@_query(_on_cup("SELECT f.fid, f.i0, f.i1, f.i2, CASE WHEN ic.fid IS NULL THEN 'outer' ELSE 'inner' END AS surface FROM f LEFT JOIN ic ON ic.fid = f.fid", GALL, INNER))
+COMPONENTS = """
+cd AS MATERIALIZED (SELECT DISTINCT a AS src, b AS dst FROM (SELECT i0 AS a, i1 AS b FROM ic UNION ALL SELECT i1, i0 FROM ic UNION ALL SELECT i1, i2 FROM ic UNION ALL SELECT i2, i1 FROM ic)),
+lab(vid, c) USING KEY (vid) AS (SELECT DISTINCT src, src FROM cd UNION SELECT s.dst, MIN(s.c) FROM (SELECT dst, lab.c AS c FROM lab JOIN cd ON src = lab.vid) s JOIN recurring.lab r ON r.vid = s.dst WHERE s.c < r.c GROUP BY s.dst),
+cb AS (SELECT c FROM ic JOIN lab ON vid = i0 GROUP BY c ORDER BY COUNT(*) DESC, MIN(fid) LIMIT 1),
+inn AS MATERIALIZED (SELECT fid FROM ic JOIN lab ON vid = i0 JOIN cb USING (c)),
+us AS (SELECT DISTINCT fid IN (SELECT fid FROM inn) AS mine, UNNEST([i0, i1, i2]) AS vid FROM f),
+sw AS (SELECT COALESCE(AVG(d) FILTER (mine), 0) > COALESCE(AVG(d) FILTER (NOT mine), 0) AS swap FROM (SELECT mine, SQRT((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz)) AS d FROM us JOIN v USING (vid), mean))"""
+
+
+@_query(_on_cup("SELECT fid, i0, i1, i2, CASE WHEN (fid IN (SELECT fid FROM inn)) <> swap THEN 'inner' ELSE 'outer' END AS surface FROM f, sw", GALL, INNER, COMPONENTS))
 def separated_faces(spark, sf_dir):
-    """The candidates of this cup are one component (a test holds that), so the SQL needs no components."""
     v, f, _ = _cup(spark, sf_dir)
     return select.separate(f, v).drop("mesh_id")
 
@@ -203,25 +210,25 @@ def compacted_faces(spark, sf_dir):
 
 CELLS = """
 bx AS (SELECT MIN(x) AS lx, MIN(y) AS ly, MIN(z) AS lz, MAX(x)-MIN(x) AS sx, MAX(y)-MIN(y) AS sy, MAX(z)-MIN(z) AS sz FROM v),
-vc AS MATERIALIZED (SELECT vid, x, y, z, CAST(LEAST(9, FLOOR((x-lx)/(sx/10))) + LEAST(9, FLOOR((y-ly)/(sy/10)))*11 + LEAST(9, FLOOR((z-lz)/(sz/10)))*121 AS BIGINT) AS cell FROM v, bx)"""
+vc AS MATERIALIZED (SELECT vid, x, y, z, CAST(LEAST(53, FLOOR((x-lx)/(sx/54))) + LEAST(53, FLOOR((y-ly)/(sy/54)))*55 + LEAST(53, FLOOR((z-lz)/(sz/54)))*3025 AS BIGINT) AS cell FROM v, bx)"""
 
 
 @_query(_on_cup(f"SELECT cell AS vid, {r6('AVG(x)', 'x')}, {r6('AVG(y)', 'y')}, {r6('AVG(z)', 'z')}, COUNT(*) AS n FROM vc GROUP BY cell", CELLS))
 def decimated_vertices(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
-    return _rounded(topology.decimate(v, f, 1000)[0])
+    return _rounded(topology.decimate(v, f)[0])
 
 
 @_query(_on_cup("SELECT fid, a.cell AS i0, b.cell AS i1, c.cell AS i2 FROM f JOIN vc a ON a.vid = i0 JOIN vc b ON b.vid = i1 JOIN vc c ON c.vid = i2 WHERE a.cell <> b.cell AND b.cell <> c.cell AND c.cell <> a.cell", CELLS))
 def decimated_faces(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
-    return topology.decimate(v, f, 1000)[1].drop("mesh_id")
+    return topology.decimate(v, f)[1].drop("mesh_id")
 
 
 @_query(_on_cup(f"SELECT cell, {r6('AVG(SQRT(x*x+y*y+z*z))', 'r')} FROM vc GROUP BY cell", CELLS))
 def cluster_means(spark, sf_dir):
     v, _, _ = _cup(spark, sf_dir)
-    return _rounded(topology.cluster_means(v.withColumn("r", g.length(g.point())), "r", 1000))
+    return _rounded(topology.cluster_means(v.withColumn("r", g.length(g.point())), "r"))
 
 
 @_query(_on_cup(f"SELECT {r6('SUM(SQRT(kx*kx+ky*ky+kz*kz)/2)', 'area')}, COUNT(*) AS triangles FROM (SELECT fid, {CROSS} FROM tri)", GALL, """
@@ -239,7 +246,7 @@ def clipped(spark, sf_dir):
 
 
 def _soup(spark, sf_dir):
-    v, f, _ = _cup(spark, sf_dir)
+    v, f = cup.cup(spark, sf_dir, normals=True)
     return topology.corners(f).join(v, ["mesh_id", "vid"]).drop("vid")
 
 
@@ -257,7 +264,11 @@ def welded_faces(spark, sf_dir):
     return topology.weld(_soup(spark, sf_dir))[1].drop("mesh_id")
 
 
-@_query(_on_cup("SELECT 1.0::DOUBLE AS scale_mm, 0.001::DOUBLE AS scale_um, 1000.0::DOUBLE AS scale_m FROM n"))
+def _scale(k: str, name: str) -> str:
+    return f"CASE WHEN d*{k} > 5000 THEN 0.001 WHEN d*{k} < 0.1 THEN 1000e0 ELSE 1e0 END::DOUBLE AS {name}"
+
+
+@_query(_on_cup(f"SELECT {_scale('1', 'scale_mm')}, {_scale('1000', 'scale_um')}, {_scale('0.001', 'scale_m')} FROM (SELECT SQRT(POW(MAX(x)-MIN(x), 2)+POW(MAX(y)-MIN(y), 2)+POW(MAX(z)-MIN(z), 2)) AS d FROM v)"))
 def detected_units(spark, sf_dir):
     v, _, _ = _cup(spark, sf_dir)
     p = v.select("mesh_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
@@ -387,9 +398,9 @@ def laplacian_preview(spark, sf_dir):
     return smooth.laplacian(v, f).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in "xyz"])
 
 
-MERIDIANS = 37
+MERIDIANS = meridian.COUNT
 CUTS = """
-mt AS (SELECT k, 2*PI()/37*k AS theta, COS(2*PI()/37*k) AS ct, SIN(2*PI()/37*k) AS st FROM range(37) r(k)),
+mt AS (SELECT k, 2*PI()/360*k AS theta, COS(2*PI()/360*k) AS ct, SIN(2*PI()/360*k) AS st FROM range(360) r(k)),
 md AS (SELECT t.*, k, theta, -ct*x0+st*y0 AS s0, -ct*x1+st*y1 AS s1, -ct*x2+st*y2 AS s2 FROM t, mt),
 mc AS (SELECT fid, k, theta, i, CASE WHEN s*u < 0 THEN a.x+s/(s-u)*(b.x-a.x) ELSE a.x END AS x, CASE WHEN s*u < 0 THEN a.y+s/(s-u)*(b.y-a.y) ELSE a.y END AS y, CASE WHEN s*u < 0 THEN a.z+s/(s-u)*(b.z-a.z) ELSE a.z END AS z
   FROM (SELECT fid, k, theta, i, [{'x': x0, 'y': y0, 'z': z0}, {'x': x1, 'y': y1, 'z': z1}, {'x': x2, 'y': y2, 'z': z2}][i+1] AS a, [{'x': x0, 'y': y0, 'z': z0}, {'x': x1, 'y': y1, 'z': z1}, {'x': x2, 'y': y2, 'z': z2}][(i+1)%3+1] AS b, [s0, s1, s2][i+1] AS s, [s0, s1, s2][(i+1)%3+1] AS u FROM md, range(3) r(i)) WHERE s*u < 0 OR ABS(s) < 1e-10),
@@ -409,37 +420,126 @@ def meridian_segments(spark, sf_dir):
 def _lines(spark, sf_dir, count=MERIDIANS):
     v, _, shell = _cup(spark, sf_dir)
     frame, used = _frame(v), stored(topology.used_vertices(v, shell))
-    lines = meridian.polylines(stored(meridian.segments(shell, used, frame, count)), frame)
-    return used, frame, stored(meridian.profiles(stored(lines), frame, used))
+    lines = meridian.polylines(meridian.segments(shell, used, frame, count), frame)
+    return used, frame, stored(meridian.profiles(lines, frame, used))
 
 
-@_query()
+#: Profiles: end points from the pole down without repeats (the pole itself is the first of them here), thinned, with arc, deviation and derivatives.
+def _derived(source: str, name: str) -> str:
+    return f"""{name}1 AS (SELECT *, CASE WHEN COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc) > 1e-12 THEN (COALESCE(LEAD(dev) OVER w, dev)-COALESCE(LAG(dev) OVER w, dev))/(COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc)) ELSE 0 END AS d1 FROM {source} WINDOW w AS (PARTITION BY k ORDER BY seq)),
+{name} AS MATERIALIZED (SELECT *, CASE WHEN LEAD(arc) OVER w-LAG(arc) OVER w > 1e-12 THEN (LEAD(d1) OVER w-LAG(d1) OVER w)/(LEAD(arc) OVER w-LAG(arc) OVER w) ELSE 0 END AS d2 FROM {name}1 WINDOW w AS (PARTITION BY k ORDER BY seq))"""
+
+
+PROFILES = """
+pe AS (SELECT k, fid*2 AS o, x0 AS x, y0 AS y, z0 AS z FROM mk UNION ALL SELECT k, fid*2+1, x1, y1, z1 FROM mk),
+pg AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py, LAG(z) OVER w AS pz FROM pe WINDOW w AS (PARTITION BY k ORDER BY -z DESC, o)),
+pk AS (SELECT k, o, x, y, z, px IS NULL AS head FROM pg WHERE px IS NULL OR (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz) > 1e-12),
+pq AS (SELECT k, 0 AS own, o, -z AS lat, 0e0 AS x, 0e0 AS y, -16.05e0 AS z FROM pk WHERE head AND x*x+y*y+(z+16.05)*(z+16.05) > 1e-12 UNION ALL SELECT k, 1, o, -z, x, y, z FROM pk),
+pr AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY lat DESC, o, own) - 1 AS r, COUNT(*) OVER (PARTITION BY k) AS n, x, y, z FROM pq),
+pt AS (SELECT k, r AS seq, x, y, z FROM pr WHERE n <= 500 UNION ALL SELECT k, CEIL((r-0.5)/((n-1)/499e0)), x, y, z FROM pr WHERE n > 500 AND FLOOR(CEIL((r-0.5)/((n-1)/499e0))*((n-1)/499e0)+0.5) = r),
+pa AS (SELECT *, COALESCE(SQRT((x-LAG(x) OVER w)*(x-LAG(x) OVER w)+(y-LAG(y) OVER w)*(y-LAG(y) OVER w)+(z-LAG(z) OVER w)*(z-LAG(z) OVER w)), 0) AS gap FROM pt WINDOW w AS (PARTITION BY k ORDER BY seq)),
+mr AS (SELECT AVG(SQRT(x*x+y*y+z*z)) AS m FROM v WHERE vid IN (SELECT UNNEST([i0, i1, i2]) FROM fs)),
+pb AS (SELECT k, seq, x, y, z, SUM(gap) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS arc, (SQRT(x*x+y*y+z*z)-m)*1000 AS dev FROM pa, mr),
+""" + _derived("pb", "pf")
+#: Decimals that sums in any order leave alone.
+_PROFILE = "ROUND(x, 6) + 0.0 AS x, ROUND(y, 6) + 0.0 AS y, ROUND(z, 6) + 0.0 AS z, ROUND(arc, 6) + 0.0 AS arc, ROUND(dev, 3) + 0.0 AS dev, ROUND(d1, 3) + 0.0 AS d1, ROUND(d2, 1) + 0.0 AS d2"
+
+
+def _profile(df: DataFrame) -> DataFrame:
+    places = {"x": 6, "y": 6, "z": 6, "arc": 6, "dev": 3, "d1": 3, "d2": 1}
+    return df.select(*[(F.round(c, places[c]) + F.lit(0.0)).alias(c) if c in places else F.col(c).cast("long").alias(c) if c == "seq" else F.col(c) for c in df.columns if c != "mesh_id"])
+
+
+@_query(_on_cup(f"SELECT k AS geo_id, CAST(seq AS BIGINT) AS seq, {_PROFILE} FROM pf", SHELL, GSHELL, CUTS, PROFILES))
 def meridian_profiles(spark, sf_dir):
-    return _rounded(_lines(spark, sf_dir)[2])
+    return _profile(_lines(spark, sf_dir)[2])
 
 
-@_query()
+SUMMARIES = """
+su AS (SELECT r.k, COALESCE(MAX(arc), 0) AS total_length, COALESCE(MAX(dev), 0) AS max_dev, COALESCE(MIN(dev), 0) AS min_dev, COUNT(*) FILTER (ABS(dev) > 1) AS anomaly_count, COALESCE(SQRT(AVG(d2*d2)), 0) AS rms FROM range(360) r(k) LEFT JOIN pf ON pf.k = r.k GROUP BY r.k),
+sm AS (SELECT rms AS med FROM su ORDER BY rms, k LIMIT 1 OFFSET 180)"""
+_SUMMARY = "k AS geo_id, CAST(k AS DOUBLE) AS angle, ROUND(total_length, 6) + 0.0 AS total_length, ROUND(max_dev, 3) + 0.0 AS max_dev, ROUND(min_dev, 3) + 0.0 AS min_dev, anomaly_count, ROUND(rms, 2) + 0.0 AS rms, rms <= 2*med AS is_regular"
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    places = {"total_length": 6, "max_dev": 3, "min_dev": 3, "rms": 2}
+    return df.select(*[(F.round(c, places[c]) + F.lit(0.0)).alias(c) if c in places else F.col(c) for c in df.columns if c != "mesh_id"])
+
+
+@_query(_on_cup(f"SELECT {_SUMMARY} FROM su, sm", SHELL, GSHELL, CUTS, PROFILES, SUMMARIES))
 def meridian_summaries(spark, sf_dir):
     used, _, points = _lines(spark, sf_dir)
-    return _rounded(meridian.summaries(points, used, MERIDIANS))
+    return _summary(meridian.summaries(points, used))
 
 
-@_query()
+@_query(_on_cup(f"SELECT {_SUMMARY} FROM su, sm WHERE rms <= 2*med", SHELL, GSHELL, CUTS, PROFILES, SUMMARIES))
+def regular_meridians(spark, sf_dir):
+    used, _, points = _lines(spark, sf_dir)
+    return _summary(meridian.shown(meridian.summaries(points, used), "regular"))
+
+
+@_query(_on_cup(f"SELECT k AS geo_id, CAST(seq AS BIGINT) AS seq, {_PROFILE} FROM cq", SHELL, GSHELL, CUTS, PROFILES, """
+ch AS (SELECT AVG(x) AS ax, AVG(y) AS ay, AVG(z) AS az FROM pf WHERE seq = 0),
+cm AS (SELECT k, seq, CASE WHEN seq = 0 THEN ax ELSE x END AS x, CASE WHEN seq = 0 THEN ay ELSE y END AS y, CASE WHEN seq = 0 THEN az ELSE z END AS z, CASE WHEN seq = 0 THEN (SQRT(ax*ax+ay*ay+az*az)-m)*1000 ELSE dev END AS dev FROM pf, ch, mr),
+cg AS (SELECT *, COALESCE(SQRT((x-LAG(x) OVER w)*(x-LAG(x) OVER w)+(y-LAG(y) OVER w)*(y-LAG(y) OVER w)+(z-LAG(z) OVER w)*(z-LAG(z) OVER w)), 0) AS gap FROM cm WINDOW w AS (PARTITION BY k ORDER BY seq)),
+cb AS (SELECT *, SUM(gap) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS arc FROM cg)""", _derived("cb", "cq")))
 def meridian_common_pole(spark, sf_dir):
-    return _rounded(meridian.common_pole(_lines(spark, sf_dir)[2], consistent=True))
+    _, frame, points = _lines(spark, sf_dir)
+    return _profile(meridian.common_pole(points, frame, consistent=True))
 
 
 @_query()
 def double_profiles(spark, sf_dir):
-    _, _, points = _lines(spark, sf_dir, 36)
-    pairs = meridian.opposite(points.select("mesh_id", "geo_id").distinct(), 36)
+    _, _, points = _lines(spark, sf_dir)
+    pairs = meridian.opposite(points.select("mesh_id", "geo_id").distinct())
     both = stored(meridian.double_profiles(points, pairs))
     return _rounded(meridian.projected(both, ["mesh_id", "geo_a", "geo_b"]).select("mesh_id", "geo_a", "geo_b", "seq", "arc", "dev", "u", "v", "irregular"))
 
 
-@_query()
+@_query(_on_cup(f"SELECT k AS geo_id, CAST(seq AS BIGINT) AS seq, {_PROFILE}, CASE WHEN dev > 0 THEN 'bump' ELSE 'dip' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY printf('%.4f', x), printf('%.4f', y), printf('%.4f', z) ORDER BY k, seq) AS c FROM pf WHERE ABS(dev) > 1) WHERE c = 1", SHELL, GSHELL, CUTS, PROFILES))
 def profile_anomalies(spark, sf_dir):
-    return _rounded(cluster.anomalies(_lines(spark, sf_dir)[2], 60.0))
+    return _profile(cluster.anomalies(_lines(spark, sf_dir)[2]))
+
+
+@_query()
+def outer_sections(spark, sf_dir):
+    """Chains of the outer surface's section in the plane of each meridian: points and extent of each."""
+    v, f, shell = _cup(spark, sf_dir)
+    _, _, points = _lines(spark, sf_dir)
+    outer = f.join(shell.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_anti")
+    keys = ["mesh_id", "geo_id"]
+    chains = meridian.outer_chains(meridian.outer_segments(outer, v, points, _sphere(v), keys), keys)
+    return chains.groupBy("geo_id", "chain").agg(F.count("*").alias("n"), *[_r(f_(c), f"{name}_{c}") for c in "uv" for name, f_ in (("min", F.min), ("max", F.max))])
+
+
+HEAT = ", ".join(
+    r6("1e-9 + CASE " + " ".join(f"WHEN pos < {b} THEN ({p[k]} + (pos - {a}) / ({b} - {a}) * ({q[k]} - {p[k]})) / 255.0" for (a, p), (b, q) in zip(stops, stops[1:])) + f" ELSE {stops[-1][1][k]} / 255.0 END", f"{table}_{c}")
+    for table, stops in g.HEAT.items() for k, c in enumerate("rgb")
+)
+
+
+@_query(_on_cup(f"SELECT vid, {HEAT} FROM (SELECT vid, LEAST(511, FLOOR((GREATEST(-100, LEAST(500, (SQRT(x*x+y*y+z*z)-16)*1000))+100)/600*512+0.5))/512e0 AS pos FROM v)"))
+def heat_colours(spark, sf_dir):
+    v, _, _ = _cup(spark, sf_dir)
+    e = (g.length(g.point()) - 16) * 1000
+    # entries lie on halves of the last decimal, so all are moved by as little
+    return v.select("vid", *[_r(channel + 1e-9, f"{table}_{c}") for table in g.HEAT for c, channel in zip("rgb", g.heat_colour(e, F.lit(-100.0), F.lit(500.0), table), strict=True)])
+
+
+@_query(_on_cup(f"SELECT COUNT(*) AS triangles, {r6('SUM(ABS(ux*wy-uy*wx))/2', 'area')} FROM hp", SHELL, EDGES.format("fs"), """
+rv AS MATERIALIZED (SELECT vid, x, y FROM v WHERE vid IN (SELECT UNNEST([a, b]) FROM e WHERE uses = 1)),
+hp AS (SELECT p.x AS ux, p.y AS uy, q.x AS wx, q.y AS wy FROM rv p JOIN rv q ON p.vid <> q.vid WHERE NOT EXISTS (SELECT 1 FROM rv r WHERE r.vid <> p.vid AND r.vid <> q.vid AND (q.x-p.x)*(r.y-p.y)-(q.y-p.y)*(r.x-p.x) <= 0))"""))
+def rim_cap(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    a, b, c = (tuple(F.col(f"{s}{k}") for k in "xyz") for s in "abc")
+    return topology.boundary_cap(shell, v, _frame(v)).agg(F.count("*").alias("triangles"), _r(F.sum(g.triangle_area(a, b, c)), "area"))
+
+
+@_query(_on_cup(f"SELECT vid, {r6('-z', 'height')} FROM vs ORDER BY z, vid LIMIT 1", SHELL))
+def pole_vertex(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    frame = _sphere(v).join(_frame(v).select("mesh_id", "ax", "ay", "az"), "mesh_id")
+    return _rounded(meridian.farthest(topology.used_vertices(v, shell), frame))
 
 
 EVENTS = """
@@ -506,26 +606,31 @@ def near_pairs(spark, sf_dir):
     return cluster.near_pairs(_cloud(spark, sf_dir), ["mesh_id", "type"], EPS).drop("mesh_id")
 
 
-@_query("WITH RECURSIVE " + CLOUD + """, co AS (SELECT type, a AS id FROM pr GROUP BY type, a HAVING COUNT(*) >= 3), cl AS (SELECT pr.type, a, b FROM pr JOIN co p ON p.id = a JOIN co q ON q.id = b),
+CLUSTERS = CLOUD + """, co AS (SELECT type, a AS id FROM pr GROUP BY type, a HAVING COUNT(*) >= 3), cl AS (SELECT pr.type, a, b FROM pr JOIN co p ON p.id = a JOIN co q ON q.id = b),
 wk(a, b) AS (SELECT a, b FROM cl UNION SELECT wk.a, cl.b FROM wk JOIN cl ON wk.b = cl.a), lb AS (SELECT a AS id, MIN(b) AS seed FROM wk GROUP BY a),
 bo AS (SELECT b AS id, MIN(seed) AS seed FROM pr JOIN lb ON lb.id = a GROUP BY b),
-al AS (SELECT c.id, c.type, COALESCE(lb.seed, bo.seed, c.id) AS seed, CASE WHEN COALESCE(lb.seed, bo.seed) IS NULL THEN 1 ELSE 0 END AS late FROM c LEFT JOIN lb ON lb.id = c.id LEFT JOIN bo ON bo.id = c.id WHERE COALESCE(lb.seed, bo.seed) IS NOT NULL OR ABS(dev) > 5)
-SELECT id, type, CAST(dense_rank() OVER (ORDER BY type, late, seed) - 1 AS INTEGER) AS cluster_id FROM al""")
+al AS (SELECT c.*, COALESCE(lb.seed, bo.seed, c.id) AS seed, CASE WHEN COALESCE(lb.seed, bo.seed) IS NULL THEN 1 ELSE 0 END AS late FROM c LEFT JOIN lb ON lb.id = c.id LEFT JOIN bo ON bo.id = c.id WHERE COALESCE(lb.seed, bo.seed) IS NOT NULL OR ABS(dev) > 5),
+mb AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY type, late, seed) - 1 AS INTEGER) AS cluster_id FROM al)"""
+
+
+@_query("WITH RECURSIVE " + CLUSTERS + " SELECT id, type, cluster_id FROM mb")
 def point_clusters(spark, sf_dir):
     return cluster.dbscan(_cloud(spark, sf_dir), EPS).select("id", "type", "cluster_id")
 
 
-@_query()
+@_query("WITH RECURSIVE " + CLUSTERS + f""", cc AS (SELECT cluster_id, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM mb GROUP BY cluster_id)
+SELECT cluster_id, type, COUNT(*) AS n_points, {r6('ANY_VALUE(cx)', 'cx')}, {r6('ANY_VALUE(cy)', 'cy')}, {r6('ANY_VALUE(cz)', 'cz')}, {r6('MAX((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))*PI()', 'area')}, {r6('AVG(dev)', 'avg_dev')}, {r6('MAX(dev)', 'max_dev')}, {r6('MIN(dev)', 'min_dev')}
+FROM mb JOIN cc USING (cluster_id) GROUP BY cluster_id, type""")
 def cluster_summaries(spark, sf_dir):
     rows = cluster.cluster_summaries(stored(cluster.dbscan(_cloud(spark, sf_dir), EPS)))
     return _rounded(rows.select("mesh_id", "cluster_id", "type", "n_points", "cx", "cy", "cz", "area", "avg_dev", "max_dev", "min_dev"))
 
 
-@_query(_on_cup("SELECT arg_max(vid, e) AS max_vid, MAX(e) AS max_value, arg_min(vid, e) AS min_vid, MIN(e) AS min_value FROM (SELECT vid, ROUND((SQRT(x*x+y*y+z*z)-16)*1000, 6) + vid*1e-6 AS e FROM vs WHERE vid % GREATEST(1, FLOOR((np+1)/100)) = 0)", SHELL))
+@_query(_on_cup("SELECT arg_max(vid, e) AS max_vid, MAX(e) AS max_value, arg_min(vid, e) AS min_vid, MIN(e) AS min_value FROM (SELECT vid, ROUND((SQRT(x*x+y*y+z*z)-16)*1000, 6) + vid*1e-6 AS e FROM vs WHERE vid % GREATEST(1, FLOOR((np+1)/50000)) = 0)", SHELL))
 def label_extremes(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     p = topology.used_vertices(v, shell).withColumn("e", F.round((g.length(g.point()) - 16) * 1000, 6) + F.col("vid") * 1e-6)
-    return select.strided_extremes(p, "e", 100).drop("mesh_id")
+    return select.strided_extremes(p, "e").drop("mesh_id")
 
 
 @_query(_on_cup("SELECT fid, CAST(0 AS INTEGER) AS corner, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i0 UNION ALL SELECT fid, 1, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i1 UNION ALL SELECT fid, 2, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i2"))
@@ -548,13 +653,18 @@ def rim_and_pole(spark, sf_dir):
     return _rounded(select.rim_plane(select.pole(used, select.rim_frame(inner, used))))
 
 
-@_query()
+#: The rim is the only boundary of the shell. Distances shrink until none does.
+RIM = EDGES.format("fs") + """, ew AS MATERIALIZED (SELECT src, dst, SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS w FROM (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e) JOIN v p ON p.vid = src JOIN v q ON q.vid = dst),
+rd(vid, dist) USING KEY (vid) AS (SELECT DISTINCT UNNEST([a, b]), 0e0 FROM e WHERE uses = 1 UNION SELECT s.dst, MIN(s.d) FROM (SELECT dst, rd.dist + w AS d FROM rd JOIN ew ON src = rd.vid) s LEFT JOIN recurring.rd r ON r.vid = s.dst WHERE r.dist IS NULL OR s.d < r.dist GROUP BY s.dst)"""
+
+
+@_query(_on_cup(f"SELECT vid, {r6('dist', 'dist')} FROM rd", SHELL, RIM))
 def rim_distances(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     return _rounded(select.rim_distances(shell, v))
 
 
-@_query()
+@_query(_on_cup("SELECT fid, i0, i1, i2, COALESCE(a.dist > m, TRUE) AND COALESCE(b.dist > m, TRUE) AND COALESCE(c.dist > m, TRUE) AS kept FROM fs LEFT JOIN rd a ON a.vid = i0 LEFT JOIN rd b ON b.vid = i1 LEFT JOIN rd c ON c.vid = i2, (SELECT MAX(dist)*0.06 AS m FROM rd)", SHELL, RIM))
 def trimmed_faces(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     return select.trim(shell, v).drop("mesh_id")
@@ -563,6 +673,7 @@ def trimmed_faces(spark, sf_dir):
 @_query()
 def filled_holes(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
+    v = cup.cup(spark, sf_dir, normals=True)[0]
     inner = stored(select.inner_candidates(f, v))
     return smooth.fill_holes(stored(topology.used_vertices(v, inner)), inner)[1].drop("mesh_id")
 
@@ -598,13 +709,13 @@ def cup_axis(spark, sf_dir):
 @_query()
 def analysis_best_fit(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
-    return report.metrics(stored(analysis.best_fit(v, f, analysis.Params(meridians=MERIDIANS)))).select("metric", _r("value"), "unit", "severity")
+    return report.metrics(stored(analysis.best_fit(v, f))).select("metric", _r("value"), "unit", "severity")
 
 
 @_query()
 def analysis_pure(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
-    rows = analysis.pure(v, f, analysis.Params(meridians=MERIDIANS, threshold=100.0))[0]
+    rows = analysis.pure(v, f)[0]
     return _rounded(rows.drop("semi_axes"))
 
 

@@ -198,12 +198,7 @@ def test_dbscan_matches_scan_order(spark):
     assert got == want
 
 
-def test_series_and_polyline(spark):
-    p = np.array([[0, 0, 5], [0, 0, 5 + 4e-7], [0, 0, 4], [0, 0, 4 + 9e-7], [0, 0, 3]], float)
-    assert len(meridian.polyline(p, p[:, 2], np.arange(5), np.array([0, 0, 9.0]))) == 4
-    long = np.stack([np.zeros(900), np.zeros(900), -np.arange(900.0)], 1)
-    thin = meridian.polyline(long, long[:, 2], np.arange(900), np.array([0, 0, 0.0]))
-    assert len(thin) == 500 and thin[-1, 2] == -899
+def test_series_and_runs(spark):
     rows = spark.createDataFrame([("g", i, a, v) for i, (a, v) in enumerate([(0.0, 0.0), (1.0, 2.0), (3.0, 3.0), (3.0, 8.0)])], "k string, seq int, arc double, dev double")
     got = meridian.series(rows, ["k"], ["seq"], "arc", "dev").orderBy("seq").collect()
     assert [r.d1 for r in got] == pytest.approx([2, 1, 3, 0]) and [r.d2 for r in got] == pytest.approx([0, 1 / 3, -0.5, 0])
@@ -212,3 +207,105 @@ def test_series_and_polyline(spark):
     ids = spark.createDataFrame([("m", i) for i in range(8)], "mesh_id string, geo_id long")
     assert sorted((r.geo_a, r.geo_b) for r in meridian.opposite(ids, 8).collect()) == [(i, i + 4) for i in range(4)]
     assert meridian.opposite(spark.createDataFrame([("m", i) for i in range(7)], "mesh_id string, geo_id long"), 7).count() == 0
+
+
+def test_polylines_match_a_fold(spark):
+    rng = random.Random(6)
+    cuts = []
+    for geo in range(6):
+        for f in range((3, 40, 700, 1, 251, 250)[geo]):
+            ends = [[rng.choice([0.0, 1.0, rng.random()]), 0.0, 5.0 - f * 0.01 - k * 0.01] for k in (0, 1)]
+            if rng.random() < 0.3:
+                ends[1] = [ends[0][0] + 4e-7, 0.0, ends[0][2] - 1e-7]
+            cuts.append(("m", geo, f, *ends[0], ends[0][2], *ends[1], ends[1][2]))
+    frame = spark.createDataFrame([("m", cuts[0][3], 0.0, 5.0)], "mesh_id string, px double, py double, pz double")
+    rows = spark.createDataFrame(cuts, "mesh_id string, geo_id long, fid long, x0 double, y0 double, z0 double, lat0 double, x1 double, y1 double, z1 double, lat1 double")
+    got = {}
+    for r in meridian.polylines(rows, frame).orderBy("geo_id", "seq").collect():
+        got.setdefault(r.geo_id, []).append((r.seq, r.x, r.y, r.z))
+    for geo in range(6):
+        ends = sorted(((-c[3 + 4 * k + 3], c[2] * 2 + k, c[3 + 4 * k : 6 + 4 * k]) for c in cuts if c[1] == geo for k in (0, 1)))
+        line = []
+        for _, _, q in ends:
+            if not line or sum((a - b) ** 2 for a, b in zip(q, line[-1], strict=True)) > 1e-12:
+                line.append(q)
+        pole = (cuts[0][3], 0.0, 5.0)
+        if sum((a - b) ** 2 for a, b in zip(pole, line[0], strict=True)) > 1e-12:
+            line.insert(0, pole)
+        if len(line) > 500:
+            line = [line[int(k * ((len(line) - 1) / 499) + 0.5)] for k in range(500)]
+        assert got[geo] == [(k, *q) for k, q in enumerate(line)], geo
+
+
+def test_chains_of_loose_segments():
+    rng = np.random.default_rng(4)
+    th = np.linspace(0, np.pi, 60)
+    arc = np.stack([20 * np.cos(th), 20 * np.sin(th)], 1)
+    segments = np.stack([arc[:-1], arc[1:]], 1)[rng.permutation(59)]
+    turned = rng.random(59) < 0.5
+    segments[turned] = segments[turned][:, ::-1]
+    (line,) = meridian.chained(segments)
+    assert len(line) == 60 and np.allclose(np.sort(line[:, 0]), np.sort(arc[:, 0])) and np.abs(np.diff(line, axis=0)).max() < 2
+    # a second piece far away is a chain of its own; one of few points is none
+    far = np.stack([arc[:9], arc[1:10]], 1) + 100
+    assert [len(x) for x in meridian.chained(np.concatenate([segments, far]))] == [60, 10]
+    assert [len(x) for x in meridian.chained(np.concatenate([segments, far[:3]]))] == [60]
+    assert meridian.chained(segments[:1]) == [] and meridian.chained(np.zeros((0, 2, 2))) == []
+
+
+def test_outer_segments_of_a_sphere(spark):
+    n, m = 24, 12
+    v = [("m", i * n + j, 20 * np.sin(np.pi * (i + 0.5) / m) * np.cos(2 * np.pi * j / n), 20 * np.sin(np.pi * (i + 0.5) / m) * np.sin(2 * np.pi * j / n), -20 * np.cos(np.pi * (i + 0.5) / m)) for i in range(m) for j in range(n)]
+    f = [("m", len_, *t) for len_, t in enumerate(t for i in range(m - 1) for j in range(n) for t in ((i * n + j, i * n + (j + 1) % n, i * n + n + j), (i * n + (j + 1) % n, i * n + n + (j + 1) % n, i * n + n + j)))]
+    vertices = spark.createDataFrame([tuple(map(lambda x: x.item() if hasattr(x, "item") else x, r)) for r in v], "mesh_id string, vid long, x double, y double, z double")
+    faces = spark.createDataFrame(f, "mesh_id string, fid long, i0 long, i1 long, i2 long")
+    # a section of an inner half circle in the plane x = 0.1 y, down to 60 degrees from the pole at -z
+    way = np.array([0.1, 1.0, 0.0]) / np.sqrt(1.01)
+    angles = np.linspace(-np.pi / 3, np.pi / 3, 15)
+    points = spark.createDataFrame([("m", 0, k, *map(float, 10 * np.sin(t) * way + np.array([0, 0, -10 * np.cos(t)])), 0.0) for k, t in enumerate(angles)], "mesh_id string, geo_id long, seq int, x double, y double, z double, d2 double")
+    center = spark.createDataFrame([("m", 0.0, 0.0, 0.0)], "mesh_id string, cx double, cy double, cz double")
+    keys = ["mesh_id", "geo_id"]
+    got = meridian.outer_segments(faces, vertices, points, center, keys).collect()
+    p = {r[1]: np.array(r[2:], float) for r in v}
+    normal, limit, want = np.array([1.0, -0.1, 0.0]), (np.pi / 3) * 1.3 + 0.15, set()
+    for _, fid, *c in f:
+        cut = []
+        for a, b in ((0, 1), (1, 2), (2, 0)):
+            s, t = p[c[a]] @ normal, p[c[b]] @ normal
+            if s * t < 0:
+                q = p[c[a]] + s / (s - t) * (p[c[b]] - p[c[a]])
+                if np.arccos(np.clip(-q[2] / np.linalg.norm(q), -1, 1)) <= limit:
+                    cut.append(q)
+        if len(cut) == 2:
+            want.add(fid)
+    assert {r.fid for r in got} == want and want
+    chains = meridian.outer_chains(meridian.outer_segments(faces, vertices, points, center, keys), keys).collect()
+    assert 2 * sum(r.chain == 0 for r in chains) > len(want) and len({(r.chain, r.seq) for r in chains}) == len(chains)
+
+
+def test_boundary_cap_is_the_hull(spark):
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(60, 2))
+    corners = set(topology.hull(p).tolist())
+    for k in range(60):  # a corner is outside each triangle of other points
+        inside = False
+        for a in range(60):
+            side = [(p[b] - p[a]) @ np.array([-(p[k] - p[a])[1], (p[k] - p[a])[0]]) for b in range(60) if b not in (a, k)]
+            if a != k and (min(side) >= 0 or max(side) <= 0):
+                inside = True
+        assert inside == (k in corners) or k not in corners
+    v, f = sheet(spark, 6)
+    plane = spark.createDataFrame([("m", 3.0, 3.0, 1.0, 0.0, 0.0, 2.0)], "mesh_id string, qx double, qy double, qz double, nx double, ny double, nz double")
+    cap = topology.boundary_cap(f, v, plane).collect()
+    area = sum(abs((r.bx - r.ax) * (r.cy - r.ay) - (r.by - r.ay) * (r.cx - r.ax)) / 2 for r in cap)
+    assert len(cap) == 4 and area == pytest.approx(36) and all(r.az == r.bz == r.cz == 1 for r in cap)
+
+
+def test_common_pole_and_display_modes(spark):
+    points = spark.createDataFrame([("m", 0, 0, 3.0, 0.0, 0.0, 0.0, 0.0), ("m", 0, 1, 3.0, 4.0, 0.0, 4.0, 2000.0), ("m", 1, 0, 0.0, 4.0, 0.0, 0.0, 1000.0)], "mesh_id string, geo_id long, seq int, x double, y double, z double, arc double, dev double").withColumns({"d1": F.lit(0.0), "d2": F.lit(0.0)})
+    frame = spark.createDataFrame([("m", 0.0, 0.0, 0.0)], "mesh_id string, rx double, ry double, rz double")
+    got = {(r.geo_id, r.seq): r for r in meridian.common_pole(points, frame).collect()}
+    # the deviation at the mean place (1.5, 2), not the mean of the deviations
+    assert got[0, 0].dev == pytest.approx(-500) and got[1, 0].dev == pytest.approx(-500) and got[0, 1].arc == pytest.approx(2.5)
+    rows = spark.createDataFrame([(0, True), (1, False)], "geo_id long, is_regular boolean")
+    assert [meridian.shown(rows, m).count() for m in ("all", "regular", "irregular", "none")] == [2, 1, 1, 0]
