@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space between words: the blank and U+0009 to U+000D.
@@ -61,6 +62,22 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """A stored copy of ``df`` with consecutive numbers from 0 in ``order``: sorted spans, and in each the numbers after those of the spans before.
+
+    ``order`` should tell all rows apart, so that no span becomes longer than the others.
+    """
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    span = F.shiftright("_m", 33)
+    # one row for each span
+    before = F.sum("_c").over(W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    starts = rows.groupBy(span.alias("_span")).agg(F.count("*").alias("_c")).select("_span", F.coalesce(before, F.lit(0)).alias("_start"))
+    out = rows.withColumn("_span", span).join(F.broadcast(starts), "_span")
+    out = out.withColumn(name, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_span", "_start")
+    out.meshloom_path = rows.meshloom_path
+    return out
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
