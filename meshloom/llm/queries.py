@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import decontaminate, html_extract, license_scan, lm_scoring, merkle, mixing, ngram_join, quality_rules, secret_scan, url_filter, warc
+from meshloom.llm import decontaminate, html_extract, license_scan, lm_scoring, merkle, mixing, ngram_join, quality_rules, resample, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_importance_resample": resample.op11_importance_resample,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "quality_ablation": quality_rules.quality_ablation,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op5_warc": warc.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op11_importance_resample": resample.SQL,
     "op12_merkle_manifest": merkle.SQL,
     "quality_ablation": quality_rules.ABLATION_SQL,
 }
