@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import decontaminate, html_extract, license_scan, lm_scoring, merkle, mixing, ngram_join, quality_rules, resample, secret_scan, url_filter, warc
+from meshloom.llm import decontaminate, html_extract, license_scan, lm_scoring, merkle, mixing, ngram_join, quality_rules, resample, secret_scan, set_sketch, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_importance_resample": resample.op11_importance_resample,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_set_sketch": set_sketch.op13_set_sketch,
     "quality_ablation": quality_rules.quality_ablation,
 }
 ORACLES = {
@@ -27,5 +28,6 @@ ORACLES = {
     "op8_mix_sources": mixing.SQL,
     "op11_importance_resample": resample.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_set_sketch": set_sketch.SQL,
     "quality_ablation": quality_rules.ABLATION_SQL,
 }
