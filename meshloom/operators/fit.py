@@ -118,11 +118,11 @@ def fit_fixed_radius(points: DataFrame, iterations: int = 30, kernel_points: int
             return pd.DataFrame([[*key, *c, r, rms]], columns=["mesh_id", "zone", "cx", "cy", "cz", "radius", "rms"])
 
         return points.select("mesh_id", "zone", "x", "y", "z", "radius").groupBy("mesh_id", "zone").applyInPandas(kernel, schema)
-    keys = ["mesh_id", "zone"]
+    keys = ("mesh_id", "zone")
     fit = points.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"c{c}") for c in "xyz"], F.first("radius").alias("r"))
     p, d = g.point(), g.distance(g.point(), center())
     for step in range(iterations + 100):
-        rows = points.join(F.broadcast(stored(fit)), keys)  # one row for each group
+        rows = with_mesh(points, fit, keys=keys)
         if step < iterations:
             moved = [F.sum(F.when(d >= 1e-12, q - (q - c) * (F.col("r") / d)).otherwise(0.0)) / F.count("*") for q, c in zip(p, center(), strict=True)]
         else:
@@ -132,7 +132,7 @@ def fit_fixed_radius(points: DataFrame, iterations: int = 30, kernel_points: int
             push = [F.first(c) - F.coalesce(F.sum(F.when(inside, (q - c) / F.greatest(d, F.lit(1e-12)) * (F.col("r") - d))) / F.count_if(inside), F.lit(0.0)) for q, c in zip(p, center(), strict=True)]
             moved = push
         fit = rows.groupBy(*keys).agg(*[m.alias(f"c{c}") for m, c in zip(moved, "xyz", strict=True)], F.first("r").alias("r"))
-    rows = points.join(F.broadcast(stored(fit)), keys)
+    rows = with_mesh(points, fit, keys=keys)
     return rows.groupBy(*keys, "cx", "cy", "cz", F.col("r").alias("radius")).agg(F.sqrt(F.avg((d - F.col("r")) * (d - F.col("r")))).alias("rms"))
 
 

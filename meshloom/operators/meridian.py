@@ -278,7 +278,7 @@ def outer_segments(faces: DataFrame, vertices: DataFrame, points: DataFrame, cen
     limits = points.join(frames, keys).groupBy(*keys).agg((F.coalesce(F.max(angle(g.point())), F.lit(0.0)) * 1.3 + 0.15).alias("limit"))
     names = [f"{k}{c}" for k in "mnuvc" for c in "xyz"]
     planes = frames.join(limits, keys).groupBy("mesh_id").agg(F.collect_list(F.struct(*others, *names, "limit")).alias("planes"))
-    rows = topology.gather(faces, vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])).join(planes, "mesh_id")
+    rows = with_mesh(topology.gather(faces, vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])), planes)
     corners = list(topology.corner_points())
 
     def met(s: Column) -> Column:

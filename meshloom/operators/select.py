@@ -78,7 +78,8 @@ def trim(faces: DataFrame, vertices: DataFrame, percent: float = 6.0) -> DataFra
     """Faces with kept: all corners farther from the rim than percent of the greatest distance; unreachable corners count as far."""
     dist = stored(rim_distances(faces, vertices))
     most = dist.groupBy("mesh_id").agg(F.max("dist").alias("most"))
-    each = topology.corners(faces).join(dist, ["mesh_id", "vid"], "left").join(most, "mesh_id", "left")
+    each = topology.corners(faces).join(dist, ["mesh_id", "vid"], "left")
+    each = with_mesh(each, most, "left")
     far = F.coalesce(F.col("dist") > percent / 100.0 * F.col("most"), F.lit(True))
     kept = each.groupBy("mesh_id", "fid").agg(F.min(far).alias("kept"))
     return faces.join(kept, ["mesh_id", "fid"])

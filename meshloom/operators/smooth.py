@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators import topology
-from meshloom.operators.storage import stored
+from meshloom.operators.storage import stored, with_mesh
 
 
 def _half_step(points: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
@@ -85,7 +85,7 @@ def fill_holes(vertices: DataFrame, faces: DataFrame, most: int = 300) -> tuple[
     fans = stored(fans)
     base = vertices.groupBy("mesh_id").agg((F.max("vid") + 1).alias("next_v")).join(faces.groupBy("mesh_id").agg((F.max("fid") + 1).alias("next_f")), "mesh_id")
     # one row for each hole, and for each new face: few against the mesh
-    numbered = fans.join(F.broadcast(base), "mesh_id").selectExpr("*", "dense_rank() OVER (PARTITION BY mesh_id ORDER BY loop) - 1 AS hole", "row_number() OVER (PARTITION BY mesh_id ORDER BY loop, place) - 1 AS f")
+    numbered = with_mesh(fans, base).selectExpr("*", "dense_rank() OVER (PARTITION BY mesh_id ORDER BY loop) - 1 AS hole", "row_number() OVER (PARTITION BY mesh_id ORDER BY loop, place) - 1 AS f")
     new_points = numbered.filter("place = 0").select("mesh_id", (F.col("next_v") + F.col("hole")).alias("vid"), "x", "y", "z")
     new_faces = numbered.select("mesh_id", (F.col("next_f") + F.col("f")).alias("fid"), "i0", "i1", (F.col("next_v") + F.col("hole")).alias("i2"))
     points, rows = vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(new_points), faces.unionByName(new_faces)

@@ -5,23 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir (where that is unset, in a temporary folder in local mode only) and read again."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir; where that is unset, in a temporary folder in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="meshloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/meshloom-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/meshloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_mesh(rows: DataFrame, per_mesh: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a table that has one row for each mesh; Spark broadcasts it where it is small."""
-    return rows.join(per_mesh, "mesh_id")
+#: Rows of a table of one row for each mesh up to which it is sent to all tasks, and the parts that a mesh is split into beyond that.
+MESHES, PARTS = 10_000, 64
+
+
+def with_mesh(rows: DataFrame, per_mesh: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("mesh_id",)) -> DataFrame:
+    """``rows`` with the columns of a table that has one row for each mesh (or each of ``keys``).
+
+    That table is counted: up to ``MESHES`` rows it is sent to all tasks, so that no vertex or face is shuffled. Beyond, it is joined by
+    mesh and part, so that a large mesh is spread over ``PARTS`` tasks.
+    """
+    few = per_mesh.limit(MESHES + 1).toArrow()
+    if few.num_rows <= MESHES:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, per_mesh.schema)), list(keys), how)
+    parts = per_mesh.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(PARTS)).cast("int")).join(parts, [*keys, "_part"], how).drop("_part")

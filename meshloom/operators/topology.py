@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators.graph import connected_components
+from meshloom.operators.storage import stored, with_mesh
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def face_components(faces: DataFrame) -> DataFrame:
     rows = faces.join(labels, ["mesh_id", "i0"], "left").withColumn("component", F.coalesce("component", "i0"))
     best = rows.groupBy("mesh_id", "component").agg(F.count("*").alias("n"), F.min("fid").alias("first"))
     best = best.groupBy("mesh_id").agg(F.max(F.struct(F.col("n"), (-F.col("first")).alias("x"), F.col("component"))).alias("m")).select("mesh_id", F.col("m.component").alias("largest"))
-    return rows.join(best, "mesh_id").select(*faces.columns, "component", (F.col("component") == F.col("largest")).alias("is_largest"))
+    return with_mesh(rows, best).select(*faces.columns, "component", (F.col("component") == F.col("largest")).alias("is_largest"))
 
 
 def used_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def cells(vertices: DataFrame, target_faces: int) -> DataFrame:
     """vertices with the grid cell (bigint) that vertex clustering puts them in; about target_faces / 2 cells."""
     res = max(10, -(-round((target_faces / 2) ** (1 / 3) * 1e9) // 10**9))
     box = vertices.groupBy("mesh_id").agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = vertices.join(box, "mesh_id")
+    rows = with_mesh(vertices, box)
     part = []
     for c in "xyz":
         extent = F.col(f"hi_{c}") - F.col(f"lo_{c}")
@@ -208,7 +209,7 @@ def unit_scale(rows: DataFrame) -> DataFrame:
 
 def scaled(rows: DataFrame) -> DataFrame:
     """Coordinates in millimetres by the detected unit."""
-    out = rows.join(unit_scale(rows), "mesh_id")
+    out = with_mesh(rows, unit_scale(rows))
     return out.select(*[(F.col(c).cast("double") * F.col("scale")).cast("float").alias(c) if c in "xyz" else F.col(c) for c in rows.columns])
 
 
@@ -219,7 +220,7 @@ def bounds(vertices: DataFrame) -> DataFrame:
 
 def centred(vertices: DataFrame) -> DataFrame:
     """Coordinates less the middle of the bounding box, for display."""
-    rows = vertices.join(bounds(vertices).select("mesh_id", *[((F.col(f"min_{c}").cast("double") + F.col(f"max_{c}")) / 2).alias(f"m{c}") for c in "xyz"]), "mesh_id")
+    rows = with_mesh(vertices, bounds(vertices).select("mesh_id", *[((F.col(f"min_{c}").cast("double") + F.col(f"max_{c}")) / 2).alias(f"m{c}") for c in "xyz"]))
     return rows.select("mesh_id", "vid", *[(F.col(c).cast("double") - F.col(f"m{c}")).cast("float").alias(c) for c in "xyz"])
 
 
@@ -255,7 +256,7 @@ def boundary_cap(faces: DataFrame, vertices: DataFrame, planes: DataFrame) -> Da
     u = g.normalized(g.cross(n, (F.when(first, 1.0).otherwise(0.0), F.when(first, 0.0).otherwise(1.0), F.lit(0.0))))
     rows = rows.select("*", *[x.alias(f"u{c}") for x, c in zip(u, "xyz", strict=True)])
     rows = rows.select("*", *[x.alias(f"v{c}") for x, c in zip(g.cross(n, tuple(F.col(f"u{c}") for c in "xyz")), "xyz", strict=True)])
-    rim = boundary_vertices(faces).join(vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]), ["mesh_id", "vid"]).join(rows, "mesh_id")
+    rim = with_mesh(boundary_vertices(faces).join(vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]), ["mesh_id", "vid"]), rows)
     d = g.sub(g.point(), tuple(F.col(f"q{c}") for c in "xyz"))
     off = g.dot(d, n)
     flat = rim.select("mesh_id", "qx", "qy", "qz", *[(F.col(c) - off * F.col(f"n{c}")).alias(c) for c in "xyz"], g.dot(d, tuple(F.col(f"u{c}") for c in "xyz")).alias("u"), g.dot(d, tuple(F.col(f"v{c}") for c in "xyz")).alias("v"))

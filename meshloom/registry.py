@@ -8,13 +8,14 @@ from __future__ import annotations
 
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators import cluster, fit, meridian, select, smooth, topology, volume
-from meshloom.operators.storage import stored
+from meshloom.operators.storage import shared_path, stored, with_mesh
 from meshloom.plans import analysis, cup, report
-from meshloom.sources import stl
+from meshloom.sources import stl, stl_files
 
 FLAGSHIP = "sphere_fit_deviation_by_ring"
 QUERIES: dict = {}
@@ -47,9 +48,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _cup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertices, faces, faces of the inner shell)."""
-    v, f = cup.cup(spark, sf_dir)
-    shell = v.groupBy("mesh_id").agg(((F.count("*") - 2) / 2 * 4).alias("_end"))
-    return v, f, f.join(shell, "mesh_id").filter("fid < _end").drop("_end")
+    v, f = (stored(t) for t in cup.cup(spark, sf_dir))
+    return v, f, f.filter(F.col("fid") < 2 * (v.count() - 2))
 
 
 def _sphere(v: DataFrame, radius: float = 16.0) -> DataFrame:
@@ -635,14 +635,30 @@ def label_extremes(spark, sf_dir):
 
 @_query(_on_cup("SELECT fid, CAST(0 AS INTEGER) AS corner, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i0 UNION ALL SELECT fid, 1, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i1 UNION ALL SELECT fid, 2, a.x, a.y, a.z FROM f JOIN v a ON a.vid = i2"))
 def stl_round_trip(spark, sf_dir):
-    """Faces packed as STL records, each chunk with a header of its own, and read back as corners."""
+    """Faces written as STL files, a part for each task, and read back by ranges of records."""
     v, f, _ = _cup(spark, sf_dir)
-    dense = f.selectExpr("mesh_id", "row_number() OVER (PARTITION BY mesh_id ORDER BY fid) - 1 AS place", "fid", "i0", "i1", "i2")
-    chunks = stored(stl.encode(dense.select("mesh_id", F.col("place").alias("fid"), "i0", "i1", "i2"), v))
-    size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
-    files = chunks.select(F.col("chunk").cast("string").alias("path"), F.concat(F.lit(" " * 80).cast("binary"), size, F.col("data")).alias("content"))
-    rows = stl.decode(files).withColumn("place", F.col("fid") + F.col("mesh_id").cast("long")).drop("fid", "mesh_id")
-    return rows.join(dense.select("place", "fid"), "place").select("fid", "corner", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return _stl_files(spark, v, f).select("fid", "corner", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+def _stl_files(spark: SparkSession, v: DataFrame, f: DataFrame) -> DataFrame:
+    """Corners of the files that ``f`` is written to, with the fid of their faces."""
+    path = shared_path(spark)
+    stl.save(f, v, path, 6)
+    spark.dataSource.register(stl_files.StlFiles)
+    rows = spark.read.format("stl").option("facets", 5000).load(path)
+    # a face's place in the files: after those of the parts before
+    parts = rows.groupBy("mesh_id").agg((F.max("fid") + 1).alias("n"))
+    before = F.sum("n").over(W.orderBy("mesh_id").rowsBetween(W.unboundedPreceding, -1))  # one row for each part
+    rows = with_mesh(rows, parts.select("mesh_id", F.coalesce(before, F.lit(0)).alias("before"))).withColumn("place", F.col("fid") + F.col("before"))
+    return rows.drop("fid", "mesh_id").join(topology.numbered(f.select("mesh_id", "fid"), "fid", "place"), "place")
+
+
+@_query(_on_cup(f"""SELECT fid, CAST({RGB} AS INTEGER) AS attribute FROM (SELECT fid, e, LEAST(1.0, ABS(e)/50) AS t FROM (SELECT fid, (a.d + b.d + c.d)/3 AS e FROM f JOIN dv a ON a.vid = i0 JOIN dv b ON b.vid = i1 JOIN dv c ON c.vid = i2))""",
+  "dv AS MATERIALIZED (SELECT vid, (SQRT(x*x+y*y+z*z)-16)*1000 AS d FROM v)"))
+def stl_colours(spark, sf_dir):
+    """The colours of the files' facets, which tell the mean deviation of their corners."""
+    v, f, _ = _cup(spark, sf_dir)
+    return _stl_files(spark, v.withColumn("deviation", (g.length(g.point()) - 16) * 1000), f).filter("corner = 0").select("fid", "attribute")
 
 
 @_query()

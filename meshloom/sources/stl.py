@@ -19,9 +19,8 @@ from meshloom.operators import topology
 
 HEADER, RECORD = 84, 50
 FACET = np.dtype([("normal", "<f4", 3), ("corners", "<f4", (3, 3)), ("attribute", "<u2")])
-NUMBER = rb"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
-VERTEX = re.compile(rb"vertex\s+" + rb"\s+".join([NUMBER] * 3))
-NORMAL = re.compile(rb"facet\s+normal\s+" + rb"\s+".join([NUMBER] * 3))
+VERTEX = re.compile(rb"vertex\s+(\S+)\s+(\S+)\s+(\S+)")
+NORMAL = re.compile(rb"facet\s+normal\s+(\S+)\s+(\S+)\s+(\S+)")
 CORNERS = "mesh_id string, fid long, corner int, x float, y float, z float, nx float, ny float, nz float"
 #: Facets in a batch of rows, and in a chunk of a written file.
 BATCH = 20_000
@@ -33,7 +32,7 @@ class StlError(ValueError):
 
 def is_ascii(data: bytes) -> bool:
     """Starts with ``solid`` and has not the size that its facet count would give a binary file."""
-    if not data[:80].strip().lower().startswith(b"solid"):
+    if not data[:80].strip().startswith(b"solid"):
         return False
     return not (len(data) > HEADER and abs(len(data) - (HEADER + RECORD * struct.unpack_from("<I", data, 80)[0])) < 10)
 
@@ -41,11 +40,15 @@ def is_ascii(data: bytes) -> bool:
 def parse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(corners n x 3 x 3, facet normals n x 3). Raises StlError for files that are short, empty or not finite."""
     if is_ascii(data):
-        xyz = np.array([[float(x) for x in m.groups()] for m in VERTEX.finditer(data)], np.float32).reshape(-1, 3)
-        xyz = xyz[: len(xyz) // 3 * 3].reshape(-1, 3, 3)
-        normals = np.zeros((len(xyz), 3), np.float32)
-        found = np.array([[float(x) for x in m.groups()] for m in NORMAL.finditer(data)], np.float32).reshape(-1, 3)[: len(xyz)]
-        normals[: len(found)] = found
+        try:
+            xyz, normals = (np.array([[float(x) for x in m.groups()] for m in found.finditer(data)], np.float32).reshape(-1, 3) for found in (VERTEX, NORMAL))
+        except ValueError as error:
+            raise StlError(f"the file has a line that is no point: {error}") from None
+        if len(xyz) % 3:
+            raise StlError("the file ends within a facet")
+        xyz = xyz.reshape(-1, 3, 3)
+        # facets without a line of their own have no normal
+        normals = np.concatenate([normals[: len(xyz)], np.zeros((max(len(xyz) - len(normals), 0), 3), np.float32)])
     else:
         if len(data) < HEADER:
             raise StlError("the file is shorter than its header")
@@ -61,26 +64,43 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return xyz, normals
 
 
+def corner_batches(mesh: str, xyz: np.ndarray, normals: np.ndarray, first: int = 0, attributes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of CORNERS of facets numbered from ``first``, with their attributes if given."""
+    for at in range(0, len(xyz), BATCH):
+        p, n = xyz[at : at + BATCH], normals[at : at + BATCH]
+        k = len(p)
+        columns = [pa.array([mesh] * (3 * k)), pa.array(np.repeat(np.arange(first + at, first + at + k), 3)), pa.array(np.tile(np.arange(3, dtype=np.int32), k))]
+        columns += [pa.array(np.ascontiguousarray(p.reshape(-1, 3)[:, c])) for c in range(3)] + [pa.array(np.repeat(n[:, c], 3)) for c in range(3)]
+        names = ["mesh_id", "fid", "corner", "x", "y", "z", "nx", "ny", "nz"]
+        if attributes is not None:
+            columns, names = [*columns, pa.array(np.repeat(attributes[at : at + BATCH].astype(np.int32), 3))], [*names, "attribute"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def decode(files: DataFrame) -> DataFrame:
-    """(path, content) -> corners; a task holds one file."""
+    """(path, content) -> corners; a task holds one file. For stores that only Spark opens; ``read`` takes ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                xyz, normals = parse(content)
-                for at in range(0, len(xyz), BATCH):
-                    p, n = xyz[at : at + BATCH], normals[at : at + BATCH]
-                    k = len(p)
-                    columns = [pa.array([path] * (3 * k)), pa.array(np.repeat(np.arange(at, at + k), 3)), pa.array(np.tile(np.arange(3, dtype=np.int32), k))]
-                    columns += [pa.array(np.ascontiguousarray(p.reshape(-1, 3)[:, c])) for c in range(3)] + [pa.array(np.repeat(n[:, c], 3)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["mesh_id", "fid", "corner", "x", "y", "z", "nx", "ny", "nz"])
+                yield from corner_batches(path, *parse(content))
 
     return files.select("path", "content").mapInArrow(run, CORNERS)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Corners of all ``*.stl`` files under a path, by Spark's own reader; mesh_id is the file's path."""
-    return decode(spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][tT][lL]").option("recursiveFileLookup", "true").load(path))
+def read(spark: SparkSession, path: str, facets: int | None = None) -> DataFrame:
+    """Corners of all ``*.stl`` files under a path; mesh_id is the file's path. Large binary files are read by ranges of ``facets`` records.
+
+    Where pyarrow has no file system for the path, Spark's own reader hands each file to a task.
+    """
+    from meshloom.sources import stl_files
+
+    try:
+        stl_files.opened(path)
+    except (pa.ArrowInvalid, OSError):
+        return decode(spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][tT][lL]").option("recursiveFileLookup", "true").load(path))
+    spark.dataSource.register(stl_files.StlFiles)
+    return spark.read.format("stl").option("facets", facets or stl_files.FACETS).load(path).drop("attribute")
 
 
 def load(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,34 +108,23 @@ def load(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
     return topology.weld(topology.scaled(corners))
 
 
-def encode(faces: DataFrame, vertices: DataFrame, chunks: int = 8) -> DataFrame:
-    """(mesh_id, chunk, n, data): facet records in order of fid, coloured by the mean of the corners' deviation where vertices have one."""
+def facet_rows(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """mesh_id, fid, normal, corners and attribute of each face: coloured by the mean of the corners' deviation where vertices have one."""
     colour = "deviation" in vertices.columns
     rows = topology.gather(faces, vertices, ("x", "y", "z", "deviation") if colour else ("x", "y", "z"))
     a, b, c = topology.corner_points()
-    rows = rows.select("mesh_id", "fid", *[n.cast("float").alias(f"n{k}") for n, k in zip(g.face_normal(a, b, c), "xyz", strict=True)], *[f"{c}{k}" for k in range(3) for c in "xyz"],
+    return rows.select("mesh_id", "fid", *[n.cast("float").alias(f"n{k}") for n, k in zip(g.face_normal(a, b, c), "xyz", strict=True)], *[F.col(f"{c}{k}").cast("float").alias(f"{c}{k}") for k in range(3) for c in "xyz"],
                        (g.rgb555((F.col("deviation0") + F.col("deviation1") + F.col("deviation2")) / 3) if colour else F.lit(0)).cast("int").alias("attribute"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for mesh, part in frame.groupby("mesh_id", sort=False):
-                out = np.zeros(len(part), FACET)
-                out["normal"] = part[["nx", "ny", "nz"]].to_numpy(np.float32)
-                out["corners"] = part[[f"{c}{k}" for k in range(3) for c in "xyz"]].to_numpy(np.float32).reshape(-1, 3, 3)
-                out["attribute"] = part["attribute"].to_numpy(np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array([mesh]), pa.array([int(part["fid"].iloc[0])]), pa.array([len(part)]), pa.array([out.tobytes()], pa.binary())], names=["mesh_id", "chunk", "n", "data"])
-
-    ordered = rows.repartitionByRange(chunks, "mesh_id", "fid").sortWithinPartitions("mesh_id", "fid")
-    return ordered.mapInArrow(pack, "mesh_id string, chunk long, n long, data binary")
-
-
-def save(chunks: DataFrame, mesh_id: str, path: str, title: str = "meshloom") -> int:
-    """Writes one mesh's records as a binary STL file, chunk after chunk; the number of facets."""
-    mine = chunks.filter(F.col("mesh_id") == mesh_id)
-    n = mine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    with open(path, "wb") as out:
-        out.write(title.encode()[:80].ljust(80, b"\0") + struct.pack("<I", n))
-        for row in mine.orderBy("chunk").select("data").toLocalIterator():
-            out.write(bytes(row.data))
-    return n
+
+def save(faces: DataFrame, vertices: DataFrame, path: str, parts: int | None = None, title: str = "meshloom") -> None:
+    """Writes each mesh as STL files ``path``/<mesh_id>/part-<n>.stl in the order of fid, coloured where vertices have a deviation; each part by its own task.
+
+    ``stl_files.joined`` makes one file of a mesh's parts.
+    """
+    from meshloom.sources import stl_files
+
+    rows, order = facet_rows(faces, vertices), ("mesh_id", "fid")
+    rows = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    faces.sparkSession.dataSource.register(stl_files.StlFiles)
+    rows.write.format("stl").option("title", title).mode("overwrite").save(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meshloom.operators import cluster, fit, meridian, select, smooth, topology
 from meshloom.operators.graph import connected_components, shortest_paths
-from meshloom.sources import stl
+from meshloom.sources import stl, stl_files
 
 
 def sheet(spark, n=6, holes=()):
@@ -157,14 +157,79 @@ def test_stl_formats():
         stl.parse(b" " * 80 + struct.pack("<I", 5) + f.tobytes())
 
 
+def binary(f, title=b"x"):
+    return title.ljust(80) + struct.pack("<I", len(f)) + f.tobytes()
+
+
+def test_stl_lines_that_are_no_points():
+    good = "facet normal 0 0 1\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\n"
+    assert len(stl.parse(("solid x\n" + good * 2).encode())[0]) == 2
+    for bad in (good.replace("1 0 0", "1 O 0"), good.replace("1 0 0", "nan 0 0"), good + "vertex 1 1 1\n"):
+        with pytest.raises(stl.StlError):
+            stl.parse(("solid x\n" + bad).encode())
+    assert not stl.is_ascii(b"SOLID x\n" + good.encode())
+
+
+@pytest.mark.parametrize("facets_each", [1, 7, 10, 11, 1000])
+def test_stl_ranges_end_at_records(spark, tmp_path, facets_each):
+    f, h = facets(21), facets(10, 1)
+    f["attribute"] = np.arange(21)
+    (tmp_path / "a.stl").write_bytes(binary(f))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.STL").write_bytes(binary(h) + b"more")
+    text = "solid x\n" + "".join("facet normal 0 0 1\n" + "".join(f"vertex {float(a)!r} {float(b)!r} {float(c)!r}\n" for a, b, c in t) for t in h["corners"])
+    (tmp_path / "c.stl").write_text(text)
+    (tmp_path / "no.txt").write_text("x")
+    spark.dataSource.register(stl_files.StlFiles)
+    rows = spark.read.format("stl").option("facets", facets_each).load(str(tmp_path))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][tT][lL]").option("recursiveFileLookup", "true").load(str(tmp_path))
+    plain = lambda df: sorted((r.mesh_id.rpartition("/")[2], *r[1:]) for r in df.collect())
+    assert plain(rows.drop("attribute")) == plain(stl.decode(files)) == plain(stl.read(spark, f"file://{tmp_path}", facets_each))
+    assert [r.attribute for r in rows.filter("mesh_id LIKE '%a.stl' AND corner = 1").orderBy("fid").collect()] == list(range(21))
+
+
+def test_a_large_stl_file_is_read_by_several_tasks(spark, tmp_path):
+    n = 2_000_000
+    f = np.zeros(n, stl.FACET)
+    f["corners"] = np.arange(n * 9, dtype=np.float32).reshape(n, 3, 3)
+    (tmp_path / "big.stl").write_bytes(binary(f))
+    rows = stl.read(spark, str(tmp_path / "big.stl"))
+    assert rows.rdd.getNumPartitions() == 8
+    got = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("fid").alias("lo"), F.max("fid").alias("hi"), F.sum(F.col("x").cast("double")).alias("x")).orderBy("lo").collect()
+    assert [(r.lo, r.hi, r.n) for r in got] == [(k, k + 249_999, 750_000) for k in range(0, n, 250_000)]
+    assert sum(r.x for r in got) == f["corners"][:, :, 0].astype(float).sum()
+
+
+def test_stl_ranges_refuse_broken_files(spark, tmp_path):
+    f = facets(30)
+    f["corners"][25, 2, 2] = np.inf
+    for k, data in enumerate((b"short", binary(facets(9))[:-1], binary(facets(0)), binary(f), b"solid x\nendsolid")):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.stl").write_bytes(data)
+        with pytest.raises(Exception, match="StlError"):
+            stl.read(spark, str(tmp_path / str(k)), 8).collect()
+
+
 def test_stl_files(spark, tmp_path):
     v, f = sheet(spark, 3)
-    n = stl.save(stl.encode(f, v.withColumn("deviation", F.lit(50.0)), 3), "m", str(tmp_path / "a.stl"))
-    assert n == f.count()
-    data = (tmp_path / "a.stl").read_bytes()
-    assert set(np.frombuffer(data, stl.FACET, n, 84)["attribute"]) == {0x8000 | 31 << 10}
-    back_v, back_f = stl.load(stl.read(spark, str(tmp_path)))
-    assert (back_v.count(), back_f.count()) == (v.count(), f.count())
+    two = lambda df: df.unionByName(df.withColumn("mesh_id", F.lit("other/mesh é")))
+    v, f = two(v).withColumn("deviation", F.when(F.col("mesh_id") == "m", 50.0).otherwise(0.0)), two(f)
+    path = str(tmp_path / "out")
+    stl.save(f, v, path, 3)
+    stl.save(f, v, path, 3)  # overwrites
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    back_v, back_f = stl.load(stl.read(spark, path))
+    assert back_f.count() == f.count()
+    done = {r.mesh_id: r.facets for r in stl_files.joined(spark, path, str(tmp_path / "whole")).collect()}
+    n = f.filter("mesh_id = 'm'").count()
+    assert done == {"m": n, "other/mesh é": n}
+    data = (tmp_path / "whole" / "m.stl").read_bytes()
+    assert set(np.frombuffer(data, stl.FACET, n, 84)["attribute"]) == {0x8000 | 31 << 10} and len(data) == 84 + 50 * n
+    places = {r.vid: (r.x, r.y, r.z) for r in v.filter("mesh_id = 'm'").collect()}
+    want = [[places[i] for i in (r.i0, r.i1, r.i2)] for r in f.filter("mesh_id = 'm'").orderBy("fid").collect()]
+    assert np.allclose(stl.parse(data)[0], want)
+    back_v, back_f = stl.load(stl.read(spark, str(tmp_path / "whole" / "m.stl")))
+    assert (back_v.count(), back_f.count()) == (v.filter("mesh_id = 'm'").count(), n)
 
 
 def test_dbscan_matches_scan_order(spark):
