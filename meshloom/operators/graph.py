@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.operators.storage import stored
+from meshloom.operators.storage import bucketed, stored, with_mesh
 
 #: Vertices in a block of the shortest-path search at most; a task holds one block.
 BLOCK = 50_000
+#: Rounds whose improvements are kept apart.
+COMPACT = 8
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,26 +37,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         rows = stored(small.filter("u <> v").distinct())
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(mesh_id, src, dst, w), (mesh_id, vid) -> (mesh_id, vid, dist, pred): exact distances from the nearest source.
-
-    Vertices fall into blocks of ``block`` consecutive ids. A round settles every block by its own heap search from
-    the distances known at its border and passes improvements along the edges between blocks; rounds are as many
-    as a shortest path changes blocks. Unreachable vertices have no row. ``pred`` is the least id among equal predecessors.
-    """
-    schema = "mesh_id string, vid long, dist double"
-    tagged = stored(edges.select("mesh_id", "src", "dst", "w", F.expr(f"src div {block}").alias("block"), F.expr(f"dst div {block}").alias("to_block")))
-    inner = tagged.filter("block = to_block").select("mesh_id", "block", "src", "dst", "w")
-    between = tagged.filter("block <> to_block").select("mesh_id", "src", "dst", "w")
-
-    def settle(key, links: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if known.empty:
-            return pd.DataFrame({"mesh_id": pd.Series([], dtype=object), "vid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
+def _settle(key, links: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The vertices of a block whose distance is less than known, by a heap search from the candidates that are less."""
+    known = rows[~rows["new"]]
+    best: dict[int, float] = dict(zip(known["vid"].tolist(), known["dist"].tolist(), strict=True))
+    fresh, heap, less = rows[rows["new"]], [], {}
+    for v, d in zip(fresh["vid"].tolist(), fresh["dist"].tolist(), strict=True):
+        if d < best.get(v, float("inf")):
+            best[v] = less[v] = d
+            heap.append((d, v))
+    if heap:
         out: dict[int, list[tuple[int, float]]] = {}
         for s, t, w in zip(links["src"].tolist(), links["dst"].tolist(), links["w"].tolist(), strict=True):
             out.setdefault(s, []).append((t, w))
-        best = dict(zip(known["vid"].tolist(), known["dist"].tolist(), strict=True))
-        heap = [(d, v) for v, d in best.items()]
         heapq.heapify(heap)
         while heap:
             d, v = heapq.heappop(heap)
@@ -62,23 +57,53 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, block: int = BLOCK) ->
                 continue
             for t, w in out.get(v, ()):
                 if d + w < best.get(t, float("inf")):
-                    best[t] = d + w
+                    best[t] = less[t] = d + w
                     heapq.heappush(heap, (d + w, t))
-        return pd.DataFrame({"mesh_id": pd.Series([key[0]] * len(best), dtype=object), "vid": list(best), "dist": list(best.values())})
+    return pd.DataFrame({"mesh_id": pd.Series([key[0]] * len(less), dtype=object), "vid": pd.Series(list(less), dtype="int64"), "dist": pd.Series(list(less.values()), dtype=float), "block": pd.Series([key[1]] * len(less), dtype="int64")})
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, block: int = BLOCK, predecessors: bool = True) -> DataFrame:
+    """(mesh_id, src, dst, w), (mesh_id, vid) -> (mesh_id, vid, dist, pred): exact distances from the nearest source.
 
-    dist = sources.select("mesh_id", "vid").distinct().withColumn("dist", F.lit(0.0))
-    last = None
+    Vertices fall into blocks of ``block`` consecutive ids. A round takes the blocks that candidates have reached, settles each
+    by its own heap search, and keeps the vertices whose distance became less; only these go on along edges between blocks. The search ends
+    when no distance became less: rounds are as many as a shortest path changes blocks. Unreachable vertices have no row. Weights
+    are not negative. ``pred`` is the least id among equal predecessors, null at a source.
+    """
+    schema, keys = "mesh_id string, vid long, dist double, block long", ("mesh_id", "block")
+    at = lambda c: F.expr(f"{c} div {block}")
+    inner = bucketed(edges.filter(at("src") == at("dst")).select("mesh_id", at("src").alias("block"), "src", "dst", "w"), *keys)
+    between = stored(edges.filter(at("src") != at("dst")).select("mesh_id", "src", "dst", "w"))
+    found: list[DataFrame] = []
+    fresh = stored(sources.select("mesh_id", "vid", F.lit(0.0).alias("dist"), at("vid").alias("block")).distinct())
     while True:
-        keyed = dist.withColumn("block", F.expr(f"vid div {block}"))
-        settled = inner.groupBy("mesh_id", "block").cogroup(keyed.groupBy("mesh_id", "block")).applyInPandas(settle, schema)
-        settled = stored(settled)
-        crossed = between.join(settled.withColumnRenamed("vid", "src"), ["mesh_id", "src"]).select("mesh_id", F.col("dst").alias("vid"), (F.col("dist") + F.col("w")).alias("dist"))
-        dist = stored(settled.union(crossed).groupBy("mesh_id", "vid").agg(F.min("dist").alias("dist")))
-        state = dist.agg(F.count("*"), F.sum("dist")).first()
-        if state == last or between.limit(1).count() == 0:
+        active = stored(fresh.select(*keys).distinct())
+        rows = fresh.withColumn("new", F.lit(True))
+        if found:
+            known = with_mesh(_least(found), active, "left_semi", keys)
+            rows = rows.unionByName(known.withColumn("new", F.lit(False)))
+        links = with_mesh(inner, active, "left_semi", keys)
+        less = stored(links.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_settle, schema))
+        if less.limit(1).count() == 0:
             break
-        last = state
+        found.append(less)
+        if len(found) > COMPACT:
+            found = [stored(_least(found))]
+        crossed = between.join(less.withColumnRenamed("vid", "src"), ["mesh_id", "src"]).groupBy("mesh_id", F.col("dst").alias("vid")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        fresh = stored(crossed.select("mesh_id", "vid", "dist", at("vid").alias("block")))
+    dist = stored(_least(found).drop("block")) if found else fresh.drop("block")
+    return dist.join(nearest_before(edges, dist), ["mesh_id", "vid"], "left") if predecessors else dist
+
+
+def _least(found: list[DataFrame]) -> DataFrame:
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionByName(f)
+    return rows.groupBy("mesh_id", "vid", "block").agg(F.min("dist").alias("dist"))
+
+
+def nearest_before(edges: DataFrame, dist: DataFrame) -> DataFrame:
+    """(mesh_id, vid, pred): the least id from which an edge of positive length leads to each vertex at its distance."""
     reach = edges.join(dist.select("mesh_id", F.col("vid").alias("src"), F.col("dist").alias("d")), ["mesh_id", "src"])
     into = reach.join(dist.withColumnRenamed("vid", "dst"), ["mesh_id", "dst"]).filter("d + w = dist AND w > 0")
-    pred = into.groupBy("mesh_id", F.col("dst").alias("vid")).agg(F.min("src").alias("pred"))
-    return dist.join(pred, ["mesh_id", "vid"], "left")
+    return into.groupBy("mesh_id", F.col("dst").alias("vid")).agg(F.min("src").alias("pred"))

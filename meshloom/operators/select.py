@@ -71,7 +71,7 @@ def rim_distances(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """(mesh_id, vid, dist): length of the shortest edge path from the rim loop; vertices it cannot reach have none."""
     edges = topology.adjacency(faces, vertices)
     rim = topology.boundary_loops(faces).filter("is_rim").select("mesh_id", "vid")
-    return shortest_paths(stored(edges), stored(rim)).select("mesh_id", "vid", "dist")
+    return shortest_paths(stored(edges), stored(rim), predecessors=False)
 
 
 def trim(faces: DataFrame, vertices: DataFrame, percent: float = 6.0) -> DataFrame:

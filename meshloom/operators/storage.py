@@ -27,6 +27,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` stored in buckets of ``keys``: joins and groupings on these keys read it without an exchange."""
+    spark, path, name = df.sparkSession, shared_path(df.sparkSession), f"meshloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved; the files stay when the catalog forgets the name
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 #: Rows of a table of one row for each mesh up to which it is sent to all tasks, and the parts that a mesh is split into beyond that.
 MESHES, PARTS = 10_000, 64
 

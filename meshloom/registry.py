@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
-from meshloom.operators import cluster, fit, meridian, select, smooth, topology, volume
+from meshloom.operators import cluster, fit, graph, meridian, select, smooth, topology, volume
 from meshloom.operators.storage import shared_path, stored, with_mesh
 from meshloom.plans import analysis, cup, report
 from meshloom.sources import stl, stl_files
@@ -680,6 +680,15 @@ def rim_distances(spark, sf_dir):
     return _rounded(select.rim_distances(shell, v))
 
 
+@_query(_on_cup(f"SELECT p.vid, {r6('p.dist', 'dist')}, MIN(src) AS pred FROM rd p LEFT JOIN (SELECT dst, src, rd.dist + w AS d FROM ew JOIN rd ON src = rd.vid WHERE w > 0) e ON e.dst = p.vid AND e.d = p.dist GROUP BY p.vid, p.dist", SHELL, RIM))
+def rim_paths(spark, sf_dir):
+    """Distances and predecessors from the rim, over some eight blocks."""
+    v, _, shell = _cup(spark, sf_dir)
+    edges = stored(topology.adjacency(shell, v))
+    rim = stored(topology.boundary_loops(shell).filter("is_rim").select("mesh_id", "vid"))
+    return _rounded(graph.shortest_paths(edges, rim, max(v.count() // 16, 50)))
+
+
 @_query(_on_cup("SELECT fid, i0, i1, i2, COALESCE(a.dist > m, TRUE) AND COALESCE(b.dist > m, TRUE) AND COALESCE(c.dist > m, TRUE) AS kept FROM fs LEFT JOIN rd a ON a.vid = i0 LEFT JOIN rd b ON b.vid = i1 LEFT JOIN rd c ON c.vid = i2, (SELECT MAX(dist)*0.06 AS m FROM rd)", SHELL, RIM))
 def trimmed_faces(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)

@@ -48,9 +48,36 @@ def test_shortest_paths_for_any_block_size(spark):
                 best[b] = d + w
                 heapq.heappush(heap, (d + w, b))
     edges = spark.createDataFrame([("m", a, b, w) for (a, b), w in e.items()], "mesh_id string, src long, dst long, w double")
+    before = {v: min((a for (a, b), w in e.items() if b == v and a in best and best[a] + w == d), default=None) if d else None for v, d in best.items()}
     for block in (7, 1000):
-        got = {r.vid: r.dist for r in shortest_paths(edges, spark.createDataFrame([("m", 0), ("m", 59)], "mesh_id string, vid long"), block).collect()}
-        assert got == pytest.approx(best)
+        got = shortest_paths(edges, spark.createDataFrame([("m", 0), ("m", 59)], "mesh_id string, vid long"), block).collect()
+        assert {r.vid: r.dist for r in got} == best
+        assert {r.vid: r.pred for r in got} == before
+
+
+def test_shortest_paths_of_meshes_in_many_blocks(spark):
+    rng = random.Random(8)
+    links = []
+    for mesh, n in (("a", 300), ("b", 40)):  # ids that jump between blocks along every path
+        for i in range(n):
+            for j in (i + 1, i + 17, i * 7 % n):
+                if j < n and i != j:
+                    w = rng.choice([1.0, 0.0, rng.random()])
+                    links += [(mesh, i * 13 % n, j * 13 % n, w), (mesh, j * 13 % n, i * 13 % n, w)]
+    best, heap = {("a", 5): 0.0}, [(0.0, "a", 5)]
+    out = {}
+    for m, a, b, w in links:
+        out.setdefault((m, a), []).append((b, w))
+    while heap:
+        d, m, v = heapq.heappop(heap)
+        for b, w in out.get((m, v), ()) if d == best[m, v] else ():
+            if d + w < best.get((m, b), 1e9):
+                best[m, b] = d + w
+                heapq.heappush(heap, (d + w, m, b))
+    edges = spark.createDataFrame(links, "mesh_id string, src long, dst long, w double")
+    source = spark.createDataFrame([("a", 5), ("c", 1)], "mesh_id string, vid long")
+    got = {(r.mesh_id, r.vid): r.dist for r in shortest_paths(edges, source, 31, predecessors=False).collect()}
+    assert got == best | {("c", 1): 0.0}
 
 
 def test_trim_keeps_what_is_far_from_the_rim(spark):
@@ -263,6 +290,23 @@ def test_dbscan_matches_scan_order(spark):
     assert got == want
 
 
+def test_dbscan_of_dense_cells(spark):
+    rng = random.Random(3)
+    ball = lambda n, at, r: [tuple(a + rng.uniform(-r, r) for a in at) for _ in range(n)]
+    # 100,000 points in one cell; two slabs just within eps of each other, and one just beyond; a bridge of single points
+    pts = ball(100_000, (0.1, 0.1, 0.1), 0.05)
+    pts += [(10 + rng.uniform(0, 0.5), rng.uniform(0, 0.5), -rng.uniform(0, 0.2)) for _ in range(4000)] + [(10.25, 0.25, 0.0)]
+    pts += [(10 + rng.uniform(0, 0.5), rng.uniform(0, 0.5), 0.5 + rng.uniform(1e-9, 0.2)) for _ in range(4000)] + [(10.25, 0.25, 0.5)]
+    pts += [(10 + rng.uniform(0, 0.5), rng.uniform(0, 0.5), 1.2001 + rng.uniform(0, 0.1)) for _ in range(4000)]
+    first = {"far": 0, "slab": 100_000, "other": 104_001, "beyond": 108_002}
+    pts += [(0.15 + 0.4 * k, 0.1, 0.1) for k in range(1, 5)]
+    rows = spark.createDataFrame([("m", "bump", k, *p, 2.0) for k, p in enumerate(pts)], "mesh_id string, type string, id long, x double, y double, z double, dev double")
+    got = {r.id: r.cluster_id for r in cluster.dbscan(rows).select("id", "cluster_id").collect()}
+    assert len(got) == len(pts) and {got[k] for k in range(100_000)} == {0}
+    assert got[first["slab"]] == got[first["other"]] == 1 and got[first["beyond"]] == 2 and set(got.values()) == {0, 1, 2}
+    assert [got[len(pts) - 4 + k] for k in range(4)] == [0] * 4
+
+
 def test_series_and_runs(spark):
     rows = spark.createDataFrame([("g", i, a, v) for i, (a, v) in enumerate([(0.0, 0.0), (1.0, 2.0), (3.0, 3.0), (3.0, 8.0)])], "k string, seq int, arc double, dev double")
     got = meridian.series(rows, ["k"], ["seq"], "arc", "dev").orderBy("seq").collect()
