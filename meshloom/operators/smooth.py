@@ -8,35 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.operators import topology
-from meshloom.operators.storage import stored, with_mesh
+from meshloom.operators.storage import bucketed, stored, with_mesh
 
 
-def _half_step(points: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
-    """Each vertex moved by factor of the way to its neighbours' mean; stored as floats. One join and one aggregation."""
-    near = edges.join(points.select("mesh_id", F.col("vid").alias("dst"), "x", "y", "z"), ["mesh_id", "dst"])
-    mean = near.groupBy("mesh_id", F.col("src").alias("vid")).agg(*[F.avg(F.col(c).cast("double")).alias(f"m{c}") for c in "xyz"])
+def neighbour_lists(faces: DataFrame) -> DataFrame:
+    """(mesh_id, vid, near): the neighbours of each vertex, stored in buckets of the vertex."""
+    return bucketed(topology.adjacency(faces).groupBy("mesh_id", F.col("dst").alias("vid")).agg(F.collect_list("src").alias("near")), "mesh_id", "vid")
+
+
+def half_step(points: DataFrame, near: DataFrame, factor: float) -> DataFrame:
+    """Each vertex moved by factor of the way to its neighbours' mean, as floats.
+
+    ``points`` and ``near`` lie in buckets of the vertex: each vertex sends its place to its neighbours, and these sums are all that is exchanged.
+    """
+    sent = points.join(near, ["mesh_id", "vid"]).select("mesh_id", F.explode("near").alias("vid"), "x", "y", "z")
+    mean = sent.groupBy("mesh_id", "vid").agg(*[F.avg(F.col(c).cast("double")).alias(f"m{c}") for c in "xyz"])
     moved = [F.coalesce(F.col(c).cast("double") + factor * (F.col(f"m{c}") - F.col(c)), F.col(c).cast("double")).cast("float").alias(c) for c in "xyz"]
     return points.join(mean, ["mesh_id", "vid"], "left").select("mesh_id", "vid", *moved)
 
 
+def _smoothed(vertices: DataFrame, faces: DataFrame, factors: list[float]) -> DataFrame:
+    near, points = neighbour_lists(faces), bucketed(vertices.select("mesh_id", "vid", "x", "y", "z"), "mesh_id", "vid")
+    for factor in factors:
+        points = bucketed(half_step(points, near, factor), "mesh_id", "vid")
+    return points
+
+
 def taubin(vertices: DataFrame, faces: DataFrame, iterations: int = 3, lam: float = 0.5, mu: float = -0.53) -> DataFrame:
     """Taubin smoothing: a shrinking and a growing half step each time; vertices without neighbours stay. Normals are made anew."""
     if iterations <= 0:
         return vertices
-    edges = stored(topology.adjacency(faces))
-    points = vertices.select("mesh_id", "vid", "x", "y", "z")
-    for _ in range(iterations):
-        for factor in (lam, mu):
-            points = stored(_half_step(points, edges, factor))
-    return topology.vertex_normals(points, faces)
+    return topology.vertex_normals(_smoothed(vertices, faces, [lam, mu] * iterations), faces)
 
 
 def laplacian(vertices: DataFrame, faces: DataFrame, iterations: int = 2, alpha: float = 0.25) -> DataFrame:
     """Plain neighbour averaging, for previews."""
-    edges, points = stored(topology.adjacency(faces)), vertices.select("mesh_id", "vid", "x", "y", "z")
-    for _ in range(iterations):
-        points = stored(_half_step(points, edges, alpha))
-    return points
+    return _smoothed(vertices, faces, [alpha] * iterations) if iterations > 0 else vertices.select("mesh_id", "vid", "x", "y", "z")
 
 
 def ordered_loop(links: dict[int, list[int]]) -> list[int]:
