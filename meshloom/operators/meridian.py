@@ -101,19 +101,44 @@ def segments(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int
     return cut.filter(own).select("mesh_id", "geo_id", "fid", *[e[c].alias(f"{c}{k}") for k, e in ((0, a), (1, b)) for c in ("x", "y", "z", "lat")])
 
 
-def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
-    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the one before, led by the pole, thinned to ``most``."""
+def _kept(run: Column, eps: float) -> Column:
+    """Of neighbouring points those farther than eps from the last one kept, as a fold; the first is kept."""
+    first = F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("all"))
+
+    def step(acc, k):
+        a, b = F.get(run, acc.last), F.get(run, k)
+        far = sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)) > eps * eps
+        return F.struct(F.when(far, k).otherwise(acc.last).alias("last"), F.when(far, F.array_append(acc.all, k)).otherwise(acc.all).alias("all"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(run) - 1), first, step, lambda acc: F.transform(acc.all, lambda k: F.get(run, k)))
+    return F.when(F.size(run) > 1, folded).otherwise(run)
+
+
+def distinct_in_order(rows: DataFrame, eps: float) -> DataFrame:
+    """rows (mesh_id, geo_id, lat, o, x, y, z) of each meridian, from the greatest lat, without those no farther than eps from the last one kept; with start: the first.
+
+    A point farther than twice eps from the one before it is kept, so the fold runs over points nearer than that, mostly one.
+    """
     w = W.partitionBy("mesh_id", "geo_id").orderBy(F.desc("lat"), "o")
+    gap = sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0))
+    begins = F.coalesce(gap > 4 * eps * eps, F.lit(True)).cast("int")
+    rows = rows.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy("mesh_id", "geo_id", "_run").agg(F.array_sort(F.collect_list(F.struct((-F.col("lat")).alias("down"), "o", "lat", "x", "y", "z"))).alias("r"))
+    kept = runs.select("mesh_id", "geo_id", "_run", F.posexplode(_kept(F.col("r"), eps)).alias("_k", "e"))
+    return kept.select("mesh_id", "geo_id", "e.lat", "e.o", "e.x", "e.y", "e.z", ((F.col("_run") == 1) & (F.col("_k") == 0)).alias("start"))
+
+
+def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
+    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the last one kept, led by the pole, thinned to ``most``."""
     ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("lat", "x", "y", "z")]) for k in (0, 1)]))
     rows = cuts.select("mesh_id", "geo_id", "fid", ends.alias("e")).select("mesh_id", "geo_id", (F.col("fid") * 2 + F.col("e.k")).alias("o"), "e.lat", "e.x", "e.y", "e.z")
-    gap = sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0))
-    rows = rows.withColumn("gap", gap).filter("gap IS NULL OR gap > %r" % (eps * eps))
+    rows = distinct_in_order(rows, eps)
     rows = with_mesh(rows, frame.select("mesh_id", "px", "py", "pz"))
     # the pole comes before the first point, unless that is the pole; a point is its own place and, if so, the pole's
     off = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
     own = F.struct(F.lit(1).alias("k"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     pole = F.struct(F.lit(0).alias("k"), *[F.col(f"p{c}").cast("double").alias(c) for c in "xyz"])
-    rows = rows.select("mesh_id", "geo_id", "lat", "o", F.explode(F.when(F.col("gap").isNull() & (off > 1e-12), F.array(pole, own)).otherwise(F.array(own))).alias("e"))
+    rows = rows.select("mesh_id", "geo_id", "lat", "o", F.explode(F.when(F.col("start") & (off > 1e-12), F.array(pole, own)).otherwise(F.array(own))).alias("e"))
     w = W.partitionBy("mesh_id", "geo_id")
     rows = rows.select("mesh_id", "geo_id", (F.row_number().over(w.orderBy(F.desc("lat"), "o", "e.k")) - 1).alias("r"), F.count("*").over(w).alias("n"), "e.x", "e.y", "e.z")
     # of more than ``most`` points those at the rounded multiples of (n - 1) / (most - 1)

@@ -346,6 +346,26 @@ def test_polylines_match_a_fold(spark):
         assert got[geo] == [(k, *q) for k, q in enumerate(line)], geo
 
 
+def test_repeats_are_judged_by_the_last_point_kept(spark):
+    eps, cuts = 1e-6, []
+    for geo, steps in enumerate(([0.6] * 21, [0.6, 0.6, -1.5, 5.0, 0.9, -1.7, 0.3, 0.3, 0.3, 3.0, 0.1], [1.2] * 9 + [0.0] * 4, [2.1, 1.9, 0.2])):
+        x = np.cumsum([0.0, *steps, 0.0 if len(steps) % 2 == 0 else 9.0]) * eps  # an even number of points
+        x = x[: len(x) // 2 * 2]
+        cuts += [("m", geo, k, float(x[2 * k]), 0.0, 0.0, 10.0 - k, float(x[2 * k + 1]), 0.0, 0.0, 9.5 - k) for k in range(len(x) // 2)]
+    rows = spark.createDataFrame(cuts, "mesh_id string, geo_id long, fid long, x0 double, y0 double, z0 double, lat0 double, x1 double, y1 double, z1 double, lat1 double")
+    frame = spark.createDataFrame([("m", 0.0, 0.0, 5.0)], "mesh_id string, px double, py double, pz double")
+    got = {}
+    for r in meridian.polylines(rows, frame).orderBy("geo_id", "seq").collect():
+        got.setdefault(r.geo_id, []).append(r.x)
+    for geo in got:
+        line = []
+        for c in (c for c in cuts if c[1] == geo):
+            for x in (c[3], c[7]):
+                if not line or (x - line[-1]) ** 2 > eps * eps:
+                    line.append(x)
+        assert got[geo] == [0.0, *line], geo
+
+
 def test_chains_of_loose_segments():
     rng = np.random.default_rng(4)
     th = np.linspace(0, np.pi, 60)
