@@ -159,21 +159,19 @@ def cluster_means(vertices: DataFrame, attribute: str, target_faces: int = 300_0
     return cells(vertices, target_faces).groupBy("mesh_id", "cell").agg(F.avg(attribute).alias(attribute))
 
 
-def clip(faces: DataFrame, vertices: DataFrame, origin: g.Vec, normal: g.Vec, eps: float = 1e-6) -> DataFrame:
-    """Triangles (mesh_id, fid, part, ax .. cz) of what is left of each face on the normal's side of a plane.
-
-    One pass over the corners gives a polygon of at most four points; it is cut into a fan.
-    """
-    rows = gather(faces, vertices)
+def _clipped(rows: DataFrame, origin: g.Vec, normal: g.Vec, eps: float) -> DataFrame:
     pts = []
     for k in range(3):
         p = g.point(suffix=str(k))
-        pts.append(F.struct(*[c.alias(n) for c, n in zip(p, "xyz", strict=True)], g.plane_distance(p, origin, normal).alias("d")))
+        pts.append(F.struct(F.col(f"i{k}").alias("i"), *[c.alias(n) for c, n in zip(p, "xyz", strict=True)], g.plane_distance(p, origin, normal).alias("d")))
     ring = F.array(*[F.struct(pts[k].alias("a"), pts[(k + 1) % 3].alias("b")) for k in range(3)])
 
     def side(e):
-        t = e.a.d / (e.a.d - e.b.d)
-        crossing = F.struct(*[(e.a[c] + (e.b[c] - e.a[c]) * t).alias(c) for c in "xyz"])
+        # from the lesser id on, so that both faces of an edge get the same point
+        turned = e.a.i > e.b.i
+        p = {c: (F.when(turned, e.b[c]).otherwise(e.a[c]), F.when(turned, e.a[c]).otherwise(e.b[c])) for c in "xyzd"}
+        t = p["d"][0] / (p["d"][0] - p["d"][1])
+        crossing = F.struct(*[(p[c][0] + (p[c][1] - p[c][0]) * t).alias(c) for c in "xyz"])
         end = F.struct(*[e.b[c].alias(c) for c in "xyz"])
         inside_a, inside_b = e.a.d >= -eps, e.b.d >= -eps
         none = F.array_remove(F.array(end), end)
@@ -184,6 +182,27 @@ def clip(faces: DataFrame, vertices: DataFrame, origin: g.Vec, normal: g.Vec, ep
     return fans.select("mesh_id", "fid", "part", *[F.get("p", k)[c].alias(f"{n}{c}") for n, k in (("a", F.lit(0)), ("b", F.col("part")), ("c", F.col("part") + 1)) for c in "xyz"])
 
 
+def clip(faces: DataFrame, vertices: DataFrame, origin: g.Vec, normal: g.Vec, eps: float = 1e-6) -> DataFrame:
+    """Triangles (mesh_id, fid, part, ax .. cz) of what is left of each face on the normal's side of a plane.
+
+    One pass over the corners gives a polygon of at most four points; it is cut into a fan.
+    """
+    return _clipped(gather(faces, vertices), origin, normal, eps)
+
+
+def clip_mesh(faces: DataFrame, vertices: DataFrame, planes: DataFrame, eps: float = 1e-6, tolerance: float = 1e-5) -> tuple[DataFrame, DataFrame]:
+    """What is left of each mesh on its own plane's side (mesh_id, qx .. qz, nx .. nz), as a mesh: (vertices, faces).
+
+    Points that round to the same multiple of the tolerance are one vertex. Face f's triangles are 2 f and 2 f + 1.
+    """
+    planes = planes.select("mesh_id", *[f"{k}{c}" for k in "qn" for c in "xyz"])
+    rows = _clipped(with_mesh(gather(faces, vertices), planes), tuple(F.col(f"q{c}") for c in "xyz"), tuple(F.col(f"n{c}") for c in "xyz"), eps)
+    corner = F.posexplode(F.array(*[F.struct(*[F.col(f"{s}{c}").alias(c) for c in "xyz"]) for s in "abc"])).alias("corner", "p")
+    rows = rows.select("mesh_id", (F.col("fid") * 2 + F.col("part") - 1).alias("fid"), corner).select("mesh_id", "fid", "corner", "p.x", "p.y", "p.z", *[F.lit(0.0).alias(f"n{c}") for c in "xyz"])
+    points, out = weld(rows, tolerance)
+    return points.select("mesh_id", "vid", "x", "y", "z"), out
+
+
 def weld(rows: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """corners (mesh_id, fid, corner, x, y, z, nx, ny, nz) -> (vertices, faces).
 

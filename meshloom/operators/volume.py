@@ -94,13 +94,58 @@ def wear_plane(classified: DataFrame, frame: DataFrame) -> DataFrame:
     return rows.select("mesh_id", "vid", "max_depth", "x", "y", "z", "wx", "wy", "wz", *[((F.col(f"p{c}") + F.col(f"q{c}") - off * F.col(f"w{c}")) / 2).alias(f"anchor_{c}") for c in "xyz"])
 
 
-def wear_solid(faces: DataFrame, vertices: DataFrame, sphere: DataFrame) -> DataFrame:
-    """(mesh_id, fid, thickness, share): faces whose mean distance beyond the sphere is positive; share runs from the least to the greatest thickness."""
+def _worn(faces: DataFrame, vertices: DataFrame, sphere: DataFrame) -> DataFrame:
+    """Faces with their corners, the sphere, thickness and share: those whose mean distance beyond the sphere is positive."""
     rows = with_mesh(topology.gather(faces, vertices), sphere.select("mesh_id", "cx", "cy", "cz", "radius"))
     thickness = sum((g.distance(p, fit.center()) - F.col("radius") for p in topology.corner_points()), F.lit(0.0)) / 3
-    rows = rows.select("mesh_id", "fid", thickness.alias("thickness")).filter("thickness > 0")
+    rows = rows.withColumn("thickness", thickness).filter("thickness > 0")
     ends = rows.groupBy("mesh_id").agg(F.min("thickness").alias("lo"), F.max("thickness").alias("hi"))
-    return with_mesh(rows, ends).select("mesh_id", "fid", "thickness", F.when(F.col("hi") > F.col("lo"), (F.col("thickness") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("share"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("thickness") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return with_mesh(rows, ends).withColumn("share", share).drop("lo", "hi")
+
+
+def wear_solid(faces: DataFrame, vertices: DataFrame, sphere: DataFrame) -> DataFrame:
+    """(mesh_id, fid, thickness, share): faces whose mean distance beyond the sphere is positive; share runs from the least to the greatest thickness."""
+    return _worn(faces, vertices, sphere).select("mesh_id", "fid", "thickness", "share")
+
+
+def wear_prisms(faces: DataFrame, vertices: DataFrame, sphere: DataFrame) -> DataFrame:
+    """Triangles (mesh_id, fid, part, ax .. cz, red, green, blue) of a closed prism for each worn face: the face, its projection onto the sphere, and three sides of two."""
+    rows = _worn(faces, vertices, sphere)
+    p = list(topology.corner_points())
+    p += [g.project_onto_sphere(q, fit.center(), F.col("radius")) for q in p]
+    point = [F.struct(*[c.alias(n) for c, n in zip(q, "xyz", strict=True)]) for q in p]
+    # corners 0 to 2 are the face's, 3 to 5 their projections
+    parts = [(0, 1, 2), (3, 5, 4)] + [t for k in range(3) for t in ((k, (k + 1) % 3, (k + 1) % 3 + 3), (k, (k + 1) % 3 + 3, k + 3))]
+    made = F.posexplode(F.array(*[F.struct(*[point[i].alias(s) for s, i in zip("abc", t, strict=True)]) for t in parts])).alias("part", "t")
+    rows = rows.select("mesh_id", "fid", "share", made)
+    return rows.select("mesh_id", "fid", "part", *[F.col(f"t.{s}.{c}").alias(f"{s}{c}") for s in "abc" for c in "xyz"], F.lit(1.0).alias("red"), (1 - F.col("share")).alias("green"), F.lit(0.0).alias("blue"))
+
+
+def wear_mesh(faces: DataFrame, vertices: DataFrame, sphere: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The worn solid as one closed mesh: (vertices, faces with share).
+
+    Vertex v of the surface is 2 v, its projection onto the sphere 2 v + 1. Walls stand only along edges that worn faces do not use as often in
+    one direction as in the other, so that walls which two prisms would share are left out, and every edge runs both ways equally often.
+    """
+    rows = stored(_worn(faces, vertices, sphere))
+    used = with_mesh(topology.used_vertices(vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]), rows), sphere.select("mesh_id", "cx", "cy", "cz", "radius"))
+    below = g.project_onto_sphere(g.point(), fit.center(), F.col("radius"))
+    both = F.explode(F.array(F.struct((F.col("vid") * 2).alias("vid"), "x", "y", "z"), F.struct((F.col("vid") * 2 + 1).alias("vid"), *[c.alias(n) for c, n in zip(below, "xyz", strict=True)])))
+    points = used.select("mesh_id", both.alias("p")).select("mesh_id", "p.*")
+    i = [F.col(f"i{k}") * 2 for k in range(3)]
+    triangle = lambda fid, a, b, c: F.struct(fid.alias("fid"), a.alias("i0"), b.alias("i1"), c.alias("i2"))
+    caps = rows.select("mesh_id", "share", F.explode(F.array(triangle(F.col("fid") * 8, *i), triangle(F.col("fid") * 8 + 1, i[0] + 1, i[2] + 1, i[1] + 1))).alias("t"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"i{k}").alias("a"), F.col(f"i{(k + 1) % 3}").alias("b")) for k in range(3)]))
+    sides = rows.select("mesh_id", "fid", "share", sides.alias("s")).select("mesh_id", "fid", "share", "s.*").filter("a <> b")
+    use = F.struct("fid", "k", "a", "b", "share")
+    edges = sides.groupBy("mesh_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.array_sort(F.collect_list(use)).alias("uses"))
+    up, down = (F.filter("uses", lambda u: u.a < u.b), F.filter("uses", lambda u: u.a > u.b))
+    # the first uses of the direction that has more, as many as it has more
+    open_ = edges.select("mesh_id", F.explode(F.when(F.size(up) >= F.size(down), F.slice(up, 1, F.size(up) - F.size(down))).otherwise(F.slice(down, 1, F.size(down) - F.size(up)))).alias("u")).select("mesh_id", "u.*")
+    a, b, at = F.col("a") * 2, F.col("b") * 2, F.col("fid") * 8 + F.col("k") * 2
+    walls = open_.select("mesh_id", "share", F.explode(F.array(triangle(at + 2, b, a, a + 1), triangle(at + 3, b, a + 1, b + 1))).alias("t"))
+    return points, caps.unionByName(walls).select("mesh_id", "t.*", "share")
 
 
 def cap_tessellation(spark: SparkSession, spheres: DataFrame, rings: int = 32, segments: int = 64) -> DataFrame:

@@ -245,6 +245,35 @@ def clipped(spark, sf_dir):
     return topology.clip(f, v, g.literal((0, 0, -1)), g.literal((0, 0, -1))).agg(_r(F.sum(g.triangle_area(a, b, c)), "area"), F.count("*").alias("triangles"))
 
 
+CLIPPED = ["""
+cd AS (SELECT *, -(z0+1) AS d0, -(z1+1) AS d1, -(z2+1) AS d2 FROM t),
+cs AS (SELECT fid, [{'i': i0, 'x': x0, 'y': y0, 'z': z0, 'd': d0}, {'i': i1, 'x': x1, 'y': y1, 'z': z1, 'd': d1}, {'i': i2, 'x': x2, 'y': y2, 'z': z2, 'd': d2}] AS p FROM cd),
+ce AS (SELECT fid, k, p[k+1] AS a, p[(k+1)%3+1] AS b FROM cs, range(3) r(k)),
+cu AS (SELECT fid, k, a, b, CASE WHEN a.i > b.i THEN b ELSE a END AS l, CASE WHEN a.i > b.i THEN a ELSE b END AS h FROM ce),
+cp AS (SELECT fid, k, 0 AS s, l.x+(h.x-l.x)*(l.d/(l.d-h.d)) AS x, l.y+(h.y-l.y)*(l.d/(l.d-h.d)) AS y, l.z+(h.z-l.z)*(l.d/(l.d-h.d)) AS z FROM cu WHERE (a.d >= -1e-6) <> (b.d >= -1e-6)
+  UNION ALL SELECT fid, k, 1, b.x, b.y, b.z FROM cu WHERE b.d >= -1e-6),
+co AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY k, s) - 1 AS i, COUNT(*) OVER (PARTITION BY fid) AS c FROM cp),
+ck AS (SELECT fid*2+part-1 AS fid, corner, x, y, z, FLOOR(x/1e-5+0.5) AS kx, FLOOR(y/1e-5+0.5) AS ky, FLOOR(z/1e-5+0.5) AS kz FROM co, range(1, 3) q(part), range(3) r(corner) WHERE part <= c-2 AND i = CASE corner WHEN 0 THEN 0 ELSE part+corner-1 END),
+cw AS (SELECT kx, ky, kz, MIN(fid*3+corner) AS o, arg_min(x, fid*3+corner) AS x, arg_min(y, fid*3+corner) AS y, arg_min(z, fid*3+corner) AS z FROM ck GROUP BY kx, ky, kz),
+cv AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY o) - 1 AS vid FROM cw)"""]
+
+
+def _clip_mesh(spark, sf_dir):
+    v, f, _ = _cup(spark, sf_dir)
+    return topology.clip_mesh(f, v, _frame(v))
+
+
+@_query(_on_cup(f"SELECT vid, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM cv", GALL, *CLIPPED))
+def clipped_vertices(spark, sf_dir):
+    """The cup cut by its rim plane, as a mesh with the crossings welded: its vertices."""
+    return _rounded(_clip_mesh(spark, sf_dir)[0])
+
+
+@_query(_on_cup("SELECT fid, MAX(vid) FILTER (corner = 0) AS i0, MAX(vid) FILTER (corner = 1) AS i1, MAX(vid) FILTER (corner = 2) AS i2 FROM ck JOIN cv USING (kx, ky, kz) GROUP BY fid", GALL, *CLIPPED))
+def clipped_faces(spark, sf_dir):
+    return _clip_mesh(spark, sf_dir)[1].select("fid", "i0", "i1", "i2")
+
+
 def _soup(spark, sf_dir):
     v, f = cup.cup(spark, sf_dir, normals=True)
     return topology.corners(f).join(v, ["mesh_id", "vid"]).drop("vid")
@@ -345,6 +374,38 @@ def wear_solid(spark, sf_dir):
     return _rounded(volume.wear_solid(shell, v, _sphere(v)))
 
 
+SOLID = """
+wf AS MATERIALIZED (SELECT t.fid, i0, i1, i2, (th-MIN(th) OVER ())/(MAX(th) OVER ()-MIN(th) OVER ()) AS share FROM (SELECT fid, (r0+r1+r2)/3-16 AS th FROM tr) w JOIN t ON t.fid = w.fid WHERE th > 0),
+wu AS (SELECT fid, k, share, CASE k WHEN 0 THEN i0 WHEN 1 THEN i1 ELSE i2 END AS a, CASE k WHEN 0 THEN i1 WHEN 1 THEN i2 ELSE i0 END AS b FROM wf, range(3) r(k)),
+wo AS (SELECT *, SUM(CASE WHEN a < b THEN 1 ELSE -1 END) OVER (PARTITION BY LEAST(a, b), GREATEST(a, b)) AS net, row_number() OVER (PARTITION BY a, b ORDER BY fid, k) AS nth FROM wu WHERE a <> b),
+ww AS (SELECT * FROM wo WHERE nth <= ABS(net) AND (a < b) = (net > 0))"""
+
+
+@_query(_on_cup(f"SELECT vid, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')} FROM (SELECT vid*2 AS vid, x, y, z FROM vs WHERE vid IN (SELECT a FROM wu) UNION ALL SELECT vid*2+1, x*16/SQRT(x*x+y*y+z*z), y*16/SQRT(x*x+y*y+z*z), z*16/SQRT(x*x+y*y+z*z) FROM vs WHERE vid IN (SELECT a FROM wu))", SHELL, GSHELL, RAD, SOLID))
+def wear_mesh_vertices(spark, sf_dir):
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(volume.wear_mesh(shell, v, _sphere(v))[0])
+
+
+@_query(_on_cup(f"""SELECT fid, i0, i1, i2, {r6('share', 'share')} FROM (SELECT fid*8 AS fid, i0*2 AS i0, i1*2 AS i1, i2*2 AS i2, share FROM wf UNION ALL SELECT fid*8+1, i0*2+1, i2*2+1, i1*2+1, share FROM wf
+  UNION ALL SELECT fid*8+k*2+2, b*2, a*2, a*2+1, share FROM ww UNION ALL SELECT fid*8+k*2+3, b*2, a*2+1, b*2+1, share FROM ww)""", SHELL, GSHELL, RAD, SOLID))
+def wear_mesh_faces(spark, sf_dir):
+    """The solid between the worn surface and the sphere, closed."""
+    v, _, shell = _cup(spark, sf_dir)
+    return _rounded(volume.wear_mesh(shell, v, _sphere(v))[1])
+
+
+@_query(_on_cup(f"""SELECT fid, CAST(part AS INTEGER) AS part, {r6('SQRT(kx*kx+ky*ky+kz*kz)/2', 'area')}, {r6('1-share', 'green')} FROM (SELECT fid, part, share, {CROSS} FROM (
+  SELECT fid, part, share, c[s[1]].x AS x0, c[s[1]].y AS y0, c[s[1]].z AS z0, c[s[2]].x AS x1, c[s[2]].y AS y1, c[s[2]].z AS z1, c[s[3]].x AS x2, c[s[3]].y AS y2, c[s[3]].z AS z2
+  FROM (SELECT wf.fid, share, [{{'x': x0, 'y': y0, 'z': z0}}, {{'x': x1, 'y': y1, 'z': z1}}, {{'x': x2, 'y': y2, 'z': z2}}, {{'x': x0*16/r0, 'y': y0*16/r0, 'z': z0*16/r0}}, {{'x': x1*16/r1, 'y': y1*16/r1, 'z': z1*16/r1}}, {{'x': x2*16/r2, 'y': y2*16/r2, 'z': z2*16/r2}}] AS c FROM wf JOIN tr ON tr.fid = wf.fid),
+  (VALUES (0, [1,2,3]), (1, [4,6,5]), (2, [1,2,5]), (3, [1,5,4]), (4, [2,3,6]), (5, [2,6,5]), (6, [3,1,4]), (7, [3,4,6])) q(part, s)))""", SHELL, GSHELL, RAD, SOLID))
+def wear_prisms(spark, sf_dir):
+    """The closed prism of each worn face, as triangles with their areas and colour."""
+    v, _, shell = _cup(spark, sf_dir)
+    a, b, c = (tuple(F.col(f"{s}{k}") for k in "xyz") for s in "abc")
+    return volume.wear_prisms(shell, v, _sphere(v)).select("fid", "part", _r(g.triangle_area(a, b, c), "area"), _r("green"))
+
+
 @_query(_on_cup(f"""SELECT vid, {r6('e', 'max_depth')}, {r6('x', 'x')}, {r6('y', 'y')}, {r6('z', 'z')}, {r6('-y/l', 'wx')}, {r6('x/l', 'wy')}, 0e0 AS wz, 0e0 AS anchor_x, 0e0 AS anchor_y, {r6('(-16.05-1)/2', 'anchor_z')}
   FROM (SELECT *, (SQRT(x*x+y*y+z*z)-16)*1000 AS e, SQRT(x*x+y*y) AS l FROM vs WHERE z <= -1) ORDER BY e DESC, vid LIMIT 1""", SHELL))
 def wear_plane(spark, sf_dir):

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.operators import cluster, fit, meridian, select, smooth, topology
+from meshloom.functions import geometry as g
+from meshloom.operators import cluster, fit, meridian, select, smooth, topology, volume
 from meshloom.operators.graph import connected_components, shortest_paths
+from meshloom.operators.storage import stored
+from meshloom.plans import cup
 from meshloom.sources import stl, stl_files
 
 
@@ -438,3 +441,56 @@ def test_common_pole_and_display_modes(spark):
     assert got[0, 0].dev == pytest.approx(-500) and got[1, 0].dev == pytest.approx(-500) and got[0, 1].arc == pytest.approx(2.5)
     rows = spark.createDataFrame([(0, True), (1, False)], "geo_id long, is_regular boolean")
     assert [meridian.shown(rows, m).count() for m in ("all", "regular", "irregular", "none")] == [2, 1, 1, 0]
+
+
+def test_the_worn_solid_is_closed_and_as_large_as_its_prisms(spark):
+    part = spark.range(400).select(F.col("id").alias("p_partkey"), (F.col("id") * 7 % 50 + 1).cast("int").alias("p_size"))
+    import tempfile
+
+    folder = tempfile.mkdtemp()
+    part.write.parquet(f"{folder}/part.parquet")
+    v, f = (stored(t) for t in cup.cup(spark, folder))
+    shell = f.filter(F.col("fid") < 4 * 400)
+    sphere = spark.createDataFrame([("cup", 0.0, 0.0, 0.0, 16.3)], "mesh_id string, cx double, cy double, cz double, radius double")  # some faces are worn, others not
+    points, faces = volume.wear_mesh(shell, v, sphere)
+    rows = faces.collect()
+    assert 0 < len({r.fid // 8 for r in rows}) < 1600 and len({r.fid for r in rows}) == len(rows)
+    uses = {}
+    for r in rows:
+        for a, b in ((r.i0, r.i1), (r.i1, r.i2), (r.i2, r.i0)):
+            uses[a, b] = uses.get((a, b), 0) + 1
+    assert all(uses.get((b, a)) == n for (a, b), n in uses.items()), "each edge runs both ways"
+    place = {r.vid: np.array([r.x, r.y, r.z]) for r in points.collect()}
+    size = sum(np.dot(place[r.i0], np.cross(place[r.i1], place[r.i2])) for r in rows) / 6
+    worn = volume.wear_solid(shell, v, sphere).select("mesh_id", "fid")
+    dev = v.withColumn("deviation", (g.length(g.point()) - 16.3) * 1000)
+    want = volume.defect_volumes(shell.join(worn, ["mesh_id", "fid"], "left_semi"), dev, sphere, 0.0).first().bump_volume
+    assert abs(size) == pytest.approx(want, rel=2e-3)
+    prisms = volume.wear_prisms(shell, v, sphere).collect()
+    assert len(prisms) == 8 * worn.count() and {r.green for r in prisms} <= {1 - r.share for r in rows}
+
+
+def test_faces_that_turn_against_each_other_keep_their_walls(spark):
+    v = spark.createDataFrame([("m", k, float(x), float(y), 20.0) for k, (x, y) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1), (2, 2)))], "mesh_id string, vid long, x double, y double, z double")
+    sphere = spark.createDataFrame([("m", 0.0, 0.0, 0.0, 16.0)], "mesh_id string, cx double, cy double, cz double, radius double")
+    for ids in (((0, 1, 2), (1, 2, 3)), ((0, 1, 2), (2, 1, 3), (1, 2, 4)), ((0, 1, 2), (0, 1, 2))):
+        f = spark.createDataFrame([("m", k, *t) for k, t in enumerate(ids)], "mesh_id string, fid long, i0 long, i1 long, i2 long")
+        uses, rows = {}, volume.wear_mesh(f, v, sphere)[1].collect()
+        for r in rows:
+            for a, b in ((r.i0, r.i1), (r.i1, r.i2), (r.i2, r.i0)):
+                uses[a, b] = uses.get((a, b), 0) + 1
+        assert all(uses.get((b, a)) == n for (a, b), n in uses.items()) and len({r.fid for r in rows}) == len(rows)
+
+
+def test_each_mesh_is_clipped_by_its_own_plane(spark):
+    v, f = sheet(spark, 4)
+    two = lambda df: df.unionByName(df.withColumn("mesh_id", F.lit("n")))
+    planes = spark.createDataFrame([("m", 0.5, 0.0, 0.0, 1.0, 0.0, 0.0), ("n", 1e6, 0.0, 0.0, -1.0, 0.0, 0.0)], "mesh_id string, qx double, qy double, qz double, nx double, ny double, nz double")
+    points, faces = topology.clip_mesh(two(f), two(v), planes)
+    n = faces.groupBy("mesh_id").count().collect()
+    assert {r.mesh_id for r in n} == {"m", "n"} and [r["count"] for r in n if r.mesh_id == "n"] == [f.count()]
+    used = {r.vid for r in topology.corners(faces.filter("mesh_id = 'm'")).select("vid").distinct().collect()}
+    got = points.filter("mesh_id = 'm'").collect()
+    assert used == {r.vid for r in got} == set(range(len(got))) and min(r.x for r in got) == pytest.approx(0.5)
+    # a cut is one vertex for the faces on both sides of its edge
+    assert len({(round(r.x, 9), round(r.y, 9), round(r.z, 9)) for r in got}) == len(got)
