@@ -7,8 +7,8 @@ sketches merge in any order, and registers of similar sets agree with a chance o
 registers by maximum likelihood, jointly with the known sizes: how many are greater, smaller and equal. Pairs that are less
 likely at the threshold than at the estimate by a factor of e^``DOUBT`` end there, the others are verified on their full sets.
 
-Pairs of a list are not expanded: each set is tested against the hub of its lists first, and sets of lists that then still span several
-components as in ``ngram_join``, which gives the components of all links. Two sets of similarity exactly 0.8 share no band of 80
+Pairs of a list are not expanded: each set is tested against the hub of its lists first. Sets of lists that then still span several
+components are paired by the rarest shingles that two linked sets must share, as in ``ngram_join``, which gives the components of all links. Two sets of similarity exactly 0.8 share no band of 80
 with a chance of 4e-7, of 0.85 with 2e-11; the estimate ends a link with less than 1e-11. No list is capped.
 
 Defined results: as in ``ngram_join``; ``kept`` of a null id is whether all ids of its component are null.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshloom.llm import common
 from meshloom.llm.components import connected_components
-from meshloom.llm.ngram_join import NULL_ID, _lower, _mix, _slices, open_pairs, sets_of, signature, sql_components, verified, whole_sets
+from meshloom.llm.ngram_join import NULL_ID, _lower, _mix, _slices, exact_prefixes, open_pairs, sets_of, signature, sql_components, verified, whole_sets
 
 BANDS, ROWS = 80, 8
 M = BANDS * ROWS
@@ -146,8 +146,8 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, whole: DataFrame, num: int,
 
 
 def lists_of(posts: DataFrame) -> DataFrame:
-    """``posts`` (gram, row, n) of keys that several sets have."""
-    many = common.written(posts.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
+    """``posts`` (gram, row, n) of keys that several sets have, with their number c."""
+    many = common.written(posts.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1"))
     lists = common.written(posts.join(common.if_small(many), "gram"))
     common.dropped(many)
     return lists
@@ -156,24 +156,30 @@ def lists_of(posts: DataFrame) -> DataFrame:
 def linked(lists: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b), stored: links that connect all sets that a chain of links between sets that met in ``lists`` (stored) connects."""
     sketches = common.written(whole.mapInArrow(_registers, "row long, n long, registers binary"))
-    # the hub of a list: the set that meets others in most lists
-    seats = common.written(lists.groupBy("row").agg(F.count("*").alias("c")))
-    hubs = lists.join(seats, "row").groupBy("gram").agg(F.max(F.struct("c", (-F.col("row")).alias("x"), "n")).alias("h"))
+    # the hub of a list: the set that meets most others in all of its lists, so the middle of a group of copies
+    seats = common.written(lists.groupBy("row").agg(F.sum(F.col("c") - 1).alias("met")))
+    hubs = lists.join(seats, "row").groupBy("gram").agg(F.max(F.struct("met", (-F.col("row")).alias("x"), "n")).alias("h"))
     hubs = common.written(hubs.select("gram", (-F.col("h.x")).alias("a"), F.col("h.n").alias("na")))
     seen = lists.join(hubs, "gram").filter("a <> row").filter(den * F.least("n", "na") >= num * F.greatest("n", "na"))
     seen = seen.groupBy("a", F.col("row").alias("b")).agg(F.count("*").alias("c"))
     first = common.written(seen.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
     links = common.written(confirmed(first, sketches, whole, num, den))
     common.dropped(seats, hubs)
-    # then pairs of the lists that still span several components
-    labels = connected_components(links)
-    placed = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
-    placed = common.written(placed.join(common.written(open_), "gram").select("gram", "row", "n", F.lit(0).alias("pos"), "component"))
+    # then the sets of lists that still span several components: those of different components that can reach the threshold share
+    # a shingle among the rarest of each, and meet by that instead of in the crowded list
+    labels = common.written(connected_components(links).withColumnRenamed("node", "row"))
+    named = lambda rows: rows.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    open_ = named(lists.select("gram", "row")).groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
+    open_ = common.written(open_)
+    rows = common.written(lists.select("gram", "row").join(open_, "gram", "left_semi").select("row").distinct())
+    rare = common.written(exact_prefixes(whole.join(rows, "row", "left_semi"), num, den))
+    placed = named(rare.select("gram", "row", "n", "pos"))
+    apart = common.written(placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram"))
+    placed = common.written(placed.join(apart, "gram", "left_semi"))
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = common.written(open_pairs(placed, num, den).join(tested, ["a", "b"], "left_anti"))
     more = common.written(confirmed(pairs, sketches, whole, num, den).unionByName(links))
-    common.dropped(placed, first, pairs, links, sketches)
+    common.dropped(labels, open_, rows, rare, apart, placed, first, pairs, links, sketches)
     return more
 
 
