@@ -33,7 +33,7 @@ SEED = 7
 #: Fewest words of a document that may be drawn, and the percentage drawn of these.
 LEAST_WORDS, PERCENT = 20, 25
 #: Words whose features share a table, and bytes of texts that are normalised together.
-RUN, CHUNK = 1 << 16, 4 << 20
+RUN, CHUNK = 1 << 15, 1 << 20
 
 _BYTE = np.arange(256)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -188,14 +188,16 @@ def tables(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tupl
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their bytes, offsets): some ``CHUNK`` bytes at a time, a longer text alone."""
     for batch in batches:
-        column = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+        column = batch.column("text").cast(pa.string())
+        if column.null_count:
+            column = column.fill_null("")
         _, ends, data = column.buffers()
-        ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
         data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
         at = 0
         while at < len(column):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, side="right")) - 1)
-            yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + CHUNK, side="right")) - 1)
+            yield batch.slice(at, to - at), data[ends[at] : ends[to]], (ends[at : to + 1] - ends[at]).astype(np.int64)
             at = to
 
 
