@@ -8,7 +8,7 @@ the rows not to be scanned, or if they are fewer those to be scanned, are sent t
 ``common.BROADCAST_ROWS`` rows; beyond that on both sides, the texts are joined by key.
 
 Defined results: a null text is the empty text; repeated rows and ids are separate rows that share
-a blob; an empty table gives no rows; other columns are ignored or, in ``redact``, kept. A web token (kind jwt)
+a blob; runs that append to one ledger at once may store a blob twice, which counts once; an empty table gives no rows; other columns are ignored or, in ``redact``, kept. A web token (kind jwt)
 starts where no letter, digit, hyphen or underscore stands before it, so each run of such characters is entered once.
 """
 
@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +72,9 @@ def blob_id(text):
 
 
 def read_ledger(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
-    """The rows of the ledger at ``path`` under ``version``; none where nothing is stored yet."""
+    """The rows of the ledger at ``path`` under ``version``, one for each blob also where runs at once or repeated ones have appended it twice; none where nothing is stored yet."""
     rows = spark.read.schema(FOUND + ", version string").parquet(path) if common.exists(spark, path) else spark.createDataFrame([], FOUND + ", version string")
-    return rows.filter(F.col("version") == version).drop("version")
+    return rows.filter(F.col("version") == version).drop("version").dropDuplicates(["blob"])
 
 
 def _keyed(docs: DataFrame, *others) -> DataFrame:
@@ -111,24 +112,33 @@ def findings(docs: DataFrame, path: str, version: str = VERSION) -> DataFrame:
     return rows.drop("id").join(read_ledger(docs.sparkSession, path, version), "blob")
 
 
+def cut(text: str, spans: str, mark: str) -> str:
+    """``text`` with the spans (as told, by start) replaced by ``mark``, those that overlap by one; each character is copied once."""
+    out, at = [], 0
+    for span in spans.split(","):
+        _, a, b = span.split(":")
+        if int(a) >= at:
+            out += [text[at : int(a)], mark]
+        at = max(at, int(b))
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each found span (overlapping ones merged) replaced by ``mark``, and n_chars made to fit.
 
-    Findings are few and narrow: contents with a finding are joined to the rows by blob. ``path``: the ledger, a new one by default.
+    Findings are few and narrow: contents with a finding are joined to the rows by blob, and only texts with one go to Python. ``path``: the
+    ledger, a new one by default.
     """
     path = path or common.shared_dir(docs.sparkSession)
     common.dropped(scan_unseen(docs, path))
     hits = common.if_small(read_ledger(docs.sparkSession, path).filter("spans <> ''").select("blob", "spans"))
     rows = docs.select(F.struct("*").alias("d"), F.col("text"), blob_id(F.col("text")).alias("blob")).join(hits, "blob", "left")
-    ends = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
-    def step(acc, s):
-        before = F.when(s.a >= acc.at, F.concat(acc.text, F.substring(F.col("text"), acc.at + 1, s.a - acc.at), F.lit(mark))).otherwise(acc.text)
-        return F.struct(before.alias("text"), F.greatest(acc.at, s.b).alias("at"))
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else cut(t, s, mark) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    clean = F.aggregate(ends, start, step, lambda acc: F.concat(acc.text, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    rows = rows.withColumn("clean", F.when(F.col("spans").isNotNull(), clean))
+    rows = rows.withColumn("clean", clean(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans")))
     new = {"text": F.coalesce("clean", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), F.col("d.n_chars"))

@@ -149,14 +149,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     last = last.select("file", "block", F.last("_o", True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
     owner = F.last("o", True).over(W.partitionBy("file", "block").orderBy("at"))
     pieces = pieces.withColumn("o", owner).join(last, ["file", "block"]).withColumn("o", F.coalesce("o", "_before"))
-    mine = common.written(pieces.filter((F.col("at") >= F.col("o.start")) & (F.col("at") < F.col("o.next"))))
-    mine = chunks(spark, path).select("file", "block", "row", "data").join(common.if_small(mine), ["file", "block", "row"])
+    mine = pieces.filter((F.col("at") >= F.col("o.start")) & (F.col("at") < F.col("o.next"))).select("file", "at", "o")
+    # the files are read again and may be split otherwise: this reading is stored, and its chunks get their offsets anew
+    again = common.written(chunks(spark, path).join(common.if_small(broken.select("file").distinct()), "file", "left_semi"))
+    keys = common.written(_placed(again.select("file", "block", "row", "size")).join(mine, ["file", "at"]).select("file", "block", "row", "at", "o"))
     parts = F.array_sort(F.collect_list(F.struct("at", "data")))
-    joined = mine.groupBy("file", "o").agg(parts.alias("p"))
+    joined = again.select("file", "block", "row", "data").join(common.if_small(keys), ["file", "block", "row"]).groupBy("file", "o").agg(parts.alias("p"))
     data = F.aggregate("p", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, F.lit(MAGIC).cast("binary"), x.data))
     body = F.expr(f"substring(_data, CAST(o.skip AS INT) + {len(MAGIC)} + 1, CAST(o.length AS INT))")
-    joined = joined.withColumn("_data", data).select("o.*", F.sha2(body, 256).alias("sha")).select(*columns)
-    return whole.select(*columns).unionByName(common.written(joined))
+    joined = common.written(joined.withColumn("_data", data).select("o.*", F.sha2(body, 256).alias("sha")).select(*columns))
+    common.dropped(again, keys)
+    if joined.count() != broken.count():
+        raise RuntimeError("a second reading of the archives has not all records of the first")
+    return whole.select(*columns).unionByName(joined)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@ import math
 import random
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import functions as F
 
 from meshloom.llm import license_scan as lic
 from meshloom.llm import secret_scan as sec
@@ -107,6 +110,28 @@ def test_redact(spark):
     assert sec.redact(docs.filter("false")).count() == 0
 
 
+def test_a_ledger_that_holds_blobs_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12"), (2, "clean"), (3, "token = abcdefgh12")], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    once = sorted(map(tuple, sec.findings(docs, path).collect()))
+    sec.read_ledger(spark, path).withColumn("version", F.lit(sec.VERSION)).write.mode("append").parquet(path)
+    assert sorted(map(tuple, sec.findings(docs, path).collect())) == once and len(once) == 3
+    with ThreadPoolExecutor(3) as pool:  # runs at once
+        ledger = str(tmp_path / "shared")
+        for f in [pool.submit(sec.scan_unseen, docs, ledger) for _ in range(3)]:
+            f.result()
+    assert sorted(map(tuple, sec.findings(docs, ledger).collect())) == once
+    assert sorted(r.text for r in sec.redact(docs, ledger).collect()) == ["[secret]", "[secret]", "clean"]
+
+
+def test_redact_overlaps_and_many_spans(spark):
+    assert sec.cut("ab12345cd", "x:2:4,y:3:6,z:6:7", "#") == "ab##cd" and sec.cut("abc", "x:0:3", "#") == "#"
+    text = ("token = abcdefgh12 and é words of a text that is long " * 50_000)[:5_000_000]
+    began = time.time()
+    got = sec.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert got == text.replace("token = abcdefgh12", "[secret]") and time.time() - began < 60
+
+
 def test_license_scan(spark):
     texts = [None, "", "Released under the MIT License.", "Apache License,\nVersion 2.0; the mit-license! THE MIT LICENSE the mit licensee", "CC-BY-NC x cc by nc", "the mit éxlicense", "This work is licensed under the GNU General Public License, version 3.", "all rights are reserved", "w " * 100_000 + "cc by nc"]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, labels int")

@@ -84,3 +84,27 @@ def test_repeated_and_null_ids(spark):
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = {(5, a): ("revisit", 1), (7, b): ("revisit", 5)}
     assert got == sorted(((i, sha(t), *want.get((i, t), ("response", None))) for i, t in rows), key=repr)
+
+
+def test_readings_under_other_parallelism(spark, monkeypatch):
+    fake = warc.MAGIC + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" + warc.END  # a whole record within a payload
+    rows = [(i, "u", f"page {i} " + ("x" + warc.MAGIC + "y" + warc.END + fake if i % 3 == 0 else "") + "text " * 40) for i in range(400)]
+    path = common.shared_dir(spark)
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    plain, seen = warc.chunks, []
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+
+    def chunks(session, at):
+        for k, v in {"spark.sql.files.minPartitionNum": str(40 if seen else 1), "spark.sql.files.openCostInBytes": "1"}.items():
+            session.conf.set(k, v)
+        seen.append(at)
+        return plain(session, at)
+
+    monkeypatch.setattr(warc, "chunks", chunks)
+    try:
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.digests(warc.read(spark, path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(seen) == 2
+    assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, _, t in rows}
