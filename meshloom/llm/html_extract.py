@@ -2,7 +2,7 @@
 
 Each block element of a page is a node with a hidden state, content or not. Node potentials come from what is
 seen of it (kind of tag, length of its own text, share of linked text below it, whether it lies in an article and in a
-marked part, and the words of its names, hashed), parent-child potentials from the kind of the child. Sum-product
+marked part, and the words of its names, hashed), parent-child potentials from the kind and mark of the child. Sum-product
 messages pass once from the leaves to the root and once back, which gives the exact marginal of each node; texts of
 nodes above one half are the page's text.
 
@@ -208,14 +208,25 @@ def name_kinds(names: str) -> tuple[str, ...]:
 
 
 def features(node: Node, labelled: bool, named: bool = True) -> tuple[str, ...]:
-    """What is seen of a node; ``labelled``: the page has an article, so blocks outside are seen to be outside; ``named``: names and marks are seen."""
+    """What is seen of a node; ``labelled``: the page has an article, so blocks outside are seen to be outside; ``named``: names and marks are seen.
+
+    A seen mark or article tells enough: what kind of block it is, how long and how much linked says nothing more there, so a paragraph
+    of comments is judged as comments, and a list of links in an article as part of it.
+    """
+    place = ("in" if node.inside else "out") if labelled else "any"
+    if named and (node.marked or place == "in"):
+        return (f"i{place}{node.marked:d}", *node.names)
     share = "none" if not node.all else "0" if not node.all_linked else "low" if node.all_linked < 0.3 * node.all else "high"
     size = "0" if not node.own else "s" if node.own < 25 else "m" if node.own < 80 else "l" if node.own < 250 else "x"
-    place = ("in" if node.inside else "out") if labelled else "any"
     kind = KIND[node.tag] if named or KIND[node.tag] != "part" else "box"
     return (f"i{place}{node.marked:d}" if named else "i", f"l{share}", f"n{size}", f"k{kind}", *(node.names if named else ()))
 
 
+def pair_kind(node: Node, named: bool = True) -> str:
+    """The kind of a child for its potential with its parent; marked parts, where marks are seen, have their own."""
+    return KIND[node.tag] + "!" * (named and node.marked)
+
+
 def states_of(nodes: list[Node]) -> list[bool] | None:
     """The labels of a page's nodes; None for a page that has none."""
     return [n.inside and not n.marked for n in nodes] if any(n.inside for n in nodes) else None
@@ -232,7 +243,7 @@ def counts_of(page: str) -> Counter:
         for node, y in zip(nodes, states, strict=True):
             out.update((f, y) for f in features(node, labelled, named))
             if node.parent >= 0:
-                out[KIND[node.tag], states[node.parent], y] += 1
+                out[pair_kind(node, named), states[node.parent], y] += 1
     return out
 
 
@@ -259,8 +270,9 @@ class Model:
             n = seen(f"h{h}")
             if any(n):
                 self.node[f"h{h}"] = tuple((n[y] / share[y] + self.ALPHA_NAME) / (sum(n) + self.ALPHA_NAME) for y in (0, 1))
-        for kind in set(KIND.values()):
-            n = {(a, b): counts.get(f"t:{kind}:{a}:{b}", 0) + (4 if a == b else 1) for a in (0, 1) for b in (0, 1)}
+        for kind in [k + mark for k in set(KIND.values()) for mark in ("", "!")]:
+            # a child is as its parent; a marked one is no content under any
+            n = {(a, b): counts.get(f"t:{kind}:{a}:{b}", 0) + ((0.5 if b else 50) if kind[-1] == "!" else 4 if a == b else 1) for a in (0, 1) for b in (0, 1)}
             self.pair[kind] = tuple(n[a, b] / (n[a, 0] + n[a, 1]) for a in (0, 1) for b in (0, 1))
 
     def marginals(self, nodes: list[Node], labelled: bool | None = None, named: bool = True) -> list[float]:
@@ -279,7 +291,7 @@ class Model:
         for i in range(n - 1, 0, -1):  # children come after their parents
             z = b0[i] + b1[i]
             x0, x1 = b0[i] / z, b1[i] / z
-            p = self.pair[KIND[nodes[i].tag]]
+            p = self.pair[pair_kind(nodes[i], named)]
             u0, u1 = p[0] * x0 + p[1] * x1, p[2] * x0 + p[3] * x1
             m0[i], m1[i] = u0 / (u0 + u1), u1 / (u0 + u1)
             j = nodes[i].parent
@@ -290,7 +302,7 @@ class Model:
         for i in range(1, n):
             q = out[nodes[i].parent]
             c0, c1 = (1 - q) / max(m0[i], 1e-300), q / max(m1[i], 1e-300)  # the parent without this child's message
-            p = self.pair[KIND[nodes[i].tag]]
+            p = self.pair[pair_kind(nodes[i], named)]
             d0, d1 = (c0 * p[0] + c1 * p[2]) * b0[i], (c0 * p[1] + c1 * p[3]) * b1[i]
             out[i] = d1 / (d0 + d1) if d0 + d1 > 0 else 0.0
         return out
@@ -317,7 +329,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Model:
-    """A model from at most ``most`` pages that label themselves; the counts that come back are of no more than NAME_KINDS + 50 features and states."""
+    """A model from at most ``most`` pages that label themselves; the counts that come back are of no more than NAME_KINDS + 60 features and states."""
     labelled = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
     chosen = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
     rows = labelled.join(F.broadcast(chosen), "page_id").select("html")

@@ -34,7 +34,7 @@ def test_marginals_match_enumeration():
             for f in h.features(n, labelled):
                 w *= m.node.get(f, (1, 1))[y[i]]
             if i:
-                w *= m.pair[h.KIND[n.tag]][2 * y[n.parent] + y[i]]
+                w *= m.pair[h.pair_kind(n)][2 * y[n.parent] + y[i]]
         weight += w
         for i, v in enumerate(y):
             share[i] += w * v
@@ -133,6 +133,51 @@ def test_sample_pages_match_a_plain_parser(spark):
     assert got == want
 
 
+PARTS = ("<aside>{}</aside>", "<nav>{}</nav>", "<form>{}</form>", "<footer>{}</footer>", "<div class=ad>{}</div>", "<div class='advert box'>{}</div>", "<section id=comments>{}</section>", "<div class='comment reply'>{}</div>", "<div class=cookie-notice>{}</div>", "<div class=sidebar>{}</div>", "<ul class=menu>{}</ul>", "<div role=banner>{}</div>")
+BLOCKS = ("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{0}</li><li>{0}</li></ul>", "<div><div><p>{}</p></div></div>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "{}")
+LENGTHS = ("few words", PROSE.strip(), (PROSE * 12).strip())
+
+
+@pytest.fixture(scope="module")
+def sample_model(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample pages here")
+    return h.train(spark.read.parquet(path))
+
+
+def test_parts_are_dropped_whatever_they_hold(sample_model):
+    text = (PROSE * 5).strip()
+    for part, block, words in itertools.product(PARTS, BLOCKS, LENGTHS):
+        inner = part.format(block.format(words) * 3)
+        for page in (
+            f"<body><article><h1>Title</h1><p>{text}</p>{inner}<p>{text}</p></article></body>", f"<body>{inner}<article><h1>Title</h1><p>{text}</p><p>{text}</p></article>{inner}</body>",
+            f"<body><div><h1>Title</h1><p>{text}</p><p>{text}</p></div>{inner}</body>",
+        ):
+            assert sample_model.text(page) == f"Title {text} {text}", page
+
+
+def test_links_in_an_article_stay(sample_model):
+    text = (PROSE * 3).strip()
+    for block, want in (
+        ("<ul><li><a href=1>First</a></li><li><a href=2>Second one</a></li></ul>", "First Second one"), ("<ol><li><a href=1>Mostly a link of this item</a> and</li></ol>", "Mostly a link of this item and"),
+        ("<table><tr><td><a href=1>Cell</a></td><td>2</td></tr></table>", "Cell 2"), ("<p><a href=1>All of it is a link</a></p>", "All of it is a link"), ("<dl><dt><a href=1>T</a></dt><dd>D</dd></dl>", "T D"), ("<div><a href=1>a</a></div>", "a"),
+    ):
+        assert sample_model.text(f"<body><nav><a href=1>Home</a></nav><article><h1>T</h1><p>{text}</p>{block}<p>{text}</p></article></body>") == f"T {text} {want} {text}", block
+
+
+def test_parts_of_a_hidden_article_differ_little(sample_model, spark):
+    """Where article elements are hidden but names and marks are seen, few of the sample's nodes are judged otherwise than labelled."""
+    wrong = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        nodes, _ = h.parse(r.html or "")
+        states = h.states_of(nodes)
+        if states:
+            wrong += sum((p > 0.5) != y for p, y in zip(sample_model.marginals(nodes, labelled=False), states, strict=True))
+            total += len(nodes)
+    assert wrong <= 0.01 * total, (wrong, total)
+
+
 def test_held_out_marginals_without_article_and_names(spark):
     path = "/root/testdata/sf0.01/pages.parquet"
     if not os.path.exists(path):
@@ -143,4 +188,4 @@ def test_held_out_marginals_without_article_and_names(spark):
         nodes, _ = h.parse(page)
         for p, y in zip(m.marginals(nodes, labelled=False, named=False), h.states_of(nodes), strict=True):
             right, said, true = right + (p > 0.5 and y), said + (p > 0.5), true + y
-    assert 2 * right / (said + true) > 0.85, (right, said, true)
+    assert 2 * right / (said + true) >= 0.96, (right, said, true)
