@@ -72,8 +72,8 @@ def best_fit(vertices: DataFrame, faces: DataFrame, params: Params = Params()) -
     fitted = stored(fit.fit_fixed_radius(with_mesh(zones, sphere.select("mesh_id", "radius"))))
     few = zones.groupBy("mesh_id", "zone").count()
     wear = volume.wear_volume(volume.enclosed_volume(p.inner, p.inner_vertices, p.frame), sphere, p.frame)
-    plane = volume.wear_plane(classified, p.frame).select("mesh_id", F.col("vid").alias("max_wear_vid"), F.col("max_depth").alias("max_wear_depth"))
-    out = with_mesh(with_mesh(sphere, p.sphere.select("mesh_id", "rms")), select.wear_summary(classified))
+    plane = volume.wear_plane(classified, p.frame).select("mesh_id", F.col("vid").alias("max_wear_vid"), F.col("max_depth").alias("max_wear_depth"), *[F.col(c).alias(f"max_wear_{c}") for c in "xyz"])
+    out = with_mesh(with_mesh(sphere, p.sphere.select("mesh_id", "rms", "max_residual")), select.wear_summary(classified))
     out = out.join(wear, "mesh_id", "left").join(plane, "mesh_id", "left")
     for zone in ("worn", "unworn"):
         z = fitted.filter(F.col("zone") == zone).join(few.filter("count >= 3").select("mesh_id", "zone"), ["mesh_id", "zone"])
@@ -81,7 +81,7 @@ def best_fit(vertices: DataFrame, faces: DataFrame, params: Params = Params()) -
         out = out.withColumns({f"{zone}_c{c}": F.coalesce(f"{zone}_c{c}", f"c{c}") for c in "xyz"}).withColumn(f"{zone}_rms", F.coalesce(f"{zone}_rms", F.lit(0.0)))
     linear = g.distance(tuple(F.col(f"worn_c{c}") for c in "xyz"), tuple(F.col(f"unworn_c{c}") for c in "xyz"))
     counts = p.inner_vertices.groupBy("mesh_id").agg(F.count("*").alias("inner_vertices")).join(p.inner.groupBy("mesh_id").agg(F.count("*").alias("inner_faces")), "mesh_id")
-    return out.join(counts, "mesh_id").select("*", linear.alias("linear_wear"), (F.col("wear_volume") * params.density).alias("wear_mass"), F.lit("sphere-bestfit").alias("mode"))
+    return out.join(counts, "mesh_id").select("*", linear.alias("linear_wear"), F.lit(params.meridians).alias("meridians"), F.lit(params.commercial_radius in fit.RADII).alias("manual"), (F.col("wear_volume") * params.density).alias("wear_mass"), F.lit("sphere-bestfit").alias("mode"))
 
 
 def pure(vertices: DataFrame, faces: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame, Prepared]:
@@ -95,8 +95,9 @@ def pure(vertices: DataFrame, faces: DataFrame, params: Params = Params()) -> tu
     clusters = stored(cluster.cluster_summaries(members))
     vector = volume.wear_vector(members.filter("type = 'bump'").withColumnRenamed("id", "seq"), p.frame)
     shape = fit.fit_ellipsoid(p.kept_vertices).select("mesh_id", "semi_axes", "sphericity", "shape", "definite")
-    n = clusters.groupBy("mesh_id").agg(F.count_if(F.col("type") == "bump").alias("bump_clusters"), F.count_if(F.col("type") == "dip").alias("dip_clusters"))
+    n = clusters.groupBy("mesh_id").agg(F.count_if(F.col("type") == "bump").alias("bump_clusters"), F.count_if(F.col("type") == "dip").alias("dip_clusters"), F.greatest(F.max(F.when(F.col("type") == "bump", F.col("max_dev"))), F.lit(0.0)).alias("max_bump"), F.least(F.min(F.when(F.col("type") == "dip", F.col("min_dev"))), F.lit(0.0)).alias("max_dip"))
+    zone = cluster.primary_zone(clusters).select("mesh_id", F.col("max_dev").alias("primary_depth"), F.col("area").alias("primary_area"))
     out = with_mesh(p.sphere, volumes).join(found.groupBy("mesh_id").agg(F.count("*").alias("anomaly_points")), "mesh_id", "left")
-    out = out.join(n, "mesh_id", "left").join(shape, "mesh_id", "left").join(vector.select("mesh_id", F.col("max_depth").alias("vector_depth"), F.col("angle").alias("vector_angle"), F.col("distance").alias("vector_distance")), "mesh_id", "left")
+    out = out.join(n, "mesh_id", "left").join(shape, "mesh_id", "left").join(vector.select("mesh_id", F.col("max_depth").alias("vector_depth"), F.col("angle").alias("vector_angle"), F.col("distance").alias("vector_distance"), *[F.col(c).alias(f"vector_{c}") for c in "xyz"]), "mesh_id", "left").join(zone, "mesh_id", "left")
     counts = p.kept_vertices.groupBy("mesh_id").agg(F.count("*").alias("kept_vertices")).join(p.kept.groupBy("mesh_id").agg(F.count("*").alias("kept_faces")), "mesh_id")
-    return out.join(counts, "mesh_id").withColumn("mode", F.lit("pure-geodesic")), clusters, p
+    return out.join(counts, "mesh_id").withColumn("meridians", F.lit(params.meridians)).withColumn("mode", F.lit("pure-geodesic")), clusters, p

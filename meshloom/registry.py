@@ -792,6 +792,44 @@ def cup_axis(spark, sf_dir):
     return _rounded(fit.cup_axis(used, origin))
 
 
+_PANEL = [
+    ("Summary", "Vertices", "(SELECT COUNT(*) FROM vs)", None, "NULL"), ("Summary", "Faces", "(SELECT COUNT(*) FROM fs)", None, "NULL"), ("Summary", "Geodesics", "360", None, "NULL"),
+    ("Summary", "Worn Vertices", "w", None, "CASE WHEN w > 0 THEN 'danger' ELSE 'success' END"), ("Summary", "Worn %", "100*w/a", "%", "CASE WHEN 100*w/a > 5 THEN 'danger' ELSE 'success' END"),
+    ("Summary", "Wear Volume", "v", "mm3", "CASE WHEN v > 0.1 THEN 'danger' ELSE 'success' END"), ("Summary", "Linear Wear", "NULL", "um", "NULL"),
+    ("Sphere Fit", "Radius", "sp.radius", "mm", "NULL"), ("Sphere Fit", "Center X", "sp.cx", "mm", "NULL"), ("Sphere Fit", "Center Y", "sp.cy", "mm", "NULL"), ("Sphere Fit", "Center Z", "sp.cz", "mm", "NULL"),
+    ("Sphere Fit", "RMS Error", "1000*(SELECT SQRT(AVG(e*e)) FROM rs)", "um", "NULL"), ("Sphere Fit", "Max Error", "1000*(SELECT MAX(ABS(e)) FROM rs)", "um", "NULL"),
+    ("Commercial Sphere", "Geodesic Radius", "sp.radius", "mm", "NULL"), ("Commercial Sphere", "Commercial Radius", "16", "mm", "NULL"), ("Commercial Sphere", "Detection", "NULL", None, "NULL"),
+    ("Commercial Sphere", "Center X", "sp.cx", "mm", "NULL"), ("Commercial Sphere", "Center Y", "sp.cy", "mm", "NULL"), ("Commercial Sphere", "Center Z", "sp.cz", "mm", "NULL"),
+    ("Wear Classification", "Threshold", "16.32", "mm", "NULL"), ("Wear Classification", "Worn Vertices", "w", None, "CASE WHEN w > 0 THEN 'danger' ELSE 'success' END"), ("Wear Classification", "Unworn Vertices", "a-w", None, "'success'"),
+    ("Wear Classification", "Worn %", "100*w/a", "%", "CASE WHEN 100*w/a > 10 THEN 'danger' WHEN 100*w/a > 2 THEN 'warning' ELSE 'success' END"),
+    ("Zone Spheres", "Linear Wear", "NULL", "um", "NULL"), ("Zone Spheres", "Worn Sphere RMS", "NULL", "um", "NULL"), ("Zone Spheres", "Unworn Sphere RMS", "NULL", "um", "NULL"),
+    ("Wear Volume", "Mesh Enclosed Vol", "e", "mm3", "NULL"), ("Wear Volume", "Sphere Cap Vol", "c", "mm3", "NULL"), ("Wear Volume", "Wear Volume", "v", "mm3", "CASE WHEN v > 0.1 THEN 'danger' ELSE 'success' END"),
+    ("Wear Volume", "Wear Mass", "v*0.935", "mg", "CASE WHEN v > 0.1 THEN 'danger' ELSE 'success' END"),
+    ("Maximum Wear Point", "Max Wear Depth", "m", "um", "CASE WHEN m > 10 THEN 'danger' WHEN m > 5 THEN 'warning' ELSE 'success' END"), ("Maximum Wear Point", "Point X", "px", "mm", "NULL"), ("Maximum Wear Point", "Point Y", "py", "mm", "NULL"), ("Maximum Wear Point", "Point Z", "pz", "mm", "NULL"),
+]
+_PANEL_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS place, '{s}' AS section, '{n}' AS metric, {r6(f'CAST({v} AS DOUBLE)', 'value')}, {'CASE WHEN 16 > sp.radius THEN ' + repr('Auto (snap up)') + ' ELSE ' + repr('Auto (round down)') + ' END' if n == 'Detection' else 'NULL'} AS text, {repr(u) if u else 'NULL'} AS unit, {j} AS severity FROM sp, pc, pv, pm"
+    for k, (s, n, v, u, j) in enumerate(_PANEL))
+
+
+@_query(_on_cup(_PANEL_SQL, SHELL, FIT, GSHELL, f"""
+pr AS (SELECT vid, x, y, z, SQRT(x*x+y*y+z*z) AS r FROM vs WHERE z <= -1),
+pc AS (SELECT CAST(COUNT(*) FILTER (r > 16.32) AS DOUBLE) AS w, CAST(COUNT(*) AS DOUBLE) AS a FROM pr),
+pv AS (SELECT e, c, GREATEST(0, e-c) AS v FROM (SELECT e, PI()/3*15*15*33 AS c FROM {ENCLOSED})),
+pm AS (SELECT (r-16)*1000 AS m, x AS px, y AS py, z AS pz FROM pr ORDER BY (r-16)*1000 DESC, vid LIMIT 1)"""))
+def panel_best_fit(spark, sf_dir):
+    """The panel of the best-fit mode for the cup in its own frame: sphere, classification, volumes and the deepest point; zones are left out."""
+    v, _, shell = _cup(spark, sf_dir)
+    points, frame, sphere = stored(topology.used_vertices(v, shell)), _frame(v), _sphere(v)
+    classified = stored(select.classify(points, sphere, frame))
+    plane = volume.wear_plane(classified, frame).select("mesh_id", F.col("max_depth").alias("max_wear_depth"), *[F.col(c).alias(f"max_wear_{c}") for c in "xyz"])
+    rows = fit.fit_sphere(points).withColumnRenamed("radius", "fitted_radius")
+    for part in (sphere.select("mesh_id", "radius"), select.wear_summary(classified), volume.wear_volume(volume.enclosed_volume(shell, v, frame), sphere, frame), plane, points.groupBy("mesh_id").agg(F.count("*").alias("inner_vertices")), shell.groupBy("mesh_id").agg(F.count("*").alias("inner_faces"))):
+        rows = with_mesh(rows, part)
+    rows = rows.withColumns({"wear_mass": F.col("wear_volume") * volume.DENSITY, "meridians": F.lit(360), "manual": F.lit(False), **{c: F.lit(None).cast("double") for c in ("linear_wear", "worn_rms", "unworn_rms")}})
+    return report.panel(rows, "sphere-bestfit").select("place", "section", "metric", _r("value"), "text", "unit", "severity")
+
+
 @_query()
 def analysis_best_fit(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
