@@ -423,12 +423,18 @@ def wear_vector(spark, sf_dir):
     return _rounded(volume.wear_vector(p, _frame(v)))
 
 
-@_query(_on_cup(f"""SELECT ring, segment, {r6('16*SIN(th)*SIN(ph)', 'x')}, {r6('16*SIN(th)*COS(ph)', 'y')}, {r6('-16*COS(th)', 'z')} FROM (SELECT CAST(i AS INTEGER) AS ring, CAST(j AS INTEGER) AS segment, ACOS(1.0/16)*i/32 AS th, 2*PI()*j/64 AS ph FROM range(33) a(i), range(65) b(j), n)"""))
+@_query(_on_cup(f"""SELECT block, ring, segment, {r6('cx+r*SIN(th)*SIN(ph)', 'x')}, {r6('cy+r*SIN(th)*COS(ph)', 'y')}, {r6('cz-r*COS(th)', 'z')} FROM (SELECT b.*, CAST(i AS INTEGER) AS ring, CAST(j AS INTEGER) AS segment, ACOS(1.0/3)*i/32 AS th, 2*PI()*j/64 AS ph FROM bs b, range(33) a(i), range(65) q(j))""", SHELL, """
+bc AS (SELECT (vid-1)//400 AS block, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM vs WHERE vid > 0 GROUP BY 1),
+bs AS MATERIALIZED (SELECT block, cx, cy, cz, MAX(SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))) AS r FROM vs JOIN bc ON block = (vid-1)//400 WHERE vid > 0 GROUP BY block, cx, cy, cz)"""))
 def cap_tessellation(spark, sf_dir):
-    """Frame of the downward axis: U is y, V is x. The plane is a millimetre below the centre, so the cap ends where cos = 1/16."""
-    v, _, _ = _cup(spark, sf_dir)
-    rows = _sphere(v).join(_frame(v).select("mesh_id", "qx", "qy", "qz", "nx", "ny", "nz"), "mesh_id").withColumn("cz", F.lit(0.0))
-    return _rounded(volume.cap_tessellation(spark, rows))
+    """Caps of the spheres around each ten rings of the shell, beyond a plane a third of the radius below the centre. Frame of the downward axis: U is y, V is x."""
+    v, _, shell = _cup(spark, sf_dir)
+    points = topology.used_vertices(v, shell).filter("vid > 0").select(F.expr("cast((vid - 1) div 400 as string)").alias("mesh_id"), "x", "y", "z")
+    middle = points.groupBy("mesh_id").agg(*[F.avg(F.col(c).cast("double")).alias(f"c{c}") for c in "xyz"])
+    spheres = with_mesh(points, middle).groupBy("mesh_id", "cx", "cy", "cz").agg(F.max(g.distance(g.point(), fit.center())).alias("radius"))
+    spheres = spheres.select("*", F.col("cx").alias("qx"), F.col("cy").alias("qy"), (F.col("cz") - F.col("radius") / 3).alias("qz"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(-1.0).alias("nz"))
+    rows = volume.cap_tessellation(spark, spheres)
+    return rows.select(F.col("mesh_id").cast("long").alias("block"), "ring", "segment", _r("x"), _r("y"), _r("z"))
 
 
 @_query(_on_cup(f"SELECT {r6('MIN(-(z-m))', 'min_height')}, {r6('MAX(-(z-m))', 'max_height')} FROM vs, (SELECT AVG(z) AS m FROM vs)", SHELL))
@@ -630,6 +636,28 @@ def irregular_runs(spark, sf_dir):
     return rows.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("run", "first", "last", "n")])
 
 
+@_query("WITH " + EVENTS + f""", er AS (SELECT *, ABS(d2) > 1e-9 AS hit, CASE WHEN ABS(d2) > 1e-9 AND NOT COALESCE(LAG(ABS(d2) > 1e-9) OVER w, FALSE) THEN 1 ELSE 0 END AS start FROM e2 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+es AS (SELECT *, SUM(start) OVER (PARTITION BY user_id ORDER BY seq) AS run FROM er)
+SELECT user_id, CAST(run AS BIGINT) AS run, CAST(seq AS BIGINT) AS peak, {r6('ABS(d2)*1000000', 'peak_value')}, {r6('LEAST((ABS(d2)-1e-9)/1e-9, 1.0)', 'severity')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ABS(d2) DESC, seq) AS k FROM es WHERE hit) WHERE k = 1""")
+def irregular_peaks(spark, sf_dir):
+    """The highest point of each run and how far it is beyond the threshold."""
+    rows = meridian.irregular_runs(_event_series(spark, sf_dir), ["user_id"], 1e-9)
+    return rows.select("user_id", F.col("run").cast("long").alias("run"), F.col("peak").cast("long").alias("peak"), _r(F.col("peak_value") * 1000000, "peak_value"), _r(meridian.severity(F.col("peak_value"), 1e-9), "severity"))
+
+
+@_query(_on_cup("SELECT vid, " + ", ".join(f"ROUND(CAST(CAST({c}-m{c} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {c}" for c in "xyz") + " FROM v, (SELECT " + ", ".join(f"(MIN({c})+MAX({c}))/2 AS m{c}" for c in "xyz") + " FROM v)"))
+def centred_vertices(spark, sf_dir):
+    v, _, _ = _cup(spark, sf_dir)
+    return topology.centred(v).select("vid", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in "xyz"])
+
+
+@_query(_on_cup(f"SELECT DISTINCT dst AS vid, {r6('SQRT((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))', 'w')} FROM (SELECT UNNEST([[i0, i1], [i1, i0], [i1, i2], [i2, i1], [i2, i0], [i0, i2]]) AS s FROM f), LATERAL (SELECT s[1] AS src, s[2] AS dst) JOIN v p ON p.vid = src JOIN v q ON q.vid = dst WHERE src = (SELECT np FROM n)"))
+def last_vertex_neighbours(spark, sf_dir):
+    """The neighbours of the inner shell's last vertex and how far they are."""
+    v, f, _ = _cup(spark, sf_dir)
+    return _rounded(topology.neighbours(topology.adjacency(f, v), v.count() // 2 - 1))
+
+
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN r >= 20 OR 20-r <= 0.2 THEN 20.0 WHEN r >= 18 OR 18-r <= 0.2 THEN 18.0 WHEN r >= 16 OR 16-r <= 0.2 THEN 16.0 ELSE 14.0 END::DOUBLE AS radius FROM (SELECT l_orderkey, l_linenumber, 12.1+l_quantity/5 AS r FROM lineitem)")
 def snapped_radii(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", fit.snap_radius(F.lit(12.1) + F.col("l_quantity") / 5).alias("radius"))

@@ -494,3 +494,30 @@ def test_each_mesh_is_clipped_by_its_own_plane(spark):
     assert used == {r.vid for r in got} == set(range(len(got))) and min(r.x for r in got) == pytest.approx(0.5)
     # a cut is one vertex for the faces on both sides of its edge
     assert len({(round(r.x, 9), round(r.y, 9), round(r.z, 9)) for r in got}) == len(got)
+
+
+def test_small_operators(spark):
+    edges = spark.createDataFrame([("m", 1, 2, 0.5), ("m", 1, 3, 2.0), ("m", 2, 1, 0.5)], "mesh_id string, src long, dst long, w double")
+    assert sorted((r.vid, r.w) for r in topology.neighbours(edges, 1).collect()) == [(2, 0.5), (3, 2.0)]
+    v = spark.createDataFrame([("m", 0, 1.0, 2.0, 3.0), ("m", 1, 3.0, 2.0, -3.0), ("n", 0, 5.0, 5.0, 5.0)], "mesh_id string, vid long, x float, y float, z float")
+    assert sorted(tuple(r) for r in topology.centred(v).collect()) == [("m", 0, -1, 0, 3), ("m", 1, 1, 0, -3), ("n", 0, 0, 0, 0)]
+    lines = spark.createDataFrame([("m", k, 4.0 * k) for k in range(90)], "mesh_id string, geo_id long, angle double")
+    assert sorted(r.geo_id for r in meridian.nearest_angle(lines, 8.3, 100.0, 355.0).collect()) == [2, 25]
+    values = spark.createDataFrame([(d,) for d in (0.5, -1.5, 3.0, 1.0)], "d2 double")
+    assert [r.s for r in values.select(meridian.severity(F.col("d2"), 1.0).alias("s")).collect()] == [None, 0.5, 1.0, None]
+    clusters = spark.createDataFrame([("m", 0, "bump", 5.0), ("m", 1, "bump", 9.0), ("m", 2, "bump", 9.0), ("m", 3, "dip", 20.0), ("n", 0, "dip", 1.0)], "mesh_id string, cluster_id int, type string, max_dev double")
+    assert [(r.mesh_id, r.cluster_id) for r in cluster.primary_zone(clusters).collect()] == [("m", 1)]
+    flat = spark.createDataFrame([("m", 0, 0.0, 5.0), ("m", 0, 10.0, 5.0)], "mesh_id string, geo_id long, u double, v double")
+    r = meridian.padded_bounds(flat, ["mesh_id", "geo_id"]).first()
+    assert (r.min_u, r.max_u, r.min_v, r.max_v) == pytest.approx((-1.0, 11.0, 4.9, 5.1))
+    ring = meridian.circle(spark.createDataFrame([("m", 1.0, 2.0, 3.0)], "mesh_id string, cu double, cv double, radius double"), 8).orderBy("k").collect()
+    assert len(ring) == 9 and all((r.u - 1) ** 2 + (r.v - 2) ** 2 == pytest.approx(9) for r in ring) and (ring[0].u, ring[2].v) == pytest.approx((4, 5)) and ring[8].u == pytest.approx(ring[0].u)
+
+
+def test_repair_fills_and_smooths(spark):
+    v, f = sheet(spark, 7, {(3, 3)})
+    v, f = stored(v), stored(f)
+    points, faces = smooth.repair(v, f, 1)
+    assert faces.count() == f.count() + 4 and topology.boundary_loops(faces).select("loop").distinct().count() == 1
+    bent = lambda p: p.agg(F.stddev("z")).first()[0]
+    assert points.count() == v.count() + 1 and bent(points) < bent(v)
