@@ -23,7 +23,7 @@ GNU_NOTICE = (
     " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
 )
 
-TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+TEXTS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     (
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software"
@@ -95,6 +95,9 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
         ("eclipse public license 2",),
     ),
+)
+#: Phrases that name a licence, of a few words.
+PHRASES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("mit", "Released under the MIT License.", ("under the mit license",)),
     ("apache-2", "Licensed under the Apache License, Version 2.0.", ("apache license version 2",)),
     ("gpl-2", "This work is licensed under the GNU General Public License, version 2.", ("gnu general public license version 2",)),
@@ -108,3 +111,10 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("cc0", "Released under CC0 1.0 Universal.", ("cc0 1 0",)),
     ("proprietary", "Copyright. All rights reserved.", ("all rights reserved",)),
 )
+#: Identifiers after "SPDX-License-Identifier:" by label.
+SPDX: tuple[tuple[str, str], ...] = (
+    ("mit", "MIT"), ("isc", "ISC"), ("bsd-2", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("apache-2", "Apache-2.0"), ("zlib", "Zlib"), ("bsl-1", "BSL-1.0"), ("unlicense", "Unlicense"),
+    ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("mpl-2", "MPL-2.0"), ("epl-2", "EPL-2.0"),
+    ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"), ("cc0", "CC0-1.0"),
+)
+TEMPLATES = TEXTS + PHRASES + tuple((label, f"SPDX-License-Identifier: {name}", (f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}",)) for label, name in SPDX)

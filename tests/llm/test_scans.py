@@ -196,9 +196,30 @@ def test_licenses_match_brute_force(spark):
 
 
 def test_every_template_is_found():
-    idf = [1.0] * len(lic.VOCABULARY)
+    index = lic.Index([1.0] * len(lic.VOCABULARY))
     for label, text, _ in lic.TEMPLATES:
-        labels, score = lic.match(lic.noted(lic.tokens("x the y " + text + " z"))[1], idf)
+        labels, score = lic.match(lic.noted(lic.tokens("x the y " + text + " z"))[1], index)
         assert label in labels and score == 1.0
     every = " x ".join(text for _, text, _ in lic.TEMPLATES)
-    assert lic.match(lic.noted(lic.tokens(every))[1], idf)[0] == {label for label, _, _ in lic.TEMPLATES}
+    assert lic.match(lic.noted(lic.tokens(every))[1], index)[0] == {label for label, _, _ in lic.TEMPLATES}
+
+
+def test_spdx_lines(spark):
+    docs = spark.createDataFrame([(0, "// SPDX-License-Identifier: Apache-2.0"), (1, "# spdx-license-identifier: BSD-3-Clause\nx"), (2, "SPDX-License-Identifier: Other-1.0"), (3, "apache 2.0")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in lic.scan(docs).collect()} == {0: "apache-2", 1: "bsd-3", 2: "", 3: ""}
+
+
+def test_lookups_do_not_grow_with_the_templates():
+    rng = random.Random(7)
+    texts = [lic.noted(lic.tokens(" ".join(text for _, text, _ in rng.sample(lic.TEMPLATES, 3)) + " the of and software" * 50))[1] for _ in range(60)]
+    n = len(lic.VOCABULARY)
+    more = [[rng.randrange(n) for _ in range(150)] for _ in range(500)]  # of the same words, with a key word of their own each
+    words, keys = lic.WORDS + [[*w, n + k] for k, w in enumerate(more)], lic.KEYS + [[[n + k]] for k in range(500)]
+    idf = [1.0 + i % 7 for i in range(n + 500)]
+    few, many = lic.Index(idf), lic.Index(idf, words, keys, lic.LABELS + ["other"] * 500)
+    took, found = [], []
+    for index in (few, many):
+        began = time.time()
+        found.append([lic.match(t, index) for t in texts for _ in range(3)])
+        took.append(time.time() - began)
+    assert found[0] == found[1] and took[1] < 5 * took[0] + 0.5, took
