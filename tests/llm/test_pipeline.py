@@ -43,3 +43,36 @@ def test_stages_against_brute_force(spark):
     taken = Counter(r.doc_id for r in docs.collect())
     assert set(taken) <= set(kept[3]) and max(taken.values()) <= 3
     assert all(r.text == kept[3][r.doc_id].text for r in docs.collect())
+
+
+def _folder(spark, tmp_path, docs, items):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, row string, blob string, g long"
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    prose = "The {0} of the old town was read by all who came that day, and {0} was then sold to a man with no name. " * 3
+    texts = {k: " ".join(f"{w}{k}" if j % 4 == 0 else w for j, w in enumerate(prose.format(f"book{k}").split())) for k in range(12)}
+    rows = [(k, t, "en", f"s{k % 3}" if k % 4 else None, len(t)) for k, t in texts.items()]
+    rows += [(None, texts[3] + " extra", None, None, None), (5, texts[5], "en", "s2", len(texts[5])), (5, texts[5], "en", "s2", len(texts[5])), (20, None, None, None, None), (None, None, None, None, None), (21, "", "en", "s1", 0)]
+    rows += [(30, texts[1].replace("sold", "sold token = abcdefgh12"), "en", "s1", 1), (None, " ".join(f"other{j} words" for j in range(40)), "de", None, None)]
+    docs = spark.createDataFrame([(*r, 7, "x", "y", 9) for r in rows], SCHEMA)
+    path = _folder(spark, tmp_path, docs, [(1, texts[7][:200]), (2, None), (3, "")])
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in c.STAGES[:-1]:
+        now = c.common.written(stage(spark, now, path))
+        assert now.columns == docs.columns, name
+    kept = Counter(r.doc_id for r in now.collect())
+    assert 20 not in kept and 21 not in kept and 7 not in kept and kept[5] == 1 and kept[3] == 1 and kept[None] == 1
+    taken = c.run(spark, path).collect()
+    assert {r.doc_id for r in taken} <= set(kept) and not any(r.text and "abcdefgh12" in r.text for r in taken)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    path = _folder(spark, tmp_path, docs, [])
+    assert c.run(spark, path).count() == 0
