@@ -51,6 +51,8 @@ def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame,
     leaves all corners on one side are dropped before the rows are made.
     """
     rows = topology.gather(faces, _placed(vertices, frame), ("x", "y", "z", "lon", "lat", "pu", "pv", "near"))
+    # a face is tried on up to all meridians, which its few bytes do not tell: dealt to all tasks, not gathered in few by size
+    rows = rows.repartition(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "fid")
     lons = [F.col(f"lon{k}") for k in range(3)]
     middle = F.atan2(sum((F.sin(x) for x in lons), F.lit(0.0)), sum((F.cos(x) for x in lons), F.lit(0.0)))
     rows = rows.withColumn("_m", F.when(middle < 0, middle + 2 * F.pi()).otherwise(middle))
