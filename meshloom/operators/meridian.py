@@ -17,6 +17,7 @@ from meshloom.operators.storage import with_mesh
 COUNT = 360
 MARGIN = math.pi / 36
 MOST_POINTS = 500
+PARTS = ("x", "y", "z", "lat", "pu", "pv")
 
 
 def _cols(prefix: str) -> g.Vec:
@@ -44,11 +45,11 @@ def _placed(vertices: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
-    """A row for each face and meridian whose plane meets it: geo_id and the corners' x, y, z, lat, pu, pv.
+    """A row for each face and meridian whose plane meets it: geo_id, the corners' x, y, z, lat, pu, pv and signed distances s0, s1, s2 from that plane.
 
     A range join without a join: the longitudes that a face spans, and five degrees on both sides, become a sequence of
-    meridian numbers. Faces near the pole, whose longitudes tell little, are tried on every meridian. Numbers whose plane
-    leaves all corners on one side are dropped before the rows are made.
+    meridian numbers. Faces at the pole that have a corner on the axis or lie about it, whose longitudes tell little, are
+    tried on every meridian. Numbers whose plane leaves all corners on one side are dropped before the rows are made.
     """
     rows = topology.gather(faces, _placed(vertices, frame), ("x", "y", "z", "lon", "lat", "pu", "pv", "near"))
     # a face is tried on up to all meridians, which its few bytes do not tell: dealt to all tasks, not gathered in few by size
@@ -61,22 +62,22 @@ def faces_of_meridians(faces: DataFrame, vertices: DataFrame, frame: DataFrame,
     step = 2 * math.pi / count
     lo, hi = F.ceil((F.col("_m") - F.col("_reach")) / step), F.floor((F.col("_m") + F.col("_reach")) / step)
     every = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-    ids = F.when(F.col("near0") | F.col("near1") | F.col("near2") | (hi - lo >= count - 1), every).when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.pmod(k, F.lit(count).cast("long")))).otherwise(F.array().cast("array<bigint>"))
-
-    def met(k):
-        sides = [_side(i, k, count) for i in range(3)]
-        return (F.least(*sides) <= 1e-10) & (F.greatest(*sides) >= -1e-10)
-
-    return rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in ("x", "y", "z", "lat", "pu", "pv")], F.explode(F.filter(ids, met)).alias("geo_id"))
+    # corners off the axis and within a quarter turn of the middle bound the face's longitudes, at the pole too
+    axial = F.least(*[F.col(f"pu{k}") * F.col(f"pu{k}") + F.col(f"pv{k}") * F.col(f"pv{k}") for k in range(3)]) <= 1e-12
+    wide = (F.col("near0") | F.col("near1") | F.col("near2")) & (axial | (F.col("_reach") - MARGIN >= math.pi / 2))
+    ids = F.when(wide | (hi - lo >= count - 1), every).when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.pmod(k, F.lit(count).cast("long")))).otherwise(F.array().cast("array<bigint>"))
 
+    def sides(k):
+        theta = k * (2 * math.pi / count)
+        return F.struct(k.alias("geo_id"), F.sin(theta).alias("sin"), F.cos(theta).alias("cos"))
 
-def _side(corner: int, k: Column, count: int) -> Column:
-    """Signed distance of a corner from the plane of meridian ``k``, from its parts along u and v."""
-    theta = k * (2 * math.pi / count)
-    return F.col(f"pu{corner}") * F.sin(theta) - F.col(f"pv{corner}") * F.cos(theta)
+    def cut(e):
+        return F.struct(e.geo_id.alias("geo_id"), *[(F.col(f"pu{i}") * e["sin"] - F.col(f"pv{i}") * e["cos"]).alias(f"s{i}") for i in range(3)])
 
-
-PARTS = ("x", "y", "z", "lat", "pu", "pv")
+    tried = F.transform(F.transform(ids, sides), cut)
+    met = F.filter(tried, lambda e: (F.least(e.s0, e.s1, e.s2) <= 1e-10) & (F.greatest(e.s0, e.s1, e.s2) >= -1e-10))
+    rows = rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in PARTS], F.explode(met).alias("_e"))
+    return rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in PARTS], "_e.*")
 
 
 def _crossings(sides: list[Column]) -> Column:
@@ -94,8 +95,8 @@ def _crossings(sides: list[Column]) -> Column:
 def segments(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int = COUNT) -> DataFrame:
     """(mesh_id, geo_id, fid, x0 .. lat0, x1 .. lat1): the two points where each face is cut on the meridian's own side of the axis."""
     rows = faces_of_meridians(faces, vertices, frame, count)
-    rows = rows.select("*", *[_side(k, F.col("geo_id"), count).alias(f"s{k}") for k in range(3)])
-    cut = rows.select("mesh_id", "geo_id", "fid", _crossings([F.col(f"s{k}") for k in range(3)]).alias("cut"))
+    # exploded, so that the tests below read the points: filters are pushed through a mere projection and would make them again for each use
+    cut = rows.select("mesh_id", "geo_id", "fid", F.explode(F.array(_crossings([F.col(f"s{k}") for k in range(3)]))).alias("cut"))
     a, b = F.get("cut", F.lit(0)), F.get("cut", F.lit(1))
     lon = F.atan2((a["pv"] + b["pv"]) / 2, (a["pu"] + b["pu"]) / 2)
     cut = cut.filter(F.size("cut") >= 2).withColumn("off", F.abs(F.when(lon < 0, lon + 2 * F.pi()).otherwise(lon) - F.col("geo_id") * (2 * math.pi / count)))
