@@ -166,6 +166,17 @@ q3 AS (SELECT distance AS q FROM (SELECT distance, row_number() OVER (ORDER BY d
 ic AS MATERIALIZED (SELECT fid, i0, i1, i2 FROM fd, q3 WHERE facing > 0.5 AND distance <= q)"""
 
 
+def _least_axis(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (ex, ey, ez): unit eigenvector of the least eigenvalue of c00 .. c22 in ``source``, by the cosine formula and the longest cross product of two rows."""
+    crosses = ", ".join(
+        f"{{'x': {a}y*{b}z-{a}z*{b}y, 'y': {a}z*{b}x-{a}x*{b}z, 'z': {a}x*{b}y-{a}y*{b}x}}" for a, b in (("r", "s"), ("r", "t"), ("s", "t"))
+    )
+    return f"""{name}1 AS (SELECT *, (c00+c11+c22)/3 AS q, SQRT(((c00-(c00+c11+c22)/3)**2+(c11-(c00+c11+c22)/3)**2+(c22-(c00+c11+c22)/3)**2+2*(c01*c01+c02*c02+c12*c12))/6) AS p FROM {source}),
+{name}2 AS (SELECT *, q+2*p*COS((ACOS(GREATEST(-1, LEAST(1, ((c00-q)*((c11-q)*(c22-q)-c12*c12)-c01*(c01*(c22-q)-c12*c02)+c02*(c01*c12-(c11-q)*c02))/(2*p*p*p))))+2*PI())/3) AS l FROM {name}1),
+{name}3 AS (SELECT UNNEST([{crosses}]) AS e FROM (SELECT c00-l AS rx, c01 AS ry, c02 AS rz, c01 AS sx, c11-l AS sy, c12 AS sz, c02 AS tx, c12 AS ty, c22-l AS tz FROM {name}2)),
+{name} AS (SELECT e.x/h AS ex, e.y/h AS ey, e.z/h AS ez FROM (SELECT e, SQRT(e.x*e.x+e.y*e.y+e.z*e.z) AS h FROM {name}3 ORDER BY h DESC LIMIT 1))"""
+
+
 @_query(_on_cup("SELECT * FROM ic", GALL, INNER))
 def inner_candidates(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
@@ -555,12 +566,23 @@ def meridian_common_pole(spark, sf_dir):
     return _profile(meridian.common_pole(points, frame, consistent=True))
 
 
-@_query()
+def _section(source: str, keys: str, name: str) -> str:
+    """CTE ``name`` (keys, m, n, u, v): the plane of each section of ``source`` (keys, seq from 0, x, y, z), through its first, middle and last point."""
+    pick = lambda at, tag: ", ".join(f"MAX({c}) FILTER (seq = {at}) AS {tag}{c}" for c in "xyz")
+    return f"""{name}1 AS (SELECT {keys}, mx, my, mz, {pick('0', 'p')}, {pick('c//2', 'q')}, {pick('c-1', 'e')} FROM (SELECT *, COUNT(*) OVER w AS c, AVG(x) OVER w AS mx, AVG(y) OVER w AS my, AVG(z) OVER w AS mz FROM {source} WINDOW w AS (PARTITION BY {keys})) WHERE c >= 3 GROUP BY {keys}, mx, my, mz),
+{name}2 AS (SELECT *, (qy-py)*(ez-pz)-(qz-pz)*(ey-py) AS kx, (qz-pz)*(ex-px)-(qx-px)*(ez-pz) AS ky, (qx-px)*(ey-py)-(qy-py)*(ex-px) AS kz, SQRT((ex-px)*(ex-px)+(ey-py)*(ey-py)+(ez-pz)*(ez-pz)) AS el FROM {name}1),
+{name}3 AS (SELECT {keys}, mx, my, mz, kx/kl AS nx, ky/kl AS ny, kz/kl AS nz, (ex-px)/el AS ux, (ey-py)/el AS uy, (ez-pz)/el AS uz FROM (SELECT *, SQRT(kx*kx+ky*ky+kz*kz) AS kl FROM {name}2) WHERE kl >= 1e-10),
+{name} AS MATERIALIZED (SELECT *, ny*uz-nz*uy AS vx, nz*ux-nx*uz AS vy, nx*uy-ny*ux AS vz FROM {name}3)"""
+
+
+@_query(_on_cup(f"SELECT ga AS geo_a, gb AS geo_b, seq, {r6('arc', 'arc')}, {r6('dev', 'dev')}, {r6('(x-mx)*ux+(y-my)*uy+(z-mz)*uz', 'u')}, {r6('(x-mx)*vx+(y-my)*vy+(z-mz)*vz', 'v')}, ABS(d2) > 0.01 AS irregular FROM dn JOIN ds USING (ga, gb)", SHELL, GSHELL, CUTS, PROFILES, """
+dp AS (SELECT k AS ga, k+180 AS gb, -seq AS s, x, y, z, -arc AS arc, dev, d2 FROM pf WHERE k < 180 UNION ALL SELECT k-180, k, seq, x, y, z, arc, dev, d2 FROM pf WHERE k >= 180 AND seq > 0),
+dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ga, gb ORDER BY s) - 1 AS seq FROM dp)""", _section("dn", "ga, gb", "ds")))
 def double_profiles(spark, sf_dir):
     _, _, points = _lines(spark, sf_dir)
     pairs = meridian.opposite(points.select("mesh_id", "geo_id").distinct())
     both = stored(meridian.double_profiles(points, pairs))
-    return _rounded(meridian.projected(both, ["mesh_id", "geo_a", "geo_b"]).select("mesh_id", "geo_a", "geo_b", "seq", "arc", "dev", "u", "v", "irregular"))
+    return _rounded(meridian.projected(both, ["mesh_id", "geo_a", "geo_b"]).select("mesh_id", "geo_a", "geo_b", F.col("seq").cast("long").alias("seq"), "arc", "dev", "u", "v", "irregular"))
 
 
 @_query(_on_cup(f"SELECT k AS geo_id, CAST(seq AS BIGINT) AS seq, {_PROFILE}, CASE WHEN dev > 0 THEN 'bump' ELSE 'dip' END AS type FROM (SELECT *, row_number() OVER (PARTITION BY printf('%.4f', x), printf('%.4f', y), printf('%.4f', z) ORDER BY k, seq) AS c FROM pf WHERE ABS(dev) > 1) WHERE c = 1", SHELL, GSHELL, CUTS, PROFILES))
@@ -568,14 +590,38 @@ def profile_anomalies(spark, sf_dir):
     return _profile(cluster.anomalies(_lines(spark, sf_dir)[2]))
 
 
-@_query()
-def outer_sections(spark, sf_dir):
-    """Chains of the outer surface's section in the plane of each meridian: points and extent of each."""
+def _outer_segments(spark, sf_dir):
     v, f, shell = _cup(spark, sf_dir)
     _, _, points = _lines(spark, sf_dir)
     outer = f.join(shell.select("mesh_id", "fid"), ["mesh_id", "fid"], "left_anti")
     keys = ["mesh_id", "geo_id"]
-    chains = meridian.outer_chains(meridian.outer_segments(outer, v, points, _sphere(v), keys), keys)
+    return meridian.outer_segments(outer, v, points, _sphere(v), keys), keys
+
+
+def _turn(x: str, y: str, z: str) -> str:
+    return f"ACOS(GREATEST(-1, LEAST(1, ({x}*mx+{y}*my+{z}*mz)/(SQRT({x}*{x}+{y}*{y}+{z}*{z})*SQRT(mx*mx+my*my+mz*mz)))))"
+
+
+_CORNERS = "[" + ", ".join(f"{{'x': x{k}, 'y': y{k}, 'z': z{k}, 'd': d{k}}}" for k in range(3)) + "]"
+
+
+@_query(_on_cup(f"SELECT k AS geo_id, COUNT(*) AS n, {r6('SUM(SQRT((u1-u0)*(u1-u0)+(w1-w0)*(w1-w0)))', 'total')}, {r6('MIN(LEAST(u0, u1))', 'min_u')}, {r6('MAX(GREATEST(w0, w1))', 'max_v')} FROM og GROUP BY k", SHELL, GSHELL, CUTS, PROFILES, _section("pf", "k", "sc"), f"""
+sl AS (SELECT sc.*, li FROM sc JOIN (SELECT k, COALESCE(MAX({_turn("x", "y", "z")}), 0)*1.3+0.15 AS li FROM pf JOIN sc USING (k) WHERE SQRT(x*x+y*y+z*z) > 1e-3 GROUP BY k) USING (k)),
+fo AS (SELECT f.* FROM f, n WHERE fid >= 4*np)""", G.format(f="fo").replace("t AS", "ot AS", 1), f"""
+od AS (SELECT * FROM (SELECT fid, x0, y0, z0, x1, y1, z1, x2, y2, z2, k, mx, my, mz, ux, uy, uz, vx, vy, vz, li, x0*nx+y0*ny+z0*nz AS d0, x1*nx+y1*ny+z1*nz AS d1, x2*nx+y2*ny+z2*nz AS d2 FROM ot, sl) WHERE LEAST(d0, d1, d2) < 0 AND GREATEST(d0, d1, d2) > 0),
+oe AS (SELECT fid, k, i, mx, my, mz, ux, uy, uz, vx, vy, vz, li, a.x+a.d/(a.d-b.d)*(b.x-a.x) AS x, a.y+a.d/(a.d-b.d)*(b.y-a.y) AS y, a.z+a.d/(a.d-b.d)*(b.z-a.z) AS z FROM (SELECT *, {_CORNERS}[i+1] AS a, {_CORNERS}[(i+1)%3+1] AS b FROM od, range(3) r(i)) WHERE a.d*b.d < 0),
+og AS (SELECT fid, k, MIN_BY(u, i) AS u0, MIN_BY(w, i) AS w0, MAX_BY(u, i) AS u1, MAX_BY(w, i) AS w1 FROM (SELECT fid, k, i, (x-mx)*ux+(y-my)*uy+(z-mz)*uz AS u, (x-mx)*vx+(y-my)*vy+(z-mz)*vz AS w FROM oe WHERE {_turn("x", "y", "z")} <= li) GROUP BY fid, k HAVING COUNT(*) = 2)"""))
+def outer_segments(spark, sf_dir):
+    """The outer surface's section in the plane of each meridian, as loose segments: number, length and extent of each."""
+    rows, _ = _outer_segments(spark, sf_dir)
+    size = F.sqrt((F.col("bu") - F.col("au")) * (F.col("bu") - F.col("au")) + (F.col("bv") - F.col("av")) * (F.col("bv") - F.col("av")))
+    return rows.groupBy("geo_id").agg(F.count("*").alias("n"), _r(F.sum(size), "total"), _r(F.min(F.least("au", "bu")), "min_u"), _r(F.max(F.greatest("av", "bv")), "max_v"))
+
+
+@_query()
+def outer_sections(spark, sf_dir):
+    """Chains of the outer surface's section in the plane of each meridian: points and extent of each."""
+    chains = meridian.outer_chains(*_outer_segments(spark, sf_dir))
     return chains.groupBy("geo_id", "chain").agg(F.count("*").alias("n"), *[_r(f_(c), f"{name}_{c}") for c in "uv" for name, f_ in (("min", F.min), ("max", F.max))])
 
 
@@ -750,7 +796,18 @@ def stl_colours(spark, sf_dir):
     return _stl_files(spark, v.withColumn("deviation", (g.length(g.point()) - 16) * 1000), f).filter("corner = 0").select("fid", "attribute")
 
 
-@_query()
+_COV = ", ".join(f"AVG(({a}-m{a})*({b}-m{b})) AS c{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j)
+
+
+@_query(_on_cup(f"""SELECT {", ".join(r6(c, c) for c in ("rx", "ry", "rz"))}, pole_vid, {", ".join(r6(c, c) for c in ("depth", "px", "py", "pz", "ax", "ay", "az"))}, {", ".join(r6(f"r{c}+n{c}*sg*0.06*ABS(h)", f"q{c}") for c in "xyz")}, {", ".join(r6(f"n{c}*sg", f"n{c}") for c in "xyz")} FROM
+  (SELECT *, CASE WHEN h < 0 THEN -1 ELSE 1 END AS sg, (px-rx)/l AS ax, (py-ry)/l AS ay, (pz-rz)/l AS az FROM (SELECT *, (px-rx)*nx+(py-ry)*ny+(pz-rz)*nz AS h, SQRT((px-rx)*(px-rx)+(py-ry)*(py-ry)+(pz-rz)*(pz-rz)) AS l FROM pp, rn))""",
+                GALL, INNER, EDGES.format("ic"), f"""
+rb AS (SELECT x, y, z FROM v WHERE vid IN (SELECT UNNEST([a, b]) FROM e WHERE uses = 1)),
+rm AS (SELECT AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM rb),
+rc AS (SELECT {_COV} FROM rb, rm)""", _least_axis("rc", "re"), """
+rn AS (SELECT mx AS rx, my AS ry, mz AS rz, ex*g AS nx, ey*g AS ny, ez*g AS nz FROM rm, (SELECT *, CASE WHEN GREATEST(ex, ey, ez) >= GREATEST(-ex, -ey, -ez) THEN 1 ELSE -1 END AS g FROM re)),
+ru AS (SELECT vid, x, y, z, (x-rx)*nx+(y-ry)*ny+(z-rz)*nz AS d FROM v, rn WHERE vid IN (SELECT UNNEST([i0, i1, i2]) FROM ic)),
+pp AS (SELECT vid AS pole_vid, d*g AS depth, x AS px, y AS py, z AS pz FROM ru, (SELECT CASE WHEN SUM(d) >= 0 THEN 1 ELSE -1 END AS g FROM ru) ORDER BY d*g DESC, vid LIMIT 1)"""))
 def rim_and_pole(spark, sf_dir):
     v, f, _ = _cup(spark, sf_dir)
     inner = stored(select.inner_candidates(f, v))
@@ -792,7 +849,20 @@ def filled_holes(spark, sf_dir):
     return smooth.fill_holes(stored(topology.used_vertices(v, inner)), inner)[1].drop("mesh_id")
 
 
-@_query()
+def _reweighted(k: int) -> str:
+    """The k-th fit with bisquare weights, by the normal equations about the weighted mean; b0 is the plain fit."""
+    return f"""
+w{k} AS MATERIALIZED (SELECT x, y, z, CASE WHEN u < 1 THEN (1-u*u)*(1-u*u) ELSE 0 END AS wt FROM (SELECT x, y, z, ABS(SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))-radius)/(3*GREATEST(rms, 1e-6)) AS u FROM vs, b{k - 1})),
+wc{k} AS (SELECT SUM(wt*x)/SUM(wt) AS mx, SUM(wt*y)/SUM(wt) AS my, SUM(wt*z)/SUM(wt) AS mz FROM w{k}),
+wu{k} AS (SELECT wt, x-mx AS u, y-my AS w, z-mz AS s, (x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz) AS q FROM w{k}, wc{k}),
+wm{k} AS (SELECT SUM(wt*u*u) AS a, SUM(wt*u*w) AS b, SUM(wt*u*s) AS e, SUM(wt*w*w) AS d, SUM(wt*w*s) AS h, SUM(wt*s*s) AS k, SUM(wt*u*q) AS p, SUM(wt*w*q) AS r, SUM(wt*s*q) AS o, SUM(wt*q)/SUM(wt) AS m FROM wu{k}),
+wd{k} AS (SELECT *, a*(d*k-h*h)-b*(b*k-h*e)+e*(b*h-d*e) AS det FROM wm{k}),
+wx{k} AS (SELECT m, (p*(d*k-h*h)-b*(r*k-h*o)+e*(r*h-d*o))/det AS a1, (a*(r*k-o*h)-p*(b*k-h*e)+e*(b*o-r*e))/det AS a2, (a*(d*o-h*r)-b*(b*o-r*e)+p*(b*h-d*e))/det AS a3 FROM wd{k}),
+wp{k} AS (SELECT mx+a1/2 AS cx, my+a2/2 AS cy, mz+a3/2 AS cz, SQRT(m+(a1*a1+a2*a2+a3*a3)/4) AS radius FROM wx{k}, wc{k}),
+b{k} AS MATERIALIZED (SELECT cx, cy, cz, radius, COALESCE(SQRT(AVG(e*e) FILTER (wt > 0.01)), 0) AS rms, MAX(ABS(e)) AS max_residual FROM (SELECT *, SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))-radius AS e FROM w{k}, wp{k}) GROUP BY cx, cy, cz, radius)"""
+
+
+@_query(_on_cup(f"SELECT {', '.join(r6(c, c) for c in ('cx', 'cy', 'cz', 'radius', 'rms', 'max_residual'))} FROM b5", SHELL, FIT, "b0 AS (SELECT cx, cy, cz, radius, SQRT(AVG(e*e)) AS rms FROM sp, rs GROUP BY cx, cy, cz, radius)", *[_reweighted(k) for k in range(1, 6)]))
 def robust_sphere(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     return _rounded(fit.fit_sphere_robust(stored(topology.used_vertices(v, shell))))
@@ -812,7 +882,9 @@ def ellipsoid(spark, sf_dir):
     return rows.select(_r("cx"), _r("cy"), _r("cz"), *[_r(F.col("semi_axes")[k], f"axis_{k}") for k in range(3)], _r("sphericity"), "shape", "definite", _r("rms"))
 
 
-@_query()
+@_query(_on_cup(f"SELECT {r6('ex*g', 'ax')}, {r6('ey*g', 'ay')}, {r6('ez*g', 'az')} FROM xe, (SELECT CASE WHEN COUNT(*) FILTER ((x-mx)*ex+(y-my)*ey+(z-mz)*ez > 0) > COUNT(*)/2e0 THEN -1 ELSE 1 END AS g FROM vs, xm, xe)", SHELL, f"""
+xm AS (SELECT AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM v),
+xc AS (SELECT {_COV} FROM vs, xm)""", _least_axis("xc", "xe")))
 def cup_axis(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     used = stored(topology.used_vertices(v, shell))
