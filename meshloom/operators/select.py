@@ -11,26 +11,43 @@ from meshloom.operators import fit, topology
 from meshloom.operators.graph import shortest_paths
 from meshloom.operators.storage import stored, with_mesh
 
-BUCKETS = 4096
+#: Parts that an interval of values is split into, and rows in one up to which they are sorted.
+BUCKETS, SORTED = 4096, 100_000
 
 
-def order_statistics(rows: DataFrame, value: str, shares: dict[str, float | Column]) -> DataFrame:
-    """(mesh_id, one column for each share q): the value at place floor(n * q) in ascending order, without interpolation.
+def _within(values: DataFrame, wants: DataFrame) -> DataFrame:
+    """(mesh_id, before, lo, hi, v): a row for each value and each interval of wants that holds it; places in one interval share its rows."""
+    lists = wants.groupBy("mesh_id").agg(F.collect_set(F.struct("before", "lo", "hi")).alias("parts"))
+    held = F.filter("parts", lambda w: (F.col("v") >= w.lo) & (F.col("v") <= w.hi))
+    return with_mesh(values, lists).select("mesh_id", "v", F.explode(held).alias("w")).select("mesh_id", "v", "w.*")
 
-    A place may also be given as a column of the mesh's ``total``. Values are counted, then found through a histogram of 4,096 buckets of each mesh: no task sorts a whole mesh.
+
+def order_statistics(rows: DataFrame, value: str, shares: dict[str, float | Column], most: int = SORTED) -> DataFrame:
+    """(mesh_id, one column for each share q): the value at place floor(n * q) in ascending order, without interpolation; nulls do not count.
+
+    A place may also be given as a column of the mesh's ``total``. The interval that holds a place is split into 4,096 parts and the part
+    with the place is the next interval, until it has ``most`` rows at most or one value: only these are sorted, and no values are shuffled before.
+    An interval that begins or ends at an infinity or NaN (the greatest of all) is sorted as it is.
     """
-    counts = stored(rows.groupBy("mesh_id", F.col(value).alias("v")).agg(F.count("*").alias("n")))
-    box = counts.groupBy("mesh_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    placed = with_mesh(counts, box)
-    width = F.col("hi") - F.col("lo")
-    placed = placed.withColumn("bucket", F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("lo")) / width * BUCKETS))).otherwise(0).cast("long"))
-    sums = placed.groupBy("mesh_id", "bucket", "total").agg(F.sum("n").alias("b"))
-    by_bucket = W.partitionBy("mesh_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows of a mesh at most
-    wanted = F.array(*[F.struct(F.lit(k).alias("name"), (q if isinstance(q, Column) else F.floor(F.col("total") * q)).cast("long").alias("at")) for k, q in shares.items()])
-    hit = sums.withColumn("before", F.coalesce(F.sum("b").over(by_bucket), F.lit(0))).select("mesh_id", "bucket", "b", "before", F.explode(wanted).alias("w"))
-    hit = hit.filter((F.col("w.at") >= F.col("before")) & (F.col("w.at") < F.col("before") + F.col("b"))).select("mesh_id", "bucket", "before", "w.name", "w.at")
-    in_bucket = placed.join(hit, ["mesh_id", "bucket"]).withColumn("end", F.col("before") + F.sum("n").over(W.partitionBy("mesh_id", "bucket", "name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    found = in_bucket.filter("end > at").groupBy("mesh_id", "name").agg(F.min("v").alias("v"))
+    values = stored(rows.select("mesh_id", F.col(value).alias("v")).filter("v IS NOT NULL"))
+    box = values.groupBy("mesh_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
+    places = F.array(*[F.struct(F.lit(k).alias("name"), (q if isinstance(q, Column) else F.floor(F.col("total") * q)).cast("long").alias("at")) for k, q in shares.items()])
+    wants = stored(box.select("mesh_id", "lo", "hi", F.col("total").alias("b"), F.lit(0).cast("long").alias("before"), F.explode(places).alias("w")).select("mesh_id", "w.*", "before", "lo", "hi", "b"))
+    keys = ["mesh_id", "before"]  # an interval is told by the number of values before it
+    by_part = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows at most
+    # halves, as the width itself may be beyond the greatest double
+    width = F.col("hi") / 2 - F.col("lo") / 2
+    splits = (width > 0) & (width < float("inf"))
+    part = F.when(splits, F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * BUCKETS))).otherwise(0).cast("long")
+    while wants.filter((F.col("b") > most) & splits).limit(1).count():
+        parts = _within(values, wants).groupBy(*keys, part.alias("part")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("b"))
+        parts = parts.withColumn("first", F.col("before") + F.coalesce(F.sum("b").over(by_part), F.lit(0)))
+        hit = parts.join(wants.select(*keys, "name", "at"), keys).filter((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("b")))
+        wants = stored(hit.select("mesh_id", "name", "at", F.col("first").alias("before"), "lo", "hi", "b"))
+    counts = _within(values, wants).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    up_to = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("end", F.col("before") + F.sum("n").over(up_to)).join(wants.select(*keys, "name", "at"), keys)
+    found = counts.filter("end > at").groupBy("mesh_id", "name").agg(F.min("v").alias("v"))
     return found.groupBy("mesh_id").agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in shares])
 
 

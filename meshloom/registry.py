@@ -868,7 +868,19 @@ def robust_sphere(spark, sf_dir):
     return _rounded(fit.fit_sphere_robust(stored(topology.used_vertices(v, shell))))
 
 
-@_query()
+_LENGTH = "SQRT((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))"
+
+
+def _fixed_steps(steps: int = 30, moves: int = 100) -> list[str]:
+    """Steps of the fit of radius 16, then moves away from the points inside, until there are none."""
+    fit_ = ", ".join(f"SUM(CASE WHEN h >= 1e-12 THEN {c}-({c}-c{c})*(16/h) ELSE 0 END)/COUNT(*) AS c{c}" for c in "xyz")
+    move = ", ".join(f"ANY_VALUE(c{c})-COALESCE(SUM(({c}-c{c})/GREATEST(h, 1e-12)*(16-h)) FILTER (h < 16)/COUNT(*) FILTER (h < 16), 0) AS c{c}" for c in "xyz")
+    return [f"zc{k} AS MATERIALIZED (SELECT zone, {fit_ if k <= steps else move} FROM (SELECT *, {_LENGTH} AS h FROM zp JOIN zc{k - 1} USING (zone)) GROUP BY zone)" for k in range(1, steps + moves + 1)]
+
+
+@_query(_on_cup(f"SELECT zone, {', '.join(r6(c, c) for c in ('cx', 'cy', 'cz'))}, 16e0 AS radius, {r6(f'SQRT(AVG(({_LENGTH}-16)*({_LENGTH}-16)))', 'rms')} FROM zp JOIN zc130 USING (zone) GROUP BY zone, cx, cy, cz", SHELL, """
+zp AS MATERIALIZED (SELECT CASE WHEN SQRT(x*x+y*y+z*z) > 16.32 THEN 'worn' ELSE 'unworn' END AS zone, x, y, z FROM vs WHERE z <= -1),
+zc0 AS (SELECT zone, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM zp GROUP BY zone)""", *_fixed_steps()))
 def zone_spheres(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     c = select.classify(topology.used_vertices(v, shell), _sphere(v), _frame(v)).filter("active")

@@ -154,6 +154,21 @@ def test_order_statistics(spark):
         assert got[m] == (s[int(len(s) * 0.25)], s[int(len(s) * 0.5)])
 
 
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_order_statistics_of_uneven_values(spark, most):
+    rng = random.Random(9)
+    values = {
+        "outlier": [rng.random() for _ in range(300)] + [1e308, -1e308], "tied": [2.5] * 400 + [3.0], "equal": [7.0] * 50, "infinite": [float("inf"), float("-inf")] + [rng.gauss(0, 1) for _ in range(60)],
+        "steps": [10.0**k for k in range(-30, 30)], "nulls": [None, None, 4.0, None, 1.0], "none": [None],
+    }
+    rows = spark.createDataFrame([(m, v) for m, vs in values.items() for v in vs], "mesh_id string, v double")
+    shares = {"least": 0.0, "lo": 0.25, "mid": 0.5, "hi": 0.99}
+    got = {r.mesh_id: [r[k] for k in shares] for r in select.order_statistics(rows, "v", shares, most).collect()}
+    want = {m: sorted(v for v in vs if v is not None) for m, vs in values.items()}
+    assert got == {m: [vs[int(len(vs) * q)] for q in shares.values()] for m, vs in want.items() if vs}
+    assert select.order_statistics(rows.limit(0), "v", shares, most).count() == 0
+
+
 def test_weld_and_units(spark):
     rows = [("m", 0, k, x, 0.0, 0.0, 0.0, 0.0, 1.0) for k, x in enumerate((-5e-7, 1.0, 2.0))] + [("m", 1, k, x, 0.0, 0.0, 0.0, 1.0, 0.0) for k, x in enumerate((4e-7, 1.0 + 3e-7, 1.0))]
     v, f = topology.weld(spark.createDataFrame(rows, stl.CORNERS))
