@@ -1,4 +1,5 @@
 import heapq
+import math
 import random
 import struct
 
@@ -536,3 +537,39 @@ def test_repair_fills_and_smooths(spark):
     assert faces.count() == f.count() + 4 and topology.boundary_loops(faces).select("loop").distinct().count() == 1
     bent = lambda p: p.agg(F.stddev("z")).first()[0]
     assert points.count() == v.count() + 1 and bent(points) < bent(v)
+
+
+@pytest.mark.parametrize("shift", [(0.13, 0.29), (0.0, 0.0), (0.5, 0.5), (0.5, 0.0)])
+def test_segments_of_faces_about_the_axis(spark, shift):
+    """The axis meets a face, a vertex, a diagonal or a side: all planes tried on all faces give the same segments."""
+    side, count = 7, 36
+    xy = [(k % side - 3 + shift[0], k // side - 3 + shift[1]) for k in range(side * side)]
+    points = [(x, y, -10 + 0.1 * (x * x + y * y)) for x, y in xy]
+    quads = [r * side + c for r in range(side - 1) for c in range(side - 1)]
+    faces = [t for q in quads for t in ((q, q + 1, q + side + 1), (q, q + side + 1, q + side))]
+    v = spark.createDataFrame([("m", k, *p) for k, p in enumerate(points)], "mesh_id string, vid long, x double, y double, z double")
+    f = spark.createDataFrame([("m", k, *t) for k, t in enumerate(faces)], "mesh_id string, fid long, i0 long, i1 long, i2 long")
+    frame = spark.createDataFrame([("m", 0.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, -10.0)], "mesh_id string, " + ", ".join(f"{k}{c} double" for k in "rap" for c in "xyz"))
+    want, unsure = {}, set()  # the side of a cut whose middle is on the axis is not defined
+    for fid, t in enumerate(faces):
+        for k in range(count):
+            a = 2 * math.pi * k / count
+            corners = [np.array(points[i]) for i in t]
+            s = [p[1] * math.sin(a) - p[0] * math.cos(a) for p in corners]
+            cut = []
+            for i in range(3):
+                j = (i + 1) % 3
+                if s[i] * s[j] < 0:
+                    cut.append(corners[i] + s[i] / (s[i] - s[j]) * (corners[j] - corners[i]))
+                elif abs(s[i]) < 1e-10:
+                    cut.append(corners[i])
+            if len(cut) >= 2:
+                middle = (cut[0] + cut[1]) / 2
+                off = abs(math.atan2(middle[0], middle[1]) % (2 * math.pi) - a)
+                if math.hypot(middle[0], middle[1]) < 1e-6:
+                    unsure.add((fid, k))
+                elif min(off, 2 * math.pi - off) < math.pi / 2:
+                    want[fid, k] = (*cut[0], *cut[1])
+    got = {(r.fid, r.geo_id): (r.x0, r.y0, r.z0, r.x1, r.y1, r.z1) for r in meridian.segments(f, v, frame, count).collect()}
+    assert set(got) - unsure == set(want) and len(want) > 100
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
