@@ -35,7 +35,7 @@ from meshloom.llm.licence_texts import TEMPLATES
 
 #: Base phrases: label and words.
 PHRASES: tuple[tuple[str, str], ...] = (
-    ("mit", "the mit license"),
+    ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )

@@ -148,6 +148,13 @@ def test_license_scan(spark):
     assert lic.scan(docs.filter("false")).count() == 0
 
 
+def test_base_phrases_are_whole(spark):
+    texts = ["the MIT License", "x Under the MIT License, under the mit\nlicense", "Apache License 2", "the Apache License, Version 2", "CC BY", "é CC BY-NC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in lic.scan(docs).collect()}
+    assert got == {0: (3, 0, None, None, ""), 1: (9, 2, 1, 5, "mit"), 2: (3, 0, None, None, ""), 3: (5, 1, 1, 1, "apache-2"), 4: (2, 0, None, None, ""), 5: (4, 1, 1, 1, "cc-by-nc")}
+
+
 def slow_match(words, idf):
     """Labels and score by trying each template at each place of the file."""
     labels, score = set(), 0.0
