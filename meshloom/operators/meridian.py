@@ -6,17 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators import topology
-from meshloom.operators.storage import with_mesh
+from meshloom.operators.storage import stored, with_mesh
 
 COUNT = 360
 MARGIN = math.pi / 36
 MOST_POINTS = 500
+#: Faces in a task that cuts them by all planes of their mesh.
+PART = 50_000
 PARTS = ("x", "y", "z", "lat", "pu", "pv")
 
 
@@ -104,51 +107,53 @@ def segments(faces: DataFrame, vertices: DataFrame, frame: DataFrame, count: int
     return cut.filter(own).select("mesh_id", "geo_id", "fid", *[e[c].alias(f"{c}{k}") for k, e in ((0, a), (1, b)) for c in ("x", "y", "z", "lat")])
 
 
-def _kept(run: Column, eps: float) -> Column:
-    """Of neighbouring points those farther than eps from the last one kept, as a fold; the first is kept."""
-    first = F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("all"))
+def _kept(xyz: np.ndarray, eps: float) -> np.ndarray:
+    """Which of the points (n, 3) in order are farther than eps from the last one kept; the first is kept.
 
-    def step(acc, k):
-        a, b = F.get(run, acc.last), F.get(run, k)
-        far = sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)) > eps * eps
-        return F.struct(F.when(far, k).otherwise(acc.last).alias("last"), F.when(far, F.array_append(acc.all, k)).otherwise(acc.all).alias("all"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(run) - 1), first, step, lambda acc: F.transform(acc.all, lambda k: F.get(run, k)))
-    return F.when(F.size(run) > 1, folded).otherwise(run)
+    A point farther than twice eps from the one before it is kept, so only points nearer than that are told one after the other, if there are more than two.
+    """
+    d = np.diff(xyz, axis=0)
+    gap = (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) if len(xyz) else np.zeros(0)
+    kept = np.concatenate([[True] * min(len(xyz), 1), gap > eps * eps])
+    begins = np.flatnonzero(np.concatenate([[True] * min(len(xyz), 1), gap > 4 * eps * eps]))
+    sizes = np.diff(np.append(begins, len(xyz)))
+    for at, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        run = xyz[at : at + n].tolist()
+        last = run[0]
+        for k, p in enumerate(run[1:], at + 1):
+            kept[k] = sum(((a - b) * (a - b) for a, b in zip(last, p, strict=True)), 0.0) > eps * eps
+            last = p if kept[k] else last
+    return kept
 
 
-def distinct_in_order(rows: DataFrame, eps: float) -> DataFrame:
-    """rows (mesh_id, geo_id, lat, o, x, y, z) of each meridian, from the greatest lat, without those no farther than eps from the last one kept; with start: the first.
+def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
+    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the last one kept, led by the pole, thinned to ``most``.
 
-    A point farther than twice eps from the one before it is kept, so the fold runs over points nearer than that, mostly one.
+    A task holds the cuts of one meridian.
     """
-    w = W.partitionBy("mesh_id", "geo_id").orderBy(F.desc("lat"), "o")
-    gap = sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in "xyz"), F.lit(0.0))
-    begins = F.coalesce(gap > 4 * eps * eps, F.lit(True)).cast("int")
-    rows = rows.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = rows.groupBy("mesh_id", "geo_id", "_run").agg(F.array_sort(F.collect_list(F.struct((-F.col("lat")).alias("down"), "o", "lat", "x", "y", "z"))).alias("r"))
-    kept = runs.select("mesh_id", "geo_id", "_run", F.posexplode(_kept(F.col("r"), eps)).alias("_k", "e"))
-    return kept.select("mesh_id", "geo_id", "e.lat", "e.o", "e.x", "e.y", "e.z", ((F.col("_run") == 1) & (F.col("_k") == 0)).alias("start"))
-
 
-def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
-    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the last one kept, led by the pole, thinned to ``most``."""
-    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("lat", "x", "y", "z")]) for k in (0, 1)]))
-    rows = cuts.select("mesh_id", "geo_id", "fid", ends.alias("e")).select("mesh_id", "geo_id", (F.col("fid") * 2 + F.col("e.k")).alias("o"), "e.lat", "e.x", "e.y", "e.z")
-    rows = distinct_in_order(rows, eps)
-    rows = with_mesh(rows, frame.select("mesh_id", "px", "py", "pz"))
-    # the pole comes before the first point, unless that is the pole; a point is its own place and, if so, the pole's
-    off = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
-    own = F.struct(F.lit(1).alias("k"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    pole = F.struct(F.lit(0).alias("k"), *[F.col(f"p{c}").cast("double").alias(c) for c in "xyz"])
-    rows = rows.select("mesh_id", "geo_id", "lat", "o", F.explode(F.when(F.col("start") & (off > 1e-12), F.array(pole, own)).otherwise(F.array(own))).alias("e"))
-    w = W.partitionBy("mesh_id", "geo_id")
-    rows = rows.select("mesh_id", "geo_id", (F.row_number().over(w.orderBy(F.desc("lat"), "o", "e.k")) - 1).alias("r"), F.count("*").over(w).alias("n"), "e.x", "e.y", "e.z")
-    # of more than ``most`` points those at the rounded multiples of (n - 1) / (most - 1)
-    step = (F.col("n") - 1) / (most - 1)
-    j = F.ceil((F.col("r") - 0.5) / step)
-    seq = F.when(F.col("n") <= most, F.col("r")).when(F.floor(j * step + 0.5) == F.col("r"), j)
-    return rows.select("mesh_id", "geo_id", seq.cast("int").alias("seq"), "x", "y", "z").filter("seq IS NOT NULL")
+    def run(rows: pa.Table) -> pa.Table:
+        both = lambda c: np.stack([rows[f"{c}{k}"].to_numpy() for k in (0, 1)], 1).reshape(-1)
+        lat, fid = both("lat"), rows["fid"].to_numpy()
+        order = np.lexsort((np.stack([fid * 2, fid * 2 + 1], 1).reshape(-1), -lat))
+        xyz = np.stack([both(c) for c in "xyz"], 1)[order]
+        xyz = xyz[_kept(xyz, eps)]
+        # the pole comes before the first point, unless that is the pole
+        pole = np.array([[rows[f"p{c}"][0].as_py() for c in "xyz"]], float)
+        if sum((xyz[0, i] - pole[0, i]) * (xyz[0, i] - pole[0, i]) for i in range(3)) > 1e-12:
+            xyz = np.concatenate([pole, xyz])
+        # of more than ``most`` points those at the rounded multiples of (n - 1) / (most - 1)
+        seq = r = np.arange(len(xyz))
+        if len(xyz) > most:
+            step = (len(xyz) - 1) / (most - 1)
+            seq = np.ceil((r - 0.5) / step).astype(np.int64)
+            held = np.floor(seq * step + 0.5) == r
+            seq, xyz = seq[held], xyz[held]
+        same = {k: pa.chunked_array([rows[k].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(seq), np.int64)))]) for k in ("mesh_id", "geo_id")}
+        return pa.table({**same, "seq": seq.astype(np.int32), **{c: xyz[:, i] for i, c in enumerate("xyz")}})
+
+    rows = with_mesh(cuts, frame.select("mesh_id", "px", "py", "pz"))
+    return rows.groupBy("mesh_id", "geo_id").applyInArrow(run, f"mesh_id string, geo_id {cuts.schema['geo_id'].dataType.simpleString()}, seq int, x double, y double, z double")
 
 
 def series(points: DataFrame, keys: list[str], order: list[str], arc: str, value: str) -> DataFrame:
@@ -291,8 +296,8 @@ def outer_segments(faces: DataFrame, vertices: DataFrame, points: DataFrame, cen
     """(keys, fid, au, av, bu, bv): where the plane of each section, laid through the sphere's centre, cuts another surface.
 
     points: the sections' own points; centers: mesh_id, cx, cy, cz. Only what lies about the section's axis (centre to centroid)
-    within 1.3 times its own angle and 0.15 more is kept, and only faces with two such points. The planes of a mesh, no
-    more than its meridians, go to each face as an array, and planes that leave a face on one side are dropped in it.
+    within 1.3 times its own angle and 0.15 more is kept, and only faces with two such points. Parts of
+    a mesh's faces are grouped with all its planes, no more than its meridians, and NumPy drops pairs with the face on one side of the plane.
     """
     others = [k for k in keys if k != "mesh_id"]
     frames = with_mesh(section_frames(points, keys), centers.select("mesh_id", "cx", "cy", "cz"))
@@ -305,44 +310,127 @@ def outer_segments(faces: DataFrame, vertices: DataFrame, points: DataFrame, cen
 
     limits = points.join(frames, keys).groupBy(*keys).agg((F.coalesce(F.max(angle(g.point())), F.lit(0.0)) * 1.3 + 0.15).alias("limit"))
     names = [f"{k}{c}" for k in "mnuvc" for c in "xyz"]
-    planes = frames.join(limits, keys).groupBy("mesh_id").agg(F.collect_list(F.struct(*others, *names, "limit")).alias("planes"))
-    rows = with_mesh(topology.gather(faces, vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])), planes)
-    corners = list(topology.corner_points())
-
-    def met(s: Column) -> Column:
-        d = [sum(((p[i] - s[f"c{c}"]) * s[f"n{c}"] for i, c in enumerate("xyz")), F.lit(0.0)) for p in corners]
-        return (F.least(*d) < 0) & (F.greatest(*d) > 0)
-
-    rows = rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in "xyz"], F.explode(F.filter("planes", met)).alias("s"))
-    rows = rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in "xyz"], "s.*")
-    rows = rows.select("*", *[g.plane_distance(p, _cols("c"), _cols("n")).alias(f"d{k}") for k, p in enumerate(corners)])
-    cuts = []
-    for i in range(3):
-        j = (i + 1) % 3
-        t = F.col(f"d{i}") / (F.col(f"d{i}") - F.col(f"d{j}"))
-        cuts.append(F.when(F.col(f"d{i}") * F.col(f"d{j}") < 0, F.struct(*[(p + t * (q - p)).alias(c) for p, q, c in zip(corners[i], corners[j], "xyz", strict=True)])))
-    rows = rows.select(*keys, "fid", *names, "limit", F.posexplode(F.array(*cuts)).alias("place", "p")).filter("p IS NOT NULL")
-    p = (F.col("p.x"), F.col("p.y"), F.col("p.z"))
-    rows = rows.filter(F.coalesce(angle(p), F.lit(0.0)) <= F.col("limit"))
-    d = g.sub(p, _cols("m"))
-    rows = rows.select(*keys, "fid", "place", g.dot(d, _cols("u")).alias("x"), g.dot(d, _cols("v")).alias("y"))
-    both = rows.groupBy(*keys, "fid").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("e")).filter(F.size("e") == 2)
-    return both.select(*keys, "fid", *[F.get("e", F.lit(k))[c].alias(f"{n}{m}") for k, n in ((0, "a"), (1, "b")) for c, m in (("x", "u"), ("y", "v"))])
-
-
-def _grown(ends: np.ndarray, free: np.ndarray, at: np.ndarray, eps: float) -> list[np.ndarray]:
-    """Points that follow ``at`` from segment to segment (ends: n, 2, 2), always to the nearest free end within eps; marks the segments used."""
-    out = []
-    while free.any():
-        d = ((ends - at) ** 2).sum(2)
-        d[~free] = np.inf
-        k = int(np.argmin(d))  # of equal ones the first segment, and its first end
-        if d.reshape(-1)[k] >= eps * eps:
-            break
-        free[k // 2] = False
-        at = ends[k // 2, 1 - k % 2]
-        out.append(at)
-    return out
+    planes = stored(frames.join(limits, keys).select(*keys, *names, "limit"))
+    rows = topology.gather(faces, vertices.select("mesh_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
+    rows = stored(rows.select("mesh_id", "fid", *[f"{c}{k}" for k in range(3) for c in "xyz"]))
+    # no task holds more than some ``PART`` faces of a mesh, and a row of cuts for each plane that meets them
+    parts = -(-rows.count() // PART) or 1
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("fid"), F.lit(parts)).cast("int"))
+    planes = planes.join(rows.select("mesh_id", F.col("_part").alias("_p")).distinct(), "mesh_id")
+    types = {**dict(planes.dtypes), "fid": rows.schema["fid"].dataType.simpleString()}
+    schema = ", ".join(f"{k} {types[k]}" for k in (*keys, "fid")) + ", au double, av double, bu double, bv double"
+    return rows.groupBy("mesh_id", "_part").cogroup(planes.groupBy("mesh_id", "_p")).applyInArrow(_cut_by_planes(keys), schema)
+
+
+def _cut_by_planes(keys: list[str]):
+    def run(faces: pa.Table, planes: pa.Table) -> pa.Table:
+        p = np.array([[faces[f"{c}{k}"].to_numpy() for c in "xyz"] for k in range(3)]).reshape(3, 3, faces.num_rows)
+        m, n, u, v, c = (np.array([planes[f"{k}{c}"].to_numpy() for c in "xyz"]).reshape(3, planes.num_rows) for k in "mnuvc")
+        limit, axis = planes["limit"].to_numpy(), m - c
+        far_axis = np.sqrt(axis[0] * axis[0] + axis[1] * axis[1] + axis[2] * axis[2])
+        hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros((3, 0)))]
+        for at in range(0, p.shape[2], 512):
+            d = np.array([_dot(x[:, at : at + 512, None] - c[:, None], n[:, None]) for x in p])
+            f, s = np.nonzero((d.min(0) < 0) & (d.max(0) > 0))
+            hits.append((f + at, s, d[:, f, s]))
+        f, s, d = (np.concatenate([h[k] for h in hits], axis=-1) for k in range(3))
+        # a plane cuts two sides at most: the first of them and the last one
+        cut = np.array([d[i] * d[(i + 1) % 3] < 0 for i in range(3)])
+        two = cut.sum(0) == 2
+        f, s, d, cut = f[two], s[two], d[:, two], cut[:, two]
+        keep, flat = np.ones(len(f), bool), []
+        for i in (np.where(cut[0], 0, 1), np.where(cut[2], 2, 1)):
+            j, each = (i + 1) % 3, np.arange(len(f))
+            t = d[i, each] / (d[i, each] - d[j, each])
+            q = np.array([p[i, k, f] + t * (p[j, k, f] - p[i, k, f]) for k in range(3)])
+            away = q - c[:, s]
+            size = np.sqrt(_dot(away, away))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                angle = np.arccos(np.clip(_dot(away, axis[:, s]) / (size * far_axis[s]), -1.0, 1.0))
+            keep &= np.where((size > 1e-3) & (far_axis[s] > 1e-3), angle, 0.0) <= limit[s]
+            flat += [_dot(q - m[:, s], u[:, s]), _dot(q - m[:, s], v[:, s])]
+        out = {k: planes[k].combine_chunks().take(pa.array(s[keep])) for k in keys}
+        return pa.table({**out, "fid": faces["fid"].combine_chunks().take(pa.array(f[keep])), **{k: x[keep] for k, x in zip(("au", "av", "bu", "bv"), flat, strict=True)}})
+
+    return run
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+class _Ends:
+    """The free ends of segments (n, 2, 2), found by place: in cells of a segment's length, and in cells of eps where those nearby are empty."""
+
+    def __init__(self, ends: np.ndarray, eps: float):
+        self.xy, self.eps, self.free = ends.reshape(-1, 2).tolist(), eps, bytearray(b"\x01") * len(ends)
+        size = np.sqrt(((ends[:, 0] - ends[:, 1]) ** 2).sum(1)).mean()
+        self.sizes = (min(max(float(size), eps / 1024), eps), eps * 1.001)
+        self.cells: list[dict[tuple[int, int], list[int]]] = []
+        for h in self.sizes:
+            cells: dict[tuple[int, int], list[int]] = {}
+            for k, (i, j) in enumerate(np.floor(ends.reshape(-1, 2) / h).astype(np.int64).tolist()):
+                cells.setdefault((i, j), []).append(k)
+            self.cells.append(cells)
+
+    def nearest(self, x: float, y: float) -> int:
+        """The free end nearest to a place and nearer than eps, of equal ones the first; -1 if there is none."""
+        for h, cells in zip(self.sizes, self.cells, strict=True):
+            i0, j0, best, at = math.floor(x / h), math.floor(y / h), math.inf, -1
+            for i in (i0 - 1, i0, i0 + 1):
+                for j in (j0 - 1, j0, j0 + 1):
+                    held = cells.get((i, j))
+                    if not held:
+                        continue
+                    used = 0
+                    for k in held:
+                        if not self.free[k >> 1]:
+                            used += 1
+                            continue
+                        p, q = self.xy[k]
+                        d = (p - x) * (p - x) + (q - y) * (q - y)
+                        if d < best or (d == best and k < at):
+                            best, at = d, k
+                    if used > len(held) / 2:
+                        cells[i, j] = [k for k in held if self.free[k >> 1]]
+            # what lies nearer than a cell's size (less what rounding may move over its border) lies in these nine
+            if best < (0.999 * h) ** 2:
+                break
+        return at if best < self.eps * self.eps else -1
+
+    def grown(self, k: int) -> list[list[float]]:
+        """Points that follow the end k from segment to segment, always to the nearest free end within eps; takes the segments used."""
+        out, at = [], self.xy[k]
+        while (k := self.nearest(*at)) >= 0:
+            self.free[k >> 1] = 0
+            at = self.xy[k ^ 1]
+            out.append(at)
+        return out
+
+
+def _joined(lines: list[np.ndarray], eps: float) -> list[np.ndarray]:
+    """Lines whose ends lie nearer than three eps as one: each takes the first of those after it, until there is none.
+
+    A joined line has no other ends than its two, so lines before it, which met neither, need no second look.
+    """
+    heads, tails = np.array([x[0] for x in lines]), np.array([x[-1] for x in lines])
+    parts = [[x] for x in lines]
+    turned = lambda x: [p[::-1] for p in x[::-1]]
+    rest, i = np.arange(len(lines)), 0
+    while i < len(rest):
+        k, after = rest[i], rest[i + 1 :]
+        near = np.array([((p[k] - q[after]) ** 2).sum(1) < 9 * eps * eps for p, q in ((tails, heads), (tails, tails), (heads, heads), (heads, tails))])
+        hits = near.any(0)
+        if not hits.any():
+            i += 1
+            continue
+        j = int(np.argmax(hits))
+        o, way = after[j], int(np.argmax(near[:, j]))
+        p, q = parts[k], parts[o]
+        parts[k] = (p + q, p + turned(q), turned(q) + p, q + p)[way]
+        heads[k], tails[k] = parts[k][0][0].copy(), parts[k][-1][-1].copy()
+        rest = np.delete(rest, i + 1 + j)
+    return [np.vstack(parts[k]) for k in rest]
 
 
 def chained(ends: np.ndarray, least: int = 5) -> list[np.ndarray]:
@@ -350,24 +438,14 @@ def chained(ends: np.ndarray, least: int = 5) -> list[np.ndarray]:
     if len(ends) < 2:
         return []
     eps = max(0.05, 0.6 * float(np.sqrt(((ends[:, 0] - ends[:, 1]) ** 2).sum(1)).mean()))
-    free, lines = np.ones(len(ends), bool), []
-    while free.any():
-        k = int(np.argmax(free))
-        free[k] = False
-        after = _grown(ends, free, ends[k, 1], eps)
-        before = _grown(ends, free, ends[k, 0], eps)
-        lines.append(np.array([*before[::-1], *ends[k], *after]))
-    near = lambda p, q: ((p - q) ** 2).sum() < 9 * eps * eps
-    ways = ((lambda p, q: near(p[-1], q[0]), lambda p, q: (p, q)), (lambda p, q: near(p[-1], q[-1]), lambda p, q: (p, q[::-1])),
-            (lambda p, q: near(p[0], q[0]), lambda p, q: (q[::-1], p)), (lambda p, q: near(p[0], q[-1]), lambda p, q: (q, p)))
-    i = 0
-    while i < len(lines):
-        hit = next(((j, join) for j in range(i + 1, len(lines)) for test, join in ways if test(lines[i], lines[j])), None)
-        if hit is None:
-            i += 1
-        else:
-            lines[i] = np.vstack(hit[1](lines[i], lines.pop(hit[0])))
-            i = 0
+    open_, lines = _Ends(ends, eps), []
+    for k in range(len(ends)):
+        if open_.free[k]:
+            open_.free[k] = 0
+            after = open_.grown(2 * k + 1)
+            before = open_.grown(2 * k)
+            lines.append(np.array([*before[::-1], *ends[k].tolist(), *after]))
+    lines = _joined(lines, eps)
     out = []
     for line in (x for x in lines if len(x) >= least):
         gaps = np.sqrt((np.diff(line, axis=0) ** 2).sum(1))

@@ -2,13 +2,14 @@ import heapq
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
-from meshloom.operators import cluster, fit, meridian, select, smooth, topology, volume
+from meshloom.operators import cluster, fit, graph, meridian, select, smooth, topology, volume
 from meshloom.operators.graph import connected_components, shortest_paths
 from meshloom.operators.storage import stored
 from meshloom.plans import cup
@@ -573,3 +574,46 @@ def test_segments_of_faces_about_the_axis(spark, shift):
     got = {(r.fid, r.geo_id): (r.x0, r.y0, r.z0, r.x1, r.y1, r.z1) for r in meridian.segments(f, v, frame, count).collect()}
     assert set(got) - unsure == set(want) and len(want) > 100
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_components_in_many_chunks(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(m, rng.randrange(400), rng.randrange(400)) for m in ("m", "n") for _ in range(260)] + [("o", k, k + 1) for k in range(300)] + [("p", 0, k) for k in range(1, 200)]
+    want = {}
+    for m in "mnop":
+        root = {x: x for t in pairs if t[0] == m and t[1] != t[2] for x in t[1:]}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for n, a, b in pairs:
+            if n == m and a != b:
+                lo, hi = sorted((top(a), top(b)))
+                root[hi] = lo
+        want |= {(m, x): top(x) for x in root}
+    edges = spark.createDataFrame(pairs, "mesh_id string, a long, b long")
+    for span, wider in ((16, 4), (16, 1), (1 << 17, 64)):  # a graph that does not shrink is left to the rounds of stars
+        monkeypatch.setattr(graph, "SPAN", span)
+        monkeypatch.setattr(graph, "WIDER", wider)
+        monkeypatch.setattr(graph, "CHUNK", 10 if span == 16 else 1_000_000)
+        rows = connected_components(edges).collect()
+        assert {(r.mesh_id, r.node): r.component for r in rows} == want and len(rows) == len(want)
+
+
+def test_long_sections_are_chained_in_linear_time():
+    at = np.linspace(0, 1.6, 40_001)
+    line = np.stack([np.cos(at), np.sin(at)], 1) * 22
+    ends = np.stack([line[:-1], line[1:]], 1)[np.random.default_rng(1).permutation(40_000)]
+    began = time.time()
+    (got,) = meridian.chained(ends)
+    assert len(got) == 40_001 and time.time() - began < 30
+    assert np.allclose(got if got[0, 0] > got[-1, 0] else got[::-1], line)
+
+
+def test_points_kept_of_a_close_run():
+    x = [0.0, 0.4, 0.9, 1.3, 1.5, 5.0, 5.2, 6.1, 6.3, 7.4]
+    xyz = np.stack([np.array(x), np.zeros(10), np.zeros(10)], 1)
+    assert np.array(x)[meridian._kept(xyz, 1.0)].tolist() == [0.0, 1.3, 5.0, 6.1, 7.4]
+    assert meridian._kept(xyz[:0], 1.0).tolist() == [] and meridian._kept(xyz[:1], 1.0).tolist() == [True]
