@@ -91,8 +91,9 @@ def fill_holes(vertices: DataFrame, faces: DataFrame, most: int = 300) -> tuple[
     fans = points.groupBy("mesh_id", "loop").cogroup(sides.groupBy("mesh_id", "loop")).applyInPandas(fan, "mesh_id string, loop long, place int, i0 long, i1 long, x float, y float, z float")
     fans = stored(fans)
     base = vertices.groupBy("mesh_id").agg((F.max("vid") + 1).alias("next_v")).join(faces.groupBy("mesh_id").agg((F.max("fid") + 1).alias("next_f")), "mesh_id")
-    # one row for each hole, and for each new face: few against the mesh
-    numbered = with_mesh(fans, base).selectExpr("*", "dense_rank() OVER (PARTITION BY mesh_id ORDER BY loop) - 1 AS hole", "row_number() OVER (PARTITION BY mesh_id ORDER BY loop, place) - 1 AS f")
+    holes = topology.numbered(fans.filter("place = 0").select("mesh_id", "loop"), "loop", "hole")
+    sides = topology.numbered(fans.withColumn("_o", F.col("loop") * most + F.col("place")), "_o", "f").join(holes, ["mesh_id", "loop"])
+    numbered = with_mesh(sides, base)
     new_points = numbered.filter("place = 0").select("mesh_id", (F.col("next_v") + F.col("hole")).alias("vid"), "x", "y", "z")
     new_faces = numbered.select("mesh_id", (F.col("next_f") + F.col("f")).alias("fid"), "i0", "i1", (F.col("next_v") + F.col("hole")).alias("i2"))
     points, rows = vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(new_points), faces.unionByName(new_faces)
