@@ -832,7 +832,7 @@ def rim_paths(spark, sf_dir):
     v, _, shell = _cup(spark, sf_dir)
     edges = stored(topology.adjacency(shell, v))
     rim = stored(topology.boundary_loops(shell).filter("is_rim").select("mesh_id", "vid"))
-    return _rounded(graph.shortest_paths(edges, rim, max(v.count() // 16, 50)))
+    return _rounded(graph.shortest_paths(edges, rim, min(max(v.count() // 16, 50), graph.BLOCK)))
 
 
 @_query(_on_cup("SELECT fid, i0, i1, i2, COALESCE(a.dist > m, TRUE) AND COALESCE(b.dist > m, TRUE) AND COALESCE(c.dist > m, TRUE) AS kept FROM fs LEFT JOIN rd a ON a.vid = i0 LEFT JOIN rd b ON b.vid = i1 LEFT JOIN rd c ON c.vid = i2, (SELECT MAX(dist)*0.06 AS m FROM rd)", SHELL, RIM))
