@@ -38,6 +38,20 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+#: Rows of a table dealt by a key that one task gets.
+ROWS = 1_000_000
+
+
+def parts_of(count: int) -> int:
+    """In how many parts a table of ``count`` rows is dealt by a key, so that what a task holds does not grow with the table; 0: as Spark does, as all of it is one part."""
+    return -(-count // ROWS) if count > ROWS else 0
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into that many parts before anything is grouped or sorted: a task that reads many rows hands them on and keeps none. 0: ``df`` itself."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 #: Rows of a table of one row for each mesh up to which it is sent to all tasks, and the parts that a mesh is split into beyond that.
 MESHES, PARTS = 10_000, 64
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators.graph import connected_components
-from meshloom.operators.storage import stored, with_mesh
+from meshloom.operators.storage import dealt, parts_of, stored, with_mesh
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -30,6 +30,13 @@ def gather(faces: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("x
     return rows.groupBy("mesh_id", "fid").agg(*[at("vid", k).alias(f"i{k}") for k in range(3)], *[at(c, k).alias(f"{c}{k}") for k in range(3) for c in columns])
 
 
+def soup(faces: DataFrame, vertices: DataFrame, parts: int = 0) -> DataFrame:
+    """Corners (mesh_id, fid, corner) with the other columns of their vertices, ids left out, as an STL file has them; joined in so many parts, 0 as Spark does."""
+    points = dealt(vertices, parts, "mesh_id", "vid")
+    # few bytes of a source may stand for many vertices: they are not sent to all tasks for that
+    return dealt(corners(faces), parts, "mesh_id", "vid").join(points.hint("shuffle_hash") if parts else points, ["mesh_id", "vid"]).drop("vid")
+
+
 def corner_points() -> tuple[g.Vec, g.Vec, g.Vec]:
     return g.point(suffix="0"), g.point(suffix="1"), g.point(suffix="2")
 
@@ -95,13 +102,17 @@ def used_vertices(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 SPAN = 1 << 17
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """rows with dense numbers from 0 in the order of a column of each mesh (integers from 0, each once): numbers in spans of it, after the counts of the spans before."""
+def numbered(rows: DataFrame, order: str, name: str, parts: int = 0) -> DataFrame:
+    """rows with dense numbers from 0 in the order of a column of each mesh (integers from 0, each once): numbers in spans of it, after the counts of the spans before.
+
+    The spans are dealt into so many parts, 0 as Spark does.
+    """
     rows = rows.withColumn("_span", F.expr(f"{order} div {SPAN}"))
     counts = rows.groupBy("mesh_id", "_span").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("mesh_id").orderBy("_span").rowsBetween(W.unboundedPreceding, -1))  # one row for each span
     counts = counts.select("mesh_id", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
     place = F.row_number().over(W.partitionBy("mesh_id", "_span").orderBy(order)) - 1 + F.col("_before")
+    rows, counts = (dealt(t, parts, "mesh_id", "_span") for t in (rows, counts))
     return rows.join(counts, ["mesh_id", "_span"]).withColumn(name, place.cast("long")).drop("_span", "_before")
 
 
@@ -198,25 +209,30 @@ def clip_mesh(faces: DataFrame, vertices: DataFrame, planes: DataFrame, eps: flo
     planes = planes.select("mesh_id", *[f"{k}{c}" for k in "qn" for c in "xyz"])
     rows = _clipped(with_mesh(gather(faces, vertices), planes), tuple(F.col(f"q{c}") for c in "xyz"), tuple(F.col(f"n{c}") for c in "xyz"), eps)
     corner = F.posexplode(F.array(*[F.struct(*[F.col(f"{s}{c}").alias(c) for c in "xyz"]) for s in "abc"])).alias("corner", "p")
-    rows = rows.select("mesh_id", (F.col("fid") * 2 + F.col("part") - 1).alias("fid"), corner).select("mesh_id", "fid", "corner", "p.x", "p.y", "p.z", *[F.lit(0.0).alias(f"n{c}") for c in "xyz"])
-    points, out = weld(rows, tolerance)
-    return points.select("mesh_id", "vid", "x", "y", "z"), out
+    rows = rows.select("mesh_id", (F.col("fid") * 2 + F.col("part") - 1).alias("fid"), corner).select("mesh_id", "fid", "corner", "p.x", "p.y", "p.z")
+    return weld(rows, tolerance, 6 * faces.count())
 
 
-def weld(rows: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """corners (mesh_id, fid, corner, x, y, z, nx, ny, nz) -> (vertices, faces).
+def weld(rows: DataFrame, tolerance: float = 1e-6, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """corners (mesh_id, fid, corner, x, y, z and, if wanted, nx, ny, nz) -> (vertices, faces).
 
     Corners that round to the same multiple of the tolerance are one vertex at the place of the first;
     normals are summed and normalised. Ids are dense in order of first use; degenerate faces stay.
+    ``size`` is about the number of corners, which are counted where it is not given. Many are dealt into parts of some ``storage.ROWS``.
     """
+    parts = parts_of(rows.count() if size is None else size)
+    group = ["mesh_id", "kx", "ky", "kz"]
     keys = [g.round_half_up(F.col(c).cast("double") / tolerance).alias(f"k{c}") for c in "xyz"]
+    normal = [c for c in ("nx", "ny", "nz") if c in rows.columns]
     rows = rows.withColumn("seq", F.col("fid") * 3 + F.col("corner")).select("*", *keys)
-    group = ["mesh_id", "kx", "ky", "kz"]
-    points = rows.groupBy(*group).agg(F.min(F.struct("seq", "x", "y", "z")).alias("p"), *[F.sum(F.col(c).cast("double")).alias(c) for c in ("nx", "ny", "nz")])
-    unit = g.normalized(tuple(F.col(c) for c in ("nx", "ny", "nz")))
-    points = numbered(points.withColumn("seq", F.col("p.seq")), "seq", "vid").select(*group, "vid", "p.x", "p.y", "p.z", *[u.cast("float").alias(c) for u, c in zip(unit, ("nx", "ny", "nz"), strict=True)])
-    faces = rows.select(*group, "fid", "corner").join(points.select(*group, "vid"), group).groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(f"i{k}") for k in range(3)])
-    return points.select("mesh_id", "vid", "x", "y", "z", "nx", "ny", "nz"), faces
+    # min_by keeps numbers alone, so that groups are hashed; the least struct would have all corners sorted
+    points = dealt(rows.select(*group, "seq", *"xyz", *normal), parts, *group).groupBy(*group).agg(F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in "xyz"], *[F.sum(F.col(c).cast("double")).alias(c) for c in normal])
+    unit = g.normalized(tuple(F.col(c) for c in normal)) if normal else ()
+    points = stored(points.select("mesh_id", "seq", *"xyz", *[u.cast("float").alias(c) for u, c in zip(unit, normal, strict=True)]))
+    points = numbered(points, "seq", "vid", parts_of(points.count()))
+    ids = points.select("mesh_id", "vid", *keys)  # a vertex has the key of its first corner
+    faces = rows.select(*group, "fid", "corner").join(ids, group).groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(f"i{k}") for k in range(3)])
+    return points.select("mesh_id", "vid", *"xyz", *normal), faces
 
 
 def unit_scale(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators import cluster, fit, graph, meridian, select, smooth, topology, volume
-from meshloom.operators.storage import shared_path, stored, with_mesh
+from meshloom.operators.storage import parts_of, shared_path, stored, with_mesh
 from meshloom.plans import analysis, cup, report
 from meshloom.sources import stl, stl_files
 
@@ -285,9 +285,10 @@ def clipped_faces(spark, sf_dir):
     return _clip_mesh(spark, sf_dir)[1].select("fid", "i0", "i1", "i2")
 
 
-def _soup(spark, sf_dir):
-    v, f = cup.cup(spark, sf_dir, normals=True)
-    return topology.corners(f).join(v, ["mesh_id", "vid"]).drop("vid")
+def _welded(spark, sf_dir):
+    v, f = cup.cup(spark, sf_dir)
+    size = 3 * f.count()
+    return topology.weld(topology.soup(f, v, parts_of(size)), size=size)
 
 
 SOUP = "so AS (SELECT fid*3+k AS s, v.* FROM (SELECT fid, 0 AS k, i0 AS vid FROM f UNION ALL SELECT fid, 1, i1 FROM f UNION ALL SELECT fid, 2, i2 FROM f) c JOIN v USING (vid))"
@@ -295,13 +296,13 @@ SOUP = "so AS (SELECT fid*3+k AS s, v.* FROM (SELECT fid, 0 AS k, i0 AS vid FROM
 
 @_query(_on_cup("""SELECT row_number() OVER (ORDER BY s) - 1 AS vid, x, y, z FROM (SELECT MIN(s) AS s, arg_min(x, s) AS x, arg_min(y, s) AS y, arg_min(z, s) AS z FROM so GROUP BY FLOOR(x/1e-6+0.5), FLOOR(y/1e-6+0.5), FLOOR(z/1e-6+0.5))""", SOUP))
 def welded_vertices(spark, sf_dir):
-    return topology.weld(_soup(spark, sf_dir))[0].select("vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return _welded(spark, sf_dir)[0].select("vid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
 
 
 @_query(_on_cup("""SELECT fid, MAX(w.vid) FILTER (k = 0) AS i0, MAX(w.vid) FILTER (k = 1) AS i1, MAX(w.vid) FILTER (k = 2) AS i2 FROM (SELECT *, s//3 AS fid, s%3 AS k FROM so) c
   JOIN (SELECT row_number() OVER (ORDER BY s) - 1 AS vid, x, y, z FROM (SELECT MIN(s) AS s, x, y, z FROM so GROUP BY x, y, z)) w ON w.x = c.x AND w.y = c.y AND w.z = c.z GROUP BY fid""", SOUP))
 def welded_faces(spark, sf_dir):
-    return topology.weld(_soup(spark, sf_dir))[1].drop("mesh_id")
+    return _welded(spark, sf_dir)[1].drop("mesh_id")
 
 
 def _scale(k: str, name: str) -> str:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
-from meshloom.operators import cluster, fit, graph, meridian, select, smooth, topology, volume
+from meshloom.operators import cluster, fit, graph, meridian, select, smooth, storage, topology, volume
 from meshloom.operators.graph import connected_components, shortest_paths
 from meshloom.operators.storage import stored
 from meshloom.plans import cup
@@ -179,6 +179,53 @@ def test_weld_and_units(spark):
     assert first.x == pytest.approx(-5e-7) and first.ny == pytest.approx(2**-0.5)
 
 
+def grid_soup(n=20, seed=3):
+    """Corners of two grids in random order of faces, ids with gaps, corners of one point up to 3e-7 apart; and by mesh the welded points and faces, told one corner at a time."""
+    rng, rows, want = random.Random(seed), [], {}
+    for m in "ab":
+        quads = [[(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)] for i in range(n) for j in range(n)]
+        faces = [f for q in quads for f in ((q[0], q[1], q[2]), (q[0], q[2], q[3]))] + [((0, 0), (0, 0), (1, 0))]
+        rng.shuffle(faces)
+        ids, points, out = {}, [], {}
+        for k, face in enumerate(faces):
+            for c, ij in enumerate(face):
+                x, y, z = (float(np.float32(i / 64 + rng.uniform(-3e-7, 3e-7))) for i in (*ij, -5))
+                if ij not in ids:
+                    ids[ij] = len(points)
+                    points.append((x, y, z))
+                rows.append((m, 5 * k + 2, c, x, y, z, 0.0, 0.0, 1.0))
+            out[5 * k + 2] = tuple(ids[ij] for ij in face)
+        want[m] = (points, out)
+    rng.shuffle(rows)
+    return rows, want
+
+
+def test_weld_deals_corners_into_parts_that_do_not_grow(spark, monkeypatch):
+    rows, want = grid_soup()
+    monkeypatch.setattr(topology, "SPAN", 64)
+    monkeypatch.setattr(storage, "ROWS", 100, raising=False)
+    seen, store = [], topology.stored
+    monkeypatch.setattr(topology, "stored", lambda df: (seen.append(df), store(df))[1])
+    v, _ = topology.weld(spark.createDataFrame(rows, stl.CORNERS))
+    got = {(r.mesh_id, r.vid): (r.x, r.y, r.z) for r in v.collect()}
+    assert got == {(m, k): p for m, (points, _) in want.items() for k, p in enumerate(points)}
+    assert all(r.nz == 1 for r in v.select("nz").collect())
+    # grouped in a part for each 100 corners, by hashing: no task sorts what it reads
+    grouped = [df for df in seen if "seq" in df.columns]
+    assert grouped and max(r["count"] for r in grouped[0].groupBy(F.spark_partition_id()).count().collect()) <= 100
+    plan = grouped[0]._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-len(rows) // 100)}), REPARTITION_BY_NUM" in plan and "Sort" not in plan
+
+
+def test_weld_without_normals(spark):
+    rows, want = grid_soup(4)
+    v, f = topology.weld(spark.createDataFrame(rows, stl.CORNERS).drop("nx", "ny", "nz"))
+    assert v.columns == ["mesh_id", "vid", "x", "y", "z"] and v.count() == sum(len(points) for points, _ in want.values())
+    assert {(r.mesh_id, r.fid): (r.i0, r.i1, r.i2) for r in f.collect()} == {(m, k): i for m, (_, faces) in want.items() for k, i in faces.items()}
+    v, f = topology.weld(spark.createDataFrame([], stl.CORNERS))
+    assert v.count() == f.count() == 0
+
+
 def facets(n, seed=0):
     out = np.zeros(n, stl.FACET)
     out["corners"] = np.random.default_rng(seed).normal(size=(n, 3, 3)).astype(np.float32)
