@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import geometry as g
 from meshloom.operators.graph import connected_components
-from meshloom.operators.storage import dealt, parts_of, stored, with_mesh
+from meshloom.operators.storage import PARTS, dealt, parts_of, stored, with_mesh
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -225,13 +225,19 @@ def weld(rows: DataFrame, tolerance: float = 1e-6, size: int | None = None) -> t
     keys = [g.round_half_up(F.col(c).cast("double") / tolerance).alias(f"k{c}") for c in "xyz"]
     normal = [c for c in ("nx", "ny", "nz") if c in rows.columns]
     rows = rows.withColumn("seq", F.col("fid") * 3 + F.col("corner")).select("*", *keys)
-    # min_by keeps numbers alone, so that groups are hashed; the least struct would have all corners sorted
-    points = dealt(rows.select(*group, "seq", *"xyz", *normal), parts, *group).groupBy(*group).agg(F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in "xyz"], *[F.sum(F.col(c).cast("double")).alias(c) for c in normal])
+
+    def firsts(rows: DataFrame, *by: str) -> DataFrame:
+        # min_by keeps numbers alone, so that groups are hashed; the least struct would have all corners sorted
+        return dealt(rows, parts, *by).groupBy(*by).agg(F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in "xyz"], *[F.sum(F.col(c).cast("double")).alias(c) for c in normal])
+
+    points = rows.select(*group, F.expr(f"pmod(fid div {SPAN}, {PARTS})").alias("_chunk"), "seq", *"xyz", *normal)
+    points = firsts(firsts(points, *group, "_chunk") if parts else points, *group)  # dealt whole, a point of very many corners would be told in one task
     unit = g.normalized(tuple(F.col(c) for c in normal)) if normal else ()
     points = stored(points.select("mesh_id", "seq", *"xyz", *[u.cast("float").alias(c) for u, c in zip(unit, normal, strict=True)]))
     points = numbered(points, "seq", "vid", parts_of(points.count()))
-    ids = points.select("mesh_id", "vid", *keys)  # a vertex has the key of its first corner
-    faces = rows.select(*group, "fid", "corner").join(ids, group).groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(f"i{k}") for k in range(3)])
+    ids = dealt(points.select("mesh_id", "vid", *keys), parts, *group)  # a vertex has the key of its first corner
+    uses = dealt(rows.select(*group, "fid", "corner"), parts, *group).join(ids.hint("shuffle_hash") if parts else ids, group).select("mesh_id", "fid", "corner", "vid")
+    faces = dealt(uses, parts, "mesh_id", "fid").groupBy("mesh_id", "fid").agg(*[F.max(F.when(F.col("corner") == k, F.col("vid"))).alias(f"i{k}") for k in range(3)])
     return points.select("mesh_id", "vid", *"xyz", *normal), faces
 
 

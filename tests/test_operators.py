@@ -217,6 +217,20 @@ def test_weld_deals_corners_into_parts_that_do_not_grow(spark, monkeypatch):
     assert f"{-(-len(rows) // 100)}), REPARTITION_BY_NUM" in plan and "Sort" not in plan
 
 
+def test_welded_faces_lie_in_parts_that_do_not_grow(spark, monkeypatch):
+    rows, want = grid_soup()
+    # and a mesh whose corners are all one point: every face is degenerate and stays
+    rows += [("dot", k, c, 0.25, 0.25, 0.25, 0.0, 0.0, 1.0) for k in range(300) for c in range(3)]
+    monkeypatch.setattr(topology, "SPAN", 64)
+    monkeypatch.setattr(storage, "ROWS", 100, raising=False)
+    v, f = topology.weld(spark.createDataFrame(rows, stl.CORNERS))
+    got = {(r.mesh_id, r.fid): (r.i0, r.i1, r.i2) for r in f.collect()}
+    assert got == {(m, k): i for m, (_, faces) in want.items() for k, i in faces.items()} | {("dot", k): (0, 0, 0) for k in range(300)}
+    assert [r.vid for r in v.filter("mesh_id = 'dot'").collect()] == [0]
+    # a part for each 100 corners has some 33 faces; the session's 8 partitions would have more than 200 each
+    assert max(r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()) <= 100
+
+
 def test_weld_without_normals(spark):
     rows, want = grid_soup(4)
     v, f = topology.weld(spark.createDataFrame(rows, stl.CORNERS).drop("nx", "ny", "nz"))
