@@ -126,8 +126,8 @@ def _kept(xyz: np.ndarray, eps: float) -> np.ndarray:
     return kept
 
 
-def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
-    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the last one kept, led by the pole, thinned to ``most``.
+def polylines(cuts: DataFrame, frame: DataFrame, most: int | None = MOST_POINTS, eps: float = 1e-6) -> DataFrame:
+    """(mesh_id, geo_id, seq, x, y, z): end points from the pole down, without those no farther than eps from the last one kept, led by the pole, thinned to ``most`` (None: all of them).
 
     A task holds the cuts of one meridian.
     """
@@ -144,7 +144,7 @@ def polylines(cuts: DataFrame, frame: DataFrame, most: int = MOST_POINTS, eps: f
             xyz = np.concatenate([pole, xyz])
         # of more than ``most`` points those at the rounded multiples of (n - 1) / (most - 1)
         seq = r = np.arange(len(xyz))
-        if len(xyz) > most:
+        if most is not None and len(xyz) > most:
             step = (len(xyz) - 1) / (most - 1)
             seq = np.ceil((r - 0.5) / step).astype(np.int64)
             held = np.floor(seq * step + 0.5) == r
@@ -240,8 +240,8 @@ def opposite(meridians: DataFrame, count: int = COUNT) -> DataFrame:
 
 def double_profiles(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Points of two opposite meridians as one series, rim to pole to rim: arc is negative on the first side, 0 at the pole."""
-    a = pairs.join(points.withColumnRenamed("geo_id", "geo_a"), ["mesh_id", "geo_a"]).withColumn("arc", -F.col("arc"))
-    b = pairs.join(points.withColumnRenamed("geo_id", "geo_b"), ["mesh_id", "geo_b"]).filter("seq > 0")
+    of = lambda side: with_mesh(points, pairs.withColumn("geo_id", F.col(side)), keys=("mesh_id", "geo_id"), parts=1)
+    a, b = of("geo_a").withColumn("arc", -F.col("arc")), of("geo_b").filter("seq > 0")
     columns = ["mesh_id", "geo_a", "geo_b", "x", "y", "z", "arc", "dev", "d1", "d2"]
     both = a.select(*columns, (-F.col("seq")).alias("s")).unionByName(b.select(*columns, F.col("seq").alias("s")))
     return both.withColumn("seq", F.row_number().over(W.partitionBy("mesh_id", "geo_a", "geo_b").orderBy("s")) - 1).drop("s")
@@ -275,7 +275,7 @@ def section_frames(points: DataFrame, keys: list[str]) -> DataFrame:
     Sections of fewer than three points, or straight ones, have no rows.
     """
     n = points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], F.min("seq").alias("s0"))
-    rows = points.join(n, keys)
+    rows = with_mesh(points, n, keys=tuple(keys), parts=1)
     place = F.col("seq") - F.col("s0")
     pick = lambda c, at: F.max(F.when(place == at, F.col(c)))
     ends = rows.groupBy(*keys, "n", "mx", "my", "mz").agg(*[pick(c, at).alias(f"{name}{c}") for name, at in (("p", F.lit(0)), ("q", F.floor(F.col("n") / 2)), ("e", F.col("n") - 1)) for c in "xyz"])
@@ -289,7 +289,7 @@ def section_frames(points: DataFrame, keys: list[str]) -> DataFrame:
 def projected(points: DataFrame, keys: list[str], threshold: float = 0.01) -> DataFrame:
     """A section's points in its own plane, as (u, v) about the centroid."""
     d = g.sub(g.point(), _cols("m"))
-    return points.join(section_frames(points, keys), keys).select(*points.columns, g.dot(d, _cols("u")).alias("u"), g.dot(d, _cols("v")).alias("v"), (F.abs("d2") > threshold).alias("irregular"))
+    return with_mesh(points, section_frames(points, keys), keys=tuple(keys), parts=1).select(*points.columns, g.dot(d, _cols("u")).alias("u"), g.dot(d, _cols("v")).alias("v"), (F.abs("d2") > threshold).alias("irregular"))
 
 
 def outer_segments(faces: DataFrame, vertices: DataFrame, points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:

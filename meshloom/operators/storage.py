@@ -56,14 +56,16 @@ def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
 MESHES, PARTS = 10_000, 64
 
 
-def with_mesh(rows: DataFrame, per_mesh: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("mesh_id",)) -> DataFrame:
+def with_mesh(rows: DataFrame, per_mesh: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("mesh_id",), parts: int = PARTS) -> DataFrame:
     """``rows`` with the columns of a table that has one row for each mesh (or each of ``keys``).
 
     That table is counted: up to ``MESHES`` rows it is sent to all tasks, so that no vertex or face is shuffled. Beyond, it is joined by
-    mesh and part, so that a large mesh is spread over ``PARTS`` tasks.
+    mesh and part, so that a large mesh is spread over ``parts`` tasks.
     """
     few = per_mesh.limit(MESHES + 1).toArrow()
     if few.num_rows <= MESHES:
         return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, per_mesh.schema)), list(keys), how)
-    parts = per_mesh.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("_part", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(PARTS)).cast("int")).join(parts, [*keys, "_part"], how).drop("_part")
+    if parts == 1:
+        return rows.join(per_mesh, list(keys), how)
+    each = per_mesh.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(parts)).cast("int")).join(each, [*keys, "_part"], how).drop("_part")

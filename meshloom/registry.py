@@ -496,30 +496,35 @@ def meridian_segments(spark, sf_dir):
     return cuts.groupBy("geo_id").agg(F.count("*").alias("n"), _r(F.sum(g.distance(a, b)), "total"), _r(F.min("lat0"), "lowest"), _r(F.max("lat0"), "highest"))
 
 
-def _lines(spark, sf_dir, count=MERIDIANS):
+def _lines(spark, sf_dir, count=MERIDIANS, most=meridian.MOST_POINTS):
     v, _, shell = _cup(spark, sf_dir)
     frame, used = _frame(v), stored(topology.used_vertices(v, shell))
-    lines = meridian.polylines(meridian.segments(shell, used, frame, count), frame)
+    lines = meridian.polylines(meridian.segments(shell, used, frame, count), frame, most)
     return used, frame, stored(meridian.profiles(lines, frame, used))
 
 
-#: Profiles: end points from the pole down without repeats (the pole itself is the first of them here), thinned, with arc, deviation and derivatives.
+#: Profiles: end points from the pole down without repeats (the pole itself is the first of them here), all of them or thinned, with arc, deviation and derivatives.
 def _derived(source: str, name: str) -> str:
     return f"""{name}1 AS (SELECT *, CASE WHEN COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc) > 1e-12 THEN (COALESCE(LEAD(dev) OVER w, dev)-COALESCE(LAG(dev) OVER w, dev))/(COALESCE(LEAD(arc) OVER w, arc)-COALESCE(LAG(arc) OVER w, arc)) ELSE 0 END AS d1 FROM {source} WINDOW w AS (PARTITION BY k ORDER BY seq)),
 {name} AS MATERIALIZED (SELECT *, CASE WHEN LEAD(arc) OVER w-LAG(arc) OVER w > 1e-12 THEN (LEAD(d1) OVER w-LAG(d1) OVER w)/(LEAD(arc) OVER w-LAG(arc) OVER w) ELSE 0 END AS d2 FROM {name}1 WINDOW w AS (PARTITION BY k ORDER BY seq))"""
 
 
-PROFILES = """
+def _profiles(points: str) -> str:
+    return f"""
 pe AS (SELECT k, fid*2 AS o, x0 AS x, y0 AS y, z0 AS z FROM mk UNION ALL SELECT k, fid*2+1, x1, y1, z1 FROM mk),
 pg AS (SELECT *, LAG(x) OVER w AS px, LAG(y) OVER w AS py, LAG(z) OVER w AS pz FROM pe WINDOW w AS (PARTITION BY k ORDER BY -z DESC, o)),
 pk AS (SELECT k, o, x, y, z, px IS NULL AS head FROM pg WHERE px IS NULL OR (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz) > 1e-12),
 pq AS (SELECT k, 0 AS own, o, -z AS lat, 0e0 AS x, 0e0 AS y, -16.05e0 AS z FROM pk WHERE head AND x*x+y*y+(z+16.05)*(z+16.05) > 1e-12 UNION ALL SELECT k, 1, o, -z, x, y, z FROM pk),
 pr AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY lat DESC, o, own) - 1 AS r, COUNT(*) OVER (PARTITION BY k) AS n, x, y, z FROM pq),
-pt AS (SELECT k, r AS seq, x, y, z FROM pr WHERE n <= 500 UNION ALL SELECT k, CEIL((r-0.5)/((n-1)/499e0)), x, y, z FROM pr WHERE n > 500 AND FLOOR(CEIL((r-0.5)/((n-1)/499e0))*((n-1)/499e0)+0.5) = r),
+pt AS ({points}),
 pa AS (SELECT *, COALESCE(SQRT((x-LAG(x) OVER w)*(x-LAG(x) OVER w)+(y-LAG(y) OVER w)*(y-LAG(y) OVER w)+(z-LAG(z) OVER w)*(z-LAG(z) OVER w)), 0) AS gap FROM pt WINDOW w AS (PARTITION BY k ORDER BY seq)),
 mr AS (SELECT AVG(SQRT(x*x+y*y+z*z)) AS m FROM v WHERE vid IN (SELECT UNNEST([i0, i1, i2]) FROM fs)),
 pb AS (SELECT k, seq, x, y, z, SUM(gap) OVER (PARTITION BY k ORDER BY seq ROWS UNBOUNDED PRECEDING) AS arc, (SQRT(x*x+y*y+z*z)-m)*1000 AS dev FROM pa, mr),
 """ + _derived("pb", "pf")
+
+
+WHOLE_PROFILES = _profiles("SELECT k, r AS seq, x, y, z FROM pr")
+PROFILES = _profiles("SELECT k, r AS seq, x, y, z FROM pr WHERE n <= 500 UNION ALL SELECT k, CEIL((r-0.5)/((n-1)/499e0)), x, y, z FROM pr WHERE n > 500 AND FLOOR(CEIL((r-0.5)/((n-1)/499e0))*((n-1)/499e0)+0.5) = r")
 #: Decimals that sums in any order leave alone.
 _PROFILE = "ROUND(x, 6) + 0.0 AS x, ROUND(y, 6) + 0.0 AS y, ROUND(z, 6) + 0.0 AS z, ROUND(arc, 6) + 0.0 AS arc, ROUND(dev, 3) + 0.0 AS dev, ROUND(d1, 3) + 0.0 AS d1, ROUND(d2, 1) + 0.0 AS d2"
 
@@ -576,12 +581,12 @@ def _section(source: str, keys: str, name: str) -> str:
 {name} AS MATERIALIZED (SELECT *, ny*uz-nz*uy AS vx, nz*ux-nx*uz AS vy, nx*uy-ny*ux AS vz FROM {name}3)"""
 
 
-@_query(_on_cup(f"SELECT ga AS geo_a, gb AS geo_b, seq, {r6('arc', 'arc')}, {r6('dev', 'dev')}, {r6('(x-mx)*ux+(y-my)*uy+(z-mz)*uz', 'u')}, {r6('(x-mx)*vx+(y-my)*vy+(z-mz)*vz', 'v')}, ABS(d2) > 0.01 AS irregular FROM dn JOIN ds USING (ga, gb)", SHELL, GSHELL, CUTS, PROFILES, """
+@_query(_on_cup(f"SELECT ga AS geo_a, gb AS geo_b, seq, {r6('arc', 'arc')}, {r6('dev', 'dev')}, {r6('(x-mx)*ux+(y-my)*uy+(z-mz)*uz', 'u')}, {r6('(x-mx)*vx+(y-my)*vy+(z-mz)*vz', 'v')}, ABS(d2) > 0.01 AS irregular FROM dn JOIN ds USING (ga, gb)", SHELL, GSHELL, CUTS, WHOLE_PROFILES, """
 dp AS (SELECT k AS ga, k+180 AS gb, -seq AS s, x, y, z, -arc AS arc, dev, d2 FROM pf WHERE k < 180 UNION ALL SELECT k-180, k, seq, x, y, z, arc, dev, d2 FROM pf WHERE k >= 180 AND seq > 0),
 dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ga, gb ORDER BY s) - 1 AS seq FROM dp)""", _section("dn", "ga, gb", "ds")))
 def double_profiles(spark, sf_dir):
-    _, _, points = _lines(spark, sf_dir)
-    pairs = meridian.opposite(points.select("mesh_id", "geo_id").distinct())
+    _, _, points = _lines(spark, sf_dir, most=None)
+    pairs = stored(meridian.opposite(points.select("mesh_id", "geo_id").distinct()))
     both = stored(meridian.double_profiles(points, pairs))
     return _rounded(meridian.projected(both, ["mesh_id", "geo_a", "geo_b"]).select("mesh_id", "geo_a", "geo_b", F.col("seq").cast("long").alias("seq"), "arc", "dev", "u", "v", "irregular"))
 

@@ -447,6 +447,42 @@ def test_repeats_are_judged_by_the_last_point_kept(spark):
         assert got[geo] == [0.0, *line], geo
 
 
+def test_double_profiles_of_all_points(spark, monkeypatch):
+    cuts = [("m", geo, f, *(p for k in (0, 1) for p in (geo - 90.0, 0.01 * (2 * f + k) ** 1.5, 20 - 0.01 * (2 * f + k), 20 - 0.01 * (2 * f + k)))) for geo, n in ((0, 700), (180, 400)) for f in range(n)]
+    frame = spark.createDataFrame([("m", 0.0, 0.0, 21.0)], "mesh_id string, px double, py double, pz double")
+    rows = spark.createDataFrame(cuts, "mesh_id string, geo_id long, fid long, x0 double, y0 double, z0 double, lat0 double, x1 double, y1 double, z1 double, lat1 double")
+    lines = stored(meridian.polylines(rows, frame, None).withColumns({"arc": F.col("seq") * 0.5, "dev": F.col("z"), "d1": F.lit(0.0), "d2": F.lit(0.0)}))
+    heights = [20 - 0.01 * k for k in range(1400)]
+    got = {}
+    for r in lines.orderBy("seq").collect():
+        got.setdefault(r.geo_id, []).append((r.seq, r.z))
+    assert got == {geo: list(enumerate([21.0, *heights[:n]])) for geo, n in ((0, 1400), (180, 800))}
+    keys, both = ["mesh_id", "geo_a", "geo_b"], []
+    for few in (storage.MESHES, 0):
+        monkeypatch.setattr(storage, "MESHES", few)
+        series = stored(meridian.double_profiles(lines, meridian.opposite(lines.select("mesh_id", "geo_id").distinct())))
+        both.append([tuple(r) for r in meridian.projected(series, keys).select(*keys, "seq", "arc", "z", "u", "v").orderBy("seq").collect()])
+    assert [r[2:6] for r in both[0]] == [(180, k, (k - 1400) * 0.5, z) for k, z in enumerate([*heights[::-1], 21.0, *heights[:800]])]
+    assert [r[:6] for r in both[0]] == [r[:6] for r in both[1]] and np.allclose([r[6:] for r in both[0]], [r[6:] for r in both[1]])
+
+
+def test_the_query_of_double_profiles_keeps_meridians_of_many_points(spark, tmp_path):
+    import __spark_entry__ as e
+
+    duckdb = pytest.importorskip("duckdb")
+    rings = 280
+    spark.range(40 * rings).select(F.col("id").alias("p_partkey"), (F.col("id") * 7 % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = e.queries()["double_profiles"](spark, str(tmp_path)).orderBy("geo_a", "seq").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({e.oracle_sql()['double_profiles']}) ORDER BY geo_a, seq").fetchall()
+    assert [(*r[:3], r.irregular) for r in got] == [(*r[:3], r[7]) for r in want]
+    assert np.allclose([r[3:7] for r in got], [r[3:7] for r in want], rtol=0, atol=2e-6)
+    # a meridian crosses every ring and, unless it runs along sides of triangles, one side between each two of them
+    _, sizes = np.unique([(r.geo_a, r.arc > 0) for r in got if r.arc != 0], axis=0, return_counts=True)
+    assert sizes.min() >= rings and np.median(sizes) == 2 * rings
+
+
 def test_chains_of_loose_segments():
     rng = np.random.default_rng(4)
     th = np.linspace(0, np.pi, 60)
